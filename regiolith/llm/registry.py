@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import media, packing, secrets
+from regiolith.llm import html, media, packing, quality, rules, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html": html.op2_html,
         "op3_media": media.op3_media,
+        "op4_quality": quality.op4_quality,
+        "op5_rules": rules.op5_rules,
         "op6_secrets": secrets.op6_secrets,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(rules.ORACLES)
