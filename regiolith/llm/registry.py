@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiolith.llm import html, media, packing, quality, rules, secrets, toxicity
+from regiolith.llm import html, jaccard, media, packing, quality, rules, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_rules": rules.op5_rules,
         "op6_secrets": secrets.op6_secrets,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_jaccard": jaccard.op9_jaccard,
         "op10_packing": packing.op10_packing,
     }
 
