@@ -291,12 +291,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     leave = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
     repeated = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     leave, repeated = checkpointed(leave), checkpointed(repeated)
-    kept = docs.join(sized(leave, leave.count()), "doc_id", "left_anti")
+    kept = docs.join(sized(leave, leave.count()), "doc_id", "left_anti").select(docs.columns)
     again = repeated.count()
     if not again:
         return kept
-    marked = kept.join(sized(repeated.withColumn("again", F.lit(True)), again), "doc_id", "left")
-    return marked.where("again is null").select(docs.columns).unionByName(marked.where("again").select(docs.columns).dropDuplicates(["doc_id"]))
+    hint = sized(repeated, again)
+    return kept.join(hint, "doc_id", "left_anti").unionByName(kept.join(hint, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

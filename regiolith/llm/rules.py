@@ -192,8 +192,8 @@ ORACLES = {
 with d as (select doc_id, coalesce(text, '') text from documents),
 w as (
   select doc_id, text,
-    list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) lines
+    list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines
   from d),
 win as (
   select doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] g
@@ -216,8 +216,8 @@ select doc_id, cast(n_words as bigint) n_words, cast(word_chars as bigint) word_
     or 2 * n_dup_lines > n_lines
     or word_chars < 2 * n_words or word_chars > 20 * n_words
     or 2 * length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) > length(regexp_replace(text, '[^\p{L}]', '', 'g'))
-    or 5 * len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) < 4 * n_words
-    or 10 * len(list_filter(words, x -> regexp_matches(x, '[#*$%&<>]{2}|!!'))) > n_words
-    or 5 * len(list_filter(list_zip(words[:-2], words[2:]), x -> x[1] = x[2])) > n_words) kept
+    or 5 * len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 4 * n_words
+    or 10 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&<>]{2}|!!'))) > n_words
+    or 5 * len(list_filter(list_zip(words[:-2], words[2:]), lambda x: x[1] = x[2])) > n_words) kept
 from b"""
 }

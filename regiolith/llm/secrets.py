@@ -18,7 +18,6 @@ import re
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, StringType, LongType
 
 from regiolith.llm.common import map_rows, table, texts
 
@@ -137,24 +136,22 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of the input with the secrets in text masked; n_chars follows where there is one."""
-    held = [c for c in docs.columns if c != "text"]
-    extra = StructType([StructField("text", StringType()), StructField("spans_found", LongType())])
-    schema = StructType([*[docs.schema[c] for c in held], *extra]).toDDL() if held else extra.toDDL()
 
     def task():
         novelty = Novelty()
 
+        def masked(text: str | None) -> str | None:
+            if not text:
+                return text
+            base = pattern_spans(text)
+            return redacted(text, sorted(base + novelty.spans(text, base)))
+
         def step(block):
-            made = []
-            for text in block["text"]:
-                base = pattern_spans(text or "")
-                spans = sorted(base + novelty.spans(text or "", base))
-                made.append((text if text is None else redacted(text, spans), len(spans)))
-            return {c: block[c] for c in held} | {"text": [t for t, _ in made], "spans_found": [n for _, n in made]}
+            return block | {"text": [masked(t) for t in block["text"]]}
 
         return step
 
-    out = map_rows(docs, task, schema).drop("spans_found")
+    out = map_rows(docs, task, docs.schema.toDDL())
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
