@@ -48,7 +48,7 @@ from {business}
 """,
     "award": """
 select o_orderkey award_id, c_name company, c_custkey business_id, o_orderpriority agency, o_totalprice amount,
-  cast(extract(year from o_orderdate) as int) year,
+  cast(extract(year from o_orderdate) as int) award_year,
   case o_orderstatus when 'F' then 'Phase I' when 'O' then 'Phase II' else 'Phase III' end phase
 from {orders} join {customer} on o_custkey = c_custkey
 """,
