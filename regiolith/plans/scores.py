@@ -131,8 +131,8 @@ def favorability(spark, sf_dir):
 
 @query(
     "J23_award_score",
-    """with g as (select cluster_id, count(award_id) n, sum(amount) funding, count(*) filter (where phase = 'Phase II') seconds, count(*) filter (where award_year >= 2000) recent from member left join award using (business_id) group by 1)
-    select cluster_id, round(least(30, n * 0.1) + least(30.0, coalesce(funding, 0) / 1000000) + least(20, seconds * 0.2) + least(20, recent * 0.2), 6) score from g""",
+    """with g as (select cluster_id, count(award_id) n, sum(amount) funding, count(*) filter (where phase = 'Phase II') n_second, count(*) filter (where award_year >= 2000) recent from member left join award using (business_id) group by 1)
+    select cluster_id, round(least(30, n * 0.1) + least(30.0, coalesce(funding, 0) / 1000000) + least(20, n_second * 0.2) + least(20, recent * 0.2), 6) score from g""",
 )
 def award_score(spark, sf_dir):
     m = view(spark, sf_dir, "member").select("cluster_id", "business_id").join(view(spark, sf_dir, "award"), "business_id", "left")

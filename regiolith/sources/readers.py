@@ -37,18 +37,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
 
 
-def read_bls_series(spark: SparkSession, path: str, scale: float = 1000.0) -> DataFrame:
+def read_bls_series(spark: SparkSession, path: str, scale: float = 1000.0, multi_line: bool = True) -> DataFrame:
     """(series_id, year, period, value) from nested labour statistics."""
     kind = "Results struct<series: array<struct<seriesID: string, data: array<struct<year: string, period: string, value: string>>>>>"
-    series = spark.read.schema(kind).option("multiLine", True).json(path).select(F.explode("Results.series").alias("s"))
+    series = spark.read.schema(kind).option("multiLine", multi_line).json(path).select(F.explode("Results.series").alias("s"))
     points = series.select(F.col("s.seriesID").alias("series_id"), F.explode("s.data").alias("d"))
     return points.select("series_id", F.col("d.year").try_cast("int").alias("year"), "d.period", (F.col("d.value").try_cast("double") * scale).alias("value"))
 
 
-def read_observations(spark: SparkSession, path: str) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """(series_id, date, value) from observation files; values that are not numbers are dropped."""
     kind = "series_id string, observations array<struct<date: string, value: string>>"
-    points = spark.read.schema(kind).option("multiLine", True).json(path).select("series_id", F.explode("observations").alias("o"))
+    points = spark.read.schema(kind).option("multiLine", multi_line).json(path).select("series_id", F.explode("observations").alias("o"))
     return points.select("series_id", F.col("o.date").try_cast("date").alias("date"), F.col("o.value").try_cast("double").alias("value")).where("value is not null")
 
 
