@@ -127,9 +127,15 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def estimates(measured: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """Cost and selectivity of each rule on the first rows by a hash of doc_id: a bounded sample."""
-    sample = checkpointed(measured.orderBy(F.xxhash64("doc_id")).limit(rows))
+def sample_of(docs: DataFrame, rows: int) -> DataFrame:
+    """The documents with the first ids by a hash: a bounded sample. Ids are chosen without their texts."""
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def estimates(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
+    """Cost and selectivity of each rule on a bounded sample of documents with a non-null text."""
+    sample = checkpointed(with_measures(checkpointed(sample_of(docs, rows))))
     made = []
     for rule in rules:
         best, share = float("inf"), 0.0
@@ -162,8 +168,7 @@ def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_row
     """(doc_id, measures, base_failed, kept, reject_reason) of every document."""
     rules = production_rules() if rules is None else rules
     base = texts(docs)
-    sampled = with_measures(base.orderBy(F.xxhash64("doc_id")).limit(sample_rows))
-    chain = ordered(rules, estimates(sampled, rules, sample_rows))
+    chain = ordered(rules, estimates(base, rules, sample_rows))
     judged = with_measures(base).withColumn("base_failed", base_failed())
     reason = F.when(F.col("base_failed"), F.lit("base")).otherwise(first_failure(chain))
     return judged.withColumn("reject_reason", reason).withColumn("kept", F.col("reject_reason").isNull()).drop("text", "words", "lines")
@@ -175,8 +180,7 @@ def filter_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
     names = {c: f"{c}__kept" for c in docs.columns}
     held = docs.withColumnsRenamed(names)  # the input may have columns named like the measures
     work = held.withColumn("doc_id", F.col("doc_id__kept")).withColumn("text", F.coalesce(F.col("text__kept"), F.lit("")))
-    sampled = with_measures(work.select("doc_id", "text").orderBy(F.xxhash64("doc_id")).limit(sample_rows))
-    chain = ordered(rules, estimates(sampled, rules, sample_rows))
+    chain = ordered(rules, estimates(work, rules, sample_rows))
     passed = with_measures(work).where(first_failure(chain).isNull())
     return passed.select([F.col(f"{c}__kept").alias(c) for c in docs.columns])
 
