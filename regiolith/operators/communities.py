@@ -16,15 +16,27 @@ SUPPLY = [("484", "493"), ("311", "445"), ("325", "621"), ("332", "336")]
 
 
 def similarity_edges(df: DataFrame, least: float = 0.25) -> DataFrame:
-    """(u, v, w) of businesses of a state alike enough in county, industry, size and supply.
+    """(u, v, w) of businesses alike enough in county, industry, size and supply.
 
-    A weight over 0.25 needs the same state together with a like industry, the same county, or the same industry,
-    or a supply pair; the edges of the same state and of the same 3-digit code, and those of supply pairs, are
-    each one equality join, so no other pairs are compared."""
+    The most that a pair can weigh depends on what it shares: with neither county, code nor supply pair it is 0.5
+    within a state; a pair of different codes of a supply pair weighs 0.55 at most across states; equal codes weigh
+    0.5 across states unless they are supply codes. Blocks that cannot reach the threshold are left out; each
+    other block is one equality join, and no other pairs are compared."""
     base = df.select(F.col("business_id").alias("id"), "county", "state", F.substring("naics_code", 1, 3).alias("code"), "employees").where("employees > 0")
     a, b = base.select([F.col(c).alias(f"{c}_u") for c in base.columns]), base.select([F.col(c).alias(f"{c}_v") for c in base.columns])
     supply = df.sparkSession.createDataFrame(SUPPLY + [(y, x) for x, y in SUPPLY], "code_u string, code_v string")
-    pairs = a.join(b, F.col("state_u") == F.col("state_v")).unionByName(a.join(b, F.col("code_u") == F.col("code_v"))).unionByName(a.join(F.broadcast(supply), "code_u").join(b, "code_v").select(a.columns + b.columns))
+    same_county, same_state, same_code = (F.col(f"{c}_u") == F.col(f"{c}_v") for c in ("county", "state", "code"))
+    blocks = [a.join(b, same_county), a.join(b, same_state & same_code)]
+    supply_codes = sorted({c for pair in SUPPLY for c in pair})
+    blocks.append(a.join(b, same_code) if least < 0.5 else a.where(F.col("code_u").isin(supply_codes)).join(b, same_code))
+    partners = a.join(F.broadcast(supply), "code_u").withColumnRenamed("code_v", "code_w")
+    across = F.col("code_w") == F.col("code_v")
+    blocks.append(partners.join(b, across if least < 0.55 else across & same_state).select(a.columns + b.columns))
+    if least < 0.5:
+        blocks.append(a.join(b, same_state))
+    pairs = blocks[0].where("id_u < id_v")
+    for block in blocks[1:]:
+        pairs = pairs.unionByName(block.where("id_u < id_v"))
     x, y = F.least("employees_u", "employees_v"), F.greatest("employees_u", "employees_v")
     in_supply = F.lit(False)
     for p, q in SUPPLY:
@@ -32,7 +44,7 @@ def similarity_edges(df: DataFrame, least: float = 0.25) -> DataFrame:
     geo = F.when(F.col("county_u") == F.col("county_v"), 0.3).when(F.col("state_u") == F.col("state_v"), 0.15).otherwise(0.0)
     ind = F.when(F.col("code_u") == F.col("code_v"), 0.3).when(F.substring("code_u", 1, 2) == F.substring("code_v", 1, 2), 0.15).otherwise(0.0)
     weight = geo + ind + 0.2 * x / y + F.when(in_supply, 0.2).otherwise(0.0)
-    found = pairs.where("id_u < id_v").select(F.col("id_u").alias("u"), F.col("id_v").alias("v"), weight.alias("w"))
+    found = pairs.select(F.col("id_u").alias("u"), F.col("id_v").alias("v"), weight.alias("w"))
     return found.where(F.col("w") > least).distinct()
 
 

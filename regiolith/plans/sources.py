@@ -10,14 +10,14 @@ from regiolith.plans.views import view
 from regiolith.sources import readers as R
 from regiolith.streaming.runs import shared_folder
 
-SCHEMA = StructType.fromDDL("business_id long, name string, county string, naics_code string, employees int, revenue_estimate double, phone string")
+SCHEMA = "business_id long, name string, county string, naics_code string, employees int, revenue_estimate double, phone string"
 
 
 @query("A1_read_registry_csv", "select business_id, name, county, naics_code, employees, revenue_estimate, null phone, 'MO' state from business")
 def read_registry_csv(spark, sf_dir):
     path = shared_folder(spark, "registry")
     view(spark, sf_dir, "business").select("business_id", "name", "county", "naics_code", "employees", "revenue_estimate").write.option("header", True).csv(path)
-    return R.read_registry_csv(spark, path, SCHEMA, "MO")
+    return R.read_registry_csv(spark, path, StructType.fromDDL(SCHEMA), "MO")
 
 
 @query("A3_read_table", "select business_id, name from business")
