@@ -122,16 +122,19 @@ def sequence_ratio_column():
 def fuzzy_pairs(df: DataFrame, ratio: float) -> DataFrame:
     """(u, v) of rows (id, county, name) of one county whose names are alike.
 
-    Names as alike as that share their first letters, or one of their words; pairs come from these blocks and a
-    bound of their lengths, and are then compared."""
+    Names as alike as that share their first letters, or one of their later words; pairs come from these blocks,
+    bounds of their lengths and edit distance, and are then compared."""
     base = df.where("county is not null and name is not null").select("id", "county", "name", F.lower("name").alias("low"))
-    keys = F.array_distinct(F.concat(F.filter(F.split(F.regexp_replace("low", r"[^\p{L}\p{N}]+", " "), " "), lambda w: F.length(w) >= 3), F.array(F.substring("low", 1, 4))))
+    later = F.filter(F.split(F.regexp_replace("low", r"[^\p{L}\p{N}]+", " "), " "), lambda w, i: (F.length(w) >= 3) & (i > 0))
+    keys = F.array_distinct(F.concat(later, F.array(F.substring("low", 1, 4))))
     blocks = base.withColumn("block", F.explode(keys))
     a = blocks.select("county", "block", F.col("id").alias("u"), F.col("name").alias("name_u"))
     b = blocks.select("county", "block", F.col("id").alias("v"), F.col("name").alias("name_v"))
     shortest = ratio / (200 - ratio)
     lengths = F.least(F.length("name_u"), F.length("name_v")) >= shortest * F.greatest(F.length("name_u"), F.length("name_v"))
-    pairs = a.join(b, ["county", "block"]).where((F.col("u") < F.col("v")) & lengths).select("u", "v", "name_u", "name_v").distinct()
+    most = (1 - ratio / 100) * (F.length("name_u") + F.length("name_v"))  # an edit distance is at most the indel distance
+    near = (F.col("u") < F.col("v")) & lengths & (F.levenshtein("name_u", "name_v") <= most)
+    pairs = a.join(b, ["county", "block"]).where(near).select("u", "v", "name_u", "name_v").distinct()
     return pairs.where(indel_ratio_column()("name_u", "name_v") >= ratio).select("u", "v")
 
 
