@@ -3,7 +3,8 @@
 Zstandard dictionaries are trained on a bounded sample of labelled texts of each class. A text is cut into
 blocks, and each block is compressed apart with either dictionary, so that the dictionary and not the text's
 own repetition decides. The difference of the two sizes, normalised by their sum, is calibrated by logistic
-regression together with the sizes for each byte and the size of the text compressed as a whole.
+regression, over all blocks and for the blocks where it is least (a poor passage may lie in a good text), together
+with the sizes for each byte and the size of the text compressed as a whole.
 
 A null or empty text is scored from sizes of 0 and gets a constant score between 0 and 1. Without labels the
 score is the constant 0.5. Labels are read only outside the held-out fold; text is the only input of a score.
@@ -24,14 +25,17 @@ from regiolith.llm import fitting
 from regiolith.llm.common import fold, is_held_out, map_rows, table, texts, training_rows
 
 #: Labelled rows of each class that the model is fitted on: a bounded sample.
-PER_CLASS = 1_000
+PER_CLASS = 2_000
 #: Bytes of a training passage and passages of a document, evenly spread; they bound what the driver holds.
 PASSAGE, PASSAGES = 2_048, 6
-BLOCK = 1_024
-DICTIONARY = 48 * 1024
+BLOCK = 384
+DICTIONARY = 64 * 1024
 LEVEL = 3
 THRESHOLD = 0.3
-FEATURES = 6
+SIZES = 9
+FEATURES = SIZES * (SIZES + 3) // 2
+
+UPPER = np.triu_indices(SIZES)
 
 
 @dataclass
@@ -56,15 +60,24 @@ class Sizes:
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
 
     def features(self, text: str) -> list[float]:
+        """The sizes and their products of two, which let the calibration bend."""
+        x = np.array(self.sizes(text))
+        return [*x, *np.outer(x, x)[UPPER]]
+
+    def sizes(self, text: str) -> list[float]:
         data = text.encode("utf-8", "surrogatepass")
         if not data:
-            return [0.0] * FEATURES
+            return [0.0] * SIZES
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         good = [len(self.good(b)) for b in blocks]
         bad = [len(self.bad(b)) for b in blocks]
         g, b, n = sum(good), sum(bad), len(data)
-        differences = [(y - x) / (x + y) for x, y in zip(good, bad)]
-        return [(b - g) / (b + g), min(differences), g / n, b / n, len(self.plain(data)) / n, math.log1p(n)]
+        differences = sorted((y - x) / (x + y) for x, y in zip(good, bad))
+        whole = [x / len(z) for x, z in zip(good, blocks) if 2 * len(z) > BLOCK] or [g / n]
+        return [
+            (b - g) / (b + g), differences[0], differences[len(differences) // 10], differences[len(differences) // 3], g / n, b / n,
+            min(whole), len(self.plain(data)) / n, math.log1p(n),
+        ]
 
 
 def passages(sample: DataFrame) -> DataFrame:
