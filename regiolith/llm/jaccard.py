@@ -33,10 +33,10 @@ from regiolith.llm.shingles import WordHashes, shingle_set
 
 WORDS = 4
 PERCENT = 85
-#: Shingles that count as frequent and come last in the order; bounds what is broadcast.
-FREQUENT = 200_000
+#: Shingles that count as frequent and come last in the order, rarest first; bounds what is broadcast (32 MB).
+FREQUENT = 2_000_000
 #: A shingle is frequent only from so many sets on.
-FREQUENT_FROM = 32
+FREQUENT_FROM = 8
 #: Ids up to which a set of wanted documents is broadcast, after they were counted.
 BROADCAST_IDS = 500_000
 LEAST_BITS = 256
@@ -69,18 +69,37 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def coarse_parities(bits: bytes) -> list[int]:
+    """The parities folded to 256 places, as four signed longs that Spark can compare by itself."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > LEAST_BITS // 8:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return np.frombuffer(x.tobytes(), "<i8").tolist()
+
+
+COARSE = [f"c{i}" for i in range(LEAST_BITS // 64)]
+
+
+def coarse_bound(x: str, y: str) -> Column:
+    """A lower bound of the Jaccard distance of two sets with the columns n and COARSE under the prefixes x and y."""
+    na, nb = F.col(f"{x}n"), F.col(f"{y}n")
+    odd = sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in COARSE[1:]), F.bit_count(F.col(f"{x}c0").bitwiseXOR(F.col(f"{y}c0"))))
+    shared = (na + nb - F.greatest(odd.cast("long"), F.abs(na - nb))) / 2
+    return 1 - shared / (na + nb - shared)
+
+
 def signed(s: np.ndarray) -> list[int]:
     return s.view(np.int64).tolist()
 
 
 def set_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n, k1, k2, leasts, bits, prefix): size, identity, least hashes, parities and prefix of each set."""
+    """(doc_id, n, k1, k2, leasts, bits, coarse, prefix): size, identity, least hashes, parities and prefix of each set."""
 
     def task():
         hashes = WordHashes()
 
         def step(block):
-            names = ("doc_id", "n", "k1", "k2", "leasts", "bits", "prefix")
+            names = ("doc_id", "n", "k1", "k2", "leasts", "bits", "coarse", "prefix")
             out = {k: [] for k in names}
             for doc_id, text in zip(block["doc_id"], block["text"]):
                 s = shingle_set(text, words, hashes)
@@ -90,19 +109,20 @@ def set_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
                 out["k1"].append(int.from_bytes(key[:8], "little", signed=True))
                 out["k2"].append(int.from_bytes(key[8:], "little", signed=True))
                 out["leasts"].append([int((s * c).min().astype(np.int64)) for c in CHOICES] if len(s) else [])
-                out["bits"].append(parity_bits(s))
+                out["bits"].append(bits := parity_bits(s))
+                out["coarse"].append(coarse_parities(bits))
                 out["prefix"].append(signed(s[: prefix_length(len(s), percent)]) if len(s) else [])
             return out
 
         return step
 
     return map_rows(
-        texts(docs), task, "doc_id long, n long, k1 long, k2 long, leasts array<long>, bits binary, prefix array<long>"
+        texts(docs), task, "doc_id long, n long, k1 long, k2 long, leasts array<long>, bits binary, coarse array<long>, prefix array<long>"
     )
 
 
-def ordered_prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, prefix) with the frequent shingles last in the order."""
+def ordered_prefixes(docs: DataFrame, frequent: np.ndarray, often: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(doc_id, n, prefix) with the frequent shingles (sorted by hash, with their counts) last, rarest first."""
 
     def task():
         hashes = WordHashes()
@@ -113,8 +133,9 @@ def ordered_prefixes(docs: DataFrame, frequent: np.ndarray, words: int, percent:
                 s = shingle_set(text, words, hashes)
                 if len(s) and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    often = frequent[at] == s
-                    s = np.concatenate([s[~often], s[often]])
+                    last = frequent[at] == s
+                    by_count = np.lexsort((s[last], often[at[last]]))
+                    s = np.concatenate([s[~last], s[last][by_count]])
                 out["n"].append(len(s))
                 out["prefix"].append(signed(s[: prefix_length(len(s), percent)]) if len(s) else [])
             return out
@@ -188,9 +209,10 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     usable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = checkpointed(
         usable.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("leasts").alias("leasts"), F.first("bits").alias("bits")
+            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("leasts").alias("leasts"), F.first("bits").alias("bits"), F.first("coarse").alias("coarse")
         )
     )
+    coarse = [F.get("coarse", F.lit(i)).alias(c) for i, c in enumerate(COARSE)]
 
     # 1. hubs
     chosen = classes.select("rep", "n", F.posexplode("leasts").alias("choice", "least"))
@@ -200,11 +222,11 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     first = components(hub_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     own_hub = hub_links.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("hub"), F.col("distance").alias("r"))).alias("x"))
     placed = checkpointed(
-        classes.select("rep", "n")
+        classes.select("rep", "n", *coarse)
         .join(own_hub.select("rep", "x.hub", "x.r"), "rep", "left")
         .join(first.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left")
         .select(
-            "rep", "n", F.coalesce("hub", "rep").alias("hub"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("comp", "rep").alias("comp")
+            "rep", "n", *COARSE, F.coalesce("hub", "rep").alias("hub"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("comp", "rep").alias("comp")
         )
     )
 
@@ -212,8 +234,11 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     counts = usable.select(F.explode("prefix").alias("shingle")).groupBy("shingle").count()
     total = usable.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
     least = max(FREQUENT_FROM, total // FREQUENT + 1)  # so at most FREQUENT shingles reach it
-    frequent = np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("shingle").collect()], dtype=np.int64).view(np.uint64))
-    prefixes = ordered_prefixes(docs, frequent, words, percent)
+    top = counts.where(F.col("count") >= least).toArrow()
+    frequent = top.column("shingle").to_numpy().view(np.uint64)
+    by_hash = np.argsort(frequent)
+    frequent, often = frequent[by_hash], top.column("count").to_numpy()[by_hash]
+    prefixes = ordered_prefixes(docs, frequent, often, words, percent)
     entries = (
         prefixes.join(placed.select(F.col("rep").alias("doc_id"), "hub", "r", "comp"), "doc_id")
         .select("hub", "comp", "r", "n", F.posexplode("prefix").alias("at", "shingle"))
@@ -225,23 +250,21 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     lists = checkpointed(
         entries.withColumn("low", F.min("comp").over(whole)).withColumn("high", F.max("comp").over(whole)).where("low < high").drop("low", "high")
     )
-    x, y = lists.alias("x"), lists.alias("y")
-    near_sizes = (100 * F.col("x.most_n") >= percent * F.col("y.least_n")) & (100 * F.col("y.most_n") >= percent * F.col("x.least_n"))
-    near_places = (100 + percent) * F.least("x.rest", "y.rest") >= percent * (F.col("x.least_n") + F.col("y.least_n"))
+    radii = placed.groupBy("hub").agg(F.max("r").alias("radius"))
+    hubs = checkpointed(classes.select(F.col("rep").alias("hub"), "n", *coarse).join(radii, "hub"))
+    lists = checkpointed(lists.join(hubs, "hub"))
+    x, y = (lists.select([F.col(c).alias(f"{side}_{c}") for c in lists.columns]) for side in "xy")
+    near_sizes = (100 * F.col("x_most_n") >= percent * F.col("y_least_n")) & (100 * F.col("y_most_n") >= percent * F.col("x_least_n"))
+    near_places = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_least_n") + F.col("y_least_n"))
+    near_bits = coarse_bound("x_", "y_") <= limit + F.col("x_radius") + F.col("y_radius") + EPSILON
     pairs = (
-        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") < F.col("y.comp")) & near_sizes & near_places)
-        .select(F.col("x.hub").alias("a"), F.col("y.hub").alias("b"))
+        x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_comp") < F.col("y_comp")) & near_sizes & near_places & near_bits)
+        .select(F.col("x_hub").alias("a"), F.col("y_hub").alias("b"), (F.col("x_radius") + F.col("y_radius")).alias("width"))
         .distinct()
     )
 
-    # 3. answers: hubs first, satellites where the bound leaves a link open
-    radii = checkpointed(placed.groupBy("hub").agg(F.max("r").alias("radius")))
-    wide = (
-        pairs.join(radii.withColumnsRenamed({"hub": "a", "radius": "ra"}), "a")
-        .join(radii.withColumnsRenamed({"hub": "b", "radius": "rb"}), "b")
-        .withColumn("width", F.col("ra") + F.col("rb"))
-    )
-    hub_pairs = checkpointed(distances(possible(wide, classes, F.col("width"), percent), docs, words, percent).distinct())
+    # 3. answers: hubs first, satellites where the bounds leave a link open
+    hub_pairs = checkpointed(distances(possible(pairs, classes, F.col("width"), percent), docs, words, percent).distinct())
     comp_of = placed.select(F.col("rep").alias("node"), "comp")
     second_edges = checkpointed(
         hub_pairs.where("linked")
@@ -252,17 +275,26 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     )
     second = components(second_edges).withColumnsRenamed({"node": "comp", "component": "joined"})
     now = checkpointed(placed.join(second, "comp", "left").withColumn("comp", F.coalesce("joined", "comp")).drop("joined"))
-    parts = now.select("hub", "rep", "r", "comp")
-    open_pairs = (
+    side = lambda df, name, keys: df.select([F.col(c).alias(keys.get(c, f"{name}_{c}")) for c in df.columns])
+    comps = now.groupBy("hub").agg(F.first("comp").alias("comp"))
+    apart = (
         hub_pairs.where("not linked")
-        .join(parts.withColumnsRenamed({"hub": "a", "rep": "sa", "r": "ra", "comp": "u"}), "a")
-        .join(parts.withColumnsRenamed({"hub": "b", "rep": "sb", "r": "rb", "comp": "v"}), "b")
-        .where((F.col("u") != F.col("v")) & (F.col("distance") - F.col("ra") - F.col("rb") <= limit + EPSILON))
-        .select(F.col("sa").alias("a"), F.col("sb").alias("b"), "u", "v")
-        .where(~((F.col("a") == F.col("b"))))
-        .distinct()
+        .join(side(hubs.drop("radius").join(comps, "hub"), "h", {"hub": "b"}), "b")
+        .join(side(hubs.select("hub", "radius"), "b", {"hub": "b"}), "b")
+        .join(comps.withColumnsRenamed({"hub": "a", "comp": "a_comp"}), "a")
+        .where("a_comp <> h_comp")
+    )
+    parts = now.select("hub", "rep", "r", "n", *COARSE)
+    left, right = side(parts, "s", {"hub": "of_a"}), side(parts, "t", {"hub": "of_b"})
+    one_side = (
+        (F.col("a") == F.col("of_a"))
+        & (F.col("distance") - F.col("s_r") - F.col("b_radius") <= limit + EPSILON)
+        & (coarse_bound("s_", "h_") <= limit + F.col("b_radius") + EPSILON)
+    )
+    both_sides = (F.col("b") == F.col("of_b")) & (F.col("distance") - F.col("s_r") - F.col("t_r") <= limit + EPSILON) & (coarse_bound("s_", "t_") <= limit + EPSILON)
+    open_pairs = checkpointed(
+        apart.join(left, one_side).join(right, both_sides).select(F.col("s_rep").alias("a"), F.col("t_rep").alias("b")).distinct()
     )
-    open_pairs = checkpointed(open_pairs)
     late = distances(possible(open_pairs, classes, F.lit(0.0), percent), docs, words, percent).where("linked")
     comp_now = now.select(F.col("rep").alias("node"), "comp")
     third_edges = (
