@@ -2,12 +2,15 @@
 
 The score of a word is c(before word) / c(before) if the pair occurs MIN_COUNT times or more, else ALPHA times
 c(word) / N; a document's score is the sum of the logarithms. Words are in lower case (A-Z) and separated by
-white space. The most frequent words, VOCABULARY at most, have ids by rank; all others are one unknown word, id 0,
-so the table of single words is bounded and is sent to all tasks.
+white space. All counts are exact. The most frequent words, VOCABULARY at most, have ids by rank and their counts
+are sent to all tasks; any other word is rare and goes by its hash, which is negative.
 
 Pairs of the FREQUENT most frequent words are counted densely and sent along too: any other pair is rarer than
 the least of these words, so no key of the shuffle holds many rows. All other pairs are exploded to
-(doc_id, pair, times), dealt by pair, counted there, joined to their count, and summed by document.
+(doc_id, key, side, times) and dealt by key. The key of two known words is the pair. A pair with a rare word is
+dealt by the rare word, with the other word as its side, so that one partition has all rows of the pair and all
+occurrences of the rare word, and counts both; a pair of two rare words is dealt by either one. The rows are then
+summed by document.
 
 A null or empty text has 0 words and score 0. Rows that share a doc_id (or have none) are summed together. An
 empty table gives no rows. Other columns of the input are ignored.
@@ -30,6 +33,12 @@ MIN_COUNT = 2
 VOCABULARY = 131_072
 FREQUENT = 512
 ROWS = 2_048
+#: Set in every word hash, so that hashes are negative as signed longs and ids are not.
+TOP = 1 << 63
+#: What the side of a row says of its key: two known words, the second word, the first word, the start of a document.
+PAIR, SECOND, FIRST, START = range(4)
+#: Keys of the rows with the scores of documents are from here on.
+OWN = 1 << 62
 
 
 class Unigrams:
@@ -37,20 +46,21 @@ class Unigrams:
 
     def __init__(self, rows: list[tuple[int, int]], total: int):
         """rows: (word hash as a signed long, count), most frequent first."""
-        h = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
-        known = np.array([r[1] for r in rows], dtype=np.int64)
+        h = np.array([r[0] for r in rows], dtype=np.int64)
         by_hash = np.argsort(h)
-        self.hashes, self.ids = h[by_hash], (by_hash + 1).astype(np.int64)
-        self.counts = np.concatenate([[total - known.sum()], known])
+        self.hashes, self.ids = h[by_hash], by_hash.astype(np.int64)
+        self.counts = np.array([r[1] for r in rows], dtype=np.int64)
         self.total = total
 
     def id_of(self, h: int) -> int:
-        at = int(np.searchsorted(self.hashes, np.uint64(h)))
-        return int(self.ids[at]) if at < len(self.hashes) and self.hashes[at] == np.uint64(h) else 0
+        """The id of a known word, or the hash of a rare one as a negative number."""
+        signed = (h | TOP) - 2 * TOP
+        at = int(np.searchsorted(self.hashes, np.int64(signed)))
+        return int(self.ids[at]) if at < len(self.hashes) and self.hashes[at] == signed else signed
 
 
 class WordNumbers(dict):
-    """Word as bytes -> its id."""
+    """Word as bytes -> its id, or its hash if it is rare."""
 
     def __init__(self, model: Unigrams):
         self.model = model
@@ -75,7 +85,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         hashes = WordHashes()
 
         def step(block):
-            found = [hashed(lower_words(t), hashes) for t in block["text"]]
+            found = [hashed(lower_words(t), hashes) | np.uint64(TOP) for t in block["text"]]
             words, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             return {"word": words.view(np.int64), "n": n}
 
@@ -115,7 +125,7 @@ def frequent_pairs(docs: DataFrame, model: Unigrams, frequent: int) -> np.ndarra
             for text in block["text"]:
                 ids = numbers.of_text(text)
                 a, b = ids[:-1], ids[1:]
-                both = (a < frequent) & (b < frequent)
+                both = (a >= 0) & (a < frequent) & (b >= 0) & (b < frequent)
                 found.append(a[both] * frequent + b[both])
             counts = np.bincount(np.concatenate(found), minlength=1) if found else np.zeros(1, np.int64)
             pairs = np.flatnonzero(counts)
@@ -130,9 +140,15 @@ def frequent_pairs(docs: DataFrame, model: Unigrams, frequent: int) -> np.ndarra
     return out.reshape(frequent, frequent)
 
 
+def with_side(other: np.ndarray, role: int) -> np.ndarray:
+    """The other word of a pair and the role of the key in the last two bits; the sign stays."""
+    return np.where(other >= 0, other << 2, other & ~np.int64(3)) | role
+
+
 def exploded_pairs(docs: DataFrame, model: Unigrams, dense: np.ndarray, alpha: float, min_count: int) -> DataFrame:
-    """(doc_id, pair, times, words, base): one row for each distinct rarer pair of a document, and one row with
-    its number of words and the score as if no rarer pair were known; that row's pair is negative."""
+    """(doc_id, key, side, times, words, base): rows for each distinct rarer pair of a document, one for a rare
+    word at its start, and one with its number of words and the score as if no rarer pair were known and every
+    rare word occurred once."""
     width = len(model.counts)
     frequent = len(dense)
 
@@ -142,34 +158,44 @@ def exploded_pairs(docs: DataFrame, model: Unigrams, dense: np.ndarray, alpha: f
             logs = np.log(model.counts.astype(float))
             first = np.concatenate([logs, np.zeros(max(0, frequent - width))])[:frequent]
             known = np.log(dense.astype(float)) - first[:, None]
-        back = math.log(alpha) + logs - math.log(max(model.total, 1))
+        back = math.log(alpha) + np.append(logs, 0.0) - math.log(max(model.total, 1))  # the last is that of rare words
 
         def step(block):
-            ids_out, pairs, times, words, base = [], [], [], [], []
+            ids_out, key_parts, side_parts, times, words, base = [], [], [], [], [], []
             for row, (doc_id, text) in enumerate(zip(block["doc_id"], block["text"])):
                 ids = numbers.of_text(text)
                 a, b = ids[:-1], ids[1:]
-                both = (a < frequent) & (b < frequent)
+                both = (a >= 0) & (a < frequent) & (b >= 0) & (b < frequent)
                 x, y = a[both], b[both]
                 seen = dense[x, y] >= min_count
-                score = float(known[x[seen], y[seen]].sum() + back[y[~seen]].sum() + back[b[~both]].sum())
+                score = float(known[x[seen], y[seen]].sum() + back[y[~seen]].sum() + back[np.maximum(b[~both], -1)].sum())
                 if len(ids):  # the first word has no word before it
-                    score += float(back[ids[0]]) - math.log(alpha)
-                keys, n = np.unique(a[~both] * width + b[~both], return_counts=True)
+                    score += float(back[max(ids[0], -1)]) - math.log(alpha)
+                a, b = a[~both], b[~both]
+                plain, second, start = (a >= 0) & (b >= 0), b < 0, ids[:1][ids[:1] < 0]
+                pairs, n = np.unique(a[plain] * width + b[plain], return_counts=True)
+                other = [(b[second], with_side(a[second], SECOND)), (a[a < 0], with_side(b[a < 0], FIRST))]
+                rare, side = (np.concatenate([o[i] for o in other]) for i in (0, 1))
+                order = np.lexsort((side, rare))
+                rare, side = rare[order], side[order]
+                new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (side[1:] != side[:-1]))) if len(rare) else np.zeros(0, np.int64)
+                m = len(pairs) + len(new) + len(start)
                 own = hash((doc_id, row)) & 0xFFFFFFFF
-                ids_out.extend([doc_id] * (len(keys) + 1))
-                pairs.append(np.concatenate([keys, [-1 - own]]))
-                times.append(np.concatenate([n, [0]]))
-                words.extend([0] * len(keys) + [len(ids)])
-                base.extend([0.0] * len(keys) + [score])
+                ids_out.extend([doc_id] * (m + 1))
+                key_parts += [pairs, rare[new], start, [OWN + own]]
+                side_parts += [np.full(len(pairs), PAIR, np.int64), side[new], np.full(len(start), START, np.int64), [PAIR]]
+                times += [n, np.diff(np.append(new, len(rare))), np.ones(len(start), np.int64), [0]]
+                words.extend([0] * m + [len(ids)])
+                base.extend([0.0] * m + [score])
+            joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else []
             return {
-                "doc_id": ids_out, "pair": np.concatenate(pairs) if pairs else [], "times": np.concatenate(times).astype(np.int32) if times else [],
+                "doc_id": ids_out, "key": joined(key_parts, np.int64), "side": joined(side_parts, np.int64), "times": joined(times, np.int32),
                 "words": words, "base": base,
             }
 
         return step
 
-    return map_rows(texts(docs), task, "doc_id long, pair long, times int, words int, base double")
+    return map_rows(texts(docs), task, "doc_id long, key long, side long, times int, words int, base double")
 
 
 def backoff_scores(
@@ -181,23 +207,35 @@ def backoff_scores(
     dense = frequent_pairs(docs, model, frequent)
     rows = exploded_pairs(docs, model, dense, alpha, min_count)
     width = len(model.counts)
-    single = F.broadcast(  # at most vocabulary + 1 rows
-        spark.createDataFrame(
-            [(i, math.log(c) if c else 0.0) for i, c in enumerate(model.counts.tolist())], "id long, log_n double"
-        )
+    single = F.broadcast(  # at most vocabulary rows
+        spark.createDataFrame([(i, math.log(c)) for i, c in enumerate(model.counts.tolist())], "id long, log_n double")
     )
-    counted = rows.withColumn("n", F.sum("times").over(Window.partitionBy("pair")))
-    known = (F.col("pair") >= 0) & (F.col("n") >= min_count)
+    role, rare = F.col("side").bitwiseAND(3), F.col("key") < 0
+    of_key = Window.partitionBy("key").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counted = rows.withColumn("c", F.sum(F.when(rare & role.isin(SECOND, START), F.col("times"))).over(of_key)).withColumn(
+        "n", F.sum("times").over(Window.partitionBy("key", "side"))
+    )
+    known = (F.col("key") < OWN) & (role != START) & (F.col("n") >= min_count)
+    other = F.shiftright("side", 2)  # negative, and so without a count, if it is rare
+    first = F.when(~rare, F.floor(F.col("key") / width)).when(role == SECOND, other)
+    second = F.when(~rare, F.col("key") % width).when(role == FIRST, other)
     gains = (
-        counted.withColumn("first", F.when(known, F.floor(F.col("pair") / width)))
-        .withColumn("second", F.when(known, F.col("pair") % width))
+        counted.withColumn("first", F.when(known, first))
+        .withColumn("second", F.when(known, second))
         .join(single.withColumnsRenamed({"id": "first", "log_n": "log_first"}), "first", "left")
         .join(single.withColumnsRenamed({"id": "second", "log_n": "log_second"}), "second", "left")
     )
     shift = math.log(alpha) - math.log(max(model.total, 1))
-    gain = F.col("times") * (F.log(F.col("n").cast("double")) - F.col("log_first") - F.col("log_second") - shift)
+    log_c, zero = F.log(F.col("c").cast("double")), F.lit(0.0)
+    # The row of the second word has the gain of a pair of two rare words; that of the first word has its count only.
+    whole = F.log(F.col("n").cast("double")) - F.coalesce("log_first", zero) - F.coalesce("log_second", zero) - shift
+    gain = F.col("times") * (
+        F.when(known & rare & (role == FIRST), F.when(F.col("side") < 0, zero).otherwise(whole) - log_c)
+        .when(known, whole)
+        .when(rare & (role != FIRST), log_c)
+    )
     return gains.groupBy("doc_id").agg(
-        F.sum(F.col("words").cast("long")).alias("n_words"), F.sum(F.col("base") + F.coalesce(gain, F.lit(0.0))).alias("log_score")
+        F.sum(F.col("words").cast("long")).alias("n_words"), F.sum(F.col("base") + F.coalesce(gain, zero)).alias("log_score")
     )
 
 
@@ -210,7 +248,6 @@ def op1_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES = {
-    # The vocabulary holds every word of small tables, so no word is unknown here.
     "op1_backoff": r"""
 with w as (
   select doc_id, list_filter(regexp_split_to_array(

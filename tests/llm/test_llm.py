@@ -75,6 +75,16 @@ def test_backoff_against_counts(spark, edges, empty):
     assert small.count() == 11
 
 
+@pytest.mark.parametrize("vocabulary, frequent", [(0, 2), (3, 2), (12, 5), (30, 100)])
+def test_backoff_counts_rare_words(spark, edges, vocabulary, frequent):
+    """Words beyond the vocabulary have their own counts."""
+    docs = edges.unionByName(edges.where("doc_id = 9").selectExpr("12 as doc_id", "'rare odd ' || substr(text, 1, 900) || ' rare odd' as text"), allowMissingColumns=True)
+    want, got = ({r.doc_id: r for r in backoff.backoff_scores(docs, **k).collect()} for k in ({}, {"vocabulary": vocabulary, "frequent": frequent}))
+    assert got.keys() == want.keys()
+    for doc, w in want.items():
+        assert got[doc].n_words == w.n_words and abs(got[doc].log_score - w.log_score) < 1e-6 * max(1, abs(w.log_score))
+
+
 def test_html_blocks(spark):
     page = "<html><body><nav><a href=x>menu</a></nav><div class='ad'>buy</div><article><h1>Title &amp; more</h1><p>One <b>two</b>\n three.<p>Four.</article><div id=comments>c</div><footer>f</footer>"
     assert html.main_text(page) == "Title & more\nOne two three.\nFour."
