@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from regiolith.llm import jaccard, packing, rules, secrets, toxicity
 from regiolith.llm.common import checkpointed, table
 
+#: Words of a shingle, and the least Jaccard of near duplicates in percent; op9_jaccard has its own.
+SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -21,7 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, words=SHINGLE_WORDS, percent=SHINGLE_PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -342,3 +342,18 @@ def test_pipeline_stages(spark, labelled):
             want = {c for n, c in brute_components([(r.doc_id, r.text) for r in before.collect()]).values()}
             assert {r.doc_id for r in docs.collect()} == want
     assert docs.count() > 0
+
+
+def test_pipeline_links_five_word_copies(spark):
+    """Copies with a five-word Jaccard from 0.80 to 0.85 count as near duplicates in the pipeline."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    new = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base = new(104)  # 100 shingles of five words
+    longer, shorter, edge, far = base + new(22), base[:86], base + new(25), base + new(26)
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, longer, shorter])]
+    other, third = new(104), new(104)
+    rows += [(10, " ".join(other)), (11, " ".join(other + edge[104:])), (20, " ".join(third)), (21, " ".join(third + far[104:]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert sorted(d.doc_id for d in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()) == [0, 10, 20, 21]
