@@ -14,7 +14,8 @@ and is stored as two vectors.
 
 Texts of one chunk are encoded word by word with the library. A null or empty text has no ids. Decoding gives
 the text back (a character U+2581 in it comes back as a space, as in the library). Repeated rows give repeated
-results; an empty table gives no rows; other columns of the input are ignored.
+results, and so do rows that share a doc_id or have none; an empty table gives no rows; other columns of the input
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import map_rows, table, texts
+from regiolith.llm.common import checkpointed, map_rows, table, texts
 
 SPACE = "▁"
 CHUNK = 16_384
@@ -322,23 +323,23 @@ def cut_chunks(text: str, longest: int, chunk: int) -> list[tuple[int, str, int,
 
 
 def chunk_rows(giants: DataFrame, model_file: str, kind: str, chunk: int) -> DataFrame:
-    """(doc_id, k, text, first, size, total): the chunks of giant documents."""
+    """(row_id, k, text, first, size, total): the chunks of giant documents."""
 
     def task():
         longest = Vocabulary(model_file, kind).longest
 
         def step(block):
-            names = ("doc_id", "k", "text", "first", "size", "total")
+            names = ("row_id", "k", "text", "first", "size", "total")
             out = {n: [] for n in names}
-            for doc_id, text in zip(block["doc_id"], map(normalised, block["text"])):
+            for row_id, text in zip(block["row_id"], map(normalised, block["text"])):
                 for row in cut_chunks(text, longest, chunk):
-                    for n, value in zip(names, (doc_id, *row, len(text))):
+                    for n, value in zip(names, (row_id, *row, len(text))):
                         out[n].append(value)
             return out
 
         return step
 
-    return map_rows(giants, task, "doc_id long, k long, text string, first long, size long, total long", rows=16)
+    return map_rows(giants, task, "row_id long, k long, text string, first long, size long, total long", rows=16)
 
 
 def transfers(chunks: DataFrame, model_file: str, kind: str) -> DataFrame:
@@ -346,7 +347,7 @@ def transfers(chunks: DataFrame, model_file: str, kind: str) -> DataFrame:
         v = Vocabulary(model_file, kind)
 
         def step(block):
-            out = {"doc_id": block["doc_id"], "k": block["k"], "into": [], "out": [], "whole": [], "entries": []}
+            out = {"row_id": block["row_id"], "k": block["k"], "into": [], "out": [], "whole": [], "entries": []}
             for text, first, size, total in zip(block["text"], block["first"], block["size"], block["total"]):
                 c = Chunk(v, text, first, size, total)
                 into, leave, whole = c.matrix()
@@ -357,19 +358,19 @@ def transfers(chunks: DataFrame, model_file: str, kind: str) -> DataFrame:
 
         return step
 
-    return map_rows(chunks, task, "doc_id long, k long, into binary, out binary, whole binary, entries long", rows=64)
+    return map_rows(chunks, task, "row_id long, k long, into binary, out binary, whole binary, entries long", rows=64)
 
 
 def scanned(group: pd.DataFrame) -> pd.DataFrame:
     """The scan of one document; its rows are matrices, most of them two short vectors."""
-    group = group.drop_duplicates("k").sort_values("k")
+    group = group.sort_values("k")
     as_array = lambda data: None if data is None else np.frombuffer(data, "<f8")
     chunks = [
         (as_array(i), as_array(o), None if w is None else as_array(w).reshape(n, -1))
         for i, o, w, n in zip(group["into"], group["out"], group["whole"], group["entries"])
     ]
     found = scan(chunks)
-    return pd.DataFrame({"doc_id": group["doc_id"], "k": group["k"], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
+    return pd.DataFrame({"row_id": group["row_id"], "k": group["k"], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
 
 
 def encode(docs: DataFrame, model_file: str, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
@@ -390,7 +391,7 @@ def encode(docs: DataFrame, model_file: str, kind: str = "bpe", chunk: int = CHU
         words = WordIds(v)
 
         def step(block):
-            out = {"doc_id": block["doc_id"], "k": block["k"], "ids": []}
+            out = {"row_id": block["row_id"], "k": block["k"], "ids": []}
             for text, first, size, total, entry, leave in zip(*(block[n] for n in ("text", "first", "size", "total", "entry", "leave"))):
                 out["ids"].append(Chunk(v, text, first, size, total).ids(entry, leave, words))
             return out
@@ -398,12 +399,15 @@ def encode(docs: DataFrame, model_file: str, kind: str = "bpe", chunk: int = CHU
         return step
 
     one = map_rows(base.where(~is_giant), short, "doc_id long, ids binary")
-    cut = chunk_rows(base.where(is_giant), model_file, kind, chunk)
-    states = transfers(cut, model_file, kind).groupBy("doc_id").applyInPandas(scanned, "doc_id long, k long, entry long, leave long")
-    parts = map_rows(cut.join(states, ["doc_id", "k"]), traced, "doc_id long, k long, ids binary", rows=64)
-    whole = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+    # Rows are told apart by a number of their own, fixed by a checkpoint: ids may be null or repeated.
+    giants = checkpointed(base.where(is_giant).withColumn("row_id", F.monotonically_increasing_id()))
+    cut = chunk_rows(giants.select("row_id", "text"), model_file, kind, chunk)
+    states = transfers(cut, model_file, kind).groupBy("row_id").applyInPandas(scanned, "row_id long, k long, entry long, leave long")
+    parts = map_rows(cut.join(states, ["row_id", "k"]), traced, "row_id long, k long, ids binary", rows=64)
+    whole = parts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, p: F.concat(done, p["ids"]))
-    return one.unionByName(whole.select("doc_id", joined.alias("ids")))
+    long = whole.select("row_id", joined.alias("ids")).join(giants.select("row_id", "doc_id"), "row_id")
+    return one.unionByName(long.select("doc_id", "ids"))
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:

@@ -198,6 +198,20 @@ def test_pieces_equal_the_library(spark, edges, empty):
         assert np.frombuffer(b"".join(c.ids(a, b, words) for c, (a, b) in zip(chunks, states)), "<u4").tolist() == library.encode(t)
 
 
+def test_giant_rows_without_an_own_id(spark):
+    """Giant texts with a null or a repeated id, equal or not, are one row each."""
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    one, two, three = prose(11, 900), prose(12, 700), prose(13, 800)
+    rows = [(None, one), (None, two), (None, two), (1, one), (1, one), (2, two), (2, three), (2, "short"), (None, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in pieces.encode(docs, path, chunk=1024).collect()]
+    assert sorted(got, key=str) == sorted([(i, library.encode(t)) for i, t in rows], key=str)
+
+
 def test_unigram_scan_is_the_best_path():
     import public_tokenizers
 
