@@ -32,8 +32,12 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "novel")
 
 #: Words that make their surroundings sensitive.
-SENSITIVE = re.compile(r"(?ai)credential|private.?key|access.?key|bearer|authorization|passphrase|passcode|signature|client.?id|\bpwd\b|\bpin\b|\bauth\b|\blogin\b|\bkey\b")
-CANDIDATE = re.compile(r"(?a)[A-Za-z0-9+/_=-]{16,}")
+SENSITIVE = re.compile(
+    r"(?ai)password|passwd|secret|token|api.?key|credential|private.?key|access.?key|bearer|authorization|passphrase|passcode|signature|client.?id"
+    r"|(?<![a-z0-9])(?:pwd|pin|auth|login|key)(?![a-z0-9])"
+)
+CANDIDATE_LENGTH = 16
+CANDIDATE = re.compile(r"(?a)[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_LENGTH)
 #: Characters before and after a sensitive word in which candidates count.
 NEAR = 120
 #: Characters around a candidate that prime the compressor, besides the dictionary.
@@ -80,19 +84,38 @@ class Novelty:
         return 8.0 * (more - len(self.compressor.compress(around))) / (end - start)
 
     def spans(self, text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        found, seen = [], set()
-        for word in SENSITIVE.finditer(text):
-            low, high = word.start() - NEAR, word.end() + NEAR
-            at = max(0, low)
-            while (m := CANDIDATE.search(text, at)) and m.start() <= high:
-                at, span = m.end(), m.span()
-                value = m[0]
-                kinds = bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search("[0-9]", value))
-                if span in seen or kinds < 2 or any(a < span[1] and span[0] < b for a, _, b in taken):
+        """Novel runs near a sensitive word, each whole but for what the taken spans cover."""
+        near = [(m.start() - NEAR, m.end() + NEAR) for m in SENSITIVE.finditer(text)]
+        if not near:
+            return []
+        found, word, at = [], 0, 0
+        covered: list[list[int]] = []
+        for a, _, b in taken:
+            if covered and a <= covered[-1][1]:
+                covered[-1][1] = max(covered[-1][1], b)
+            else:
+                covered.append([a, b])
+        for run in CANDIDATE.finditer(text):
+            start, end = run.span()
+            while word < len(near) and near[word][1] < start:
+                word += 1
+            if word == len(near):
+                break
+            if near[word][0] >= end:
+                continue
+            while at < len(covered) and covered[at][1] <= start:
+                at += 1
+            k, pieces = at, []
+            while k < len(covered) and covered[k][0] < end:
+                pieces.append((start, covered[k][0]))
+                start, k = covered[k][1], k + 1
+            for a, b in [*pieces, (start, end)]:
+                if b - a < CANDIDATE_LENGTH:
                     continue
-                seen.add(span)
-                if self.bits(text, *span) >= NOVEL_BITS:
-                    found.append((span[0], 3, span[1]))
+                value = text[a:b]
+                kinds = bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search("[0-9]", value))
+                if kinds >= 2 and self.bits(text, a, b) >= NOVEL_BITS:
+                    found.append((a, 3, b))
         return found
 
 

@@ -176,6 +176,24 @@ def test_secret_spans(spark, edges, empty):
     assert secrets.find_secrets(empty).count() == secrets.redact(empty).count() == 0
 
 
+def test_novel_secrets_beside_the_base_words():
+    value = "tGz9Kd0LmQ2xVw7Rb4Nc8Yp1Hs5Jf3Ue6Ao2Iq9Z"
+    novel = secrets.Novelty()
+    for before in ('secret_key = "', "api_key => '", "the password is ", "token | ", "signing_key: ", "db_pwd, "):
+        text = f"{before}{value} end"
+        base = secrets.pattern_spans(text)
+        assert base == [] and secrets.joined(novel.spans(text, base)) == f"novel:{len(before)}:{len(before) + 40}"
+    for gap in (90, 100, 110, 119):  # the window's edge falls into the run
+        text = value + " " * gap + "bearer"
+        assert secrets.joined(novel.spans(text, [])) == "novel:0:40"
+    text = "bearer " + value + "0a" * 12  # what a pattern leaves of a run
+    base = secrets.pattern_spans(text)
+    assert secrets.joined(sorted(base + novel.spans(text, base))) == "novel:7:47,hex:47:71"
+    text = "my_secret=" + value
+    base = secrets.pattern_spans(text)
+    assert secrets.joined(base + novel.spans(text, base)) == "assign:3:50"
+
+
 def test_pieces_equal_the_library(spark, edges, empty):
     import public_tokenizers
     import sentencepiece
