@@ -263,6 +263,19 @@ def test_toxicity(spark, labelled, edges, empty):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(edges, none).collect()} == {0.5}
 
 
+def test_long_obfuscations(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, 300)
+    restorer = toxicity.Restorer(model.grams)
+    read = lambda text: toxicity.restored_words(text, restorer, {})
+    assert {"you", "grimp"} <= read("y o u g r i m p") and {"you", "grimp"} <= read("y o u  g r i m p")
+    passage = "river stone and cloud you grimp winter paper garden zorbling market signal copper"
+    for gap in (" ", "  "):
+        assert {"grimp", "zorbling"} <= read(gap.join(" ".join(w) for w in passage.split()))
+    assert "grimp" in read("gri" + "m" * 60 + "p") and "zorbling" in read("z0" + "r" * 30 + "b" * 40 + "l1ng")
+    assert restorer.restore("x1" * 20_000) and restorer.restore_run(" ".join("grimp" * 4_000))
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
