@@ -1,16 +1,19 @@
 """Stupid-backoff scores of documents under a bigram model of the whole corpus.
 
 The score of a word is c(before word) / c(before) if the pair occurs MIN_COUNT times or more, else ALPHA times
-c(word) / N; a document's score is the sum of the logarithms. Words are in lower case (A-Z) and separated by
-white space. All counts are exact. The most frequent words, VOCABULARY at most, have ids by rank and their counts
-are sent to all tasks; any other word is rare and goes by its hash, which is negative.
-
-Pairs of the FREQUENT most frequent words are counted densely and sent along too: any other pair is rarer than
-the least of these words, so no key of the shuffle holds many rows. All other pairs are exploded to
-(doc_id, key, side, times) and dealt by key. The key of two known words is the pair. A pair with a rare word is
-dealt by the rare word, with the other word as its side, so that one partition has all rows of the pair and all
-occurrences of the rare word, and counts both; a pair of two rare words is dealt by either one. The rows are then
-summed by document.
+c(word) / N; a document's score is the sum of the logarithms. A pair seen once in a corpus that holds the document
+is the document's own evidence, so MIN_COUNT is 2. Words are in lower case (A-Z), separated by white space, and
+known by 63-bit hashes. All counts are exact:
+
+1. one pass counts all words, and densely the pairs of a few FREQUENT words found on a bounded sample, which alone
+   could be hot keys; another choice of frequent words changes the work and no count;
+2. the VOCABULARY most frequent words have ids by rank, and their counts and the dense counts are sent to all
+   tasks (both of a bounded size); any other word is rare and goes by its hash, which is negative;
+3. the other pairs of known words are exploded to (doc_id, pair, times) and dealt by a hash of the pair. The count
+   table of pairs is made there, gets the gain of each known pair over backing off, and is joined back to the rows;
+4. a pair with a rare word is dealt by the rare word, so that one partition has all rows of the pair and all
+   occurrences of the rare word, and counts both;
+5. gains, and what needs no count from elsewhere, are summed by document.
 
 A null or empty text has 0 words and score 0. Rows that share a doc_id (or have none) are summed together. An
 empty table gives no rows. Other columns of the input are ignored.
@@ -21,221 +24,246 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import xxhash
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import map_rows, table, texts
-from regiolith.llm.shingles import MEMO, WordHashes, hashed, lower_words
+from regiolith.llm.common import map_rows, sampled_texts, table, texts
+from regiolith.llm.shingles import MULTIPLIER, Lookup, WordHashes, counted
 
 ALPHA = 0.4
 MIN_COUNT = 2
-VOCABULARY = 131_072
-FREQUENT = 512
+VOCABULARY = 524_288
+FREQUENT = 2_048
+#: Documents on which the frequent words are found.
+SAMPLE_ROWS = 4_000
 ROWS = 2_048
 #: Set in every word hash, so that hashes are negative as signed longs and ids are not.
-TOP = 1 << 63
-#: What the side of a row says of its key: two known words, the second word, the first word, the start of a document.
-PAIR, SECOND, FIRST, START = range(4)
-#: Keys of the rows with the scores of documents are from here on.
-OWN = 1 << 62
+TOP = np.uint64(1 << 63)
+#: What the side of a row says of its rare word: the second word of a pair, the first, or the start of a document.
+SECOND, FIRST, START = 1, 2, 3
+
 
+class Model:
+    """Counts by id, ids of word hashes, and counts of the pairs of frequent words."""
 
-class Unigrams:
-    """Counts by id, and ids of word hashes."""
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, frequent: np.ndarray, dense: np.ndarray):
+        """hashes and counts: signed hashes and counts of the vocabulary, most frequent first; frequent: ids."""
+        self.hashes, self.counts, self.total, self.frequent, self.dense = hashes, counts, max(total, 1), frequent, dense
 
-    def __init__(self, rows: list[tuple[int, int]], total: int):
-        """rows: (word hash as a signed long, count), most frequent first."""
-        h = np.array([r[0] for r in rows], dtype=np.int64)
-        by_hash = np.argsort(h)
-        self.hashes, self.ids = h[by_hash], by_hash.astype(np.int64)
-        self.counts = np.array([r[1] for r in rows], dtype=np.int64)
-        self.total = total
 
-    def id_of(self, h: int) -> int:
-        """The id of a known word, or the hash of a rare one as a negative number."""
-        signed = (h | TOP) - 2 * TOP
-        at = int(np.searchsorted(self.hashes, np.int64(signed)))
-        return int(self.ids[at]) if at < len(self.hashes) and self.hashes[at] == signed else signed
+class WordNumbers:
+    """Ids of the words of a text, or their hashes as negative numbers if they are rare."""
 
+    def __init__(self, model: Model):
+        self.hashes, self.known = WordHashes(), Lookup(model.hashes.view(np.uint64))
+        self.places = np.full(len(model.counts) + 1, -1, np.int32)  # the last is that of rare words
+        self.places[model.frequent] = np.arange(len(model.frequent))
 
-class WordNumbers(dict):
-    """Word as bytes -> its id, or its hash if it is rare."""
+    def __call__(self, text: str) -> np.ndarray:
+        h = self.hashes(text) | TOP
+        ids = self.known(h).astype(np.int64)
+        return np.where(ids < 0, h.view(np.int64), ids)
 
-    def __init__(self, model: Unigrams):
-        self.model = model
+    def dense_places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words among the frequent ones, and whether a word and the next one both have one."""
+        place = self.places[np.maximum(ids, -1)]
+        return place, (place[:-1] >= 0) & (place[1:] >= 0)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        value = self.model.id_of(xxhash.xxh64_intdigest(word))
-        if len(word) <= 64:
-            self[word] = value
-        return value
 
-    def of_text(self, text: str) -> np.ndarray:
-        words = lower_words(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def frequent_words(docs: DataFrame, frequent: int, rows: int = SAMPLE_ROWS) -> np.ndarray:
+    """Signed hashes of the most frequent words of a bounded sample."""
+    if not frequent:
+        return np.zeros(0, np.int64)
+    top = count_words(sampled_texts(docs, rows), np.zeros(0, np.int64)).orderBy(F.desc("n"), "key").limit(frequent)
+    return top.select("key").toArrow().column("key").to_numpy()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n): occurrences of each word hash."""
+def count_words(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, n): occurrences of each word, by its hash, and of each pair of frequent words, by their places."""
+    width = len(frequent)
 
     def task():
-        hashes = WordHashes()
+        hashes, places = WordHashes(), Lookup(frequent.view(np.uint64))
 
         def step(block):
-            found = [hashed(lower_words(t), hashes) | np.uint64(TOP) for t in block["text"]]
-            words, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return {"word": words.view(np.int64), "n": n}
+            if not block["text"]:
+                return {"key": [], "n": []}
+            parts = [hashes(t) | TOP for t in block["text"]]
+            words = np.concatenate(parts)
+            place = places(words).astype(np.int64)
+            both = (place[:-1] >= 0) & (place[1:] >= 0)
+            ends = np.cumsum([len(p) for p in parts])  # no pair reaches over the end of a text
+            both[ends[(ends > 0) & (ends < len(words))] - 1] = False
+            pairs = place[:-1][both] * width + place[1:][both]
+            keys, n = zip(*(np.unique(x, return_counts=True) for x in (words.view(np.int64), pairs)))
+            return {"key": np.concatenate(keys), "n": np.concatenate(n)}
 
         return step
 
-    return map_rows(texts(docs), task, "word long, n long", rows=ROWS).groupBy("word").agg(F.sum("n").alias("n"))
+    return map_rows(texts(docs), task, "key long, n long", rows=ROWS).groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def unigrams(docs: DataFrame, vocabulary: int) -> Unigrams:
+def fit(docs: DataFrame, vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> Model:
     """The model of the most frequent words, at most ``vocabulary`` of them.
 
-    Counts fall into steps of a sixteenth of a doubling. Whole steps are taken from the top while they fit, so
-    only the words of the model come to the driver, however many partitions hold the counts."""
-    counted = count_words(docs).withColumn("step", F.floor(16 * F.log2("n"))).cache()
+    Counts fall into steps of a sixteenth of a doubling. Whole steps are taken from the top while they fit, so only
+    the words of the model and frequent * frequent pairs at most come to the driver."""
+    chosen = frequent_words(docs, frequent)
+    found = count_words(docs, chosen).withColumn("step", F.floor(16 * F.log2("n"))).cache()
     try:
-        steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()  # about 1,000 at most
+        words, pairs = found.where("key < 0"), found.where("key >= 0")
+        steps = words.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()  # about 1,000 at most
         total, taken, least = sum(r["n"] for r in steps), 0, None
         for r in sorted(steps, key=lambda r: -r["step"]):
             taken += r["words"]
             if taken > vocabulary:
                 break
             least = r["step"]
-        top = [] if least is None else counted.where(F.col("step") >= least).select("word", "n").collect()
+        top = words.where(F.lit(False) if least is None else F.col("step") >= least).select("key", "n").toArrow()
+        square = pairs.select("key", "n").toArrow()
     finally:
-        counted.unpersist()
-    return Unigrams(sorted(((r["word"], r["n"]) for r in top), key=lambda x: (-x[1], x[0])), int(total))
+        found.unpersist()
+    hashes, counts = (top.column(c).to_numpy() for c in ("key", "n"))
+    order = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[order], counts[order]
+    dense = np.zeros(len(chosen) ** 2, np.int64)
+    dense[square.column("key").to_numpy()] = square.column("n").to_numpy()
+    dense = dense.reshape(len(chosen), len(chosen))
+    ids = Lookup(hashes.view(np.uint64))(chosen.view(np.uint64))
+    known = np.flatnonzero(ids >= 0)  # frequent in the sample, and in the vocabulary too
+    return Model(hashes, counts, int(total), ids[known], np.ascontiguousarray(dense[np.ix_(known, known)]))
 
 
-def frequent_pairs(docs: DataFrame, model: Unigrams, frequent: int) -> np.ndarray:
-    """Counts of pairs of the ids below ``frequent``, as a dense square."""
+def with_side(other: np.ndarray, role: int) -> np.ndarray:
+    """The other word of a pair and the role of the key in the last two bits; the sign stays."""
+    return np.where(other >= 0, other << 2, other & ~np.int64(3)) | role
+
+
+def pairs_of_known(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, pair, times) of each distinct pair of words with ids, at least one of them not frequent, in a document."""
+    width = len(model.counts)
 
     def task():
         numbers = WordNumbers(model)
 
         def step(block):
-            found = []
-            for text in block["text"]:
-                ids = numbers.of_text(text)
+            ids_out, pairs, times = [], [], []
+            for doc_id, text in zip(block["doc_id"], block["text"]):
+                ids = numbers(text)
+                _, both = numbers.dense_places(ids)
                 a, b = ids[:-1], ids[1:]
-                both = (a >= 0) & (a < frequent) & (b >= 0) & (b < frequent)
-                found.append(a[both] * frequent + b[both])
-            counts = np.bincount(np.concatenate(found), minlength=1) if found else np.zeros(1, np.int64)
-            pairs = np.flatnonzero(counts)
-            return {"pair": pairs, "n": counts[pairs]}
+                other = ~both & (a >= 0) & (b >= 0)
+                found = a[other] * width + b[other]
+                at, n = counted(found)
+                ids_out += [doc_id] * len(at)
+                pairs.append(found[at])
+                times.append(n)
+            joined = lambda parts: np.concatenate(parts) if parts else []
+            return {"doc_id": ids_out, "pair": joined(pairs), "times": joined(times)}
 
         return step
 
-    rows = map_rows(texts(docs), task, "pair long, n long", rows=ROWS).groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(frequent * frequent, np.int64)  # at most frequent * frequent rows came
-    for r in rows:
-        out[r["pair"]] = r["n"]
-    return out.reshape(frequent, frequent)
-
-
-def with_side(other: np.ndarray, role: int) -> np.ndarray:
-    """The other word of a pair and the role of the key in the last two bits; the sign stays."""
-    return np.where(other >= 0, other << 2, other & ~np.int64(3)) | role
+    return map_rows(texts(docs), task, "doc_id long, pair long not null, times long not null")
 
 
-def exploded_pairs(docs: DataFrame, model: Unigrams, dense: np.ndarray, alpha: float, min_count: int) -> DataFrame:
-    """(doc_id, key, side, times, words, base): rows for each distinct rarer pair of a document, one for a rare
-    word at its start, and one with its number of words and the score as if no rarer pair were known and every
-    rare word occurred once."""
-    width = len(model.counts)
-    frequent = len(dense)
+def rare_rows(docs: DataFrame, model: Model, alpha: float, min_count: int) -> DataFrame:
+    """(doc_id, word, side, times, words, base): rows for each distinct pair of a document with a rare word, one for a
+    rare word at its start, and one (side 0) with its number of words and the score as if no pair of the other rows
+    and none of pairs_of_known were known and every rare word occurred once."""
 
     def task():
         numbers = WordNumbers(model)
+        logs = np.append(np.log(model.counts.astype(float)), 0.0)  # the last is that of rare words
+        back = math.log(alpha) + logs - math.log(model.total)
         with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.log(model.counts.astype(float))
-            first = np.concatenate([logs, np.zeros(max(0, frequent - width))])[:frequent]
-            known = np.log(dense.astype(float)) - first[:, None]
-        back = math.log(alpha) + np.append(logs, 0.0) - math.log(max(model.total, 1))  # the last is that of rare words
+            gains = np.log(model.dense.astype(float)) - logs[model.frequent][:, None] - back[model.frequent][None, :]
+        gains = np.where(model.dense >= min_count, gains, 0.0).astype(np.float32)
 
         def step(block):
-            ids_out, key_parts, side_parts, times, words, base = [], [], [], [], [], []
+            ids_out, word_parts, side_parts, times, words, base = [], [], [], [], [], []
             for row, (doc_id, text) in enumerate(zip(block["doc_id"], block["text"])):
-                ids = numbers.of_text(text)
-                a, b = ids[:-1], ids[1:]
-                both = (a >= 0) & (a < frequent) & (b >= 0) & (b < frequent)
-                x, y = a[both], b[both]
-                seen = dense[x, y] >= min_count
-                score = float(known[x[seen], y[seen]].sum() + back[y[~seen]].sum() + back[np.maximum(b[~both], -1)].sum())
+                ids = numbers(text)
+                place, both = numbers.dense_places(ids)
+                score = 0.0
                 if len(ids):  # the first word has no word before it
-                    score += float(back[max(ids[0], -1)]) - math.log(alpha)
-                a, b = a[~both], b[~both]
-                plain, second, start = (a >= 0) & (b >= 0), b < 0, ids[:1][ids[:1] < 0]
-                pairs, n = np.unique(a[plain] * width + b[plain], return_counts=True)
-                other = [(b[second], with_side(a[second], SECOND)), (a[a < 0], with_side(b[a < 0], FIRST))]
-                rare, side = (np.concatenate([o[i] for o in other]) for i in (0, 1))
-                order = np.lexsort((side, rare))
-                rare, side = rare[order], side[order]
-                new = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (side[1:] != side[:-1]))) if len(rare) else np.zeros(0, np.int64)
-                m = len(pairs) + len(new) + len(start)
-                own = hash((doc_id, row)) & 0xFFFFFFFF
-                ids_out.extend([doc_id] * (m + 1))
-                key_parts += [pairs, rare[new], start, [OWN + own]]
-                side_parts += [np.full(len(pairs), PAIR, np.int64), side[new], np.full(len(start), START, np.int64), [PAIR]]
-                times += [n, np.diff(np.append(new, len(rare))), np.ones(len(start), np.int64), [0]]
-                words.extend([0] * m + [len(ids)])
-                base.extend([0.0] * m + [score])
-            joined = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else []
-            return {
-                "doc_id": ids_out, "key": joined(key_parts, np.int64), "side": joined(side_parts, np.int64), "times": joined(times, np.int32),
-                "words": words, "base": base,
-            }
+                    score = float(back[np.maximum(ids, -1)].sum() - math.log(alpha) + gains[place[:-1][both], place[1:][both]].sum(dtype=float))
+                a, b = ids[:-1], ids[1:]
+                second, first, start = b < 0, a < 0, ids[:1][ids[:1] < 0]
+                rare = np.concatenate([b[second], a[first]])
+                side = np.concatenate([with_side(a[second], SECOND), with_side(b[first], FIRST)])
+                at, n = counted(rare.view(np.uint64) * MULTIPLIER + side.view(np.uint64))
+                ids_out += [doc_id] * (len(at) + len(start) + 1)
+                word_parts += [rare[at], start, [hash((doc_id, row)) & 0x7FFFFFFF]]  # no rare word, and not one key
+                side_parts += [side[at], np.full(len(start), START, np.int64), [0]]
+                times += [n, np.ones(len(start), np.int64), [0]]
+                words += [0] * (len(at) + len(start)) + [len(ids)]
+                base += [0.0] * (len(at) + len(start)) + [score]
+            joined = lambda parts: np.concatenate(parts).astype(np.int64) if parts else []
+            return {"doc_id": ids_out, "word": joined(word_parts), "side": joined(side_parts), "times": joined(times), "words": words, "base": base}
 
         return step
 
-    return map_rows(texts(docs), task, "doc_id long, key long, side long, times int, words int, base double")
+    return map_rows(texts(docs), task, "doc_id long, word long, side long, times long, words long, base double")
 
 
-def backoff_scores(
-    docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, vocabulary: int = VOCABULARY, frequent: int = FREQUENT
-) -> DataFrame:
-    """(doc_id, n_words, log_score) of every document."""
-    spark = docs.sparkSession
-    model = unigrams(docs, vocabulary)
-    dense = frequent_pairs(docs, model, frequent)
-    rows = exploded_pairs(docs, model, dense, alpha, min_count)
-    width = len(model.counts)
+def known_pairs(rows: DataFrame, model: Model, shift: float, min_count: int, min_docs: int) -> DataFrame:
+    """The count table of pairs: (pair, gain) of each known pair, the gain over backing off."""
+    spark = rows.sparkSession
+    width = max(len(model.counts), 1)
     single = F.broadcast(  # at most vocabulary rows
-        spark.createDataFrame([(i, math.log(c)) for i, c in enumerate(model.counts.tolist())], "id long, log_n double")
+        spark.createDataFrame(pd.DataFrame({"id": np.arange(len(model.counts)), "log_n": np.log(model.counts.astype(float))}), "id long, log_n double")
     )
-    role, rare = F.col("side").bitwiseAND(3), F.col("key") < 0
-    of_key = Window.partitionBy("key").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    counted = rows.withColumn("c", F.sum(F.when(rare & role.isin(SECOND, START), F.col("times"))).over(of_key)).withColumn(
-        "n", F.sum("times").over(Window.partitionBy("key", "side"))
+    counts = rows.groupBy("pair").agg(F.sum("times").alias("n"), F.count("doc_id").alias("docs"))
+    known = counts.where((F.col("n") >= min_count) & (F.col("docs") >= min_docs))
+    first, second = (single.withColumnsRenamed({"id": f"id_{i}", "log_n": f"log_{i}"}) for i in (1, 2))
+    return (
+        known.join(first, F.floor(F.col("pair") / width) == F.col("id_1"))
+        .join(second, F.col("pair") % width == F.col("id_2"))
+        .select("pair", (F.log(F.col("n").cast("double")) - F.col("log_1") - F.col("log_2") - shift).alias("gain"))
     )
-    known = (F.col("key") < OWN) & (role != START) & (F.col("n") >= min_count)
-    other = F.shiftright("side", 2)  # negative, and so without a count, if it is rare
-    first = F.when(~rare, F.floor(F.col("key") / width)).when(role == SECOND, other)
-    second = F.when(~rare, F.col("key") % width).when(role == FIRST, other)
-    gains = (
-        counted.withColumn("first", F.when(known, first))
-        .withColumn("second", F.when(known, second))
-        .join(single.withColumnsRenamed({"id": "first", "log_n": "log_first"}), "first", "left")
-        .join(single.withColumnsRenamed({"id": "second", "log_n": "log_second"}), "second", "left")
+
+
+def rare_gains(rows: DataFrame, model: Model, shift: float, min_count: int) -> DataFrame:
+    """(doc_id, words, gain) of the rows of rare_rows."""
+    spark = rows.sparkSession
+    single = F.broadcast(
+        spark.createDataFrame(pd.DataFrame({"other": np.arange(len(model.counts)), "log_other": np.log(model.counts.astype(float))}), "other long, log_other double")
+    )
+    role = F.col("side").bitwiseAND(3)
+    of_word = Window.partitionBy("word").orderBy("side").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = (
+        rows.withColumn("c", F.sum(F.when(role.isin(SECOND, START), F.col("times"))).over(of_word))
+        .withColumn("n", F.sum("times").over(Window.partitionBy("word", "side")))
+        .withColumn("known", role.isin(SECOND, FIRST) & (F.col("n") >= min_count))
+        .withColumn("other", F.when(F.col("known"), F.shiftright("side", 2)))  # negative, and so without a count, if it is rare
+        .join(single, "other", "left")
     )
-    shift = math.log(alpha) - math.log(max(model.total, 1))
     log_c, zero = F.log(F.col("c").cast("double")), F.lit(0.0)
     # The row of the second word has the gain of a pair of two rare words; that of the first word has its count only.
-    whole = F.log(F.col("n").cast("double")) - F.coalesce("log_first", zero) - F.coalesce("log_second", zero) - shift
-    gain = F.col("times") * (
-        F.when(known & rare & (role == FIRST), F.when(F.col("side") < 0, zero).otherwise(whole) - log_c)
-        .when(known, whole)
-        .when(rare & (role != FIRST), log_c)
+    whole = F.log(F.col("n").cast("double")) - F.coalesce("log_other", zero) - shift
+    gain = F.when(role == FIRST, F.when(F.col("known"), F.when(F.col("other") < 0, zero).otherwise(whole) - log_c)).when(
+        role.isin(SECOND, START), F.when(F.col("known"), whole).otherwise(log_c)
     )
-    return gains.groupBy("doc_id").agg(
-        F.sum(F.col("words").cast("long")).alias("n_words"), F.sum(F.col("base") + F.coalesce(gain, zero)).alias("log_score")
+    return counts.select("doc_id", "words", (F.col("base") + F.coalesce(F.col("times") * gain, zero)).alias("gain"))
+
+
+def backoff_scores(
+    docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT, vocabulary: int = VOCABULARY, frequent: int = FREQUENT, min_docs: int = 0
+) -> DataFrame:
+    """(doc_id, n_words, log_score) of every document.
+
+    ``min_docs``: how many distinct documents with an id must hold a pair of known words for it to count as known;
+    pairs are then not counted densely."""
+    model = fit(docs, vocabulary, 0 if min_docs else frequent)
+    shift = math.log(alpha) - math.log(model.total)
+    rows = pairs_of_known(docs, model).repartition("pair")  # read by the count table and by the join: shuffled once
+    table_of_pairs = known_pairs(rows, model, shift, min_count, min_docs)
+    gains = rows.join(table_of_pairs.hint("shuffle_hash"), "pair").select("doc_id", F.lit(0).cast("long").alias("words"), (F.col("times") * F.col("gain")).alias("gain"))
+    return (
+        gains.unionByName(rare_gains(rare_rows(docs, model, alpha, min_count), model, shift, min_count))
+        .groupBy("doc_id")
+        .agg(F.sum("words").alias("n_words"), F.sum("gain").alias("log_score"))
     )
 
 

@@ -64,10 +64,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="regiolith-checkpoint-"))
+        if named is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="regiolith-checkpoint-")  # one machine: tests and small runs
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
+def sampled_texts(docs: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, text) of the documents with the first ids by a hash. Ids are chosen without their texts."""
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
 def balanced_sample(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` rows of each label 0 and 1, the first by a hash of doc_id: a bounded sample."""
     parts = [
