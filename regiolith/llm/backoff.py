@@ -34,10 +34,10 @@ from regiolith.llm.shingles import MULTIPLIER, Lookup, WordHashes, counted
 ALPHA = 0.4
 MIN_COUNT = 2
 VOCABULARY = 524_288
-FREQUENT = 2_048
+FREQUENT = 1_024
 #: Documents on which the frequent words are found.
 SAMPLE_ROWS = 4_000
-ROWS = 2_048
+ROWS = 1_024
 #: Set in every word hash, so that hashes are negative as signed longs and ids are not.
 TOP = np.uint64(1 << 63)
 #: What the side of a row says of its rare word: the second word of a pair, the first, or the start of a document.
@@ -51,14 +51,21 @@ class Model:
         """hashes and counts: signed hashes and counts of the vocabulary, most frequent first; frequent: ids."""
         self.hashes, self.counts, self.total, self.frequent, self.dense = hashes, counts, max(total, 1), frequent, dense
 
+    def dense_gains(self, shift: float, min_count: int) -> np.ndarray:
+        """Gains over backing off of the pairs of frequent words, 0 of those not known."""
+        logs = np.log(self.counts[self.frequent].astype(float))
+        n = np.maximum(self.dense, 1)
+        return np.where(self.dense >= min_count, np.log(n) - logs[:, None] - logs[None, :] - shift, 0.0).astype(np.float32)
+
 
 class WordNumbers:
     """Ids of the words of a text, or their hashes as negative numbers if they are rare."""
 
-    def __init__(self, model: Model):
-        self.hashes, self.known = WordHashes(), Lookup(model.hashes.view(np.uint64))
-        self.places = np.full(len(model.counts) + 1, -1, np.int32)  # the last is that of rare words
-        self.places[model.frequent] = np.arange(len(model.frequent))
+    def __init__(self, known: np.ndarray, frequent: np.ndarray):
+        """known: signed hashes by id; frequent: ids."""
+        self.hashes, self.known = WordHashes(), Lookup(known.view(np.uint64))
+        self.places = np.full(len(known) + 1, -1, np.int32)  # the last is that of rare words
+        self.places[frequent] = np.arange(len(frequent))
 
     def __call__(self, text: str) -> np.ndarray:
         h = self.hashes(text) | TOP
@@ -142,10 +149,10 @@ def with_side(other: np.ndarray, role: int) -> np.ndarray:
 
 def pairs_of_known(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, pair, times) of each distinct pair of words with ids, at least one of them not frequent, in a document."""
-    width = len(model.counts)
+    width, known, frequent = len(model.counts), model.hashes, model.frequent
 
     def task():
-        numbers = WordNumbers(model)
+        numbers = WordNumbers(known, frequent)
 
         def step(block):
             ids_out, pairs, times = [], [], []
@@ -172,13 +179,13 @@ def rare_rows(docs: DataFrame, model: Model, alpha: float, min_count: int) -> Da
     rare word at its start, and one (side 0) with its number of words and the score as if no pair of the other rows
     and none of pairs_of_known were known and every rare word occurred once."""
 
+    known, frequent, log_alpha = model.hashes, model.frequent, math.log(alpha)
+    shift = log_alpha - math.log(model.total)
+    gains = model.dense_gains(shift, min_count)
+    back = np.append(np.log(model.counts.astype(float)), 0.0) + shift  # the last is that of rare words
+
     def task():
-        numbers = WordNumbers(model)
-        logs = np.append(np.log(model.counts.astype(float)), 0.0)  # the last is that of rare words
-        back = math.log(alpha) + logs - math.log(model.total)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gains = np.log(model.dense.astype(float)) - logs[model.frequent][:, None] - back[model.frequent][None, :]
-        gains = np.where(model.dense >= min_count, gains, 0.0).astype(np.float32)
+        numbers = WordNumbers(known, frequent)
 
         def step(block):
             ids_out, word_parts, side_parts, times, words, base = [], [], [], [], [], []
@@ -187,7 +194,7 @@ def rare_rows(docs: DataFrame, model: Model, alpha: float, min_count: int) -> Da
                 place, both = numbers.dense_places(ids)
                 score = 0.0
                 if len(ids):  # the first word has no word before it
-                    score = float(back[np.maximum(ids, -1)].sum() - math.log(alpha) + gains[place[:-1][both], place[1:][both]].sum(dtype=float))
+                    score = float(back[np.maximum(ids, -1)].sum() - log_alpha + gains[place[:-1][both], place[1:][both]].sum(dtype=float))
                 a, b = ids[:-1], ids[1:]
                 second, first, start = b < 0, a < 0, ids[:1][ids[:1] < 0]
                 rare = np.concatenate([b[second], a[first]])

@@ -1,27 +1,31 @@
 """Exact similarity join of documents on word shingles, with set relations to skip work.
 
-Documents become sets of 4-word shingles. Equal sets form a class, of which one set stays. Then
+Documents become sets of 4-word shingles. Equal sets form a class with a number of its own, and one set of each
+class stays. Then
 
-1. hubs: sets that share one of a few least hashes are compared with the least set of that group; the ones
+1. hubs: sets that share one of a few least hashes are compared with the least class of that group; the ones
    similar enough are satellites of their hub at a known distance, and hub and satellites are one component;
 2. prefixes: under one global order of shingles (frequent ones last) two similar sets share a shingle of their
-   prefixes. Index lists are keyed by shingle; a list is entered once for each hub, with the least and largest
-   size and position of the hub's satellites in it, so that sizes and positions skip whole blocks of sets, and
-   lists within one component are skipped altogether;
+   prefixes. Index lists are keyed by shingle and cut into blocks by size; a list is entered once for each hub. The
+   position of the shingle in a set bounds the sizes of the sets that it can still be similar to, so an entry is
+   joined with the blocks between its bounds and skips all others: the later the position, the fewer the blocks.
+   Lists within one component are skipped altogether;
 3. answers: Jaccard distance is a metric, so the distance of two hubs, less their radii, bounds the distance of
    all pairs of their satellites. Only hub pairs are compared; satellites are compared only where the bound
    leaves a link open and the two are not yet connected.
 
 No candidate is capped or dropped: bounds are exact (sizes, positions, parities of hashed bits, the triangle
-inequality), and every link is decided on whole sets.
+inequality), and every link is decided on whole sets. Classes that stand in many pairs are dealt out in parts.
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Repeated rows get the
-same component. A row without doc_id is returned with a null component and takes no part. An empty table gives
-no rows. ``one_of_each`` keeps all columns of its input.
+same component; rows that share a doc_id and differ in text are rows of their own. A row without doc_id is returned
+with a null component and takes no part. An empty table gives no rows. ``one_of_each`` keeps all columns of its input.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +43,8 @@ FREQUENT = 2_000_000
 FREQUENT_FROM = 8
 #: Ids up to which a set of wanted documents is broadcast, after they were counted.
 BROADCAST_IDS = 500_000
+#: Pairs of one class that go to one task.
+SHARE = 256
 LEAST_BITS = 256
 EPSILON = 1e-9
 # Odd multipliers, one for each choice of least hash.
@@ -92,6 +98,12 @@ def signed(s: np.ndarray) -> list[int]:
     return s.view(np.int64).tolist()
 
 
+def identity(s: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set, as two signed longs."""
+    key = xxhash.xxh128_digest(s.tobytes())
+    return int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)
+
+
 def set_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, k1, k2, leasts, bits, coarse, prefix): size, identity, least hashes, parities and prefix of each set."""
 
@@ -103,11 +115,11 @@ def set_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
             out = {k: [] for k in names}
             for doc_id, text in zip(block["doc_id"], block["text"]):
                 s = shingle_set(text, words, hashes)
-                key = xxhash.xxh128_digest(s.tobytes())
+                k1, k2 = identity(s)
                 out["doc_id"].append(doc_id)
                 out["n"].append(len(s))
-                out["k1"].append(int.from_bytes(key[:8], "little", signed=True))
-                out["k2"].append(int.from_bytes(key[8:], "little", signed=True))
+                out["k1"].append(k1)
+                out["k2"].append(k2)
                 out["leasts"].append([int((s * c).min().astype(np.int64)) for c in CHOICES] if len(s) else [])
                 out["bits"].append(bits := parity_bits(s))
                 out["coarse"].append(coarse_parities(bits))
@@ -121,28 +133,39 @@ def set_table(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Da
     )
 
 
-def ordered_prefixes(docs: DataFrame, frequent: np.ndarray, often: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, prefix) with the frequent shingles (sorted by hash, with their counts) last, rarest first."""
+def of_classes(docs: DataFrame, wanted: DataFrame, wanted_rows: int, twice: bool) -> DataFrame:
+    """(rep, k1, k2, text): the texts of the least doc_id of each wanted class (rep, doc_id, k1, k2). Rows that only share
+    the doc_id come along; their sets tell them apart. ``twice``: one of such rows may occur twice."""
+    rows = texts(docs).join(sized(wanted, wanted_rows), "doc_id").select("rep", "k1", "k2", "text")
+    return rows.dropDuplicates(["rep", "text"]) if twice else rows
+
+
+def ordered_prefixes(chosen: DataFrame, frequent: np.ndarray, often: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(rep, n, prefix) of rows of ``of_classes``, with the frequent shingles (sorted by hash, with their counts) last,
+    rarest first."""
 
     def task():
         hashes = WordHashes()
 
         def step(block):
-            out = {"doc_id": block["doc_id"], "n": [], "prefix": []}
-            for text in block["text"]:
+            out = {"rep": [], "n": [], "prefix": []}
+            for rep, k1, k2, text in zip(*(block[c] for c in ("rep", "k1", "k2", "text"))):
                 s = shingle_set(text, words, hashes)
-                if len(s) and len(frequent):
+                if not len(s) or identity(s) != (k1, k2):
+                    continue
+                if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     last = frequent[at] == s
                     by_count = np.lexsort((s[last], often[at[last]]))
                     s = np.concatenate([s[~last], s[last][by_count]])
+                out["rep"].append(rep)
                 out["n"].append(len(s))
-                out["prefix"].append(signed(s[: prefix_length(len(s), percent)]) if len(s) else [])
+                out["prefix"].append(signed(s[: prefix_length(len(s), percent)]))
             return out
 
         return step
 
-    return map_rows(texts(docs), task, "doc_id long, n long, prefix array<long>")
+    return map_rows(chosen, task, "rep long, n long, prefix array<long>")
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -150,35 +173,56 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
-def set_arrays(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, s) of the wanted documents."""
+def set_arrays(chosen: DataFrame, words: int) -> DataFrame:
+    """(rep, s) of rows of ``of_classes``."""
 
     def task():
         hashes = WordHashes()
 
         def step(block):
-            return {"doc_id": block["doc_id"], "s": [signed(shingle_set(t, words, hashes)) for t in block["text"]]}
+            out = {"rep": [], "s": []}
+            for rep, k1, k2, text in zip(*(block[c] for c in ("rep", "k1", "k2", "text"))):
+                s = shingle_set(text, words, hashes)
+                if identity(s) == (k1, k2):
+                    out["rep"].append(rep)
+                    out["s"].append(signed(s))
+            return out
 
         return step
 
-    wanted = checkpointed(ids.distinct())
-    chosen = texts(docs).join(sized(wanted, wanted.count()), "doc_id", "left_semi")
-    return map_rows(chosen, task, "doc_id long, s array<long>")
+    return map_rows(chosen, task, "rep long, s array<long>")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, slack: Column, percent: int) -> DataFrame:
-    """Pairs (a, b, ...) whose parities leave a distance within the slack open.
+def with_side(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
+    """Pairs joined with the rows (rep, ...) of one side, whose columns get the side's name as a prefix.
 
-    ``sets`` has (rep, n, bits); ``slack`` is a column of the pairs: what the threshold is widened by."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    joined = pairs.withColumn("slack", slack).select("a", "b", "slack").join(left, "a").join(right, "b")
+    A class in more than SHARE pairs is dealt out in parts of about so many, each with its own copy of the row, so
+    that no task gets all its pairs. Such classes are fewer than a SHARE-th of the pairs."""
+    hot = checkpointed(pairs.groupBy(side).count().where(F.col("count") > SHARE).select(F.col(side).alias("rep"), F.ceil(F.col("count") / SHARE).alias("parts")))
+    n = hot.count()
+    columns = [c for c in rows.columns if c != "rep"]
+    other = [c for c in pairs.columns if c != side]
+    if not n:
+        return pairs.join(rows.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+    parts = F.coalesce("parts", F.lit(1))
+    left = pairs.join(sized(hot.withColumnRenamed("rep", side), n), side, "left").withColumn("part", F.pmod(F.xxhash64(*other), parts)).drop("parts")
+    right = rows.join(sized(hot, n), "rep", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    right = right.select(F.col("rep").alias(side), "part", *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    return left.join(right, [side, "part"]).drop("part")
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, slack) whose parities leave a distance within the slack open: what the threshold is widened by.
+
+    ``sets`` has (rep, n, bits)."""
+    rows = sets.select("rep", "n", "bits")
+    joined = with_side(with_side(pairs.select("a", "b", "slack"), rows, "a"), rows, "b")
     limit = 1 - percent / 100
 
     def task():
         def step(block):
             out = {"a": [], "b": []}
-            for a, b, na, nb, x, y, slack in zip(*(block[k] for k in ("a", "b", "na", "nb", "bits_a", "bits_b", "slack"))):
+            for a, b, na, nb, x, y, slack in zip(*(block[k] for k in ("a", "b", "a_n", "b_n", "a_bits", "b_bits", "slack"))):
                 least = max(least_difference(x, y), abs(na - nb))
                 most_shared = (na + nb - least) / 2
                 if 1 - most_shared / (na + nb - most_shared) <= limit + slack + EPSILON:
@@ -191,43 +235,71 @@ def possible(pairs: DataFrame, sets: DataFrame, slack: Column, percent: int) ->
     return map_rows(joined, task, "a long, b long", rows=4096)
 
 
-def distances(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked, distance) of pairs of documents, decided on their whole sets."""
-    pairs = checkpointed(pairs)
-    sets = checkpointed(set_arrays(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), words))
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "s": "sb"}), "b")
-    counted = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    union = F.col("total") - F.col("shared")
-    return counted.select("a", "b", (100 * F.col("shared") >= percent * union).alias("linked"), (1 - F.col("shared") / union).alias("distance"))
+class Corpus:
+    """The documents and their classes (rep, doc_id, k1, k2, n, bits, ...), for comparing whole sets."""
 
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int):
+        self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
+        self.twice = bool(classes.where("same > 1").limit(1).count())
 
-def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the least doc_id that its links reach."""
+    def texts_of(self, wanted: DataFrame, rows: int) -> DataFrame:
+        return of_classes(self.docs, wanted.select("rep", "doc_id", "k1", "k2"), rows, self.twice)
+
+    def distances(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, linked, distance) of distinct pairs of classes (a, b, slack), decided on their whole sets."""
+        pairs = checkpointed(possible(checkpointed(pairs), self.classes, self.percent))
+        ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+        wanted = checkpointed(self.classes.join(ids, "rep", "left_semi").select("rep", "doc_id", "k1", "k2"))
+        sets = checkpointed(set_arrays(self.texts_of(wanted, wanted.count()), self.words))
+        both = with_side(with_side(pairs, sets, "a"), sets, "b")
+        shared = both.select("a", "b", (F.size("a_s") + F.size("b_s")).alias("total"), F.size(F.array_intersect("a_s", "b_s")).alias("shared"))
+        union = F.col("total") - F.col("shared")
+        return shared.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("linked"), (1 - F.col("shared") / union).alias("distance"))
+
+
+def size_block(n: Column, percent: int) -> Column:
+    """Number of the block of a size; the sizes of a block differ by the threshold's ratio at most."""
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / -math.log(percent / 100)).cast("long")
+
+
+def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, k1, k2, root, component_id) of every row: its set's size and identity, the class that names its
+    component, and the least doc_id of that; the last two are null for an empty set or without doc_id."""
     limit = 1 - percent / 100
-    spark = docs.sparkSession
     rows = checkpointed(set_table(docs, words, percent))
     usable = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    first = {c: F.first(c).alias(c) for c in ("n", "leasts", "bits", "coarse")}
+    by_id = usable.groupBy("k1", "k2", "doc_id").agg(F.count(F.lit(1)).alias("same"), *first.values())
     classes = checkpointed(
-        usable.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("leasts").alias("leasts"), F.first("bits").alias("bits"), F.first("coarse").alias("coarse")
-        )
+        by_id.groupBy("k1", "k2")
+        .agg(F.min(F.struct("doc_id", "same")).alias("x"), *first.values())
+        .select(F.monotonically_increasing_id().alias("rep"), "x.doc_id", "x.same", "k1", "k2", *first)
     )
+    corpus = Corpus(docs, classes, words, percent)
     coarse = [F.get("coarse", F.lit(i)).alias(c) for i, c in enumerate(COARSE)]
 
     # 1. hubs
     chosen = classes.select("rep", "n", F.posexplode("leasts").alias("choice", "least"))
-    groups = chosen.groupBy("choice", "least").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    near = chosen.join(groups, ["choice", "least"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    hub_links = checkpointed(distances(possible(near, classes, F.lit(0.0), percent), docs, words, percent).where("linked").distinct())
-    first = components(hub_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    own_hub = hub_links.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("hub"), F.col("distance").alias("r"))).alias("x"))
+    groups = checkpointed(chosen.groupBy("choice", "least").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    large = checkpointed(groups.where(F.col("sets") > SHARE))  # fewer than a SHARE-th of the sets and choices
+    many = large.count()
+    near = chosen.join(groups.where(F.col("sets") <= SHARE), ["choice", "least"])
+    if many:
+        near = near.unionByName(chosen.join(sized(large, many), ["choice", "least"]))
+    near = near.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"), F.lit(0.0).alias("slack")).distinct()
+    hub_links = checkpointed(corpus.distances(near).where("linked"))
+    own_hub = checkpointed(hub_links.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("hub"), F.col("distance").alias("r"))).alias("x")).select("rep", "x.hub", "x.r"))
+    # A set goes with its own hub, so only links of hubs, and of own hubs with other hubs, are left to contract.
+    hub_ids = hub_links.select(F.col("b").alias("rep")).distinct()
+    of_hubs = hub_links.join(hub_ids.withColumnRenamed("rep", "a"), "a", "left_semi").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    between = hub_links.join(own_hub.select(F.col("rep").alias("a"), F.col("hub").alias("u")), "a").select("u", F.col("b").alias("v"))
+    contracted = components(of_hubs.unionByName(between).where("u <> v").distinct())
     placed = checkpointed(
         classes.select("rep", "n", *coarse)
-        .join(own_hub.select("rep", "x.hub", "x.r"), "rep", "left")
-        .join(first.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left")
-        .select(
-            "rep", "n", *COARSE, F.coalesce("hub", "rep").alias("hub"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("comp", "rep").alias("comp")
-        )
+        .join(own_hub, "rep", "left")
+        .withColumn("hub", F.coalesce("hub", "rep"))
+        .join(contracted.withColumnsRenamed({"node": "hub", "component": "comp"}), "hub", "left")
+        .select("rep", "n", *COARSE, "hub", F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("comp", "hub").alias("comp"))
     )
 
     # 2. prefixes, frequent shingles last
@@ -238,10 +310,10 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     frequent = top.column("shingle").to_numpy().view(np.uint64)
     by_hash = np.argsort(frequent)
     frequent, often = frequent[by_hash], top.column("count").to_numpy()[by_hash]
-    prefixes = ordered_prefixes(docs, frequent, often, words, percent)
+    prefixes = ordered_prefixes(corpus.texts_of(classes, classes.count()), frequent, often, words, percent)
     entries = (
-        prefixes.join(placed.select(F.col("rep").alias("doc_id"), "hub", "r", "comp"), "doc_id")
-        .select("hub", "comp", "r", "n", F.posexplode("prefix").alias("at", "shingle"))
+        prefixes.join(placed.select("rep", "hub", "comp"), "rep")
+        .select("hub", "comp", "n", F.posexplode("prefix").alias("at", "shingle"))
         .repartition("shingle")
         .groupBy("shingle", "comp", "hub")
         .agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("at")).alias("rest"))
@@ -254,17 +326,23 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     hubs = checkpointed(classes.select(F.col("rep").alias("hub"), "n", *coarse).join(radii, "hub"))
     lists = checkpointed(lists.join(hubs, "hub"))
     x, y = (lists.select([F.col(c).alias(f"{side}_{c}") for c in lists.columns]) for side in "xy")
+    # What an entry at this position can be similar to: sizes from share * n, and up to n / share or what the rest of the set allows.
+    smallest = F.floor(percent * F.col("x_least_n") / 100)
+    largest = F.least(F.ceil(100 * F.col("x_most_n") / percent), F.ceil((100 + percent) * F.col("x_rest") / percent) - F.col("x_least_n"))
+    x = x.where(smallest <= largest).withColumn("block", F.explode(F.sequence(size_block(smallest, percent), size_block(largest, percent))))
+    y = y.withColumn("y_block", F.explode(F.sequence(size_block(F.col("y_least_n"), percent), size_block(F.col("y_most_n"), percent))))
     near_sizes = (100 * F.col("x_most_n") >= percent * F.col("y_least_n")) & (100 * F.col("y_most_n") >= percent * F.col("x_least_n"))
     near_places = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_least_n") + F.col("y_least_n"))
     near_bits = coarse_bound("x_", "y_") <= limit + F.col("x_radius") + F.col("y_radius") + EPSILON
+    same_block = (F.col("x_shingle") == F.col("y_shingle")) & (F.col("block") == F.col("y_block"))
     pairs = (
-        x.join(y, (F.col("x_shingle") == F.col("y_shingle")) & (F.col("x_comp") < F.col("y_comp")) & near_sizes & near_places & near_bits)
-        .select(F.col("x_hub").alias("a"), F.col("y_hub").alias("b"), (F.col("x_radius") + F.col("y_radius")).alias("width"))
+        x.join(y, same_block & (F.col("x_comp") < F.col("y_comp")) & near_sizes & near_places & near_bits)
+        .select(F.col("x_hub").alias("a"), F.col("y_hub").alias("b"), (F.col("x_radius") + F.col("y_radius")).alias("slack"))
         .distinct()
     )
 
     # 3. answers: hubs first, satellites where the bounds leave a link open
-    hub_pairs = checkpointed(distances(possible(pairs, classes, F.col("width"), percent), docs, words, percent).distinct())
+    hub_pairs = checkpointed(corpus.distances(pairs))
     comp_of = placed.select(F.col("rep").alias("node"), "comp")
     second_edges = checkpointed(
         hub_pairs.where("linked")
@@ -292,10 +370,8 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         & (coarse_bound("s_", "h_") <= limit + F.col("b_radius") + EPSILON)
     )
     both_sides = (F.col("b") == F.col("of_b")) & (F.col("distance") - F.col("s_r") - F.col("t_r") <= limit + EPSILON) & (coarse_bound("s_", "t_") <= limit + EPSILON)
-    open_pairs = checkpointed(
-        apart.join(left, one_side).join(right, both_sides).select(F.col("s_rep").alias("a"), F.col("t_rep").alias("b")).distinct()
-    )
-    late = distances(possible(open_pairs, classes, F.lit(0.0), percent), docs, words, percent).where("linked")
+    open_pairs = apart.join(left, one_side).join(right, both_sides).select(F.col("s_rep").alias("a"), F.col("t_rep").alias("b"), F.lit(0.0).alias("slack")).distinct()
+    late = corpus.distances(open_pairs).where("linked")
     comp_now = now.select(F.col("rep").alias("node"), "comp")
     third_edges = (
         late.join(comp_now.withColumnsRenamed({"node": "a", "comp": "u"}), "a")
@@ -304,31 +380,59 @@ def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
         .distinct()
     )
     third = components(third_edges).withColumnsRenamed({"node": "comp", "component": "joined"})
-    final = now.join(third, "comp", "left").select("rep", F.coalesce("joined", "comp").alias("component_id"))
-
-    named = classes.select("k1", "k2", "rep").join(final, "rep").select("k1", "k2", "component_id")
-    linked = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return linked.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"),
+    final = now.join(third, "comp", "left").select("rep", F.coalesce("joined", "comp").alias("root"))
+
+    named = classes.select("rep", "doc_id", "k1", "k2").join(final, "rep")
+    least_ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.select("k1", "k2", "root").join(least_ids, "root")
+    return (
+        rows.select("doc_id", "n", "k1", "k2")
+        .join(named, ["k1", "k2"], "left")
+        .withColumns({c: F.when(F.col("doc_id").isNotNull(), F.col(c)) for c in ("root", "component_id")})
     )
 
 
-def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The document with the least doc_id of each component, and all that have no words or no doc_id.
+def linked_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the least doc_id that its links reach, its own for an empty set."""
+    return linked_rows(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
-    Of rows that repeat a doc_id, one stays."""
-    found = checkpointed(linked_components(docs, words, percent))
-    leave = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    repeated = found.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    leave, repeated = checkpointed(leave), checkpointed(repeated)
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The row with the least doc_id of each component, and all that have no words or no doc_id.
+
+    Of equal rows one stays; of a component's sets that share the least doc_id, one by a hash."""
+    rows = checkpointed(linked_rows(docs, words, percent).select("doc_id", "k1", "k2", "root"))
+    best = checkpointed(rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("best")).select("best.*"))
+    ids = rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("root").alias("root"))
+    repeated = checkpointed(ids.where("rows > 1").select("doc_id"))
+    leave = checkpointed(ids.where("rows = 1 and root is not null").join(best.select("doc_id"), "doc_id", "left_anti").select("doc_id"))
     kept = docs.join(sized(leave, leave.count()), "doc_id", "left_anti").select(docs.columns)
     again = repeated.count()
     if not again:
         return kept
     hint = sized(repeated, again)
-    return kept.join(hint, "doc_id", "left_anti").unionByName(kept.join(hint, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+    mine = kept.join(hint, "doc_id", "left_semi").select(docs.columns)
+    keyed = with_identity(mine, words)
+    empty = keyed.where(F.col("__n") == 0)
+    chosen = keyed.where(F.col("__n") > 0).join(best.select("doc_id", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")), ["doc_id", "__k1", "__k2"], "left_semi")
+    once = empty.unionByName(chosen.dropDuplicates(["doc_id", "__k1", "__k2"])).select(docs.columns)
+    return kept.join(hint, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+
+
+def with_identity(docs: DataFrame, words: int) -> DataFrame:
+    """All columns of the input, and the size and identity of each set as __n, __k1 and __k2."""
+
+    def task():
+        hashes = WordHashes()
+
+        def step(block):
+            sets = [shingle_set(t or "", words, hashes) for t in block["text"]]
+            keys = [identity(s) for s in sets]
+            return block | {"__n": [len(s) for s in sets], "__k1": [k for k, _ in keys], "__k2": [k for _, k in keys]}
+
+        return step
+
+    return map_rows(docs, task, docs.schema.toDDL() + ", __n long, __k1 long, __k2 long")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ gives no rows. Further columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 
@@ -24,7 +25,7 @@ from regiolith.llm.common import checkpointed, map_rows, table, texts
 SEQUENCE = 2048
 END_ID = 1
 #: Distinct chunks that a task keeps with their ids.
-MEMO = 300_000
+MEMO = 150_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -56,7 +57,10 @@ def text_encoder(tokenizer_file: str, ranks_file: str | None):
     """A function of a text that returns its ids as bytes; equal to the tokenizer file's own encoding."""
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokenizer_file)
+    @functools.cache
+    def whole() -> Tokenizer:  # loaded where it is needed only
+        return Tokenizer.from_file(tokenizer_file)
+
     if ranks_file:  # the same vocabulary as ranks, for a faster encoder
         import base64
 
@@ -70,7 +74,7 @@ def text_encoder(tokenizer_file: str, ranks_file: str | None):
         ).encode_ordinary
     else:
         def encode(text: str) -> list[int]:
-            return whole.encode(text, add_special_tokens=False).ids
+            return whole().encode(text, add_special_tokens=False).ids
 
     first, later = ChunkIds(encode, ""), ChunkIds(encode, " ")
 
@@ -78,7 +82,7 @@ def text_encoder(tokenizer_file: str, ranks_file: str | None):
         if not text:
             return b""
         if SPECIAL in text:  # an added token of the vocabulary: left to the tokenizer itself
-            return np.asarray(whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return np.asarray(whole().encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         head, *rest = text.split(" ")
         try:
             return first[head] + b"".join(map(later.__getitem__, rest))

@@ -319,6 +319,10 @@ def test_jaccard_against_all_pairs(spark, edges, empty):
     kept = jaccard.one_of_each(edges)
     assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 7, 9, 10, 11]
     assert jaccard.linked_components(empty).count() == jaccard.one_of_each(empty).count() == 0
+    shared = spark.createDataFrame([(1, prose(1, 40)), (1, prose(2, 40)), (2, prose(2, 40) + " x"), (3, prose(3, 40)), (3, prose(3, 40)), (4, prose(1, 40)), (4, " ")], "doc_id long, text string")
+    by_text = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_components(shared).collect())
+    assert by_text == {(1, 37, 1): 2, (2, 38, 1): 1, (3, 37, 3): 2, (4, 37, 1): 1, (4, 0, 4): 1}
+    assert sorted(tuple(r) for r in jaccard.one_of_each(shared).collect()) == sorted([(1, prose(1, 40)), (1, prose(2, 40)), (3, prose(3, 40)), (4, " ")])
     null = jaccard.linked_components(spark.createDataFrame([(None, "a b c"), (1, "a b c")], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in null} == {(None, None), (1, 1)}
 
