@@ -140,32 +140,31 @@ def of_classes(docs: DataFrame, wanted: DataFrame, wanted_rows: int, twice: bool
     return rows.dropDuplicates(["rep", "text"]) if twice else rows
 
 
-def ordered_prefixes(chosen: DataFrame, frequent: np.ndarray, often: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(rep, n, prefix) of rows of ``of_classes``, with the frequent shingles (sorted by hash, with their counts) last,
-    rarest first."""
+def ordered_prefixes(docs: DataFrame, frequent: np.ndarray, often: np.ndarray, words: int, percent: int) -> DataFrame:
+    """(doc_id, k1, k2, n, prefix) with the frequent shingles (sorted by hash, with their counts) last, rarest first."""
 
     def task():
         hashes = WordHashes()
 
         def step(block):
-            out = {"rep": [], "n": [], "prefix": []}
-            for rep, k1, k2, text in zip(*(block[c] for c in ("rep", "k1", "k2", "text"))):
+            out = {"doc_id": block["doc_id"], "k1": [], "k2": [], "n": [], "prefix": []}
+            for text in block["text"]:
                 s = shingle_set(text, words, hashes)
-                if not len(s) or identity(s) != (k1, k2):
-                    continue
-                if len(frequent):
+                k1, k2 = identity(s)
+                if len(s) and len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     last = frequent[at] == s
                     by_count = np.lexsort((s[last], often[at[last]]))
                     s = np.concatenate([s[~last], s[last][by_count]])
-                out["rep"].append(rep)
+                out["k1"].append(k1)
+                out["k2"].append(k2)
                 out["n"].append(len(s))
-                out["prefix"].append(signed(s[: prefix_length(len(s), percent)]))
+                out["prefix"].append(signed(s[: prefix_length(len(s), percent)]) if len(s) else [])
             return out
 
         return step
 
-    return map_rows(chosen, task, "rep long, n long, prefix array<long>")
+    return map_rows(texts(docs), task, "doc_id long, k1 long, k2 long, n long, prefix array<long>")
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
@@ -193,30 +192,31 @@ def set_arrays(chosen: DataFrame, words: int) -> DataFrame:
     return map_rows(chosen, task, "rep long, s array<long>")
 
 
-def with_side(pairs: DataFrame, rows: DataFrame, side: str) -> DataFrame:
-    """Pairs joined with the rows (rep, ...) of one side, whose columns get the side's name as a prefix.
+def crowded(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(rep, parts) of the classes in more than SHARE of the pairs (a, b), and how many they are: fewer than two SHARE-ths
+    of the pairs. Such a class is dealt out in parts of about SHARE pairs, each with its own copy of the class's row."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").count()
+    hot = checkpointed(ends.where(F.col("count") > SHARE).select("rep", F.ceil(F.col("count") / SHARE).alias("parts")))
+    return hot, hot.count()
+
 
-    A class in more than SHARE pairs is dealt out in parts of about so many, each with its own copy of the row, so
-    that no task gets all its pairs. Such classes are fewer than a SHARE-th of the pairs."""
-    hot = checkpointed(pairs.groupBy(side).count().where(F.col("count") > SHARE).select(F.col(side).alias("rep"), F.ceil(F.col("count") / SHARE).alias("parts")))
-    n = hot.count()
-    columns = [c for c in rows.columns if c != "rep"]
-    other = [c for c in pairs.columns if c != side]
-    if not n:
-        return pairs.join(rows.select(F.col("rep").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+def with_side(pairs: DataFrame, rows: DataFrame, side: str, hot: DataFrame, hot_rows: int) -> DataFrame:
+    """Pairs joined with the rows (rep, ...) of one side, whose columns get the side's name as a prefix."""
+    columns = [F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "rep"]
+    if not hot_rows:
+        return pairs.join(rows.select(F.col("rep").alias(side), *columns), side)
     parts = F.coalesce("parts", F.lit(1))
-    left = pairs.join(sized(hot.withColumnRenamed("rep", side), n), side, "left").withColumn("part", F.pmod(F.xxhash64(*other), parts)).drop("parts")
-    right = rows.join(sized(hot, n), "rep", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    right = right.select(F.col("rep").alias(side), "part", *[F.col(c).alias(f"{side}_{c}") for c in columns])
-    return left.join(right, [side, "part"]).drop("part")
+    left = pairs.join(sized(hot.withColumnRenamed("rep", side), hot_rows), side, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts)).drop("parts")
+    right = rows.join(sized(hot, hot_rows), "rep", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return left.join(right.select(F.col("rep").alias(side), "part", *columns), [side, "part"]).drop("part")
 
 
-def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def possible(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame, hot_rows: int) -> DataFrame:
     """Pairs (a, b, slack) whose parities leave a distance within the slack open: what the threshold is widened by.
 
     ``sets`` has (rep, n, bits)."""
     rows = sets.select("rep", "n", "bits")
-    joined = with_side(with_side(pairs.select("a", "b", "slack"), rows, "a"), rows, "b")
+    joined = with_side(with_side(pairs.select("a", "b", "slack"), rows, "a", hot, hot_rows), rows, "b", hot, hot_rows)
     limit = 1 - percent / 100
 
     def task():
@@ -247,11 +247,13 @@ class Corpus:
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """(a, b, linked, distance) of distinct pairs of classes (a, b, slack), decided on their whole sets."""
-        pairs = checkpointed(possible(checkpointed(pairs), self.classes, self.percent))
+        pairs = checkpointed(pairs)
+        hot = crowded(pairs)
+        pairs = checkpointed(possible(pairs, self.classes, self.percent, *hot))
         ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         wanted = checkpointed(self.classes.join(ids, "rep", "left_semi").select("rep", "doc_id", "k1", "k2"))
         sets = checkpointed(set_arrays(self.texts_of(wanted, wanted.count()), self.words))
-        both = with_side(with_side(pairs, sets, "a"), sets, "b")
+        both = with_side(with_side(pairs, sets, "a", *hot), sets, "b", *hot)
         shared = both.select("a", "b", (F.size("a_s") + F.size("b_s")).alias("total"), F.size(F.array_intersect("a_s", "b_s")).alias("shared"))
         union = F.col("total") - F.col("shared")
         return shared.select("a", "b", (100 * F.col("shared") >= self.percent * union).alias("linked"), (1 - F.col("shared") / union).alias("distance"))
@@ -279,8 +281,10 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     coarse = [F.get("coarse", F.lit(i)).alias(c) for i, c in enumerate(COARSE)]
 
     # 1. hubs
-    chosen = classes.select("rep", "n", F.posexplode("leasts").alias("choice", "least"))
-    groups = checkpointed(chosen.groupBy("choice", "least").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    chosen = classes.select("rep", "doc_id", F.posexplode("leasts").alias("choice", "least"))
+    least_class = F.min(F.struct("doc_id", "rep")).alias("x")
+    groups = chosen.groupBy("choice", "least").agg(least_class, F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    groups = checkpointed(groups.select("choice", "least", F.col("x.rep").alias("hub"), "sets"))
     large = checkpointed(groups.where(F.col("sets") > SHARE))  # fewer than a SHARE-th of the sets and choices
     many = large.count()
     near = chosen.join(groups.where(F.col("sets") <= SHARE), ["choice", "least"])
@@ -295,11 +299,11 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     between = hub_links.join(own_hub.select(F.col("rep").alias("a"), F.col("hub").alias("u")), "a").select("u", F.col("b").alias("v"))
     contracted = components(of_hubs.unionByName(between).where("u <> v").distinct())
     placed = checkpointed(
-        classes.select("rep", "n", *coarse)
+        classes.select("rep", "doc_id", "k1", "k2", "n", *coarse)
         .join(own_hub, "rep", "left")
         .withColumn("hub", F.coalesce("hub", "rep"))
         .join(contracted.withColumnsRenamed({"node": "hub", "component": "comp"}), "hub", "left")
-        .select("rep", "n", *COARSE, "hub", F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("comp", "hub").alias("comp"))
+        .select("rep", "doc_id", "k1", "k2", "n", *COARSE, "hub", F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("comp", "hub").alias("comp"))
     )
 
     # 2. prefixes, frequent shingles last
@@ -310,9 +314,9 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     frequent = top.column("shingle").to_numpy().view(np.uint64)
     by_hash = np.argsort(frequent)
     frequent, often = frequent[by_hash], top.column("count").to_numpy()[by_hash]
-    prefixes = ordered_prefixes(corpus.texts_of(classes, classes.count()), frequent, often, words, percent)
+    prefixes = ordered_prefixes(docs, frequent, often, words, percent)
     entries = (
-        prefixes.join(placed.select("rep", "hub", "comp"), "rep")
+        prefixes.join(placed.select("doc_id", "k1", "k2", "hub", "comp"), ["doc_id", "k1", "k2"])
         .select("hub", "comp", "n", F.posexplode("prefix").alias("at", "shingle"))
         .repartition("shingle")
         .groupBy("shingle", "comp", "hub")
@@ -380,9 +384,7 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         .distinct()
     )
     third = components(third_edges).withColumnsRenamed({"node": "comp", "component": "joined"})
-    final = now.join(third, "comp", "left").select("rep", F.coalesce("joined", "comp").alias("root"))
-
-    named = classes.select("rep", "doc_id", "k1", "k2").join(final, "rep")
+    named = now.join(third, "comp", "left").select("doc_id", "k1", "k2", F.coalesce("joined", "comp").alias("root"))
     least_ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.select("k1", "k2", "root").join(least_ids, "root")
     return (
