@@ -37,6 +37,14 @@ def importances(model: PipelineModel, spark, features: list[str] = FEATURES) ->
     return spark.createDataFrame([(n, float(v) / total) for n, v in zip(features, values)], "feature string, importance double")
 
 
+def debiased(found: DataFrame, scale: list[str], most: int = 20) -> DataFrame:
+    """Importances (feature, importance) without the features of scale, as shares of the rest; the largest of them."""
+    rest = found.where(~F.col("feature").isin(scale))
+    total = rest.agg(F.sum("importance").alias("total__"))
+    shares = rest.crossJoin(F.broadcast(total)).select("feature", F.coalesce(F.try_divide("importance", "total__"), F.lit(0.0)).alias("importance"))
+    return shares.orderBy(F.desc("importance"), "feature").limit(most)
+
+
 def validation(df: DataFrame, target: str, prediction: str, group: str) -> DataFrame:
     """Rows, mean absolute error and R2 of predictions by group."""
     mean = df.groupBy(group).agg(F.avg(target).alias("mean__"))

@@ -165,17 +165,6 @@ def county_growth(spark, sf_dir):
     return rounded(g.withColumn("zone", F.when((F.col("age") < 20) & (F.col("patents") > 100), "emerging").when(F.col("n") > 60, "core").otherwise("steady")))
 
 
-@query(
-    "J8_cluster_scores",
-    """with g as (select cluster_id, count(*) n, sum(revenue_estimate) r, sum(patent_count) p, count(distinct county) c from member group by 1)
-    select cluster_id, round(least(100.0, n * 1.0), 6) size_score, round(least(100.0, r / 1000000.0), 6) revenue_score, round(0.4::double * least(100.0, n * 1.0) + 0.4::double * least(100.0, r / 1000000.0) + 0.2::double * least(100.0, p / 2.0), 6) total from g""",
-)
-def cluster_scores(spark, sf_dir):
-    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("revenue_estimate").alias("r"), F.sum("patent_count").alias("p"))
-    size, revenue, patents = F.least(F.lit(100.0), F.col("n") * 1.0), F.least(F.lit(100.0), F.col("r") / 1e6), F.least(F.lit(100.0), F.col("p") / 2.0)
-    return rounded(g.select("cluster_id", size.alias("size_score"), revenue.alias("revenue_score"), (0.4 * size + 0.4 * revenue + 0.2 * patents).alias("total")))
-
-
 @query("J25_validate_targets", "with g as (select cluster_id, sum(revenue_estimate) * 1.85::double gdp, sum(employees) jobs from member group by 1) select cluster_id, gdp >= 50000000 meets_gdp, jobs >= 5000 meets_jobs, round(gdp / 1000000000.0, 8) contribution from g")
 def validate_targets(spark, sf_dir):
     g = view(spark, sf_dir, "member").groupBy("cluster_id").agg((F.sum("revenue_estimate") * 1.85).alias("gdp"), F.sum("employees").alias("jobs"))
@@ -210,10 +199,3 @@ def workforce_needs(spark, sf_dir):
 def innovation_by_type(spark, sf_dir):
     g = view(spark, sf_dir, "business").groupBy(R.type_of(F.col("naics_code")).alias("type")).agg(F.sum("revenue_estimate").alias("r"), F.sum("sbir_awards").alias("s"))
     return rounded(g.select("type", (F.col("r") * 0.000002).alias("patents"), (F.col("s") * 1.5).alias("awards")))
-
-
-@query("L5_importance_share", "with m as (select cluster_id, count(*) n from member group by 1) select cluster_id, round(n / sum(n) over (), 8) importance from m")
-def importance_share(spark, sf_dir):
-    m = K.metrics(view(spark, sf_dir, "member"), AS_OF)
-    total = m.agg(F.sum("businesses").alias("t"))
-    return rounded(m.crossJoin(F.broadcast(total)).select("cluster_id", (F.col("businesses") / F.col("t")).alias("importance")), 8)
