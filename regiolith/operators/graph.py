@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,20 @@ def materialised(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="regiolith-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; a local one only where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="regiolith-")
+    return named
+
+
 def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, component) of the nodes of edges (u, v); the component is its least node.
 

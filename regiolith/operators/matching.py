@@ -120,16 +120,17 @@ def sequence_ratio_column():
 
 
 def fuzzy_pairs(df: DataFrame, ratio: float) -> DataFrame:
-    """(u, v) of rows (id, county, name) of one county whose names are alike.
+    """(u, v) of rows (id, county, name) of one county whose names are alike, in any case and without outer spaces.
 
-    Names as alike as that share their first letters, or one of their later words; pairs come from these blocks,
-    bounds of their lengths and edit distance, and are then compared."""
-    base = df.where("county is not null and name is not null").select("id", "county", "name", F.lower("name").alias("low"))
+    Pairs come from blocks of names that share their first letters, their last letters, or one of their later words,
+    then from bounds of their lengths and edit distance, and are compared last."""
+    base = df.where("county is not null and name is not null").select("id", "county", F.trim(F.lower("name")).alias("low"))
     later = F.filter(F.split(F.regexp_replace("low", r"[^\p{L}\p{N}]+", " "), " "), lambda w, i: (F.length(w) >= 3) & (i > 0))
-    keys = F.array_distinct(F.concat(later, F.array(F.substring("low", 1, 4))))
+    ends = F.array(F.concat(F.lit("<"), F.substring("low", 1, 4)), F.concat(F.substring("low", -4, 4), F.lit(">")))
+    keys = F.array_distinct(F.concat(later, ends))
     blocks = base.withColumn("block", F.explode(keys))
-    a = blocks.select("county", "block", F.col("id").alias("u"), F.col("name").alias("name_u"))
-    b = blocks.select("county", "block", F.col("id").alias("v"), F.col("name").alias("name_v"))
+    a = blocks.select("county", "block", F.col("id").alias("u"), F.col("low").alias("name_u"))
+    b = blocks.select("county", "block", F.col("id").alias("v"), F.col("low").alias("name_v"))
     shortest = ratio / (200 - ratio)
     lengths = F.least(F.length("name_u"), F.length("name_v")) >= shortest * F.greatest(F.length("name_u"), F.length("name_v"))
     most = (1 - ratio / 100) * (F.length("name_u") + F.length("name_v"))  # an edit distance is at most the indel distance

@@ -82,10 +82,36 @@ def industry_filters(df: DataFrame, needs: dict[str, tuple[int, int]] = NEEDS) -
     return joined.withColumn("reject_reason", reason).drop("least_employees", "least_patents")
 
 
-def missing_needs(clusters: DataFrame, needs: dict[str, tuple[str, float]]) -> DataFrame:
-    """(cluster_id, missing): names of the needs under their least value."""
-    items = [F.when(F.coalesce(F.col(c), F.lit(0)) < least, F.lit(name)) for name, (c, least) in needs.items()]
-    return clusters.select("cluster_id", F.concat_ws(",", F.array_compact(F.array(*items))).alias("missing"))
+def missing_needs(clusters: DataFrame, needs: DataFrame, items: list[str]) -> DataFrame:
+    """(cluster_id, missing): names of the items under the least value that the cluster's type needs, in order of name.
+
+    ``needs`` has (type, item, least), a dimension."""
+    amounts = clusters.select("cluster_id", "type", F.explode(F.array(*[F.struct(F.lit(i).alias("item"), F.col(i).cast("double").alias("amount")) for i in items])).alias("x")).select("cluster_id", "type", "x.*")
+    short = amounts.join(F.broadcast(needs), ["type", "item"], "left").select("cluster_id", F.when(F.coalesce("amount", F.lit(0.0)) < F.col("least"), F.col("item")).alias("item"))
+    return short.groupBy("cluster_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("item"))).alias("missing"))
+
+
+def alignment(clusters: DataFrame, universities: DataFrame) -> DataFrame:
+    """Universities of a cluster's counties with the cluster's type among their strengths: sums, a capped score, and
+    whether the pairing is recommended. ``clusters`` has (cluster_id, type, county), ``universities`` (county, strengths, funding, graduates, patents)."""
+    u = universities.withColumn("type", F.explode("strengths"))
+    g = clusters.join(u, ["county", "type"]).groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("institutions"), F.sum("graduates").alias("graduates"), F.round(F.sum("funding"), 2).alias("funding"), F.sum("patents").alias("patents")
+    )
+    money = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("funding")) / 10_000_000)
+    score = F.least(F.lit(1.0), F.col("graduates") / 5_000 * 0.4 + money * 0.4 + F.col("patents") / 100 * 0.2)
+    return g.withColumn("score", F.round(score, 6)).withColumn("recommended", F.col("score") > 0.5)
+
+
+def validate_targets(clusters: DataFrame, gdp: float = 50e6, jobs: int = 5_000, roi: float = 1.5, wage: float = 60_000.0) -> DataFrame:
+    """Whether clusters (cluster_id, gdp, jobs, p, n) meet the targets, and their share of all GDP and jobs."""
+    total = clusters.agg(F.sum("gdp").alias("all_gdp"), F.sum("jobs").alias("all_jobs"))
+    return clusters.crossJoin(F.broadcast(total)).select(
+        "cluster_id", (F.col("gdp") >= gdp).alias("meets_gdp"), (F.col("jobs") >= jobs).alias("meets_jobs"),
+        (F.col("gdp") / F.greatest(F.col("n") * 2e6, F.lit(1.0)) >= roi).alias("meets_roi"), ((F.col("n") >= 20) & (F.col("p") >= 50)).alias("has_infrastructure"),
+        (F.col("gdp") / 1.85 / F.greatest(F.col("jobs"), F.lit(1)) >= wage).alias("raises_wages"),
+        (F.col("gdp") / F.col("all_gdp")).alias("gdp_contribution"), (F.col("jobs") / F.col("all_jobs")).alias("jobs_contribution"),
+    )
 
 
 def workforce_needs(clusters: DataFrame, years: int, growth: float = 0.05) -> DataFrame:

@@ -114,3 +114,21 @@ def community_details(members: DataFrame, as_of: int) -> DataFrame:
     top = counts.withColumn("nth", F.row_number().over(w)).where("nth <= 3")
     joined = top.groupBy("cluster_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("nth", "code"))), lambda x: x["code"])).alias("top_industries"))
     return totals.join(joined, "cluster_id")
+
+
+def county_impact(clusters: DataFrame, members: DataFrame) -> DataFrame:
+    """GDP, jobs and return of clusters (cluster_id, gdp, jobs, roi) dealt to counties by their share of the members.
+
+    ``class`` is the third of the GDP and the third of the member-weighted return; counties are few."""
+    per = members.groupBy("cluster_id", "county").agg(F.count(F.lit(1)).alias("k"))
+    sizes = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    j = per.join(sizes, "cluster_id").join(clusters, "cluster_id")
+    share = F.col("k") / F.col("n")
+    g = j.groupBy("county").agg(
+        F.round(F.sum(F.col("gdp") * F.col("k") / F.col("n")), 2).alias("gdp"), F.round(F.sum(F.col("jobs") * share), 6).alias("jobs"), F.sum("k").alias("members"),
+        F.round(F.sum(F.col("roi") * F.col("k")) / F.sum("k"), 6).alias("roi"),
+    )
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    third = lambda c: F.ceil(F.row_number().over(Window.orderBy(c, "county")) * 3 / total).cast("int").cast("string")
+    tier = F.when(F.col("gdp") >= 1e9, "high").when(F.col("gdp") >= 1e8, "medium").otherwise("low")
+    return g.select("county", "gdp", "jobs", "members", "roi", F.concat_ws("-", third("gdp"), third("roi")).alias("class"), tier.alias("tier"))

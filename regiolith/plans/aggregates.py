@@ -238,14 +238,17 @@ def rank_clusters(spark, sf_dir):
 
 @query(
     "E20_county_impact",
-    """with c as (select cluster_id, sum(revenue_estimate) gdp, count(*) n from member group by 1), s as (select cluster_id, county, count(*) k from member group by 1, 2)
-    select county, round(sum(gdp * k / n), 2) gdp, cast(sum(k) as bigint) members from s join c using (cluster_id) group by 1""",
+    """with c as (select cluster_id, sum(revenue_estimate) gdp, sum(employees) jobs, sum(patent_count + sbir_awards) / count(*) roi, count(*) n from member group by 1), s as (select cluster_id, county, count(*) k from member group by 1, 2),
+    g as (select county, round(sum(gdp * k / n), 2) gdp, round(sum(jobs * k / n), 6) jobs, sum(k) members, round(sum(roi * k) / sum(k), 6) roi from s join c using (cluster_id) group by 1),
+    r as (select *, row_number() over (order by gdp, county) a, row_number() over (order by roi, county) b, count(*) over () t from g)
+    select county, gdp, jobs, cast(members as bigint) members, roi, concat(cast(cast(ceil(a * 3 / t) as int) as varchar), '-', cast(cast(ceil(b * 3 / t) as int) as varchar)) class, case when gdp >= 1e9 then 'high' when gdp >= 1e8 then 'medium' else 'low' end tier from r""",
 )
 def county_impact(spark, sf_dir):
+    from regiolith.operators.rollups import county_impact as impact
+
     m = view(spark, sf_dir, "member")
-    c = m.groupBy("cluster_id").agg(F.sum("revenue_estimate").alias("gdp_all"), F.count(F.lit(1)).alias("n"))
-    s = m.groupBy("cluster_id", "county").agg(F.count(F.lit(1)).alias("k")).join(c, "cluster_id")
-    return s.groupBy("county").agg(F.round(F.sum(F.col("gdp_all") * F.col("k") / F.col("n")), 2).alias("gdp"), F.sum("k").alias("members"))
+    c = m.groupBy("cluster_id").agg(F.sum("revenue_estimate").alias("gdp"), F.sum("employees").alias("jobs"), (F.sum(F.col("patent_count") + F.col("sbir_awards")) / F.count(F.lit(1))).alias("roi"))
+    return impact(c, m)
 
 
 @query(

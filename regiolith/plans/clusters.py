@@ -19,13 +19,12 @@ EDGE = """(case when a.county = b.county then 0.3::double when a.state = b.state
 
 @query(
     "I1_similarity_edges",
-    f"""with n as (select business_id id, county, state, substr(naics_code, 1, 3) code, employees from business where employees > 0 and business_id <= 600)
+    f"""with n as (select business_id id, county, state, substr(naics_code, 1, 3) code, employees from business where employees > 0)
     select a.id u, b.id v, round({EDGE}, 6) w from n a join n b on a.id < b.id where {EDGE} > 0.56 and (a.state = b.state or a.code = b.code)""",
 )
 def similarity_edges(spark, sf_dir):
     b = view(spark, sf_dir, "business")
-    edges = C.similarity_edges(b, 0.56).where("u <= 600 and v <= 600")
-    return rounded(edges)
+    return rounded(C.similarity_edges(b, 0.56))
 
 
 @query("I3_connected_components", "with e as (select a.business_id u, b.business_id v from business a join business b on a.county = b.county and a.naics_code = b.naics_code), c as (select u node, min(v) component from e group by 1) select node, component from c")

@@ -16,11 +16,11 @@ def targets(spark, sf_dir):
 
 
 def sources(spark, sf_dir):
-    b = view(spark, sf_dir, "business").where("business_id % 2 = 0")
+    b = view(spark, sf_dir, "business")
     return b.select(F.col("business_id").alias("id"), "name", F.concat(F.lit("816555"), (1000 + F.col("business_id") % 9000).cast("string")).alias("phone"), F.lit("").alias("address"))
 
 
-SOURCE = "select business_id s_id, name s_raw, concat('816555', cast(1000 + business_id % 9000 as varchar(20))) s_phone from business where business_id % 2 = 0"
+SOURCE = "select business_id s_id, name s_raw, concat('816555', cast(1000 + business_id % 9000 as varchar(20))) s_phone from business"
 
 
 @query(

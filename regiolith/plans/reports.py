@@ -138,10 +138,24 @@ def industry_filters(spark, sf_dir):
     return R.industry_filters(view(spark, sf_dir, "business")).select("business_id", "reject_reason")
 
 
-@query("C7_missing_needs", "with m as (select cluster_id, count(*) n, sum(patent_count) p from member group by 1) select cluster_id, concat_ws(',', case when n < 30 then 'size' end, case when p < 100 then 'patents' end) missing from m")
+NEEDS_BY_TYPE = [("logistics", "freight", 40.0), ("logistics", "sites", 25.0), ("technology", "talent", 900.0), ("technology", "patents", 60.0), ("biosciences", "patents", 80.0), ("biosciences", "talent", 600.0), ("manufacturing", "sites", 30.0), ("manufacturing", "talent", 700.0)]
+TWO = "case substr(cluster_id, length(cluster_id) - 1) when '48' then 'logistics' when '49' then 'logistics' when '54' then 'technology' when '51' then 'technology' when '62' then 'biosciences' else 'manufacturing' end"
+
+
+@query(
+    "C7_missing_needs",
+    f"""with needs(type, item, least) as (values {", ".join(f"('{t}', '{i}', {v!r}::double)" for t, i, v in NEEDS_BY_TYPE)}),
+    m as (select cluster_id, {TWO} type, count(*) * 1.0::double sites, sum(patent_count) * 1.0::double patents, sum(employees) / 1.0::double talent, count(distinct county) * 8.0::double freight from member group by 1),
+    u as (unpivot m on sites, patents, talent, freight into name item value amount)
+    select m.cluster_id, coalesce((select string_agg(n.item, ',' order by n.item) from needs n join u on u.item = n.item and u.cluster_id = m.cluster_id where n.type = m.type and u.amount < n.least), '') missing from m""",
+)
 def missing_needs(spark, sf_dir):
-    m = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("patent_count").alias("p"))
-    return R.missing_needs(m, {"size": ("n", 30), "patents": ("p", 100)})
+    two = F.substring("naics_code", 1, 2)
+    kind = F.when(two.isin("48", "49"), "logistics").when(two.isin("54", "51"), "technology").when(two.isin("62"), "biosciences").otherwise("manufacturing")
+    m = view(spark, sf_dir, "member").groupBy("cluster_id", kind.alias("type")).agg(
+        F.count(F.lit(1)).alias("sites"), F.sum("patent_count").alias("patents"), F.sum("employees").alias("talent"), (F.count_distinct("county") * 8).alias("freight")
+    )
+    return R.missing_needs(m, spark.createDataFrame(NEEDS_BY_TYPE, "type string, item string, least double"), ["sites", "patents", "talent", "freight"])
 
 
 @query("D15_join_macro", "select business_id, round(revenue_estimate * (select avg(value) from events), 2) adjusted, case when naics_code like '5%' then 'services' else 'goods' end sector from business")
@@ -151,12 +165,25 @@ def join_macro(spark, sf_dir):
     return b.select("business_id", F.round(F.col("revenue_estimate") * F.col("indicator"), 2).alias("adjusted"), F.when(F.col("naics_code").startswith("5"), "services").otherwise("goods").alias("sector"))
 
 
-@query("D17_alignment", "with c as (select cluster_id, county from member group by 1, 2), u as (select s_suppkey, n_name county, s_acctbal from supplier join nation on n_nationkey = s_nationkey) select cluster_id, count(distinct s_suppkey) institutions, round(sum(s_acctbal), 2) funding from c join u using (county) group by 1")
+@query(
+    "D17_alignment",
+    f"""with c as (select cluster_id, {TWO} type, county from member group by 1, 2, 3), u as (select s_suppkey id, n_name county, (['logistics', 'technology', 'biosciences', 'manufacturing'])[cast(s_suppkey % 4 + 1 as int)] strength, s_acctbal * 1000 funding, s_suppkey % 50 * 20 graduates, s_suppkey % 9 patents from supplier join nation on n_nationkey = s_nationkey),
+    g as (select cluster_id, count(*) institutions, sum(graduates) graduates, round(sum(funding), 2) funding, sum(patents) patents from c join u on u.county = c.county and u.strength = c.type group by 1),
+    s as (select *, least(1.0::double, graduates / 5000.0::double * 0.4::double + least(1.0::double, greatest(0, funding) / 10000000.0::double) * 0.4::double + patents / 100.0::double * 0.2::double) score from g)
+    select cluster_id, institutions, cast(graduates as bigint) graduates, funding, cast(patents as bigint) patents, round(score, 6) score, round(score, 6) > 0.5 recommended from s""",
+)
 def alignment(spark, sf_dir):
-    c = view(spark, sf_dir, "member").select("cluster_id", "county").distinct()
+    m = view(spark, sf_dir, "member")
+    two = F.substring("naics_code", 1, 2)
+    kind = F.when(two.isin("48", "49"), "logistics").when(two.isin("54", "51"), "technology").when(two.isin("62"), "biosciences").otherwise("manufacturing")
+    c = m.select("cluster_id", kind.alias("type"), "county").distinct()
     n = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("county"))
-    u = view(spark, sf_dir, "supplier").join(F.broadcast(n), "s_nationkey")
-    return rounded(c.join(u, "county").groupBy("cluster_id").agg(F.count_distinct("s_suppkey").alias("institutions"), F.sum("s_acctbal").alias("funding")), 2)
+    k = F.col("s_suppkey")
+    strengths = F.array(*[F.lit(t) for t in ("logistics", "technology", "biosciences", "manufacturing")])
+    u = view(spark, sf_dir, "supplier").join(F.broadcast(n), "s_nationkey").select(
+        "county", F.array(F.get(strengths, (k % 4).cast("int"))).alias("strengths"), (F.col("s_acctbal") * 1000).alias("funding"), (k % 50 * 20).alias("graduates"), (k % 9).alias("patents")
+    )
+    return rounded(R.alignment(c, u))
 
 
 @query("E21_county_growth", "select county, count(*) n, round(avg(2024 - year_established), 6) age, cast(sum(patent_count) as bigint) patents, case when avg(2024 - year_established) < 20 and sum(patent_count) > 100 then 'emerging' when count(*) > 60 then 'core' else 'steady' end zone from business group by 1")
@@ -165,10 +192,17 @@ def county_growth(spark, sf_dir):
     return rounded(g.withColumn("zone", F.when((F.col("age") < 20) & (F.col("patents") > 100), "emerging").when(F.col("n") > 60, "core").otherwise("steady")))
 
 
-@query("J25_validate_targets", "with g as (select cluster_id, sum(revenue_estimate) * 1.85::double gdp, sum(employees) jobs from member group by 1) select cluster_id, gdp >= 50000000 meets_gdp, jobs >= 5000 meets_jobs, round(gdp / 1000000000.0, 8) contribution from g")
+@query(
+    "J25_validate_targets",
+    """with g as (select cluster_id, sum(revenue_estimate) * 1.85::double gdp, sum(employees) jobs, sum(patent_count) p, count(*) n from member group by 1), t as (select sum(gdp) all_gdp, sum(jobs) all_jobs from g)
+    select cluster_id, gdp >= 50000000 meets_gdp, jobs >= 5000 meets_jobs, gdp / greatest(n * 2000000.0::double, 1) >= 1.5 meets_roi, n >= 20 and p >= 50 has_infrastructure, gdp / 1.85::double / greatest(jobs, 1) >= 60000 raises_wages,
+      round(gdp / all_gdp, 8) gdp_contribution, round(jobs / all_jobs, 8) jobs_contribution from g cross join t""",
+)
 def validate_targets(spark, sf_dir):
-    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg((F.sum("revenue_estimate") * 1.85).alias("gdp"), F.sum("employees").alias("jobs"))
-    return rounded(g.select("cluster_id", (F.col("gdp") >= 50e6).alias("meets_gdp"), (F.col("jobs") >= 5000).alias("meets_jobs"), (F.col("gdp") / 1e9).alias("contribution")), 8)
+    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(
+        (F.sum("revenue_estimate") * 1.85).alias("gdp"), F.sum("employees").alias("jobs"), F.sum("patent_count").alias("p"), F.count(F.lit(1)).alias("n")
+    )
+    return rounded(R.validate_targets(g), 8)
 
 
 @query(

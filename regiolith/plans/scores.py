@@ -61,12 +61,12 @@ def composite(spark, sf_dir):
     return rounded(S.scored(view(spark, sf_dir, "business"), AS_OF).select("business_id", "composite_score", "final_score"))
 
 
-@query("H1_rank_businesses", f"with {STATS}, {SCORED}, f as (select business_id, {FINAL} s from scored) select business_id, round(s, 6) final_score, s >= (select max(s) from f) * 0.7 passes from f order by s desc, business_id limit 200")
+@query("H1_rank_businesses", f"with {STATS}, {SCORED}, f as (select business_id, {FINAL} s from scored) select business_id, round(s, 6) final_score, s >= (select max(s) from f) * 0.7 passes from f")
 def rank_businesses(spark, sf_dir):
     s = S.scored(view(spark, sf_dir, "business"), AS_OF).select("business_id", "final_score")
     best = s.agg(F.max("final_score").alias("best"))
     out = s.crossJoin(F.broadcast(best)).withColumn("passes", F.col("final_score") >= F.col("best") * 0.7)
-    return rounded(out.orderBy(F.desc("final_score"), "business_id").limit(200).drop("best"))
+    return rounded(out.drop("best"))
 
 
 @query(

@@ -90,7 +90,12 @@ def sample_n(spark, sf_dir):
 
 @query("A16_write_sample", "select business_id, name, county from business order by business_id limit 1000")
 def write_sample(spark, sf_dir):
-    return view(spark, sf_dir, "business").select("business_id", "name", "county").orderBy("business_id").limit(1000)
+    """A sample for inspection: written once, then read back."""
+    from regiolith.streaming.runs import shared_folder
+
+    folder = shared_folder(spark, "sample")
+    view(spark, sf_dir, "business").select("business_id", "name", "county").orderBy("business_id").limit(1000).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query("A19_export_lines", "select cluster_id, concat(cluster_id, ': ', cast(count(*) as varchar), ' businesses, ', cast(sum(employees) as varchar), ' employees') line from member group by 1")

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the session's checkpoints, which all executors share."""
-    import tempfile
+    from regiolith.operators.graph import checkpoint_folder
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = tempfile.mkdtemp(prefix="regiolith-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
