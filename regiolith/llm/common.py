@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -59,19 +60,32 @@ def map_rows(
     return df.mapInArrow(run, out)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder of checkpoints, which driver and executors share; a local one only where they are one machine."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = tempfile.mkdtemp(prefix="regiolith-checkpoint-")  # one machine: tests and small runs
+            named = tempfile.mkdtemp(prefix="regiolith-checkpoint-")  # tests and small runs
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """The same rows, written as a table and read back: in the given folder, or in a new one of the shared folder."""
+    folder = folder or f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def sampled_texts(docs: DataFrame, rows: int) -> DataFrame:
     """(doc_id, text) of the documents with the first ids by a hash. Ids are chosen without their texts."""
     ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()

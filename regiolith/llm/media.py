@@ -1,9 +1,10 @@
 """Audio columns: 8-bit wave files, polyphase resampling, log-mel filterbanks and energy segments.
 
-A payload is stored as the samples of a mono 8-bit PCM wave file, so it comes back byte for byte. Features are
-computed from the stored bytes: the samples are resampled by a polyphase filter, cut into overlapped frames,
-turned into log-mel energies, and segmented by hysteresis over the frame energy. The log-mel frames are
-returned as clips of one fixed shape (CLIP_FRAMES x MELS), each with its time span.
+A payload is stored as the samples of a mono 8-bit PCM wave file in a written table, so it comes back byte for byte.
+Features are computed from the stored bytes: the samples are resampled by a polyphase filter, cut into overlapped
+frames, turned into log-mel energies, and segmented by hysteresis over the frame energy. The log-mel frames are stored
+as clips of one fixed shape (CLIP_FRAMES x MELS half floats, the last clip filled up with 0), each with its time span;
+``tensor_batch`` gives them as a column of Arrow's fixed-shape tensors.
 
 A null or empty text is a payload of 64 zero bytes. An empty table gives no rows; repeated rows give repeated
 results; equal payloads give equal features. Other columns of the input are ignored.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import map_rows, table, texts
+from regiolith.llm.common import map_rows, stored, table, texts
 
 BLOCK = 64
 RATE = 16_000
@@ -150,13 +151,13 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 FEATURES = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, segments array<struct<start_s:double,end_s:double>>"
+    "media_sha256 string, feature string, segments array<struct<start_s:double,end_s:double>>, "
+    "clips array<struct<start_s:double,end_s:double,log_mel:binary>>"
 )
-CLIPS = "clips array<struct<start_s:double,end_s:double,log_mel:array<float>>>"
 
 
-def audio_features(media: DataFrame, with_clips: bool = True) -> DataFrame:
-    """Reads (doc_id, n_bytes, media) back; digests, segments and, if asked for, the fixed-shape clips."""
+def audio_features(media: DataFrame) -> DataFrame:
+    """Reads (doc_id, n_bytes, media) back: digests, segments, and clips of one shape with their time spans."""
 
     def task():
         phases = filter_phases()
@@ -186,34 +187,35 @@ def audio_features(media: DataFrame, with_clips: bool = True) -> DataFrame:
                     f"mel={','.join(f'{x:.1f}' for x in coarse)}"
                 )
                 out["segments"].append(spans)
-                if with_clips:
-                    clips = []
-                    for at in range(0, len(mel), CLIP_FRAMES):
-                        clip = np.zeros((CLIP_FRAMES, MELS), np.float32)
-                        part = mel[at : at + CLIP_FRAMES]
-                        clip[: len(part)] = part
-                        clips.append({"start_s": at * second, "end_s": (at + len(part)) * second, "log_mel": clip.ravel()})
-                    out["clips"].append(clips)
+                clips = np.zeros((-(-len(mel) // CLIP_FRAMES) * CLIP_FRAMES, MELS), "<f2")
+                clips[: len(mel)] = mel
+                out["clips"].append([
+                    {"start_s": at * second, "end_s": min(at + CLIP_FRAMES, len(mel)) * second, "log_mel": clips[at : at + CLIP_FRAMES].tobytes()}
+                    for at in range(0, len(mel), CLIP_FRAMES)
+                ])
             return out
 
         return step
 
-    return map_rows(media, task, FEATURES + (", " + CLIPS if with_clips else ""), rows=64)
+    return map_rows(media, task, FEATURES, rows=64)
 
 
 def clip_rows(features: DataFrame) -> DataFrame:
-    """One row for each clip: (doc_id, clip, start_s, end_s, log_mel), log_mel of CLIP_FRAMES * MELS floats."""
+    """One row for each clip: (doc_id, clip, start_s, end_s, log_mel), log_mel of CLIP_FRAMES * MELS half floats."""
     return features.select("doc_id", F.posexplode("clips").alias("clip", "c")).select("doc_id", "clip", "c.*")
 
 
 def tensor_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The same batch with log_mel as an Arrow fixed-shape tensor column."""
+    """The same batch of clip_rows with log_mel as a column of Arrow fixed-shape tensors."""
     at = batch.schema.get_field_index("log_mel")
-    kind = pa.fixed_shape_tensor(pa.float32(), (CLIP_FRAMES, MELS))
-    flat = batch.column(at).flatten().cast(pa.float32())
-    storage = pa.FixedSizeListArray.from_arrays(flat, CLIP_FRAMES * MELS)
-    return batch.set_column(at, pa.field("log_mel", kind), pa.ExtensionArray.from_storage(kind, storage))
+    values = np.frombuffer(b"".join(batch.column(at).to_pylist()), "<f2").reshape(-1, CLIP_FRAMES, MELS)
+    tensors = pa.FixedShapeTensorArray.from_numpy_ndarray(values)
+    return batch.set_column(at, pa.field("log_mel", tensors.type), tensors)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(store_media(table(spark, sf_dir, "documents")), with_clips=False).drop("segments")
+    """Digests, the segments, and the number and digest of the stored clips of every document."""
+    media = stored(store_media(table(spark, sf_dir, "documents")), "media")
+    features = stored(audio_features(media), "audio")
+    digests = F.transform("clips", lambda c: F.sha2(c["log_mel"], 256))
+    return features.withColumn("n_clips", F.size("clips").cast("long")).withColumn("clips_sha256", F.sha2(F.array_join(digests, ","), 256)).drop("clips")
