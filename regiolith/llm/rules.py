@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions alone.
 
-Every rule is a column that is true where a document fails. On a bounded sample each rule's cost (seconds for
-the sample) and selectivity (share of the sample that it rejects) are measured; rules are then tried in order
-of rejections per second inside one CASE expression, which stops at the first rule that fails. The order
-changes the work, never the verdict.
+Every rule is a column that is true where a document fails. On a bounded sample each rule's cost (seconds for the
+sample with all that the rule computes from the text, less those of a rule that computes nothing) and selectivity
+(share of the sample that it rejects) are measured; rules are then tried in order of rejections per second inside one
+CASE expression, which stops at the first rule that fails. The order changes the work, never the verdict. Texts are
+split into words and lines once for all rules.
 
 A null or empty text has no words and fails the base rules. Ties, repeated rows and empty tables need no care:
 each row is judged alone, and with an empty sample the rules keep their given order. ``filter_quality`` keeps
@@ -13,12 +14,13 @@ all columns of its input.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiolith.llm.common import checkpointed, table, texts
+from regiolith.llm.common import checkpointed, sampled_texts, table, texts
 
 SPACES = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
@@ -26,6 +28,8 @@ WHITE = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 #: Rows on which cost and selectivity are measured.
 SAMPLE_ROWS = 2_000
+#: The least cost of a rule; differences below it are noise of the clock.
+LEAST_SECONDS = 0.005
 
 
 def let(value: Column, body) -> Column:
@@ -37,6 +41,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
 
 
+def lines_of(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside 3-word windows that occur twice or more in the text.
 
@@ -68,51 +76,59 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(found)
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
-    """Adds words and lines, and the base measures of the result, to a frame with a non-null text."""
-    text = F.col("text")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return (
-        docs.withColumn("words", words_of(text))
-        .withColumn("lines", lines)
-        .withColumn("n_words", F.size("words").cast("long"))
-        .withColumn("word_chars", F.length(F.translate(text, WHITE, "")).cast("long"))
-        .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("n_lines", F.size("lines").cast("long"))
-        .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-        .withColumn("n_repeat_words", repeated_words(F.col("words")))
-    )
+class Parts:
+    """A text, its words and lines, and what rules measure of them; nothing is computed that no column asks for."""
+
+    def __init__(self, text: Column, words: Column, lines: Column | None = None):
+        """``lines``: the lines with a word, if a column holds them already."""
+        self.text, self.words, self.lines = text, words, lines
+        self.n_words = F.size(words).cast("long")
+        self.word_chars = F.length(F.translate(text, WHITE, "")).cast("long")
+        self.n_symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+        self.n_repeat_words = repeated_words(words)
+
+    def of_lines(self, body: Callable[[Column], Column]) -> Column:
+        return let(lines_of(self.text), body) if self.lines is None else body(self.lines)
 
+    @property
+    def n_dup_lines(self) -> Column:
+        return self.of_lines(lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+    def letters(self, pattern: str) -> Column:
+        return F.length(F.regexp_replace(self.text, pattern, ""))
+
+    def words_with(self, pattern: str) -> Column:
+        return F.size(F.filter(self.words, lambda w: w.rlike(pattern)))
 
-MEASURES = ["words", "lines", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
+def of_parts(text: Column, body: Callable[[Parts], Column]) -> Column:
+    """``body`` of the parts of a text, which is split once."""
+    return let(words_of(text), lambda words: body(Parts(text, words)))
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+def fails_base(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > 50 * n_words)
 
 
 @dataclass(frozen=True)
 class Rule:
     name: str
-    fails: Column
+    fails: Callable[[Parts], Column]
 
 
-def letters(pattern: str) -> Column:
-    return F.length(F.regexp_replace("text", pattern, ""))
+BASE = Rule("base", lambda p: fails_base(p.n_words, p.n_repeat_words))
 
 
 def production_rules() -> list[Rule]:
-    """Rules of the method, on a frame with measures."""
-    words = F.col("words")
-    ends = F.size(F.filter(words, lambda w: w.rlike(r"[#*$%&<>]{2}|!!")))
+    """Rules of the method."""
     return [
-        Rule("symbols", 10 * F.col("n_symbols") > 3 * F.col("n_words")),
-        Rule("repeated_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
-        Rule("word_length", ~F.col("word_chars").between(2 * F.col("n_words"), 20 * F.col("n_words"))),
-        Rule("shouting", 2 * letters(r"[^\p{Lu}]") > letters(r"[^\p{L}]")),
-        Rule("no_letters", 5 * F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) < 4 * F.col("n_words")),
-        Rule("word_ends", 10 * ends > F.col("n_words")),
-        Rule("word_runs", 5 * let(words, lambda w: F.size(F.filter(w, lambda x, i: F.coalesce(x == F.get(w, i - 1), F.lit(False))))) > F.col("n_words")),
+        Rule("symbols", lambda p: 10 * p.n_symbols > 3 * p.n_words),
+        Rule("repeated_lines", lambda p: p.of_lines(lambda x: 2 * (F.size(x) - F.size(F.array_distinct(x))) > F.size(x))),
+        Rule("word_length", lambda p: ~p.word_chars.between(2 * p.n_words, 20 * p.n_words)),
+        Rule("shouting", lambda p: 2 * p.letters(r"[^\p{Lu}]") > p.letters(r"[^\p{L}]")),
+        Rule("no_letters", lambda p: 5 * p.words_with(r"\p{L}") < 4 * p.n_words),
+        Rule("word_ends", lambda p: 10 * p.words_with(r"[#*$%&<>]{2}|!!") > p.n_words),
+        Rule("word_runs", lambda p: 5 * F.size(F.filter(p.words, lambda x, i: F.coalesce(x == F.get(p.words, i - 1), F.lit(False)))) > p.n_words),
     ]
 
 
@@ -127,24 +143,24 @@ class Estimate:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def sample_of(docs: DataFrame, rows: int) -> DataFrame:
-    """The documents with the first ids by a hash: a bounded sample. Ids are chosen without their texts."""
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-
-
 def estimates(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """Cost and selectivity of each rule on a bounded sample of documents with a non-null text."""
-    sample = checkpointed(with_measures(checkpointed(sample_of(docs, rows))))
-    made = []
-    for rule in rules:
+    sample = checkpointed(sampled_texts(docs, rows))
+
+    def measured(fails: Column) -> tuple[float, float]:
         best, share = float("inf"), 0.0
         for _ in range(2):  # the first run also compiles
             began = time.perf_counter()
-            row = sample.agg(F.count(F.lit(1)).alias("n"), F.count_if(rule.fails).alias("failed")).first()
+            row = sample.agg(F.count(F.lit(1)).alias("n"), F.count_if(fails).alias("failed")).first()
             best = min(best, time.perf_counter() - began)
             share = row["failed"] / row["n"] if row["n"] else 0.0
-        made.append(Estimate(rule.name, best, share))
+        return best, share
+
+    idle, _ = measured(F.length("text") < 0)  # what any rule costs: a job that reads the sample
+    made = []
+    for rule in rules:
+        seconds, share = measured(of_parts(F.col("text"), rule.fails))
+        made.append(Estimate(rule.name, max(seconds - idle, LEAST_SECONDS), share))
     return made
 
 
@@ -154,35 +170,40 @@ def ordered(rules: list[Rule], found: list[Estimate]) -> list[Rule]:
     return sorted(rules, key=lambda r: -worth.get(r.name, -1.0))
 
 
-def first_failure(rules: list[Rule]) -> Column:
+def first_failure(rules: list[Rule], parts: Parts) -> Column:
     """Name of the first rule that fails, null if none does. CASE evaluates no rule after it."""
     if not rules:
         return F.lit(None).cast("string")
-    chain = F.when(F.coalesce(rules[0].fails, F.lit(False)), F.lit(rules[0].name))
+    chain = F.when(F.coalesce(rules[0].fails(parts), F.lit(False)), F.lit(rules[0].name))
     for rule in rules[1:]:
-        chain = chain.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name))
+        chain = chain.when(F.coalesce(rule.fails(parts), F.lit(False)), F.lit(rule.name))
     return chain
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def quality_cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, measures, base_failed, kept, reject_reason) of every document."""
+    """(doc_id, measures, base_failed, reject_reason, kept) of every document."""
     rules = production_rules() if rules is None else rules
     base = texts(docs)
     chain = ordered(rules, estimates(base, rules, sample_rows))
-    judged = with_measures(base).withColumn("base_failed", base_failed())
-    reason = F.when(F.col("base_failed"), F.lit("base")).otherwise(first_failure(chain))
-    return judged.withColumn("reject_reason", reason).withColumn("kept", F.col("reject_reason").isNull()).drop("text", "words", "lines")
+
+    split = base.withColumn("words", words_of(F.col("text"))).withColumn("lines", lines_of(F.col("text")))
+    parts = Parts(F.col("text"), F.col("words"), F.col("lines"))
+    measured = split.select("*", *[getattr(parts, m).alias(m) for m in MEASURES])
+    for m in ("n_words", "word_chars", "n_symbols"):  # from here on they are columns too
+        setattr(parts, m, F.col(m))
+    failed = fails_base(F.col("n_words"), F.col("n_repeat_words"))
+    reason = F.when(failed, F.lit("base")).otherwise(first_failure(chain, parts))
+    return measured.select("doc_id", *MEASURES, failed.alias("base_failed"), reason.alias("reject_reason")).withColumn("kept", F.col("reject_reason").isNull())
 
 
 def filter_quality(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of the input that pass the base and all rules, with the input's columns."""
-    rules = [Rule("base", base_failed()), *production_rules()]
-    names = {c: f"{c}__kept" for c in docs.columns}
-    held = docs.withColumnsRenamed(names)  # the input may have columns named like the measures
-    work = held.withColumn("doc_id", F.col("doc_id__kept")).withColumn("text", F.coalesce(F.col("text__kept"), F.lit("")))
-    chain = ordered(rules, estimates(work, rules, sample_rows))
-    passed = with_measures(work).where(first_failure(chain).isNull())
-    return passed.select([F.col(f"{c}__kept").alias(c) for c in docs.columns])
+    rules = [BASE, *production_rules()]
+    chain = ordered(rules, estimates(texts(docs), rules, sample_rows))
+    return docs.where(of_parts(F.coalesce("text", F.lit("")), lambda p: first_failure(chain, p)).isNull())
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

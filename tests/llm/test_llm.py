@@ -176,10 +176,12 @@ def test_rules_against_python(spark, edges, empty):
     kept = rules.filter_quality(edges)
     assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} >= {4, 5}
     assert rules.filter_quality(empty).columns == empty.columns
+    plan = rules.quality_cascade(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # words once, lines once
 
 
 def test_rules_are_ordered_by_rejections_per_second():
-    named = [rules.Rule(n, F.lit(True)) for n in "abc"]
+    named = [rules.Rule(n, lambda p: F.lit(True)) for n in "abc"]
     found = [rules.Estimate("a", 1.0, 0.1), rules.Estimate("b", 0.1, 0.1), rules.Estimate("c", 0.01, 0.0)]
     assert [r.name for r in rules.ordered(named, found)] == ["b", "a", "c"]
 
