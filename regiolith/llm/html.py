@@ -1,11 +1,13 @@
 """Main text of web pages by composite text density.
 
-Each page becomes a tree of its block elements. Menus, footers, forms, adverts, notices, comments and the like
-are cut off by element name, role and class words. For every node the composite text density is the number of
+Each page becomes a tree of its block elements. For every node the composite text density is the number of
 characters for each tag, lowered where characters and tags lie in links; the density sum of a node adds up its
-children's densities. The subtree with the largest sum is the article, among nodes at least as dense as the
-sparsest node on the path from the body to the densest one. The subtree is widened to an enclosing article or
-main element, and to a parent whose other children carry a like share of the sum.
+children's densities. Element names, roles and class words of menus, footers, adverts, notices, comments and the
+like are evidence against a node, which takes its density away wholly or in part, unless its content speaks for it:
+an article or a main element inside, or most of the page's text with a heading. The subtree with the largest sum is
+the article, among nodes at least as dense as the sparsest node on the path from the body to the densest one. It is
+widened to an enclosing article or main element, and to a parent whose other children carry a like share of the sum.
+Blocks inside it that stay in doubt are cut off.
 
 A null or empty page gives the empty text. Character references are decoded, white space inside a block becomes
 one space, blocks are joined by a newline in page order. Cut-off pages are read as far as they go. Repeated rows
@@ -23,26 +25,37 @@ from pyspark.sql import functions as F
 
 from regiolith.llm.common import map_rows, table
 
-TAG = re.compile(r"""<!--|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*'|["'])*)>|<[!?/][^>]*>""")
+#: A comment, a tag with its attributes, or a declaration. Groups are atomic, so that a tag is read in one pass.
+TAG = re.compile(r"""<!--|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""")
+#: The same where a quote is left open: the tag ends at the next >.
+OPEN_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)([^>]*)>""")
 SPACE = re.compile(r"\s+")
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WORD = re.compile(r"[A-Za-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe template svg math object canvas video audio".split())
+#: Of these, the ones that may hold others of their name.
+NESTED = frozenset("template svg math object canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr br img picture map area".split()
 )
-DROPPED = frozenset("head nav footer aside form menu dialog button select option fieldset".split())
-#: Words of class and id, and roles, whose elements are never part of an article.
-DROPPED_WORDS = frozenset(
+#: Elements that are never part of an article, and roles and words of class and id that speak against one.
+NEVER = frozenset("head nav footer aside menu dialog button select option fieldset".split())
+AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+AGAINST_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice "
     "notices gdpr popup modal overlay newsletter subscribe signup nav navbar navigation menu menubar breadcrumb breadcrumbs "
     "sidebar sidenav rail widget footer comments comment disqus respond reply replies share sharing social related recommended "
     "pagination pager toolbar".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: In front of such a word in a name, these say that there is none of it, or that the element only has some of it.
+NOT_IT = frozenset("no not non has with without hide hidden disable open".split())
+NONE, WEAK, STRONG, FINAL = range(4)
+#: What the evidence leaves of a node's density.
+LEFT = {NONE: 1.0, WEAK: 0.3, STRONG: 0.0, FINAL: 0.0}
+BLOCKS_OF_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote li dd td pre".split())
 #: An opening tag of these ends an open element of the same list.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -54,33 +67,54 @@ WIDEN = 0.25
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "doubt", "chars", "tags", "link_chars", "link_tags", "holds_main", "holds_heading", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, doubt: int = NONE):
+        self.tag, self.parent, self.children, self.doubt = tag, parent, [], doubt
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
+        self.holds_main, self.holds_heading = tag in ("article", "main"), tag == "h1"
         self.density = self.total = 0.0
 
 
-def is_dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    if tag == "header":
-        return not inside_article
+def words_against(value: str, inside_article: bool) -> int:
+    """Evidence of a class or id: a name that is such a word is strong, one with such a word among others is weak."""
+    found = NONE
+    for name in value.split():
+        words = WORD.findall(name)
+        hits = [w for i, w in enumerate(words) if (w in AGAINST_WORDS or (w == "header" and not inside_article)) and not (i and words[i - 1] in NOT_IT)]
+        found = max(found, NONE if not hits else STRONG if len(hits) == len(words) else WEAK)
+    return found
+
+
+def evidence(tag: str, attributes: str, inside_article: bool) -> int:
+    """How much speaks against an element by its name and attributes."""
+    if tag in NEVER:
+        return FINAL
+    found = STRONG if tag == "header" and not inside_article else WEAK if tag == "form" else NONE
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return found
+    if re.search(r"(?i)(?:^|\s)hidden(?:\s|$|=)", attributes):
+        return FINAL
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "role" and value.strip() in DROPPED_ROLES:
-            return True
-        if name in ("class", "id"):
-            words = set(WORD.findall(value))
-            if words & DROPPED_WORDS or ("header" in words and not inside_article):
-                return True
-        if name == "aria-hidden" and value == "true":
-            return True
-    return bool(re.search(r"(?i)(?:^|\s)hidden(?:\s|$|=)", attributes))
+        if name == "role" and value.strip() in AGAINST_ROLES:
+            found = max(found, STRONG)
+        elif name in ("class", "id"):
+            found = max(found, words_against(value, inside_article))
+        elif name == "aria-hidden" and value == "true":
+            return FINAL
+    return found
+
+
+def end_of_raw(page: str, tag: str, at: int) -> int:
+    """Where the content of an element without markup of its own ends; such elements may hold others of their name."""
+    depth = 1
+    for m in re.compile(rf"(?i)<(/?){re.escape(tag)}(?=[\s/>])[^>]*>").finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") or tag not in NESTED else 1
+        if depth == 0:
+            return m.end()
+    return len(page)
 
 
 def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
@@ -89,18 +123,26 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
     stack: list[tuple[str, Node, bool, bool]] = [("html", root, False, False)]  # name, its block, dropped, in an article
     texts: list[tuple[Node, str, bool, int]] = []
     links = run = 0
-    at, end = 0, len(page)
+    at, end, quotes_close = 0, len(page), True
 
     def add(text: str) -> None:
         if text and not stack[-1][2]:
             texts.append((stack[-1][1], text, links > 0, run))
 
     while at < end:
-        m = TAG.search(page, at)
-        if not m:
-            tail = page[at:]
-            cut = re.search(r"<[A-Za-z/!][^<]*$", tail)  # a tag that the end of the page cuts off
-            add(tail[: cut.start()] if cut else tail)
+        start = page.find("<", at)
+        while start >= 0 and start + 1 < end and not (page[start + 1].isascii() and (page[start + 1].isalpha() or page[start + 1] in "/!?")):
+            start = page.find("<", start + 1)
+        m = TAG.match(page, start) if start >= 0 and quotes_close else None
+        if m is None and start >= 0:
+            quotes_close = quotes_close and not page[start + 1 : start + 2].isalpha()  # an open quote: once is enough
+            m = TAG.match(page, start) if page[start + 1 : start + 2] in ("!", "?") else OPEN_TAG.match(page, start) if page.find(">", start) >= 0 else None
+        if m is None and start >= 0 and page.find(">", start) >= 0:  # </ without a name
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        if m is None:
+            add(page[at:] if start < 0 else page[at:start])  # a tag that the end of the page cuts off is left out
             break
         add(page[at : m.start()])
         at = m.end()
@@ -123,9 +165,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
                 run += 1
             continue
         if tag in RAW:
-            close = re.compile(rf"(?i)</{re.escape(tag)}\b").search(page, at)
-            stop = page.find(">", close.start()) if close else -1
-            at = end if stop < 0 else stop + 1
+            at = end_of_raw(page, tag, at)
             continue
         if tag == "br":
             add(" ")
@@ -156,10 +196,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str, bool, int]]]:
             if not above[2]:
                 above[1].link_tags += 1
         inside = above[3] or tag in ("article", "main")
-        dropped = above[2] or is_dropped(tag, m[3], above[3])
+        doubt = evidence(tag, m[3], above[3])
+        dropped = above[2] or doubt == FINAL or doubt == STRONG and not block
         node = above[1]
         if block and not dropped:
-            node = Node(tag, above[1])
+            node = Node(tag, above[1], doubt)
             above[1].children.append(node)
         stack.append((tag, node, dropped, inside))
     return root, texts
@@ -179,6 +220,8 @@ def measure(root: Node, texts: list[tuple[Node, str, bool, int]]) -> list[Node]:
         if node.parent is not None:
             for name in ("chars", "tags", "link_chars", "link_tags"):
                 setattr(node.parent, name, getattr(node.parent, name) + getattr(node, name))
+            node.parent.holds_main |= node.holds_main
+            node.parent.holds_heading |= node.holds_heading
     body = max(root.chars, 1)
     share = root.link_chars / body
     for node in nodes:
@@ -187,14 +230,34 @@ def measure(root: Node, texts: list[tuple[Node, str, bool, int]]) -> list[Node]:
             base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
             x = (c / max(lc, 1)) * (t / lt)
             node.density = c / t * max(math.log(x) / base, 0.0) if x > 0 else 0.0
+    left = {}
+    for node in nodes:  # evidence against a node counts for all that it holds
+        node.doubt = NONE if node.doubt and vouched(node, root) else node.doubt
+        left[id(node)] = LEFT[node.doubt] * (left[id(node.parent)] if node.parent is not None else 1.0)
+        node.density *= left[id(node)]
     for node in reversed(nodes):
         node.total = sum(k.density for k in node.children) if node.children else node.density
         if node.children:  # text of its own counts like a child
             own = node.chars - sum(k.chars for k in node.children)
-            node.total += own / node.tags if own > 0 else 0.0
+            node.total += left[id(node)] * own / node.tags if own > 0 else 0.0
     return nodes
 
 
+def vouched(node: Node, root: Node) -> bool:
+    """Whether the content of a node in doubt outweighs the evidence of its name and attributes."""
+    if node.doubt == FINAL or not node.chars:
+        return False
+    if node.holds_main:
+        return True
+    own_text = node.chars - node.link_chars
+    most = 2 * own_text > root.chars - root.link_chars and 2 * node.link_chars < node.chars
+    if node.doubt == STRONG:
+        return most and node.holds_heading
+    if node.tag in BLOCKS_OF_TEXT and own_text >= 40 and 5 * node.link_chars < node.chars:
+        return True
+    return most and (node.holds_heading or node.density >= root.density)
+
+
 def article_node(nodes: list[Node]) -> Node:
     root = nodes[0]
     densest = max(nodes, key=lambda n: n.density)
@@ -202,12 +265,14 @@ def article_node(nodes: list[Node]) -> Node:
     while n is not None and n is not root:
         threshold, n = min(threshold, n.density), n.parent
     best = max((n for n in nodes if n.density >= threshold), key=lambda n: n.total, default=root)
-    outer, n = None, best
+    named, n = None, best
     while n is not None:
-        outer = n if n.tag in ("article", "main") else outer
+        # an outer article, and a main element of which the inner one is the lesser part, take its place
+        if n.tag in ("article", "main") and (named is None or n.tag == "article" or 2 * named.chars < n.chars):
+            named = n
         n = n.parent
-    if outer is not None:
-        return outer
+    if named is not None:
+        return named
     while best.parent is not None:
         rest = sum(k.total for k in best.parent.children if k is not best)
         if rest < WIDEN * best.total:
@@ -226,8 +291,9 @@ def main_text(page: str | None) -> str:
     inside = {id(chosen)}
     reach = [chosen]
     for node in reach:
-        reach.extend(node.children)
-        inside.update(id(k) for k in node.children)
+        kept = [k for k in node.children if not k.doubt]
+        reach.extend(kept)
+        inside.update(map(id, kept))
     blocks: list[str] = []
     runs: list[tuple[int, int]] = []
     for node, text, _, run in texts:

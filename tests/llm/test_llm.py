@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -96,6 +97,50 @@ def test_html_blocks(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+ARTICLE = "<h1>Title of it</h1>" + "".join(f"<p>{prose(50 + i, 30)}</p>" for i in range(3))
+ARTICLE_TEXT = "\n".join(["Title of it", *(prose(50 + i, 30) for i in range(3))])
+CHROME = [
+    "<nav><ul><li><a href=x>Home</a></li><li><a href=y>News of today</a></li></ul></nav>", "<div class='site-footer'>all rights reserved</div>", "<div class=cookie-notice><p>We use cookies to be of use to you on this site.</p></div>",
+    "<ul class='main-menu'><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>", "<div id=comments><p>I read it twice and I still disagree.</p></div>", "<form id=search><input><button>Go</button></form>",
+    "<aside><p>Most read of the week</p></aside>", "<script>var a = '<p>no</p>';</script>", "<style>p{}</style>", "<div role=banner>Site of sites</div>", "<svg><svg>x</svg>leak</svg>", "<div hidden>secret words</div>",
+]
+WRAPPERS = [
+    "<article>%s</article>", "<div>%s</div>", "<main><div>%s</div></main>", '<div class="no-sidebar"><article>%s</article></div>', '<div class="content has-comments"><article>%s</article></div>',
+    '<form id="aspnetForm"><div>%s</div></form>', "<table><tr><td>%s</td></tr></table>", "<section id=story>%s</section>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_html_finds_the_article_among_chrome(wrapper):
+    """Pages whose text is known, most of them without an article or main element."""
+    for seed in range(30):
+        r = random.Random(seed)
+        before, after = (r.sample(CHROME, r.randrange(5)) for _ in range(2))
+        assert html.main_text("<html><head><title>t</title></head><body>" + "".join(before) + wrapper % ARTICLE + "".join(after) + "</body></html>") == ARTICLE_TEXT
+
+
+def test_html_density_decides(monkeypatch):
+    """Without any evidence of names the densest subtree is found, and not the page."""
+    monkeypatch.setattr(html, "evidence", lambda *_: html.NONE)
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>go to {i}</a></li>" for i in range(12)) + "</ul></div>"
+    assert html.main_text(f"<body>{links}<div><div>{ARTICLE}</div></div>{links}</body>") == ARTICLE_TEXT
+
+
+def test_html_names_against_an_element():
+    grade = lambda name: html.words_against(name, False)
+    assert [grade(n) for n in ("content", "no-sidebar", "has-comments", "notice-board", "sidebar", "cookie-notice")] == [html.NONE] * 3 + [html.WEAK, html.STRONG, html.STRONG]
+    kept = f"<article>{ARTICLE}<p class='notice-board'>{prose(9, 20)}</p><p class=ad>Buy</p></article>"
+    assert html.main_text(kept) == ARTICLE_TEXT + "\n" + prose(9, 20)
+
+
+@pytest.mark.parametrize("piece", ['<a "', '"', "<a ", "<", "</", '<div "', "<!--", "<svg>", "<script ", "<p>", "<!x"])
+def test_html_takes_time_in_proportion(piece):
+    for head in ("<p>a</p>", "<p>a</p><a "):
+        began = time.perf_counter()
+        html.main_text(head + piece * 20_000)
+        assert time.perf_counter() - began < 5
+
+
 def test_media_round_trip(spark, edges, empty):
     out = media.audio_features(media.store_media(edges))
     texts = {r.doc_id: r.text or "" for r in edges.collect()}
