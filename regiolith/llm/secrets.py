@@ -1,10 +1,11 @@
 """Secrets in text: fixed patterns, and strings that a primed compressor finds new in a sensitive context.
 
 Patterns give spans of the kinds assign, access and hex. The novelty scan then looks at long runs of code
-characters near words such as key, login or bearer: a zstandard dictionary of common identifiers and words is
-combined with the surrounding text, and the bytes that the candidate adds to the compressed context are its
-novelty. Names, paths and repeated strings add few bytes; random material adds almost its entropy, and is
-reported as kind novel unless a pattern span covers it.
+characters near words such as key, login or bearer: a zstandard dictionary of the words that the corpus itself has near
+such words is combined with the surrounding text, and the bytes that the candidate adds to the compressed context are
+its novelty. Names, paths and repeated strings add few bytes; random material adds almost its entropy, and is
+reported as kind novel unless a pattern span covers it. The words are counted over all documents; only plain words
+shorter than a candidate are learned, so that a secret in many copies stays new.
 
 A null or empty text has no spans. Repeated rows and ties are independent rows. An empty table gives no rows.
 Other columns of the input are kept by ``redact`` and ignored elsewhere.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -44,7 +46,10 @@ NEAR = 120
 AROUND = 512
 #: Compressed bits a character that a candidate adds, and the least kinds of characters it has.
 NOVEL_BITS = 4.2
-#: What identifiers and prose are made of; the dictionary is raw content.
+#: Words that the dictionary learns: letters in lower case or with a capital, in so many documents; the most frequent ones.
+LEARNED = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z]?[a-z]{3,14}(?![A-Za-z0-9+/=])")
+LEARNED_DOCS, LEARNED_WORDS = 3, 4_000
+#: What identifiers are made of where the corpus has little to learn from.
 IDENTIFIERS = (
     "username password secret token api_key access_key private_key client_id client_secret authorization bearer "
     "signature session cookie header request response config settings environment variable default example sample "
@@ -67,11 +72,33 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def learned_words(docs: DataFrame) -> bytes:
+    """The most frequent plain words near sensitive words of all documents, most frequent last; at most LEARNED_WORDS."""
+
+    def task():
+        def step(block):
+            counts: Counter[str] = Counter()
+            for text in block["text"]:
+                found, at = set(), 0
+                for m in SENSITIVE.finditer(text):
+                    start = max(at, m.start() - NEAR)
+                    at = max(at, m.end() + NEAR)
+                    found.update(LEARNED.findall(text, start, at))
+                counts.update(found)
+            return {"word": list(counts), "n": list(counts.values())}
+
+        return step
+
+    counted = map_rows(texts(docs), task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEARNED_DOCS)
+    top = counted.orderBy(F.desc("n"), "word").limit(LEARNED_WORDS).collect()
+    return " ".join(r["word"] for r in reversed(top)).encode()
+
+
 class Novelty:
     """Compressed bits that a string adds to its surroundings."""
 
-    def __init__(self, level: int = 9):
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, learned: bytes = b"", level: int = 9):
+        words = zstandard.ZstdCompressionDict(IDENTIFIERS + learned, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compressor = zstandard.ZstdCompressor(
             level=level, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False
         )
@@ -128,9 +155,10 @@ SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 stri
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row for each document: counts by pattern, a digest of the pattern spans, and all spans as text."""
+    learned = learned_words(docs)
 
     def task():
-        novelty = Novelty()
+        novelty = Novelty(learned)
 
         def step(block):
             out = {"doc_id": block["doc_id"], "n_assign": [], "n_access": [], "n_hex": [], "base_sha256": [], "spans": []}
@@ -159,9 +187,10 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """All rows and columns of the input with the secrets in text masked; n_chars follows where there is one."""
+    learned = learned_words(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"))
 
     def task():
-        novelty = Novelty()
+        novelty = Novelty(learned)
 
         def masked(text: str | None) -> str | None:
             if not text:

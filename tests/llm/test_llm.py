@@ -246,6 +246,76 @@ def test_secret_spans(spark, edges, empty):
     assert secrets.find_secrets(empty).count() == secrets.redact(empty).count() == 0
 
 
+def brute_base_spans(text):
+    """The base kinds by plain scanning of characters."""
+    word = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    found = []
+
+    def run(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    lower = "".join(c.lower() if c in word else c for c in text)
+    at = 0
+    while at < len(text):
+        hit = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if not lower.startswith(name, at):
+                continue
+            i = at + len(name)
+            i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+            i = run(i, " ")
+            if text[i : i + 1] not in (":", "="):
+                continue
+            i = run(i + 1, " ")
+            i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+            end = run(i, word | set("+/_.=-"))
+            if end > i:
+                hit = (i, end)
+                break
+        if hit:
+            if hit[1] - hit[0] >= 6:
+                found.append((at, 0, hit[1]))
+            at = hit[1]
+        else:
+            at += 1
+    for kind, head, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), (2, "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), allowed) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    found.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_against_brute_force():
+    pieces_ = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "api__key", "=", ":", " ", "  ", "'", '"', "abcdef", "x/y+z==", "AKIA", "AKIA" + "B7" * 9, "0a" * 14, "0A", "é", "\n", "\t", "ſ", "K", "token=token:abcdefgh"]
+    for seed in range(3_000):
+        r = random.Random(seed)
+        text = "".join(r.choice(pieces_) for _ in range(r.randrange(14)))
+        assert secrets.pattern_spans(text) == brute_base_spans(text), text
+
+
+def test_secrets_learn_words_of_the_corpus(spark):
+    value = "tGz9Kd0LmQ2xVw7Rb4Nc8Yp1Hs5Jf3Ue6Ao2Iq9Z"
+    name = "quonkle_Zarbift_murgeon_Plistow_venkarth1"
+    rows = [(i, f"the login of quonkle and Zarbift by murgeon, Plistow or venkarth {i}; key is {value}") for i in range(20)]
+    learned = secrets.learned_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert b"murgeon" in learned and value.encode() not in learned
+    text = f"key {name}"
+    assert secrets.Novelty().bits(text, 4, len(text)) > secrets.Novelty(learned).bits(text, 4, len(text)) + 1
+    assert secrets.joined(secrets.Novelty(learned).spans(f"key {value}", [])) == "novel:4:44"
+    began = time.perf_counter()
+    secrets.Novelty(learned).spans("key " * 50_000, [])
+    assert time.perf_counter() - began < 5
+
+
 def test_novel_secrets_beside_the_base_words():
     value = "tGz9Kd0LmQ2xVw7Rb4Nc8Yp1Hs5Jf3Ue6Ao2Iq9Z"
     novel = secrets.Novelty()
