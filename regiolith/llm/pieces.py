@@ -3,8 +3,9 @@
 A text of more than CHUNK characters is cut into chunks at fixed places. The pieces that end at or cross a cut
 are the states of that boundary, known from the text around it. Each chunk yields a transfer matrix: the best
 weight of a chain of pieces from every entry state to every exit state. Matrices combine associatively under
-(max, +); the scan over a document gives each chunk its entry and exit state, and every chunk is then traced
-back on its own.
+(max, +), in a tree: products of FAN neighbours each, level by level, until a document has one; then the levels are
+walked down again, where each product's entry and exit state fix those of its parts. So no task gets more than FAN
+matrices of a document, however long it is. Every chunk is then traced back on its own.
 
 Weights. For a unigram model the weight of a piece is its score. A BPE model is a path problem too: a chain of
 pieces is the encoding of its text exactly if every two neighbours are the encoding of theirs, so the weight of
@@ -20,6 +21,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,8 @@ from regiolith.llm.common import checkpointed, map_rows, table, texts
 
 SPACE = "▁"
 CHUNK = 16_384
+#: Matrices that one task combines.
+FAN = 64
 MEMO = 300_000
 UNKNOWN_PENALTY = 10.0
 NONE = float("-inf")
@@ -299,16 +303,33 @@ class Chunk:
         return head + body + as_bytes(trace(self.v, text, None, self.right, goal))
 
 
-def scan(chunks: list[tuple[np.ndarray | None, np.ndarray | None, np.ndarray | None]]) -> list[tuple[int, int]]:
-    """(entry, exit) of every chunk on the best chain, from the (max, +) products before and after each boundary."""
-    before = [np.zeros(1)]
-    for into, leave, whole in chunks:
+Transfer = tuple[np.ndarray | None, np.ndarray | None, np.ndarray | None]
+
+
+def product(a: Transfer, b: Transfer) -> Transfer:
+    """The (max, +) product of two transfer matrices; each is a sum of two vectors or a whole matrix."""
+    if a[2] is None and b[2] is None:
+        return a[0], np.max(a[1] + b[0]) + b[1], None
+    if a[2] is None:
+        return a[0], np.max(a[1][:, None] + b[2], axis=0), None
+    if b[2] is None:
+        return np.max(a[2] + b[0][None, :], axis=1), b[1], None
+    return None, None, np.max(a[2][:, :, None] + b[2][None, :, :], axis=1)
+
+
+def scan(chunks: list[Transfer], entry: int = 0, leave: int = 0) -> list[tuple[int, int]]:
+    """(entry, exit) of every chunk on the best chain from one state to another, from the (max, +) products before and
+    after each boundary."""
+    sizes = lambda m, side: len(m[side]) if m[2] is None else m[2].shape[side]
+    only = lambda n, i: np.where(np.arange(n) == i, 0.0, NONE)
+    before = [only(sizes(chunks[0], 0), entry)]
+    for into, out, whole in chunks:
         row = before[-1]
-        before.append(np.max(row + into) + leave if whole is None else np.max(row[:, None] + whole, axis=0))
-    after = [np.zeros(len(before[-1]))]
-    for into, leave, whole in reversed(chunks):
+        before.append(np.max(row + into) + out if whole is None else np.max(row[:, None] + whole, axis=0))
+    after = [only(sizes(chunks[-1], 1), leave)]
+    for into, out, whole in reversed(chunks):
         column = after[-1]
-        after.append(into + np.max(leave + column) if whole is None else np.max(whole + column[None, :], axis=1))
+        after.append(into + np.max(out + column) if whole is None else np.max(whole + column[None, :], axis=1))
     after.reverse()
     states = [int(np.argmax(b + a)) for b, a in zip(before, after)]
     return list(zip(states, states[1:]))
@@ -361,19 +382,54 @@ def transfers(chunks: DataFrame, model_file: str, kind: str) -> DataFrame:
     return map_rows(chunks, task, "row_id long, k long, into binary, out binary, whole binary, entries long", rows=64)
 
 
-def scanned(group: pd.DataFrame) -> pd.DataFrame:
-    """The scan of one document; its rows are matrices, most of them two short vectors."""
-    group = group.sort_values("k")
+def transfers_of(group: pd.DataFrame) -> list[Transfer]:
     as_array = lambda data: None if data is None else np.frombuffer(data, "<f8")
-    chunks = [
+    return [
         (as_array(i), as_array(o), None if w is None else as_array(w).reshape(n, -1))
         for i, o, w, n in zip(group["into"], group["out"], group["whole"], group["entries"])
     ]
-    found = scan(chunks)
+
+
+def combined(group: pd.DataFrame) -> pd.DataFrame:
+    """The product of the matrices of one block, FAN at most."""
+    group = group.sort_values("k")
+    into, out, whole = functools.reduce(product, transfers_of(group))
+    as_bytes = lambda m: None if m is None else m.astype("<f8").tobytes()
+    first = group.iloc[0]
+    return pd.DataFrame({"row_id": [first["row_id"]], "k": [first["block"]], "into": [as_bytes(into)], "out": [as_bytes(out)], "whole": [as_bytes(whole)], "entries": [len(into) if whole is None else len(whole)]})
+
+
+def scanned(group: pd.DataFrame) -> pd.DataFrame:
+    """The states of the matrices of one block, whose own states are known."""
+    group = group.sort_values("k")
+    found = scan(transfers_of(group), int(group["block_entry"].iloc[0]), int(group["block_leave"].iloc[0]))
     return pd.DataFrame({"row_id": group["row_id"], "k": group["k"], "entry": [a for a, _ in found], "leave": [b for _, b in found]})
 
 
-def encode(docs: DataFrame, model_file: str, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
+def chunk_states(matrices: DataFrame, chunks: int, fan: int = FAN) -> DataFrame:
+    """(row_id, k, entry, leave) of every chunk. ``chunks``: the most that a document has, which gives the levels."""
+    tasks = int(matrices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the rows are small, the work is not: one number of tasks
+
+    def in_blocks(df: DataFrame):
+        return df.repartition(tasks, "row_id", "block").groupBy("row_id", "block")
+
+    levels = [matrices.withColumn("block", F.floor(F.col("k") / fan))]
+    while chunks > fan:
+        chunks = -(-chunks // fan)
+        parts = levels[-1] = checkpointed(levels[-1])
+        above = in_blocks(parts).applyInPandas(combined, "row_id long, k long, into binary, out binary, whole binary, entries long")
+        levels.append(above.withColumn("block", F.floor(F.col("k") / fan)))
+    states = None  # a document has one block at the top, with one way in and one way out
+    for level in reversed(levels):
+        if states is None:
+            held = level.withColumn("block_entry", F.lit(0)).withColumn("block_leave", F.lit(0))
+        else:
+            held = level.join(states.withColumnsRenamed({"k": "block", "entry": "block_entry", "leave": "block_leave"}), ["row_id", "block"])
+        states = in_blocks(held).applyInPandas(scanned, "row_id long, k long, entry long, leave long")
+    return states
+
+
+def encode(docs: DataFrame, model_file: str, kind: str = "bpe", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(doc_id, ids): ids of every document as little-endian 32-bit bytes."""
     base = texts(docs)
     is_giant = F.length("text") + 1 > chunk
@@ -402,11 +458,15 @@ def encode(docs: DataFrame, model_file: str, kind: str = "bpe", chunk: int = CHU
     # Rows are told apart by a number of their own, fixed by a checkpoint: ids may be null or repeated.
     giants = checkpointed(base.where(is_giant).withColumn("row_id", F.monotonically_increasing_id()))
     cut = chunk_rows(giants.select("row_id", "text"), model_file, kind, chunk)
-    states = transfers(cut, model_file, kind).groupBy("row_id").applyInPandas(scanned, "row_id long, k long, entry long, leave long")
+    longest = giants.agg(F.max(F.length("text"))).first()[0] or 0
+    states = chunk_states(transfers(cut, model_file, kind), -(-(longest + 1) // chunk), fan)
     parts = map_rows(cut.join(states, ["row_id", "k"]), traced, "row_id long, k long, ids binary", rows=64)
     whole = parts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda done, p: F.concat(done, p["ids"]))
-    long = whole.select("row_id", joined.alias("ids")).join(giants.select("row_id", "doc_id"), "row_id")
+
+    def joined():
+        return lambda block: {"row_id": block["row_id"], "ids": [b"".join(p["ids"] for p in parts) for parts in block["parts"]]}
+
+    long = map_rows(whole, joined, "row_id long, ids binary", rows=16).join(giants.select("row_id", "doc_id"), "row_id")
     return one.unionByName(long.select("doc_id", "ids"))
 
 

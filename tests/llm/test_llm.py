@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its edge cases."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -352,7 +353,13 @@ def test_pieces_equal_the_library(spark, edges, empty):
         t = "".join(random.choice(["a", "the", "ing", " ", "  ", "é", "1", "\n", "tion", " in", "漢", "e", "t"]) for _ in range(50))
         n = pieces.normalised(t)
         chunks = [pieces.Chunk(v, x, f, s, len(n)) for _, x, f, s in pieces.cut_chunks(n, v.longest, 37)]
-        states = pieces.scan([c.matrix() for c in chunks])
+        matrices = [c.matrix() for c in chunks]
+        states = pieces.scan(matrices)
+        half = len(matrices) // 2
+        if half:  # products of parts, and states from the top down, are those of the whole
+            parts = [functools.reduce(pieces.product, m) for m in (matrices[:half], matrices[half:])]
+            (a, middle), (_, z) = pieces.scan(parts)
+            assert pieces.scan(matrices[:half], a, middle) + pieces.scan(matrices[half:], middle, z) == states
         assert np.frombuffer(b"".join(c.ids(a, b, words) for c, (a, b) in zip(chunks, states)), "<u4").tolist() == library.encode(t)
 
 
@@ -366,7 +373,7 @@ def test_giant_rows_without_an_own_id(spark):
     one, two, three = prose(11, 900), prose(12, 700), prose(13, 800)
     rows = [(None, one), (None, two), (None, two), (1, one), (1, one), (2, two), (2, three), (2, "short"), (None, "short")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in pieces.encode(docs, path, chunk=1024).collect()]
+    got = [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in pieces.encode(docs, path, chunk=512, fan=3).collect()]
     assert sorted(got, key=str) == sorted([(i, library.encode(t)) for i, t in rows], key=str)
 
 
