@@ -1,10 +1,11 @@
 """Quality scores by compression: dictionaries of good and of bad text, and the difference they make.
 
-Zstandard dictionaries are trained on a bounded sample of labelled texts of each class. A text is cut into
-blocks, and each block is compressed apart with either dictionary, so that the dictionary and not the text's
-own repetition decides. The difference of the two sizes, normalised by their sum, is calibrated by logistic
-regression, over all blocks and for the blocks where it is least (a poor passage may lie in a good text), together
-with the sizes for each byte and the size of the text compressed as a whole.
+Zstandard dictionaries are trained on all blocks of the whole texts of a bounded sample of labelled rows of each class.
+A text is cut into blocks, and each block is compressed apart with either dictionary, so that the dictionary and not
+the text's own repetition decides. Differences of two sizes, normalised by their sum, are the only inputs of the score:
+between the bad dictionary and the good one over the whole text and for those of its blocks where it is least (a poor
+passage may lie in a good text), and between either one, no dictionary, the text as one piece, and the text itself.
+Logistic regression calibrates these differences and their products.
 
 A null or empty text is scored from sizes of 0 and gets a constant score between 0 and 1. Without labels the
 score is the constant 0.5. Labels are read only outside the held-out fold; text is the only input of a score.
@@ -26,16 +27,17 @@ from regiolith.llm.common import fold, is_held_out, map_rows, table, texts, trai
 
 #: Labelled rows of each class that the model is fitted on: a bounded sample.
 PER_CLASS = 2_000
-#: Bytes of a training passage and passages of a document, evenly spread; they bound what the driver holds.
-PASSAGE, PASSAGES = 2_048, 6
+#: Bytes that are compressed at once.
 BLOCK = 384
 DICTIONARY = 64 * 1024
 LEVEL = 3
 THRESHOLD = 0.3
-SIZES = 9
-FEATURES = SIZES * (SIZES + 3) // 2
+#: Shares of the blocks, the poorest first, whose last difference counts.
+SHARES = (0.0, 0.1, 0.33)
+DIFFERENCES = 7 + len(SHARES)
+FEATURES = DIFFERENCES * (DIFFERENCES + 3) // 2
 
-UPPER = np.triu_indices(SIZES)
+UPPER = np.triu_indices(DIFFERENCES)
 
 
 @dataclass
@@ -45,8 +47,12 @@ class Model:
     calibration: fitting.Calibration
 
 
-class Sizes:
-    """Compressed sizes of a text with the good dictionary, the bad one, and as a whole."""
+def blocks_of(data: bytes) -> list[bytes]:
+    return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+
+
+class Differences:
+    """Normalised differences of the sizes of a text compressed with the bad dictionary and with the good one."""
 
     def __init__(self, good: bytes, bad: bytes):
         def primed(content: bytes):
@@ -56,48 +62,45 @@ class Sizes:
             words.precompute_compress(level=LEVEL)
             return zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_dict_id=False)
 
-        self.good, self.bad = primed(good).compress, primed(bad).compress
-        self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False).compress
+        self.good, self.bad, self.plain = primed(good).compress, primed(bad).compress, primed(b"").compress
 
     def features(self, text: str) -> list[float]:
-        """The sizes and their products of two, which let the calibration bend."""
-        x = np.array(self.sizes(text))
+        """The differences and their products of two, which let the calibration bend."""
+        x = np.array(self.differences(text))
         return [*x, *np.outer(x, x)[UPPER]]
 
-    def sizes(self, text: str) -> list[float]:
+    def differences(self, text: str) -> list[float]:
         data = text.encode("utf-8", "surrogatepass")
         if not data:
-            return [0.0] * SIZES
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        good = [len(self.good(b)) for b in blocks]
-        bad = [len(self.bad(b)) for b in blocks]
-        g, b, n = sum(good), sum(bad), len(data)
-        differences = sorted((y - x) / (x + y) for x, y in zip(good, bad))
-        whole = [x / len(z) for x, z in zip(good, blocks) if 2 * len(z) > BLOCK] or [g / n]
-        return [
-            (b - g) / (b + g), differences[0], differences[len(differences) // 10], differences[len(differences) // 3], g / n, b / n,
-            min(whole), len(self.plain(data)) / n, math.log1p(n),
-        ]
-
-
-def passages(sample: DataFrame) -> DataFrame:
-    """(doc_id, y, passage) of a bounded sample: PASSAGES evenly spread parts of each text."""
+            return [0.0] * DIFFERENCES
+        blocks = blocks_of(data)
+        good, bad, plain = (np.array([len(c(b)) for b in blocks]) for c in (self.good, self.bad, self.plain))
+        g, b, p, whole, n = good.sum(), bad.sum(), plain.sum(), len(self.plain(data)), len(data)
+        least = np.sort((bad - good) / (bad + good))
+        size = np.array([len(x) for x in blocks])
+        size = size[2 * size > BLOCK] if len(size) > 1 else size  # a short rest compresses badly
+        packed = np.sort((size - good[: len(size)]) / (size + good[: len(size)]))
+        between = lambda x, y: (x - y) / (x + y)
+        return [between(b, g), between(p, g), between(p, b), between(p, whole), between(n, g), between(n, b), packed[-1], *(least[int(share * len(least))] for share in SHARES)]
+
+
+def blocks_of_sample(sample: DataFrame) -> DataFrame:
+    """(doc_id, y, at, block): all blocks of the texts of a bounded sample of rows."""
 
     def task():
         def step(block):
-            out = {"doc_id": [], "y": [], "passage": []}
+            out = {"doc_id": [], "y": [], "at": [], "block": []}
             for doc_id, text, y in zip(block["doc_id"], block["text"], block["y"]):
-                data = text.encode("utf-8", "surrogatepass")
-                starts = np.unique(np.linspace(0, max(0, len(data) - PASSAGE), PASSAGES).astype(int)) if data else []
-                for at in starts:
-                    out["doc_id"].append(doc_id)
-                    out["y"].append(y)
-                    out["passage"].append(data[at : at + PASSAGE])
+                found = blocks_of(text.encode("utf-8", "surrogatepass"))
+                out["doc_id"] += [doc_id] * len(found)
+                out["y"] += [y] * len(found)
+                out["at"] += range(len(found))
+                out["block"] += found
             return out
 
         return step
 
-    return map_rows(sample, task, "doc_id long, y int, passage binary")
+    return map_rows(sample, task, "doc_id long, y int, at long, block binary")
 
 
 def dictionary(samples: list[bytes]) -> bytes:
@@ -113,16 +116,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     share = usable.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     sample = training_rows(docs, labels, "quality", per_class).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)))
     rows = sorted(
-        ((r["y"], r["doc_id"], bytes(r["passage"])) for r in passages(sample.where("half = 0").drop("half")).collect()),
+        (r["y"], r["doc_id"], r["at"], bytes(r["block"])) for r in blocks_of_sample(sample.where("half = 0").drop("half")).collect()
     )
-    good = dictionary([p for y, _, p in rows if y == 1])
-    bad = dictionary([p for y, _, p in rows if y == 0])
+    good = dictionary([b for y, _, _, b in rows if y == 1])
+    bad = dictionary([b for y, _, _, b in rows if y == 0])
 
     def task():
-        sizes = Sizes(good, bad)
+        found = Differences(good, bad)
 
         def step(block):
-            return {"doc_id": block["doc_id"], "y": block["y"], "x": [sizes.features(t) for t in block["text"]]}
+            return {"doc_id": block["doc_id"], "y": block["y"], "x": [found.features(t) for t in block["text"]]}
 
         return step
 
@@ -136,10 +139,10 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     """(doc_id, held_out, score, predicted) of every document."""
 
     def task():
-        sizes = Sizes(model.good, model.bad)
+        found = Differences(model.good, model.bad)
 
         def step(block):
-            return {"doc_id": block["doc_id"], "score": [model.calibration(sizes.features(t)) for t in block["text"]]}
+            return {"doc_id": block["doc_id"], "score": [model.calibration(found.features(t)) for t in block["text"]]}
 
         return step
 
