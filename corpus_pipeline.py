@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of documents;
 the last returns the pieces of the packed sequences.
+
+A null or empty text scores as clean, and goes at the quality rules, which ask for 50 words. A row without doc_id is
+judged by its text like any other and is nobody's near duplicate. Of rows equal in doc_id and text one stays; rows that
+only share the doc_id stay or go by their own groups. Ties between near duplicates go to the least doc_id. An empty table
+gives an empty result with the same columns. Further columns of documents, whatever their names, pass through all stages
+but the last.
 """
 
 from __future__ import annotations
@@ -43,7 +49,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express the scores of the first stage; the tests hold each stage against a brute-force version.
+#: SQL cannot express the scores of the first stage; the tests hold the rules, the near duplicates, the masks and the packing
+#: against brute-force versions, and the scores against labels that were held out.
 ORACLE_SQL = None
 
 
