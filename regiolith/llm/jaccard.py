@@ -385,8 +385,9 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     )
     third = components(third_edges).withColumnsRenamed({"node": "comp", "component": "joined"})
     named = now.join(third, "comp", "left").select("doc_id", "k1", "k2", F.coalesce("joined", "comp").alias("root"))
-    least_ids = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("k1", "k2", "root").join(least_ids, "root")
+    joint = named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    joint = checkpointed(joint.where("classes > 1").select("root", "component_id"))  # a class alone has its own least doc_id
+    named = named.join(sized(joint, joint.count()), "root", "left").select("k1", "k2", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
     return (
         rows.select("doc_id", "n", "k1", "k2")
         .join(named, ["k1", "k2"], "left")
