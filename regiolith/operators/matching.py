@@ -21,6 +21,16 @@ def prepared(df: DataFrame) -> DataFrame:
     )
 
 
+def rarest_words(rows: DataFrame, often: DataFrame, key: str, tokens: str, part: float) -> DataFrame:
+    """(key, tokens, word): of rows with at least two words, as many of the rarest words (word, count) as two rows that share
+    ``part`` of the longer one's words, and two at least, cannot both miss."""
+    n = F.size(tokens)
+    miss = n - F.greatest(F.lit(2), F.ceil(n * part)).cast("int")
+    counted = rows.where(n >= 2).withColumn("word", F.explode(tokens)).join(often, "word")
+    ordered = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("count", "word"))).alias("ordered"), F.first(tokens).alias(tokens))
+    return ordered.where(miss >= 0).select(key, tokens, F.explode(F.slice("ordered", F.lit(1), miss + 1)).alias("x")).select(key, tokens, F.col("x.word").alias("word"))
+
+
 def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(target_id, source_id, score, tier): the best source row of each target row.
 
@@ -51,12 +61,14 @@ def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8)
         found = tier_of(rest, key, score, keep, number, name)
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select(F.col("target_id").alias("id")), "id", "left_anti")
-    words = rest.select("id", "tokens", F.explode("tokens").alias("word"))
-    others = s.select("s_id", "s_tokens", F.explode("s_tokens").alias("word"))
-    shared = words.join(others, "word").groupBy("id", "s_id").agg(
-        F.count(F.lit(1)).alias("shared"), F.first(F.size("tokens")).alias("n"), F.first(F.size("s_tokens")).alias("m")
-    )
-    overlap = F.col("shared") / F.greatest("n", "m")
+    # Names that share so large a part of their words share one of their rarest ones; only those are joined on.
+    part = threshold / 0.8 - 1e-9
+    both = rest.select("id", "tokens").unionByName(s.select(F.col("s_tokens").alias("tokens")), allowMissingColumns=True)
+    often = both.select(F.explode("tokens").alias("word")).groupBy("word").count()
+    words = rarest_words(rest.select("id", "tokens"), often, "id", "tokens", part)
+    others = rarest_words(s.select("s_id", "s_tokens"), often, "s_id", "s_tokens", part)
+    shared = words.join(others, "word").drop("word").distinct().withColumn("shared", F.size(F.array_intersect("tokens", "s_tokens")))
+    overlap = F.col("shared") / F.greatest(F.size("tokens"), F.size("s_tokens"))
     last = best(shared.withColumn("score", 0.8 * overlap).where((F.col("shared") >= 2) & (F.col("score") >= threshold - 1e-9)), 5, "words")
     return out.unionByName(last)
 

@@ -143,11 +143,7 @@ def cluster_features(spark, sf_dir):
     return rounded(m.groupBy("cluster_id").agg(F.avg("value").alias("safety"), F.avg(F.col("value").isNotNull().cast("int")).alias("quality")))
 
 
-@query(
-    "D20_cluster_pairs",
-    "with c as (select distinct cluster_id from member) select x.cluster_id a, y.cluster_id b from c x join c y on x.cluster_id < y.cluster_id where substr(x.cluster_id, 1, 4) = substr(y.cluster_id, 1, 4)",
-)
+@query("D20_cluster_pairs", "with c as (select distinct cluster_id from member) select x.cluster_id a, y.cluster_id b from c x join c y on x.cluster_id < y.cluster_id")
 def cluster_pairs(spark, sf_dir):
-    c = view(spark, sf_dir, "member").select("cluster_id", F.substring("cluster_id", 1, 4).alias("region")).distinct()
-    x, y = c.withColumnRenamed("cluster_id", "a"), c.withColumnRenamed("cluster_id", "b")
-    return x.join(y, "region").where("a < b").select("a", "b")
+    c = view(spark, sf_dir, "member").select("cluster_id").distinct()  # clusters, not their members
+    return c.withColumnRenamed("cluster_id", "a").join(c.withColumnRenamed("cluster_id", "b"), F.col("a") < F.col("b"))

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from regiolith.operators import clusters as K
 from regiolith.operators import projections as P
+from regiolith.operators import scorecards as C
 from regiolith.operators import scores as S
 from regiolith.operators.profiles import dominant_place
+from regiolith.operators.reports import type_of
+from regiolith.operators.strategy import critical_mass
 from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.projections import IMPACT
 from regiolith.plans.registry import query
+from regiolith.plans.scores import CLUSTER_TYPE, cluster_type
+from regiolith.plans.strategy import ASSETS, CENTRAL, CRITICAL_MASS, values
 from regiolith.plans.views import view
 
 
@@ -53,38 +58,67 @@ def evaluate_cluster(spark, sf_dir):
 
 @query(
     "J15_sustainability",
-    """with c as (select cluster_id, county k, count(*) n from member group by 1, 2), s as (select cluster_id, n / sum(n) over (partition by cluster_id) p from c), h as (select cluster_id, sum(p * p) hhi from s group by 1),
-    d as (select cluster_id, naics_code k, count(*) n from member group by 1, 2), e as (select cluster_id, n / sum(n) over (partition by cluster_id) p from d), v as (select cluster_id, case when count(*) > 1 then -sum(p * ln(p)) / ln(count(*)) else 0 end evenness from e group by 1)
-    select cluster_id, round(least(1.0, 1.2 * (0.5 * (1 - hhi) + 0.5 * evenness)), 6) sustainability from h join v using (cluster_id)""",
+    f"""with mass as ({CRITICAL_MASS}), c as (select cluster_id, county k, count(*) n from member group by 1, 2), s as (select cluster_id, n / sum(n) over (partition by cluster_id) p from c), h as (select cluster_id, sum(p * p) density from s group by 1),
+    d as (select cluster_id, case when employees < 50 then 1 when employees < 500 then 2 else 3 end k, count(*) n from member group by 1, 2), e as (select cluster_id, n / sum(n) over (partition by cluster_id) p from d), v as (select cluster_id, -sum(p * ln(p)) / 1.099::double diversity from e group by 1),
+    t(chain, code) as (values ('l', '484'), ('l', '488'), ('l', '493'), ('m', '332'), ('m', '333'), ('m', '336'), ('b', '325'), ('b', '3254'), ('b', '541'), ('t', '511'), ('t', '518'), ('t', '541')),
+    x as (select cluster_id, max(k) / 3 supply_chain from (select cluster_id, chain, count(distinct code) k from member join t on code = substr(naics_code, 1, 3) group by 1, 2) group by 1)
+    select h.cluster_id, round(coalesce(supply_chain, 0), 4) supply_chain, round(density, 4) density, round(diversity, 4) diversity, round(least(100.0::double, 1.2::double * (0.5::double * critical_mass + 20 * coalesce(supply_chain, 0) + 15 * density + 15 * diversity)), 4) sustainability
+    from h join v on v.cluster_id = h.cluster_id left join x on x.cluster_id = h.cluster_id join mass on mass.cluster_id = h.cluster_id""",
 )
 def sustainability(spark, sf_dir):
     m = view(spark, sf_dir, "member")
-    j = K.hhi(m, "cluster_id", F.col("county")).join(K.shannon(m, "cluster_id", F.col("naics_code")), "cluster_id")
-    return rounded(j.select("cluster_id", F.least(F.lit(1.0), 1.2 * (0.5 * (1 - F.col("hhi")) + 0.5 * F.col("evenness"))).alias("sustainability")))
+    return rounded(C.sustainability(m, critical_mass(m, view(spark, sf_dir, "business"))), 4)
+
+
+PARTNERS = [("logistics", "manufacturing"), ("biosciences", "technology"), ("manufacturing", "technology"), ("logistics", "technology")]
+REQUIRED = [("logistics", "rail_capacity"), ("logistics", "highway_access"), ("technology", "broadband_speed"), ("technology", "tech_workforce"), ("biosciences", "lab_space"), ("biosciences", "university_research"), ("manufacturing", "industrial_power"), ("manufacturing", "skilled_manufacturing")]
+STRATEGIC = [(t, c) for t in C.STRATEGIC_TYPES for c in (*CENTRAL, "JAPAN", "CHINA", "GERMANY", "KENYA", "EGYPT")]
+LESS_PART = "select n_name county, (['" + "','".join(ASSETS) + "'])[cast(p_partkey % 9 + 1 as int)] asset from part join nation on n_nationkey = p_partkey % 20 where p_partkey % 25 <> n_nationkey % 7"
+
+
+def typed_members(spark, sf_dir):
+    return view(spark, sf_dir, "member").withColumn("type", cluster_type())
 
 
 @query(
     "J18_strategic_alignment",
-    """with c as (select distinct cluster_id, county from member), g as (select cluster_id, count(*) n from member group by 1), s as (select x.cluster_id a, y.cluster_id b, count(*) shared from c x join c y on x.county = y.county and x.cluster_id < y.cluster_id group by 1, 2)
-    select a, b, round(0.5 * least(1.0, shared / 5.0) + 0.5 * (1 - abs(p.n - q.n) / greatest(p.n, q.n)), 6) alignment from s join g p on p.cluster_id = a join g q on q.cluster_id = b""",
+    f"""with typed as (select *, {CLUSTER_TYPE} type from member), asset as (select distinct county, asset from ({LESS_PART})), {values("required", "type, asset", REQUIRED)}, {values("strategic", "type, county", STRATEGIC)}, {values("pairs", "x, y", PARTNERS)},
+    g as (select cluster_id, type, count(*) n, count(distinct substr(naics_code, 1, 3)) codes, stddev_samp(employees) spread from typed group by 1, 2),
+    met as (select cluster_id, count(*) met from (select t.cluster_id, r.asset from typed t join required r on r.type = t.type join asset a on a.asset = r.asset and a.county = t.county join g on g.cluster_id = t.cluster_id group by 1, 2 having count(*) / max(g.n) > 0.7::double) group by 1),
+    central as (select cluster_id, count(*) central from typed join strategic using (type, county) group by 1)
+    select g.cluster_id, cast(least(100, 50 + 10 * coalesce(met, 0) + case when coalesce(central, 0) / n > 0.6::double then 15 else 0 end + case when n >= 50 then 10 when n >= 30 then 5 else 0 end) as int) alignment,
+      cast(least(100, 50 + case when codes > 3 then 10 else 0 end + case when spread > 50 then 10 else 0 end + 5 * (select count(*) from pairs where x = g.type or y = g.type)) as int) synergy_potential
+    from g left join met on met.cluster_id = g.cluster_id left join central on central.cluster_id = g.cluster_id""",
 )
 def strategic_alignment(spark, sf_dir):
-    m = view(spark, sf_dir, "member")
-    g = m.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    s = K.member_jaccard(m, "cluster_id", "county").select("a", "b", "shared")
-    j = s.join(g.select(F.col("cluster_id").alias("a"), F.col("n").alias("p")), "a").join(g.select(F.col("cluster_id").alias("b"), F.col("n").alias("q")), "b")
-    score = 0.5 * F.least(F.lit(1.0), F.col("shared") / 5.0) + 0.5 * (1 - F.abs(F.col("p") - F.col("q")) / F.greatest("p", "q"))
-    return rounded(j.select("a", "b", score.alias("alignment")))
+    n = view(spark, sf_dir, "nation").select("n_name", "n_nationkey")
+    names = F.array(*[F.lit(a) for a in ASSETS])
+    p = view(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 20).alias("n_nationkey")).join(F.broadcast(n), "n_nationkey").where(F.col("p_partkey") % 25 != F.col("n_nationkey") % 7)
+    has = p.select(F.col("n_name").alias("county"), F.get(names, (F.col("p_partkey") % 9).cast("int")).alias("asset"))
+    required, strategic = spark.createDataFrame(REQUIRED, "type string, asset string"), spark.createDataFrame(STRATEGIC, "type string, county string")
+    partners = spark.createDataFrame([(t, sum(t in pair for pair in PARTNERS)) for t in sorted({t for pair in PARTNERS for t in pair})], "type string, partners int")
+    return C.strategic_alignment(typed_members(spark, sf_dir), has, required, strategic, partners)
+
+
+@query(
+    "J18_strategic_pair_synergy",
+    f"""with {values("pairs", "x, y", PARTNERS)}, g as (select cluster_id, {CLUSTER_TYPE} type, count(*) n from member group by 1), c as (select distinct cluster_id, county from member),
+    s as (select p.cluster_id a, q.cluster_id b, count(*) shared from c p join c q on p.county = q.county and p.cluster_id < q.cluster_id group by 1, 2)
+    select p.cluster_id a, q.cluster_id b, cast(least(100, case when (least(p.type, q.type), greatest(p.type, q.type)) in (('logistics', 'manufacturing'), ('animal_health', 'biosciences'), ('manufacturing', 'technology')) then 30 else 0 end + 10 * coalesce(shared, 0) + case when abs(p.n - q.n) between 10 and 30 then 15 else 0 end) as int) synergy
+    from pairs join g p on p.type in (x, y) join g q on q.type in (x, y) and q.type <> p.type and p.cluster_id < q.cluster_id left join s on s.a = p.cluster_id and s.b = q.cluster_id""",
+)
+def strategic_pair_synergy(spark, sf_dir):
+    return C.strategic_pair_synergy(typed_members(spark, sf_dir), spark.createDataFrame(PARTNERS, "type string, other string"))
 
 
 @query(
     "J24_workforce_scores",
-    "with g as (select cluster_id, sum(employees) e, count(distinct substr(naics_code, 1, 3)) codes, avg(2024 - year_established) age from member group by 1) select cluster_id, round(0.5 * least(1.0, e / 20000.0) + 0.3 * least(1.0, codes / 5.0) + 0.2 * least(1.0, age / 30.0), 6) score from g",
+    f"""with {values("gaps", "type, skill_gaps", C.SKILL_GAPS.items())}, g as (select cluster_id, {CLUSTER_TYPE} type, sum(employees) employees from member group by 1), s as (select *, case when employees > 100 then 70.0::double else 50.0::double end a, case when type in ('technology', 'biosciences') then 60.0::double else 40.0::double end p from g)
+    select cluster_id, cast(employees as bigint) employees, a skills_availability, p talent_pipeline, 65.0::double wage_competitiveness, coalesce(skill_gaps, '') skill_gaps, round(0.4::double * a + 0.4::double * p + 13, 6) score from s left join gaps using (type)""",
 )
 def workforce_scores(spark, sf_dir):
-    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.sum("employees").alias("e"), F.count_distinct(F.substring("naics_code", 1, 3)).alias("codes"), F.avg(F.lit(AS_OF) - F.col("year_established")).alias("age"))
-    score = 0.5 * F.least(F.lit(1.0), F.col("e") / 20000.0) + 0.3 * F.least(F.lit(1.0), F.col("codes") / 5.0) + 0.2 * F.least(F.lit(1.0), F.col("age") / 30.0)
-    return rounded(g.select("cluster_id", score.alias("score")))
+    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.sum("employees").alias("employees"))
+    return rounded(C.workforce_scores(g.withColumn("type", cluster_type())))
 
 
 @query(
@@ -126,15 +160,23 @@ def recommendations(spark, sf_dir):
 
 @query("L4_predict_business")
 def predict_business(spark, sf_dir):
+    """Two forests on the logarithms of revenue and employees, read back and not under 0; unknown places and codes are kept."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    b = view(spark, sf_dir, "business").select("business_id", "county", F.substring("naics_code", 1, 3).alias("code"), (F.lit(AS_OF) - F.col("year_established")).alias("age"), F.log1p("revenue_estimate").alias("label"))
-    index = StringIndexer(inputCols=["county", "code"], outputCols=["county_i", "code_i"], handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=["county_i", "code_i"], outputCols=["county_v", "code_v"], handleInvalid="keep")
-    stages = [index, hot, VectorAssembler(inputCols=["age", "county_v", "code_v"], outputCol="features"), RandomForestRegressor(numTrees=10, seed=42)]
-    return rounded(Pipeline(stages=stages).fit(b).transform(b).select("business_id", F.expm1("prediction").alias("revenue")), 2)
+    b = view(spark, sf_dir, "business").select(
+        "business_id", F.coalesce("county", F.lit("Unknown")).alias("county"), F.rpad(F.substring("naics_code", 1, 4), 4, "0").alias("code"), F.coalesce("state", F.lit("Other")).alias("region"),
+        F.coalesce(type_of(F.col("naics_code")), F.lit("Other")).alias("type"), F.greatest(F.lit(0), F.coalesce(F.lit(AS_OF) - F.col("year_established"), F.lit(0))).alias("age"),
+        F.log1p("revenue_estimate").alias("log_revenue"), F.log1p("employees").alias("log_employees"),
+    )
+    places = ["county", "code", "region", "type"]
+    index = StringIndexer(inputCols=places, outputCols=[f"{c}_i" for c in places], handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in places], outputCols=[f"{c}_v" for c in places], handleInvalid="keep")
+    forests = [RandomForestRegressor(labelCol=f"log_{c}", predictionCol=f"predicted_{c}", numTrees=10, seed=42) for c in ("revenue", "employees")]
+    found = Pipeline(stages=[index, hot, VectorAssembler(inputCols=["age", *[f"{c}_v" for c in places]], outputCol="features"), *forests]).fit(b).transform(b)
+    back = lambda c: F.greatest(F.lit(0.0), F.expm1(c))
+    return rounded(found.select("business_id", back("predicted_revenue").alias("revenue"), F.round(back("predicted_employees")).cast("long").alias("employees")), 2)
 
 
 @query("J29_market_context", "with t as (select case when naics_code like '5%' then 'services' when naics_code like '4%' then 'logistics' else 'goods' end type, revenue_estimate r, employees e from business) select type, count(*) n, round(avg(r), 2) revenue, avg(e) > 250 large from t group by 1")

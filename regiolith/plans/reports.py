@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from regiolith.operators import clusters as K
 from regiolith.operators import reports as R
+from regiolith.operators import scorecards as C
 from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.registry import query
+from regiolith.plans.scores import FAVOR, favored
+from regiolith.plans.strategy import values
 from regiolith.plans.views import view
 from regiolith.streaming.runs import shared_folder
 
@@ -158,11 +161,21 @@ def missing_needs(spark, sf_dir):
     return R.missing_needs(m, spark.createDataFrame(NEEDS_BY_TYPE, "type string, item string, least double"), ["sites", "patents", "talent", "freight"])
 
 
-@query("D15_join_macro", "select business_id, round(revenue_estimate * (select avg(value) from events), 2) adjusted, case when naics_code like '5%' then 'services' else 'goods' end sector from business")
+@query(
+    "D15_join_macro",
+    """with i as (select event_type indicator, avg(value) as value from events group by 1), w as (select max(value) filter (where indicator = 'click') unemployment, max(value) filter (where indicator = 'purchase') gdp_growth, max(value) filter (where indicator = 'view') electricity from i),
+    t as (select (['technology', 'biosciences', 'manufacturing'])[cast(user_id % 3 + 1 as int)] sector, avg(value) momentum from events group by 1),
+    b as (select *, case when naics_code like '325%' then 'biosciences' when naics_code like '54%' then 'technology' when naics_code like '33%' or naics_code like '52%' then 'manufacturing' end sector from business)
+    select business_id, round(unemployment, 6) macro_unemployment, round(gdp_growth, 6) macro_gdp_growth, round(electricity, 6) energy_cost_index, round(momentum, 6) sector_momentum from b left join t using (sector) cross join w""",
+)
 def join_macro(spark, sf_dir):
-    macro = view(spark, sf_dir, "events").agg(F.avg("value").alias("indicator"))
-    b = view(spark, sf_dir, "business").crossJoin(F.broadcast(macro))  # one row
-    return b.select("business_id", F.round(F.col("revenue_estimate") * F.col("indicator"), 2).alias("adjusted"), F.when(F.col("naics_code").startswith("5"), "services").otherwise("goods").alias("sector"))
+    e = view(spark, sf_dir, "events")
+    name = F.create_map(*[F.lit(x) for pair in (("click", "unemployment"), ("purchase", "gdp_growth"), ("view", "electricity")) for x in pair])
+    indicators = e.groupBy("event_type").agg(F.avg("value").alias("value")).select(F.try_element_at(name, F.col("event_type")).alias("indicator"), "value")
+    sector = F.get(F.array(F.lit("technology"), F.lit("biosciences"), F.lit("manufacturing")), (F.col("user_id") % 3).cast("int"))
+    momentum = e.groupBy(sector.alias("sector")).agg(F.avg("value").alias("momentum"))
+    out = C.join_macro(view(spark, sf_dir, "business").select("business_id", "naics_code"), indicators, momentum)
+    return rounded(out.drop("naics_code"))
 
 
 @query(
@@ -186,10 +199,15 @@ def alignment(spark, sf_dir):
     return rounded(R.alignment(c, u))
 
 
-@query("E21_county_growth", "select county, count(*) n, round(avg(2024 - year_established), 6) age, cast(sum(patent_count) as bigint) patents, case when avg(2024 - year_established) < 20 and sum(patent_count) > 100 then 'emerging' when count(*) > 60 then 'core' else 'steady' end zone from business group by 1")
+@query(
+    "E21_county_growth",
+    f"""with {FAVOR}, g as (select county, count(*) businesses, avg(2024 - year_established) average_age, sum(patent_count) patents, count(distinct cluster_id) clusters, sum((40.0::double + business_id % 50) * case when gdp > 0 then 1.1::double else 1.05::double end) / count(*) growth, max(market_score) market from member join favor using (cluster_id) group by 1),
+    p as (select *, round(0.3::double * growth + 20 * greatest(0, (10 - average_age) / 10) + 20 * least(patents / 10, 1) + 30 * market, 6) potential from g)
+    select county, businesses, round(average_age, 6) average_age, cast(patents as bigint) patents, clusters, round(growth, 6) growth, round(market, 6) market, potential, case when potential >= 70 then 'hot growth' when potential >= 50 then 'high potential' when potential >= 30 then 'emerging' else 'developing' end as "zone" from p""",
+)
 def county_growth(spark, sf_dir):
-    g = view(spark, sf_dir, "business").groupBy("county").agg(F.count(F.lit(1)).alias("n"), F.avg(F.lit(AS_OF) - F.col("year_established")).alias("age"), F.sum("patent_count").alias("patents"))
-    return rounded(g.withColumn("zone", F.when((F.col("age") < 20) & (F.col("patents") > 100), "emerging").when(F.col("n") > 60, "core").otherwise("steady")))
+    m = view(spark, sf_dir, "member").withColumn("composite_score", F.lit(40.0) + F.col("business_id") % 50)
+    return rounded(C.county_growth(m, favored(spark, sf_dir), AS_OF))
 
 
 @query(
@@ -229,7 +247,12 @@ def workforce_needs(spark, sf_dir):
     return rounded(R.workforce_needs(m, 5), 4, wages=2)
 
 
-@query("K10_innovation_by_type", f"select {TYPE} type, round(sum(revenue_estimate) * 0.000002::double, 6) patents, round(sum(sbir_awards) * 1.5::double, 6) awards from business group by 1")
+@query(
+    "K10_innovation_by_type",
+    f"""with {values("r", "kind, rd, per_million, per_hundred, award_size, rate", [(k, *v) for k, v in C.RESEARCH.items()])}, g as (select {TYPE} type, count(*) businesses from business group by 1)
+    select type, businesses, rd rd_intensity, round(per_million * rd * 10, 6) patents_each, round(per_million * rd * 10 * businesses, 6) patents, round(least(100.0::double, per_million * rd * 500), 6) innovation_score, round(businesses * per_hundred / 100, 6) awards, round(businesses * per_hundred / 100 * award_size, 2) award_funding, rate success_rate
+    from g join r on kind = case when type in (select kind from r) then type else 'mixed' end""",
+)
 def innovation_by_type(spark, sf_dir):
-    g = view(spark, sf_dir, "business").groupBy(R.type_of(F.col("naics_code")).alias("type")).agg(F.sum("revenue_estimate").alias("r"), F.sum("sbir_awards").alias("s"))
-    return rounded(g.select("type", (F.col("r") * 0.000002).alias("patents"), (F.col("s") * 1.5).alias("awards")))
+    g = view(spark, sf_dir, "business").groupBy(R.type_of(F.col("naics_code")).alias("type")).agg(F.count(F.lit(1)).alias("businesses"))
+    return rounded(C.innovation_by_type(spark, g), award_funding=2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regiolith.operators import scorecards as C
 from regiolith.operators import scores as S
 from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.registry import query
@@ -118,26 +119,32 @@ def network(spark, sf_dir):
     return rounded(S.network_metrics(view(spark, sf_dir, "member")))
 
 
-@query(
-    "J22_market_favorability",
-    """with g as (select cluster_id, sum(revenue_estimate) gdp, count(*) n, sum(patent_count) patents from member group by 1)
-    select cluster_id, round(least(1.0, 0.5 + case when gdp > 50000000 then 0.2 when gdp > 20000000 then 0.1 else 0 end + case when n > 40 then 0.1 else 0 end + case when patents > 100 then 0.1 else 0 end), 6) score from g""",
-)
+CLUSTER_TYPE = "case substr(cluster_id, length(cluster_id) - 1) when '48' then 'logistics' when '49' then 'logistics' when '54' then 'technology' when '51' then 'technology' when '62' then 'biosciences' when '32' then 'biosciences' else 'manufacturing' end"
+FAVOR = """points as (select cluster_id, sum(revenue_estimate) * 1.85::double gdp, count(*) n, avg(patent_count * 10 + sbir_awards * 20) innovation, count(distinct county) * 10 synergy from member group by 1),
+  favor as (select cluster_id, gdp, least(1.0::double, 0.5::double + case when gdp > 1e9 then 0.2::double when gdp > 5e8 then 0.1::double else 0 end + case when n > 30 then 0.1::double else 0 end + case when innovation > 70 then 0.1::double else 0 end + case when synergy > 80 then 0.05::double else 0 end) market_score from points)"""
+
+
+def cluster_type():
+    two = F.substring_index("cluster_id", ":", -1)
+    return F.when(two.isin("48", "49"), "logistics").when(two.isin("54", "51"), "technology").when(two.isin("62", "32"), "biosciences").otherwise("manufacturing")
+
+
+def favored(spark, sf_dir):
+    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(
+        (F.sum("revenue_estimate") * 1.85).alias("gdp"), F.count(F.lit(1)).alias("n"), F.avg(F.col("patent_count") * 10 + F.col("sbir_awards") * 20).alias("innovation"), (F.count_distinct("county") * 10).alias("synergy")
+    )
+    return g.select("cluster_id", "gdp", C.favorability().alias("market_score"))
+
+
+@query("J22_market_favorability", f"with {FAVOR} select cluster_id, round(market_score, 6) score from favor")
 def favorability(spark, sf_dir):
-    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.sum("revenue_estimate").alias("gdp"), F.count(F.lit(1)).alias("n"), F.sum("patent_count").alias("patents"))
-    score = 0.5 + F.when(F.col("gdp") > 50e6, 0.2).when(F.col("gdp") > 20e6, 0.1).otherwise(0.0) + F.when(F.col("n") > 40, 0.1).otherwise(0.0) + F.when(F.col("patents") > 100, 0.1).otherwise(0.0)
-    return rounded(g.select("cluster_id", F.least(F.lit(1.0), score).alias("score")))
+    return rounded(favored(spark, sf_dir).select("cluster_id", F.col("market_score").alias("score")))
 
 
 @query(
     "J23_award_score",
-    """with g as (select cluster_id, count(award_id) n, sum(amount) funding, count(*) filter (where phase = 'Phase II') n_second, count(*) filter (where award_year >= 2000) recent from member left join award using (business_id) group by 1)
-    select cluster_id, round(least(30, n * 0.1) + least(30.0, coalesce(funding, 0) / 1000000) + least(20, n_second * 0.2) + least(20, recent * 0.2), 6) score from g""",
+    """with g as (select cluster_id, count(award_id) awards, coalesce(sum(amount), 0) funding, count(*) filter (where phase = 'Phase II') second_phase, count(*) filter (where award_year >= 1997) recent from member left join award using (business_id) group by 1)
+    select cluster_id, awards, round(funding, 2) funding, second_phase, recent, round(100 * (0.25::double * least(awards / 10, 1) + 0.35::double * least(funding / 5000000.0::double, 1) + 0.25::double * least(second_phase / 5, 1) + 0.15::double * coalesce(recent / nullif(awards, 0), 0)), 6) score from g""",
 )
 def award_score(spark, sf_dir):
-    m = view(spark, sf_dir, "member").select("cluster_id", "business_id").join(view(spark, sf_dir, "award"), "business_id", "left")
-    g = m.groupBy("cluster_id").agg(
-        F.count("award_id").alias("n"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("funding"), F.count_if(F.col("phase") == "Phase II").alias("second"), F.count_if(F.col("award_year") >= 2000).alias("recent")
-    )
-    score = F.least(F.lit(30.0), F.col("n") * 0.1) + F.least(F.lit(30.0), F.col("funding") / 1e6) + F.least(F.lit(20.0), F.col("second") * 0.2) + F.least(F.lit(20.0), F.col("recent") * 0.2)
-    return rounded(g.select("cluster_id", score.alias("score")))
+    return rounded(C.award_score(view(spark, sf_dir, "member"), view(spark, sf_dir, "award"), "Phase II", 1997), funding=2)

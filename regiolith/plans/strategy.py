@@ -61,17 +61,17 @@ def resource_fit(spark, sf_dir):
     return rounded(S.resource_fit(b, assets(spark, sf_dir), regions).select("business_id", "resource_fit"))
 
 
-@query(
-    "J14_critical_mass",
-    f"""with {values("chain", "name, parts, code", [(n, len(cs), c) for n, cs in S.CHAINS.items() for c in cs])},
+CRITICAL_MASS = f"""with {values("chain", "name, parts, code", [(n, len(cs), c) for n, cs in S.CHAINS.items() for c in cs])},
     cells as (select county, substr(naics_code, 1, 3) code, count(*) k from business group by 1, 2), cc as (select distinct cluster_id, county from member), ck as (select distinct cluster_id, substr(naics_code, 1, 3) code from member),
     p as (select cc.cluster_id, sum(k) potential from cc join cells on cells.county = cc.county join ck on ck.cluster_id = cc.cluster_id and ck.code = cells.code group by 1),
     h as (select cluster_id, name, parts, count(*) k from ck join chain on chain.code = ck.code group by 1, 2, 3 having count(*) >= 2), s as (select cluster_id, least(25.0::double, sum(k / parts * 10)) chains from h group by 1),
     g as (select cluster_id, count(*) n, count(*) filter (where employees < 50) small, count(*) filter (where employees between 50 and 499) medium, count(*) filter (where employees >= 500) large, count(distinct county) counties from member group by 1)
     select cluster_id, round(least(100.0::double, least(30.0::double, 30.0::double * n / greatest(coalesce(potential, 1), 1)) + coalesce(chains, 0) + least(small / n, 0.6::double) / 0.6::double * 10 + least(medium / n, 0.3::double) / 0.3::double * 10
       + least(large / n, 0.1::double) / 0.1::double * 5 + case when counties <= 2 then 20 when counties <= 4 then 15 when counties <= 6 then 10 else 5 end), 6) critical_mass
-    from g left join p using (cluster_id) left join s using (cluster_id)""",
-)
+    from g left join p using (cluster_id) left join s using (cluster_id)"""
+
+
+@query("J14_critical_mass", CRITICAL_MASS)
 def critical_mass(spark, sf_dir):
     return rounded(S.critical_mass(view(spark, sf_dir, "member"), view(spark, sf_dir, "business")))
 
