@@ -17,6 +17,8 @@ REVENUE_EACH = {
     "logistics": (180_000, 220_000, 250_000), "technology": (150_000, 300_000, 500_000), "biosciences": (200_000, 400_000, 600_000),
     "manufacturing": (150_000, 200_000, 280_000), "animal_health": (250_000, 350_000, 450_000),
 }
+#: setting: multipliers of output and jobs, and the share that friction leaves.
+SETTINGS = {"calibrated": (1.85, 2.2, 0.8), "no_friction": (1.85, 2.2, 1.0), "uncalibrated": (1.0, 1.0, 1.0)}
 
 
 def rounded_half_even(c: Column) -> Column:
@@ -111,3 +113,15 @@ def backtest(outcomes: DataFrame) -> DataFrame:
     error = lambda p: 100 * F.abs(F.col("actual") - p) / F.abs(F.col("actual"))
     joined = usable.crossJoin(F.broadcast(rate))
     return joined.agg(F.max("rate").alias("rate"), F.avg(error(F.col("projected"))).alias("before"), F.avg(error(F.col("projected") * F.col("rate"))).alias("after"))
+
+
+def what_if(clusters: DataFrame, settings: dict[str, tuple[float, float, float]], base: str) -> DataFrame:
+    """(setting, gdp, jobs, gdp_delta, jobs_delta): means over clusters (revenue, employees) under each setting, and their
+    differences in percent from the ``base`` setting; 0 where that mean is not positive."""
+    rows = F.array(*[F.struct(F.lit(n).alias("setting"), F.lit(m).alias("m"), F.lit(k).alias("k"), F.lit(f).alias("f")) for n, (m, k, f) in settings.items()])
+    each = clusters.select("revenue", "employees", F.explode(rows).alias("s")).select("revenue", "employees", "s.*")
+    means = each.groupBy("setting").agg(F.avg(F.col("revenue") * F.col("m") * F.col("f")).alias("gdp"), F.avg(F.bround(F.col("employees") * F.col("k") * F.col("f"), 0)).alias("jobs"))
+    plain = means.where(F.col("setting") == base).select(F.col("gdp").alias("g0"), F.col("jobs").alias("j0"))
+    delta = lambda x, x0: F.when(F.col(x0) > 0, (F.col(x) - F.col(x0)) / F.col(x0) * 100).otherwise(0.0)
+    joined = means.crossJoin(F.broadcast(plain))  # one row
+    return joined.select("setting", "gdp", "jobs", delta("gdp", "g0").alias("gdp_delta"), delta("jobs", "j0").alias("jobs_delta"))

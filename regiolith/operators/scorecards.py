@@ -147,3 +147,28 @@ def innovation_by_type(spark: SparkSession, counts: DataFrame) -> DataFrame:
         "type", "businesses", "rd_intensity", each.alias("patents_each"), (each * F.col("businesses")).alias("patents"), F.least(F.lit(100.0), each * 50).alias("innovation_score"),
         awards.alias("awards"), (awards * F.col("award_size")).alias("award_funding"), "success_rate",
     )
+
+
+def scenario_compare(scenarios: DataFrame, gdp_target: float, jobs_target: float) -> DataFrame:
+    """Adds to scenarios (scenario, gdp, jobs, top_score) the shares of the targets in percent, a score of 40 parts output, 30
+    jobs, 20 targets and 10 best cluster, its place, and the metrics in which no other scenario is better. Scenarios are few."""
+    metrics = ("gdp", "jobs", "top_score")
+    most = scenarios.agg(*[F.max(c).alias(f"most_{c}") for c in metrics])
+    part = lambda c: F.when(F.col(f"most_{c}") > 0, F.col(c) / F.col(f"most_{c}")).otherwise(0.0)
+    reached = {"gdp_achievement": 100 * F.col("gdp") / gdp_target, "jobs_achievement": 100 * F.col("jobs") / jobs_target}
+    targets = sum(10 * F.least(F.col(c) / 100, F.lit(1.0)) for c in reached)
+    best = F.concat_ws(",", *[F.when(F.col(c) == F.col(f"most_{c}"), c) for c in metrics])
+    j = scenarios.crossJoin(F.broadcast(most)).withColumns(reached)  # one row
+    scored = j.withColumn("score", F.round(40 * part("gdp") + 30 * part("jobs") + targets + 10 * part("top_score"), 1)).withColumn("best", best)
+    return K.ranked(scored.drop(*[f"most_{c}" for c in metrics]), [F.desc("score"), F.asc("scenario")])
+
+
+def parameter_differences(params: DataFrame, missing: str = "Not set") -> DataFrame:
+    """(id, name, value) of the parameters (id, name, value) that are not the same in all scenarios; scenarios without one have
+    the ``missing`` value. Parameters of scenarios are a small table."""
+    ids = params.select("id").distinct()
+    total = ids.agg(F.count(F.lit(1)).alias("total"))
+    names = params.groupBy("name").agg(F.count_distinct("value").alias("values"), F.count_distinct("id").alias("ids")).crossJoin(F.broadcast(total))
+    differ = names.where("values > 1 or ids < total").select("name")
+    every = ids.crossJoin(F.broadcast(differ))  # scenarios and their parameters
+    return every.join(params, ["id", "name"], "left").select("id", "name", F.coalesce("value", F.lit(missing)).alias("value"))

@@ -10,7 +10,7 @@ from regiolith.operators import projections as P
 from regiolith.operators import scorecards as C
 from regiolith.operators import scores as S
 from regiolith.operators.profiles import dominant_place
-from regiolith.operators.reports import type_of
+from regiolith.operators.reports import flat_params, type_of
 from regiolith.operators.strategy import critical_mass
 from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.projections import IMPACT
@@ -123,14 +123,28 @@ def workforce_scores(spark, sf_dir):
 
 @query(
     "J26_scenario_compare",
-    """with s as (select state scenario, sum(revenue_estimate) gdp, sum(employees) jobs, count(*) n from business group by 1), t as (select scenario, 0.6 * gdp / max(gdp) over () + 0.4 * jobs / max(jobs) over () score from s)
-    select scenario, round(score, 6) score, cast(row_number() over (order by score desc, scenario) as int) "rank" from t""",
+    """with c as (select state scenario, cluster_id, count(*) k from member group by 1, 2), s as (select state scenario, round(sum(revenue_estimate) * 1.85::double, 2) gdp, sum(employees) jobs from business group by 1),
+    t as (select s.*, (select max(k) from c where c.scenario = s.scenario) top_score from s), r as (select scenario, gdp, jobs, top_score, 100 * gdp / 3000000000.0::double gdp_achievement, 100 * jobs / 200000.0::double jobs_achievement, max(gdp) over () a, max(jobs) over () b, max(top_score) over () d from t),
+    p as (select *, round(40 * gdp / a + 30 * jobs / b + 10 * least(gdp_achievement / 100, 1) + 10 * least(jobs_achievement / 100, 1) + 10 * top_score / d, 1) score from r)
+    select scenario, gdp, cast(jobs as bigint) jobs, top_score, round(gdp_achievement, 6) gdp_achievement, round(jobs_achievement, 6) jobs_achievement, score, concat_ws(',', case when gdp = a then 'gdp' end, case when jobs = b then 'jobs' end, case when top_score = d then 'top_score' end) best,
+      cast(row_number() over (order by score desc, scenario) as int) "rank" from p""",
 )
 def scenario_compare(spark, sf_dir):
-    s = view(spark, sf_dir, "business").groupBy(F.col("state").alias("scenario")).agg(F.sum("revenue_estimate").alias("gdp"), F.sum("employees").alias("jobs"))
-    most = s.agg(F.max("gdp").alias("most_gdp"), F.max("jobs").alias("most_jobs"))
-    t = s.crossJoin(F.broadcast(most)).select("scenario", (0.6 * F.col("gdp") / F.col("most_gdp") + 0.4 * F.col("jobs") / F.col("most_jobs")).alias("score"))
-    return rounded(K.ranked(t, [F.desc("score"), F.asc("scenario")]))
+    s = view(spark, sf_dir, "business").groupBy(F.col("state").alias("scenario")).agg(F.round(F.sum("revenue_estimate") * 1.85, 2).alias("gdp"), F.sum("employees").alias("jobs"))
+    top = view(spark, sf_dir, "member").groupBy(F.col("state").alias("scenario"), "cluster_id").count().groupBy("scenario").agg(F.max("count").alias("top_score"))
+    return rounded(C.scenario_compare(s.join(top, "scenario"), 3e9, 200_000.0), gdp=2)
+
+
+@query(
+    "J26_parameter_differences",
+    """with p as (select n_nationkey id, unnest(['name', 'limits.low', 'limits.high', 'extra']) name, unnest([n_name, cast(n_regionkey as varchar), '25', case when n_regionkey = 0 then 'yes' end]) as value from nation)
+    select id, name, coalesce(value, 'Not set') as value from p where name <> 'limits.high'""",
+)
+def parameter_differences(spark, sf_dir):
+    n = view(spark, sf_dir, "nation")
+    nested = F.struct(F.col("n_regionkey").cast("string").alias("low"), F.lit("25").alias("high"))
+    params = F.to_json(F.struct(F.col("n_name").alias("name"), nested.alias("limits"), F.when(F.col("n_regionkey") == 0, "yes").alias("extra")))
+    return C.parameter_differences(flat_params(n.select(F.col("n_nationkey").alias("id"), params.alias("params")), "id", "params"))
 
 
 @query(

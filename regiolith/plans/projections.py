@@ -86,11 +86,15 @@ def backtest(spark, sf_dir):
     return rounded(P.backtest(view(spark, sf_dir, "outcome")))
 
 
-@query("K8_what_if", "with s(scenario, factor) as (values ('base', 1.0::double), ('low', 0.8::double), ('high', 1.15::double)) select scenario, round(avg(projected * factor), 2) mean, round(avg(projected * factor - projected), 2) delta from outcome, s group by 1")
+@query(
+    "K8_what_if",
+    """with g as (select cluster_id, sum(revenue_estimate) revenue, sum(employees) employees from member group by 1), s(setting, m, k, f) as (values ('calibrated', 1.85::double, 2.2::double, 0.8::double), ('no_friction', 1.85::double, 2.2::double, 1.0::double), ('uncalibrated', 1.0::double, 1.0::double, 1.0::double)),
+    a as (select setting, avg(revenue * m * f) gdp, avg(round_even(employees * k * f, 0)) jobs from g, s group by 1), u as (select gdp g0, jobs j0 from a where setting = 'uncalibrated')
+    select setting, round(gdp, 1) gdp, round(jobs, 4) jobs, round(case when g0 > 0 then (gdp - g0) / g0 * 100 else 0 end, 6) gdp_delta, round(case when j0 > 0 then (jobs - j0) / j0 * 100 else 0 end, 6) jobs_delta from a, u""",
+)
 def what_if(spark, sf_dir):
-    s = spark.createDataFrame([("base", 1.0), ("low", 0.8), ("high", 1.15)], "scenario string, factor double")
-    o = view(spark, sf_dir, "outcome").crossJoin(F.broadcast(s))  # three scenarios
-    return rounded(o.groupBy("scenario").agg(F.avg(F.col("projected") * F.col("factor")).alias("mean"), F.avg(F.col("projected") * F.col("factor") - F.col("projected")).alias("delta")), 2)
+    g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.sum("revenue_estimate").alias("revenue"), F.sum("employees").alias("employees"))
+    return rounded(P.what_if(g, P.SETTINGS, "uncalibrated"), gdp=1, jobs=4)
 
 
 @query("K9_heuristic_outcomes", "select cluster_id, round(sum(revenue_estimate) * 1.85::double, 2) gdp, cast(floor(sum(employees) * 1.2::double) as bigint) jobs, round(1 + least(0.5, count(*) / 100.0::double), 6) roi from member group by 1")

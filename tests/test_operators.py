@@ -101,6 +101,27 @@ def test_matching_takes_the_strongest_tier(spark):
     assert got == {10: (1, "exact_name"), 11: (1, "phone")}
 
 
+def test_shared_words_against_all_pairs(spark):
+    """The tier of shared words joins on the rarest words only and finds what comparing all pairs finds."""
+    r = random.Random(3)
+    words = [f"word{i}" for i in range(25)] + ["alpha"] * 10
+    rows = lambda start: [(start + i, " ".join(r.choice(words) for _ in range(r.randrange(7))), None, "") for i in range(150)]
+    schema = "id long, name string, phone string, address string"
+    left, right = rows(0), rows(1000)
+    s, t = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    for threshold in (0.8, 0.5):
+        found = matching.match_entities(s, t, threshold).collect()
+        earlier = {m.target_id for m in found if m.tier != "words"}
+        want = {}
+        for i, name, *_ in right:
+            for j, other, *_ in left:
+                a, b = set(name.split()), set(other.split())
+                score = 0.8 * len(a & b) / max(len(a), len(b), 1)
+                if len(a & b) >= 2 and score >= threshold - 1e-9 and i not in earlier:
+                    want[i] = min(want.get(i, (1, 0)), (-score, j))
+        assert {m.target_id: m.source_id for m in found if m.tier == "words"} == {i: j for i, (_, j) in want.items()}
+
+
 def test_dedup_is_idempotent(spark):
     rows = [(1, "k", "Acme Widgets", 5.0, 39.0, -94.0), (2, "k", "Acme Widget", 9.0, 39.0, -94.0), (3, None, "Acme Widgets", 1.0, 39.0, -94.0), (4, "k", "Zeta", None, None, None)]
     df = spark.createDataFrame(rows, "id long, county string, name string, revenue_estimate double, latitude double, longitude double")
