@@ -81,6 +81,6 @@ def balanced(df: DataFrame, code: str, caps: dict[str, int], order: list[Column]
     return kept.unionByName(rest).drop("group__")
 
 
-def sample_n(df: DataFrame, n: int, key: str) -> DataFrame:
-    """A reproducible sample of exactly n rows, by a hash of the key."""
-    return df.orderBy(F.crc32(F.col(key).cast("string").cast("binary")), key).limit(n)
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """A reproducible sample of exactly n rows, by a hash of the key and the seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(n)

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regiolith.functions import text as T
+from regiolith.operators.geo import KILOMETRES, haversine, near_pairs
+from regiolith.operators.graph import connected_components
+from regiolith.operators.matching import sequence_ratio_column
+
+#: Centres of clusters with names alike are this near, in km.
+SAME_NAME_KM = 5.0
+
 
 def member_jaccard(members: DataFrame, cluster: str, key: str) -> DataFrame:
     """(a, b, shared, jaccard) of pairs of clusters with a member in common; other pairs are never made."""
@@ -16,6 +24,43 @@ def member_jaccard(members: DataFrame, cluster: str, key: str) -> DataFrame:
     return shared.join(na, "a").join(nb, "b").select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+def consolidation_links(members: DataFrame, clusters: DataFrame, strict: float = 0.45, loose: float = 0.28, near: float = 10.0) -> DataFrame:
+    """(u, v) of clusters that are one: of a type and alike in members, or alike and near; of names alike and very near; or
+    almost the same members at almost the same place.
+
+    ``clusters`` has (cluster_id, type, name). Only pairs with a common member or near centres are made; distances in km."""
+    overlaps = member_jaccard(members, "cluster_id", "business_id").select("a", "b", "jaccard")
+    centres = members.where("latitude is not null and longitude is not null").groupBy("cluster_id").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+    close = near_pairs(centres.withColumnRenamed("cluster_id", "id"), SAME_NAME_KM / 1.6).where("a < b").select("a", "b", F.lit(0.0).alias("jaccard"))
+    pairs = overlaps.unionByName(close).groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    facts = clusters.select("cluster_id", "type", T.key_name(F.col("name")).alias("name")).join(centres, "cluster_id", "left")
+    x, y = (facts.select([F.col(c).alias(side if c == "cluster_id" else f"{c}_{side}") for c in facts.columns]) for side in "ab")
+    km = haversine(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"), KILOMETRES)
+    both = pairs.join(x, "a").join(y, "b").withColumn("km", km)
+    j = F.col("jaccard")
+    alike = (F.col("type_a") == F.col("type_b")) & ((j >= strict) | ((F.col("km") < near) & (j >= loose)))
+    same = (j >= 0.7) & (F.col("km") < 3.0)
+    named = both.where((F.col("km") < SAME_NAME_KM) & (F.col("name_a") != "") & (F.col("name_b") != "")).where(sequence_ratio_column()("name_a", "name_b") >= 0.9)
+    return both.where(alike | same).unionByName(named).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
+def consolidate(members: DataFrame, clusters: DataFrame, as_of: int) -> DataFrame:
+    """One row for each group of linked clusters (cluster_id, type, name, score), under its least id: members are united,
+    totals are computed anew, names are joined, the score is the highest one."""
+    groups = connected_components(consolidation_links(members, clusters)).withColumnsRenamed({"node": "cluster_id", "component": "merged_id"})
+    placed = clusters.join(groups, "cluster_id", "left").withColumn("merged_id", F.coalesce("merged_id", "cluster_id"))
+    united = members.join(placed.select("cluster_id", "merged_id"), "cluster_id").groupBy("merged_id", "business_id").agg(
+        F.max("employees").alias("employees"), F.max("revenue_estimate").alias("revenue"), F.max("year_established").alias("year")
+    )
+    totals = united.groupBy("merged_id").agg(
+        F.count(F.lit(1)).alias("businesses"), F.sum("employees").alias("employees"), F.sum("revenue").alias("revenue"), F.avg(F.greatest(F.lit(0), F.lit(as_of) - F.col("year"))).alias("average_age")
+    )
+    named = placed.groupBy("merged_id").agg(
+        F.count(F.lit(1)).alias("clusters"), F.min_by("type", "cluster_id").alias("type"), F.array_join(F.array_sort(F.collect_set("name")), " + ").alias("name"), F.max("score").alias("score")
+    )
+    return named.join(totals, "merged_id", "left")
+
+
 def metrics(members: DataFrame, as_of: int) -> DataFrame:
     """Sums, averages and the innovation score of each cluster."""
     return members.groupBy("cluster_id").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -100,6 +100,38 @@ def contained_names(left: DataFrame, right: DataFrame, least: int = 3) -> DataFr
     return inside(a, "left", b, "right").unionByName(inside(b, "right", a, "left")).distinct()
 
 
+def grams(c: Column, n: int) -> Column:
+    """Array of the distinct runs of n characters; empty for a shorter text."""
+    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(n))))
+
+
+def match_patents(business: DataFrame, patents: DataFrame, least: int = 6) -> DataFrame:
+    """(id, patents): the number of distinct patents (patent_id, assignee) of each business (id, name).
+
+    A business has the patents of assignees that are found by its whole name, its name without legal forms, or the first
+    two words of that. If there are none, those whose cleaned name contains its own of ``least`` characters or more: the
+    two then share the business's rarest run of ``least`` characters, which is what they are joined on."""
+    def keyed(df: DataFrame, name: str, key: str) -> DataFrame:
+        clean = F.upper(T.org_name(F.col(name)))
+        return df.select(key, F.upper(F.trim(name)).alias("full"), clean.alias("clean"), F.regexp_extract(clean, r"^(\S+ \S+)", 1).alias("two"))
+
+    held = patents.select("patent_id", F.upper(F.trim("assignee")).alias("org")).distinct()
+    b = keyed(business, "name", "id")
+    o = keyed(held.select("org").distinct().withColumn("assignee", F.col("org")), "assignee", "org").withColumnsRenamed({"clean": "org_clean", "two": "org_two"})
+    mine = b.select("id", "clean", "two", F.explode(F.array(*[F.struct(F.col(c).alias("key"), F.lit(c == "two").alias("checked")) for c in ("full", "clean", "two")])).alias("k")).select("id", "clean", "two", "k.*")
+    theirs = o.select("org", "org_clean", "org_two", F.explode(F.array_distinct(F.array("full", "org_clean", "org_two"))).alias("key"))
+    likely = F.col("org_clean").contains(F.col("clean")) | (F.col("org_two") == F.col("two"))
+    found = mine.where("key <> ''").join(theirs.where("key <> ''"), "key").where(~F.col("checked") | likely).select("id", "org").distinct()
+    rest = b.join(found.select("id").distinct(), "id", "left_anti").select("id", "clean").withColumn("gram", F.explode(grams(F.col("clean"), least)))
+    of_orgs = o.select("org", "org_clean", F.explode(grams(F.col("org_clean"), least)).alias("gram"))
+    often = of_orgs.groupBy("gram").count()
+    rarest = rest.join(often, "gram").groupBy("id", "clean").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    inside = rarest.join(of_orgs, "gram").where(F.col("org_clean").contains(F.col("clean"))).select("id", "org")
+    counts = found.unionByName(inside).join(held, "org").groupBy("id").agg(F.count_distinct("patent_id").alias("patents"))
+    return business.select("id").distinct().join(counts, "id", "left").select("id", F.coalesce("patents", F.lit(0)).alias("patents"))
+
+
 def indel_ratio_column():
     """pandas UDF of two strings: 100 * 2 * longest common subsequence / sum of lengths."""
     @pandas_udf("double")

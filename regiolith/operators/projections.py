@@ -59,6 +59,32 @@ def by_class(industry: Column, size: Column, table: dict[str, tuple]) -> Column:
     return out
 
 
+def along_curve(curve: Column, now: Column, rate: Column, age: Column, k: Column) -> Column:
+    """The value k years on: exponential, logistic to 10 times the value, late logistic to 20 times, or linear."""
+    logistic = lambda most, steep, middle: now * most / (1 + F.exp(-rate * steep * (age + k - middle)))
+    return (
+        F.when(curve == "exponential", now * F.pow(1 + rate, k)).when(curve == "sigmoid", logistic(10, 2.0, 10))
+        .when(curve == "delayed_sigmoid", logistic(20, 1.5, 15)).otherwise(now * (1 + rate * k))
+    )
+
+
+def yearly_growth_path(df: DataFrame, years: int, as_of: int) -> DataFrame:
+    """(id, year, value, growth, lower, upper) of rows (id, value, rate, age, curve): the value of each following year, its
+    growth over the year before (null from 0) and the interval of 95 %.
+
+    The year before is computed from the same row, so no window is needed."""
+    long = df.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(years))))
+    at = lambda k: along_curve(F.col("curve"), F.col("value"), F.col("rate"), F.col("age"), k)
+    before = F.when(F.col("k") == 1, F.col("value")).otherwise(at(F.col("k") - 1))
+    path = long.select("id", (F.lit(as_of) + F.col("k")).alias("year"), at(F.col("k")).alias("value"), before.alias("before"))
+    return path.select("id", "year", "value", (F.try_divide("value", "before") - 1).alias("growth"), *interval(F.col("value")))
+
+
+def interval(value: Column) -> list[Column]:
+    """The bounds of 95 % around a projected value."""
+    return [(value * (1 - 1.96 * CONFIDENCE)).alias("lower"), (value * (1 + 1.96 * CONFIDENCE)).alias("upper")]
+
+
 def business_projection(df: DataFrame, years: int, as_of: int) -> DataFrame:
     """(business_id, year, revenue, employees, lower, upper) for each of the following years.
 
@@ -81,16 +107,12 @@ def business_projection(df: DataFrame, years: int, as_of: int) -> DataFrame:
     rated = base.withColumn("rate", growth * by_class(i, F.col("size"), SIZE_FACTORS) * maturity * quality).withColumn("each", by_class(i, F.col("size"), REVENUE_EACH))
     long = rated.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(years))))
     r, k, now = F.col("rate"), F.col("k"), F.col("revenue_estimate")
-    logistic = lambda most, steep, middle: now * most / (1 + F.exp(-r * steep * (a + k - middle)))
-    revenue = (
-        F.when(i == "technology", now * F.pow(1 + r, k)).when(i.isin("logistics", "animal_health"), logistic(10, 2.0, 10))
-        .when(i == "biosciences", logistic(20, 1.5, 15)).otherwise(now * (1 + r * k))
-    )
-    out = long.withColumn("revenue", revenue)
+    curve = F.when(i == "technology", "exponential").when(i.isin("logistics", "animal_health"), "sigmoid").when(i == "biosciences", "delayed_sigmoid").otherwise("linear")
+    out = long.withColumn("revenue", along_curve(curve, now, r, a, k))
     return out.select(
         "business_id", (F.lit(as_of) + F.col("k")).alias("year"), "industry", "revenue",
         F.floor(F.col("employees") * 0.7 + F.floor(F.col("revenue") / F.col("each")) * 0.3).alias("employees"),
-        (F.col("revenue") * (1 - 1.96 * 0.15)).alias("lower"), (F.col("revenue") * (1 + 1.96 * 0.15)).alias("upper"),
+        *interval(F.col("revenue")),
     )
 
 

@@ -22,6 +22,14 @@ RESEARCH = {
 }
 SECTORS = {"54": "technology", "325": "biosciences", "33": "manufacturing", "52": "manufacturing"}
 SUPPLY_TYPES = [("logistics", "manufacturing"), ("animal_health", "biosciences"), ("manufacturing", "technology")]
+#: What a cluster is told, in order: kind, column, comparison, limit, text.
+EXPLANATIONS = [
+    ("key_drivers", "critical_mass", ">", 70, "critical mass carries the cluster"), ("key_drivers", "strategic_score", ">", 80, "strong strategic position"),
+    ("key_drivers", "market_access", ">", 80, "good access to markets"), ("key_drivers", "infrastructure", ">", 85, "infrastructure for growth"),
+    ("strengths", "roi", ">", 20, "high return"), ("strengths", "jobs", ">", 10_000, "many jobs"),
+    ("risks", "critical_mass", "<", 50, "low critical mass"), ("risks", "safety", "<", 60, "low safety"),
+    ("recommendations", "supply_chain", "<", 0.5, "complete the supply chain"), ("recommendations", "diversity", "<", 0.5, "mix sizes of businesses"),
+]
 STRATEGIC_TYPES = ("logistics", "biosciences", "technology")
 
 
@@ -172,3 +180,14 @@ def parameter_differences(params: DataFrame, missing: str = "Not set") -> DataFr
     differ = names.where("values > 1 or ids < total").select("name")
     every = ids.crossJoin(F.broadcast(differ))  # scenarios and their parameters
     return every.join(params, ["id", "name"], "left").select("id", "name", F.coalesce("value", F.lit(missing)).alias("value"))
+
+
+def explain_rules(clusters: DataFrame) -> DataFrame:
+    """(cluster_id, key_drivers, strengths, risks, recommendations): what the rules say of each cluster, joined by semicolons.
+
+    Rules read the columns named in EXPLANATIONS; a missing value counts as 0."""
+    def said(kind: str) -> Column:
+        fits = lambda c, sign, limit: F.coalesce(c, F.lit(0)) > limit if sign == ">" else F.coalesce(c, F.lit(0)) < limit
+        return F.concat_ws("; ", *[F.when(fits(F.col(c), sign, limit), text) for k, c, sign, limit, text in EXPLANATIONS if k == kind]).alias(kind)
+
+    return clusters.select("cluster_id", *[said(k) for k in ("key_drivers", "strengths", "risks", "recommendations")])

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from regiolith.operators import communities as C
 from regiolith.operators import graph as G
+from regiolith.operators.clusters import consolidate as consolidated
 from regiolith.operators.clusters import member_jaccard
-from regiolith.plans.aggregates import rounded
+from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.registry import query
 from regiolith.plans.views import view
 
@@ -100,11 +101,13 @@ def spatial_kmeans(spark, sf_dir):
 
 @query("I10_consolidate")
 def consolidate(spark, sf_dir):
-    m = view(spark, sf_dir, "member").select("cluster_id", "county")
-    pairs = member_jaccard(m, "cluster_id", "county").where("jaccard >= 0.7").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    groups = G.connected_components(pairs)
-    c = m.select("cluster_id").distinct()
-    return c.join(groups.withColumnRenamed("node", "cluster_id"), "cluster_id", "left").select("cluster_id", F.coalesce("component", "cluster_id").alias("merged_id"))
+    """Whole clusters beside those of their larger members, which are much the same."""
+    from regiolith.plans.scores import cluster_type
+
+    m = view(spark, sf_dir, "member").withColumn("type", cluster_type())
+    m = m.unionByName(m.where("employees >= 100").withColumn("cluster_id", F.concat("cluster_id", F.lit(":larger"))))
+    c = m.groupBy("cluster_id").agg(F.min("type").alias("type"), F.replace(F.first("cluster_id"), F.lit(":"), F.lit(" ")).alias("name"), F.sum("patent_count").alias("score"))
+    return rounded(consolidated(m, c, AS_OF), 2)
 
 
 @query(

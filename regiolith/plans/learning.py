@@ -64,17 +64,6 @@ def rerank(spark, sf_dir):
     return K.ranked(m, [F.desc("score"), F.asc("cluster_id")])
 
 
-@query(
-    "L8_explain_rules",
-    f"with {M} select cluster_id, concat_ws(',', case when revenue > 50000000 then 'large' end, case when innovation > 2000 then 'innovative' end, case when average_age > 20 then 'mature' end, case when counties > 4 then 'spread' end) drivers from m",
-)
-def explain_rules(spark, sf_dir):
-    rules = F.concat_ws(
-        ",", F.when(F.col("revenue") > 50e6, "large"), F.when(F.col("innovation") > 2000, "innovative"), F.when(F.col("average_age") > 20, "mature"), F.when(F.col("counties") > 4, "spread")
-    )
-    return features(spark, sf_dir).select("cluster_id", rules.alias("drivers"))
-
-
 @query("L9_prediction_intervals", f"with {M} select cluster_id, round(revenue * 0.8::double, 2) low, round(revenue * 1.2::double, 2) high, case when businesses >= 50 then 'high' when businesses >= 20 then 'medium' else 'low' end confidence from m")
 def prediction_intervals(spark, sf_dir):
     band = F.when(F.col("businesses") >= 50, "high").when(F.col("businesses") >= 20, "medium").otherwise("low")

@@ -86,14 +86,18 @@ def count_awards(spark, sf_dir):
     return b.join(joined, "id", "left").select(F.col("id").alias("business_id"), F.coalesce("awards", F.lit(0)).alias("awards"), F.round(F.coalesce("funding", F.lit(0.0)), 2).alias("funding"))
 
 
-@query("D10_match_patents", "select s_suppkey supplier_id, count(distinct patent_id) patents from supplier left join patent on s_name = assignee group by 1")
+@query(
+    "D10_match_patents",
+    """with b as (select s_suppkey id, replace(s_name, '#', ' ') name, s_suppkey % 4 = 3 short from supplier), p as (select distinct patent_id, replace(assignee, '#', ' ') org from patent)
+    select id supplier_id, count(distinct patent_id) patents from b left join p on case when short then starts_with(org, name[1:17]) else org = name end group by 1""",
+)
 def match_patents(spark, sf_dir):
-    p = view(spark, sf_dir, "patent")
-    from regiolith.functions import text as T
-
-    s = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"), F.explode(T.name_variants(F.col("s_name"))).alias("variant")).distinct()
-    counts = s.join(p.select("patent_id", F.col("assignee").alias("variant")), "variant", "left")
-    return counts.groupBy("supplier_id").agg(F.count_distinct("patent_id").alias("patents"))
+    """Names as they are, with a legal form, in lower case, and without their last digit, which only the last tier finds."""
+    name, n = F.replace(F.col("s_name"), F.lit("#"), F.lit(" ")), F.col("s_suppkey") % 4
+    spelled = F.when(n == 1, F.concat(name, F.lit(", Inc."))).when(n == 2, F.lower(name)).when(n == 3, F.substring(name, 1, 17)).otherwise(name)
+    s = view(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), spelled.alias("name"))
+    p = view(spark, sf_dir, "patent").select("patent_id", F.replace("assignee", F.lit("#"), F.lit(" ")).alias("assignee"))
+    return M.match_patents(s, p).withColumnRenamed("id", "supplier_id")
 
 
 @query("D11_attach_counts", "select s_suppkey supplier_id, coalesce(n, 0) patents from supplier left join (select assignee, count(*) n from patent where citations > 45 group by 1) on assignee = s_name")

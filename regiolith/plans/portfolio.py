@@ -56,15 +56,15 @@ def evaluate_cluster(spark, sf_dir):
     return rounded(out.withColumn("realistic_gdp", F.col("gdp_impact") * F.col("success")), 4)
 
 
-@query(
-    "J15_sustainability",
-    f"""with mass as ({CRITICAL_MASS}), c as (select cluster_id, county k, count(*) n from member group by 1, 2), s as (select cluster_id, n / sum(n) over (partition by cluster_id) p from c), h as (select cluster_id, sum(p * p) density from s group by 1),
+SUSTAINABILITY = f"""with mass as ({CRITICAL_MASS}), c as (select cluster_id, county k, count(*) n from member group by 1, 2), s as (select cluster_id, n / sum(n) over (partition by cluster_id) p from c), h as (select cluster_id, sum(p * p) density from s group by 1),
     d as (select cluster_id, case when employees < 50 then 1 when employees < 500 then 2 else 3 end k, count(*) n from member group by 1, 2), e as (select cluster_id, n / sum(n) over (partition by cluster_id) p from d), v as (select cluster_id, -sum(p * ln(p)) / 1.099::double diversity from e group by 1),
     t(chain, code) as (values ('l', '484'), ('l', '488'), ('l', '493'), ('m', '332'), ('m', '333'), ('m', '336'), ('b', '325'), ('b', '3254'), ('b', '541'), ('t', '511'), ('t', '518'), ('t', '541')),
     x as (select cluster_id, max(k) / 3 supply_chain from (select cluster_id, chain, count(distinct code) k from member join t on code = substr(naics_code, 1, 3) group by 1, 2) group by 1)
     select h.cluster_id, round(coalesce(supply_chain, 0), 4) supply_chain, round(density, 4) density, round(diversity, 4) diversity, round(least(100.0::double, 1.2::double * (0.5::double * critical_mass + 20 * coalesce(supply_chain, 0) + 15 * density + 15 * diversity)), 4) sustainability
-    from h join v on v.cluster_id = h.cluster_id left join x on x.cluster_id = h.cluster_id join mass on mass.cluster_id = h.cluster_id""",
-)
+    from h join v on v.cluster_id = h.cluster_id left join x on x.cluster_id = h.cluster_id join mass on mass.cluster_id = h.cluster_id"""
+
+
+@query("J15_sustainability", SUSTAINABILITY)
 def sustainability(spark, sf_dir):
     m = view(spark, sf_dir, "member")
     return rounded(C.sustainability(m, critical_mass(m, view(spark, sf_dir, "business"))), 4)
@@ -193,6 +193,27 @@ def predict_business(spark, sf_dir):
     return rounded(found.select("business_id", back("predicted_revenue").alias("revenue"), F.round(back("predicted_employees")).cast("long").alias("employees")), 2)
 
 
+def told(kind):
+    return "concat_ws('; ', " + ", ".join(f"case when coalesce({c}, 0) {sign} {limit} then '{text}' end" for k, c, sign, limit, text in C.EXPLANATIONS if k == kind) + f") {kind}"
+
+
+@query(
+    "L8_explain_rules",
+    f"""with mass as ({CRITICAL_MASS}), sus as ({SUSTAINABILITY}),
+    m as (select cluster_id, sum(employees) jobs, round(avg(patent_count) * 10, 4) roi, round(avg(case when patent_count > 0 then 100.0::double else 0.0::double end), 4) infrastructure, round(avg(case when sbir_awards > 0 then 100.0::double else 0.0::double end), 4) safety from member group by 1),
+    f as (select m.*, round(critical_mass, 4) critical_mass, supply_chain, diversity, sustainability strategic_score, round(100 * (1 - density), 2) market_access from m join mass using (cluster_id) join sus using (cluster_id))
+    select cluster_id, {told("key_drivers")}, {told("strengths")}, {told("risks")}, {told("recommendations")} from f""",
+)
+def explain_rules(spark, sf_dir):
+    """Shares of members with patents and with awards stand for infrastructure and safety, which the tables do not have."""
+    m = view(spark, sf_dir, "member")
+    mass = critical_mass(m, view(spark, sf_dir, "business"))
+    share = lambda c: F.avg(F.when(F.col(c) > 0, 100.0).otherwise(0.0))
+    g = m.groupBy("cluster_id").agg(F.sum("employees").alias("jobs"), (F.avg("patent_count") * 10).alias("roi"), share("patent_count").alias("infrastructure"), share("sbir_awards").alias("safety"))
+    f = rounded(g.join(mass, "cluster_id").join(C.sustainability(m, mass).withColumnRenamed("sustainability", "strategic_score"), "cluster_id"), 4)
+    return C.explain_rules(f.withColumn("market_access", F.round(100 * (1 - F.col("density")), 2)))
+
+
 @query("J29_market_context", "with t as (select case when naics_code like '5%' then 'services' when naics_code like '4%' then 'logistics' else 'goods' end type, revenue_estimate r, employees e from business) select type, count(*) n, round(avg(r), 2) revenue, avg(e) > 250 large from t group by 1")
 def market_context(spark, sf_dir):
     kind = F.when(F.col("naics_code").startswith("5"), "services").when(F.col("naics_code").startswith("4"), "logistics").otherwise("goods")

@@ -65,10 +65,27 @@ def cluster_projection(spark, sf_dir):
     return rounded(P.cluster_projection(projected(spark, sf_dir), view(spark, sf_dir, "member")).drop("employees"), revenue=1)
 
 
-@query("F12_growth_path", "select n_nationkey id, cast(k as int) k, round(100.0::double * pow(1 + 0.01::double * n_regionkey, k), 6) demand from nation, (select unnest(range(0, 6)) k)")
+CURVES = ["exponential", "sigmoid", "delayed_sigmoid", "linear"]
+
+
+def curve_at(k):
+    return f"""(case business_id % 4 when 0 then v * pow(1 + r, {k}) when 1 then v * 10 / (1 + exp(-r * 2.0::double * (age + {k} - 10)))
+      when 2 then v * 20 / (1 + exp(-r * 1.5::double * (age + {k} - 15))) else v * (1 + r * {k}) end)"""
+
+
+@query(
+    "F12_growth_path",
+    f"""with b as (select business_id, revenue_estimate v, (0.02::double + 0.01::double * (business_id % 5)) r, 2024 - year_established age, unnest(range(1, 6)) k from business),
+    p as (select business_id id, 2024 + k y, {curve_at("k")} x, case when k = 1 then v else {curve_at("(k - 1)")} end x0 from b)
+    select id, cast(y as int) "year", round(x, 2) "value", round(x / nullif(x0, 0) - 1, 6) growth, round(x * 0.706::double, 2) lower, round(x * 1.294::double, 2) upper from p""",
+)
 def growth_path(spark, sf_dir):
-    n = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit(100.0).alias("size"), (F.lit(0.01) * F.col("n_regionkey")).alias("growth"))
-    return rounded(P.demand_path(n, "size", "growth", 5).select("id", "k", "demand"))
+    key = F.col("business_id")
+    b = view(spark, sf_dir, "business").select(
+        key.alias("id"), F.col("revenue_estimate").alias("value"), (0.02 + 0.01 * (key % 5)).alias("rate"), (AS_OF - F.col("year_established")).alias("age"),
+        F.get(F.array(*[F.lit(c) for c in CURVES]), (key % 4).cast("int")).alias("curve"),
+    )
+    return rounded(P.yearly_growth_path(b, 5, AS_OF), 2, growth=6)
 
 
 @query("K5_forecast_demand", "select program, cast(k as int) k, round(actual * pow(1.04::double, k), 1) demand from outcome, (select unnest(range(0, 4)) k)")

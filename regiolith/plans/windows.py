@@ -81,7 +81,7 @@ def dynamic_threshold(spark, sf_dir):
     return rounded(b.crossJoin(F.broadcast(t)).groupBy("threshold").agg(F.count_if(F.col("employees") >= F.col("threshold")).alias("passing")))
 
 
-@query("H4_sample_n")
+@query("H4_sample_n", "select business_id, county from business order by md5(concat(cast(business_id as varchar), ':42')), business_id limit 100")
 def sample_n(spark, sf_dir):
     from regiolith.operators.cleaning import sample_n as sample
 

@@ -171,3 +171,46 @@ def test_late_rows_are_dropped(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("key", F.lit("k"))
     out = runs.finished(runs.rolling(stream, "key", "ts", "1 day", "1 day"), "append", "late")
     assert sum(r.n for r in out.collect()) <= 5
+
+
+def test_consolidation_against_all_pairs(spark):
+    rng = random.Random(5)
+    members, names, sets = [], [], {}
+    for i in range(24):
+        base = i // 2
+        ids = {base * 100 + k for k in range(20) if rng.random() < (0.95 if i % 4 < 2 else 0.6)} | {base * 100}
+        sets[f"c{i:02d}"] = ids
+        names.append((f"c{i:02d}", "xy"[i % 3 == 0], f"Cluster of {'abcdef'[i % 6] * 12} {'LLC' if i % 2 else ''}", float(i)))
+        members += [(f"c{i:02d}", b, 10, 1.0, 2000, 39.0 + (b // 100) * 0.02 + (b % 100) * 0.001, -94.0) for b in ids]
+    m = spark.createDataFrame(members, "cluster_id string, business_id long, employees int, revenue_estimate double, year_established int, latitude double, longitude double")
+    c = spark.createDataFrame(names, "cluster_id string, type string, name string, score double")
+    import difflib
+
+    keys = {r.cluster_id: r.k for r in c.select("cluster_id", T.key_name(F.col("name")).alias("k")).collect()}
+    lat = {k: sum(39.0 + (b // 100) * 0.02 + (b % 100) * 0.001 for b in s) / len(s) for k, s in sets.items()}
+    types, want = {n[0]: n[1] for n in names}, set()
+    for a in sets:
+        for b in sets:
+            if a < b:
+                j, km = len(sets[a] & sets[b]) / len(sets[a] | sets[b]), math.radians(abs(lat[a] - lat[b])) * 6371.0
+                if (types[a] == types[b] and (j >= 0.45 or (km < 10 and j >= 0.28))) or (km < 5 and difflib.SequenceMatcher(None, keys[a], keys[b]).ratio() >= 0.9) or (j >= 0.7 and km < 3):
+                    want.add((a, b))
+    assert want and {(r.u, r.v) for r in clusters.consolidation_links(m, c).collect()} == want
+    out = clusters.consolidate(m, c, 2024).collect()
+    assert sum(r.clusters for r in out) == 24 and sum(r.businesses for r in out) <= len(members)
+    assert max(r.score for r in out) == 23.0 and all(r.average_age == 24.0 for r in out)
+
+
+def test_patents_by_tier(spark):
+    b = [(1, "Acme Widgets Inc"), (2, "acme widgets"), (3, "Brightline"), (4, "Acme Widgets Holdings"), (5, "Nobody"), (6, "Brig"), (7, None), (8, "")]
+    p = [(1, "ACME WIDGETS"), (2, "Acme Widgets, LLC"), (3, "The Brightline Works"), (3, "The Brightline Works"), (4, "Brightliner"), (5, None)]
+    out = matching.match_patents(spark.createDataFrame(b, "id long, name string"), spark.createDataFrame(p, "patent_id long, assignee string"))
+    assert {r.id: r.patents for r in out.collect()} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0, 8: 0}
+
+
+def test_growth_path_against_the_formula(spark):
+    rows = [(1, 100.0, 0.1, 3, "exponential"), (2, 100.0, 0.1, 3, "sigmoid"), (3, 100.0, 0.1, 3, "delayed_sigmoid"), (4, 100.0, 0.1, 3, "linear"), (5, 0.0, 0.1, 3, "linear")]
+    out = {(r.id, r.year): r for r in projections.yearly_growth_path(spark.createDataFrame(rows, "id long, value double, rate double, age int, curve string"), 2, 2024).collect()}
+    want = {1: 121.0, 2: 1000 / (1 + math.exp(1.0)), 3: 2000 / (1 + math.exp(1.5)), 4: 120.0, 5: 0.0}
+    assert all(math.isclose(out[i, 2026].value, w, abs_tol=1e-9) for i, w in want.items())
+    assert out[5, 2025].growth is None and math.isclose(out[4, 2026].growth, 120 / 110 - 1) and math.isclose(out[1, 2025].upper, 110 * 1.294)
