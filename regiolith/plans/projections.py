@@ -75,14 +75,14 @@ def curve_at(k):
 
 @query(
     "F12_growth_path",
-    f"""with b as (select business_id, revenue_estimate v, (0.02::double + 0.01::double * (business_id % 5)) r, 2024 - year_established age, unnest(range(1, 6)) k from business),
+    f"""with b as (select business_id, revenue_estimate v, (1 + business_id % 5) / 97.0::double r, 2024 - year_established age, unnest(range(1, 6)) k from business),
     p as (select business_id id, 2024 + k y, {curve_at("k")} x, case when k = 1 then v else {curve_at("(k - 1)")} end x0 from b)
-    select id, cast(y as int) "year", round(x, 2) "value", round(x / nullif(x0, 0) - 1, 6) growth, round(x * 0.706::double, 2) lower, round(x * 1.294::double, 2) upper from p""",
+    select id, cast(y as int) "year", round(x, 2) "value", round(x / nullif(x0, 0) - 1, 6) growth, round(x * (1 - 1.96::double * 0.15::double), 2) lower, round(x * (1 + 1.96::double * 0.15::double), 2) upper from p""",
 )
 def growth_path(spark, sf_dir):
     key = F.col("business_id")
     b = view(spark, sf_dir, "business").select(
-        key.alias("id"), F.col("revenue_estimate").alias("value"), (0.02 + 0.01 * (key % 5)).alias("rate"), (AS_OF - F.col("year_established")).alias("age"),
+        key.alias("id"), F.col("revenue_estimate").alias("value"), ((1 + key % 5) / 97.0).alias("rate"), (AS_OF - F.col("year_established")).alias("age"),
         F.get(F.array(*[F.lit(c) for c in CURVES]), (key % 4).cast("int")).alias("curve"),
     )
     return rounded(P.yearly_growth_path(b, 5, AS_OF), 2, growth=6)
