@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from regiolith.llm import backoff, html, jaccard, media, packing, pieces, quality, rules, secrets, toxicity
+from regiolith.llm import backoff, bytebpe, html, jaccard, media, merkle, packing, pieces, quality, rules, secrets, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_jaccard": jaccard.op9_jaccard,
         "op10_packing": packing.op10_packing,
+        "op11_merkle": merkle.op11_merkle,
+        "op12_bpe": bytebpe.op12_bpe,
+        "op13_trie": trie.op13_trie,
         "pipeline": corpus_pipeline.run,
     }
 
