@@ -34,11 +34,102 @@ def near_pairs(points: DataFrame, miles: float, most_latitude: float = 60.0) ->
     joined = left.join(right, ["x", "y"]).withColumn("distance", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")))
     return joined.where(F.col("distance") <= miles).select("a", "b", "distance")
 
+def distance_bounds(a: dict[str, Column], b: dict[str, Column], radius: float = MILES) -> tuple[Column, Column]:
+    """(least, most) distance of two boxes (south, north, west, east); the distance grows with both differences and with
+    the cosines of the latitudes, so each bound takes the ends of their ranges."""
+
+    def bound(dlat: Column, dlon: Column, cosines: Column) -> Column:
+        h = F.pow(F.sin(F.radians(dlat) / 2), 2) + cosines * F.pow(F.sin(F.radians(F.least(dlon, F.lit(180.0))) / 2), 2)
+        return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+    def cosines(box: dict[str, Column]) -> tuple[Column, Column]:
+        s, n = F.cos(F.radians(box["south"])), F.cos(F.radians(box["north"]))
+        return F.least(s, n), F.when(box["south"] * box["north"] <= 0, 1.0).otherwise(F.greatest(s, n))
+
+    gap = lambda low, high, x, y: F.greatest(x[low] - y[high], y[low] - x[high], F.lit(0.0))
+    span = lambda low, high, x, y: F.greatest(x[high] - y[low], y[high] - x[low])
+    (low_a, high_a), (low_b, high_b) = cosines(a), cosines(b)
+    least = bound(gap("south", "north", a, b), gap("west", "east", a, b), low_a * low_b)
+    return least * (1 - 1e-12), bound(span("south", "north", a, b), span("west", "east", a, b), high_a * high_b) * (1 + 1e-12)
+
+
+BOX = ("south", "north", "west", "east")
+
+
+def boxes(places: DataFrame, *keys) -> DataFrame:
+    """Count and bounds of the places (lat, lon, n) of each cell."""
+    return places.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("places"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east")
+    )
+
+
+def counted_places(points: DataFrame) -> DataFrame:
+    """(lat, lon, n): points of one place count as one row."""
+    usable = points.where("latitude is not null and longitude is not null")
+    return usable.groupBy(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Cells that a radius spans at the first level, how many a cell has across at the next one, levels, and places of a cell
+#: that are tested one by one rather than by smaller cells.
+ACROSS, FINER, LEVELS, FEW = 4, 4, 3, 48
+
+
+def places_near(points: DataFrame, miles: float, most_latitude: float = 60.0) -> DataFrame:
+    """(lat, lon, n, neighbours): of each place, its points, and all points within the distance, its own included.
+
+    Nested cells have counts and bounds. Two cells of the first level count whole where they are within the distance of
+    each other at most; where only parts may be, each place is held against the other cell, then against its smaller cells,
+    and only in cells on the rim with few places against places. No pair of points is ever a row that is kept. Cells are
+    sized for latitudes up to ``most_latitude``."""
+    from regiolith.operators.graph import materialised
+
+    dlat = miles / MILES_A_DEGREE / ACROSS
+    dlon = dlat / math.cos(math.radians(most_latitude))
+    size = FINER ** (LEVELS - 1)
+    fine = counted_places(points).withColumn("fx", F.floor(F.col("lat") / dlat * size)).withColumn("fy", F.floor(F.col("lon") / dlon * size))
+    for level in range(LEVELS):
+        for c in "xy":
+            fine = fine.withColumn(f"{c}{level}", F.floor(F.col(f"f{c}") / FINER ** (LEVELS - 1 - level)))
+    places = materialised(fine.drop("fx", "fy"))
+    cells = []
+    while len(cells) < LEVELS and (not cells or (cells[-1].agg(F.max("places")).first()[0] or 0) > FEW):  # only as fine as crowded cells ask for
+        cells.append(materialised(boxes(places, F.col(f"x{len(cells)}").alias("x"), F.col(f"y{len(cells)}").alias("y"))))
+    reach = range(-ACROSS - 1, ACROSS + 2)
+    around = F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in reach for j in reach])
+    own = cells[0].select(F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.col(c).alias(f"a_{c}") for c in BOX], F.explode(around).alias("c")).select("*", "c.x", "c.y").drop("c")
+    met = own.join(cells[0], ["x", "y"])
+    least, most = distance_bounds({c: F.col(f"a_{c}") for c in BOX}, {c: F.col(c) for c in BOX})
+    met = materialised(met.withColumn("inside", most <= miles).where(least <= miles))
+    whole = met.where("inside").groupBy(F.col("ax").alias("x0"), F.col("ay").alias("y0")).agg(F.sum("n").alias("whole"))
+    point = {"south": F.col("p_lat"), "north": F.col("p_lat"), "west": F.col("p_lon"), "east": F.col("p_lon")}
+    least, most = distance_bounds(point, {c: F.col(c) for c in BOX})
+    rim = met.where("not inside").select(F.col("ax").alias("x0"), F.col("ay").alias("y0"), "x", "y", "n", "places", *BOX)
+    front = places.select("x0", "y0", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).join(rim, ["x0", "y0"]).drop("x0", "y0")
+    counts = None
+    for level in range(len(cells)):
+        judged = front.withColumn("inside", most <= miles).where(least <= miles)
+        parts = [judged.where("inside").select("p_lat", "p_lon", "n")]
+        some = judged.where("not inside")
+        tested = some.where(F.col("places") <= FEW) if level < len(cells) - 1 else some
+        leaf = places.select(F.col(f"x{level}").alias("x"), F.col(f"y{level}").alias("y"), "lat", "lon", F.col("n").alias("m"))
+        close = tested.select("p_lat", "p_lon", "x", "y").join(leaf, ["x", "y"]).where(haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) <= miles)
+        parts.append(close.select("p_lat", "p_lon", F.col("m").alias("n")))
+        for part in parts:
+            summed = part.groupBy("p_lat", "p_lon").agg(F.sum("n").alias("n"))
+            counts = summed if counts is None else counts.unionByName(summed)
+        if level < len(cells) - 1:
+            inner = F.array(*[F.struct((F.col("x") * FINER + i).alias("x"), (F.col("y") * FINER + j).alias("y")) for i in range(FINER) for j in range(FINER)])
+            smaller = some.where(F.col("places") > FEW).select("p_lat", "p_lon", F.explode(inner).alias("c")).select("p_lat", "p_lon", "c.x", "c.y")
+            front = smaller.join(cells[level + 1], ["x", "y"])
+    more = counts.groupBy(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).agg(F.sum("n").alias("more"))
+    joined = places.select("lat", "lon", "n", "x0", "y0").join(whole, ["x0", "y0"], "left").join(more, ["lat", "lon"], "left")
+    return joined.select("lat", "lon", "n", (F.coalesce("whole", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("neighbours"))
+
 
 def local_density(points: DataFrame, miles: float) -> DataFrame:
     """(id, neighbours, density): points within the distance, themselves included, and points a square mile."""
-    counts = near_pairs(points, miles).groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"))
-    return counts.withColumn("density", F.col("neighbours") / (math.pi * miles**2))
+    near = places_near(points, miles).select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), "neighbours")
+    return points.select("id", "latitude", "longitude").join(near, ["latitude", "longitude"]).select("id", "neighbours", (F.col("neighbours") / (math.pi * miles**2)).alias("density"))
 
 
 def distance_features(points: DataFrame, centres: dict[str, tuple[float, float]]) -> DataFrame:

@@ -35,7 +35,7 @@ def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8)
     """(target_id, source_id, score, tier): the best source row of each target row.
 
     Tiers, strongest first: equal names (1.0), equal phones (0.95), equal addresses with similar names, equal
-    sounds with similar names, shared words. Each is an equality join on its key; a row that a tier decides is
+    sounds with similar names, shared words. Each is an equality join on its keys; a row that a tier decides is
     not looked up in the next ones. Ties go to the higher score, then the smaller id."""
     s, t = prepared(source), prepared(target)
     s = s.withColumnsRenamed({c: f"s_{c}" for c in s.columns})
@@ -51,14 +51,28 @@ def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8)
         joined = rest.where(usable).join(s, F.col(key) == F.col(f"s_{key}")).withColumn("score", score)
         return best(joined.where(keep), number, name)
 
+    def sounds_alike(rest: DataFrame) -> DataFrame:
+        """Names of one sound that are similar enough, from the index of alike names: a sound may hold most of a table.
+
+        Of sources with an equal name the least id counts, and targets with an equal name are looked up once."""
+        from regiolith.operators.names import likely_pairs
+
+        least = 100 * max(threshold, threshold / 0.85)
+        names = rest.where("sound is not null").select(F.col("name").alias("id"), F.col("sound").alias("block"), "name").distinct()
+        known = s.where("s_sound is not null").groupBy(F.col("s_sound").alias("block"), F.col("s_name").alias("name")).agg(F.min("s_id").alias("id"))
+        pairs = likely_pairs(names, known, min(least, 100.0)).select(F.col("left_name").alias("name"), F.col("right_id").alias("s_id"), F.col("right_name").alias("s_name"))
+        scored = pairs.withColumn("score", 0.85 * similarity).where((similarity > threshold) & (F.col("score") >= threshold))
+        nearest = scored.groupBy("name").agg(F.max_by(F.struct("score", "s_id"), F.struct(F.col("score"), -F.col("s_id"))).alias("b"))
+        return rest.join(nearest, "name").select("id", "b.s_id", "b.score")
+
     out, rest = None, t
     for number, (key, score, keep, name) in enumerate((
         ("name", F.lit(1.0), F.lit(True), "exact_name"),
         ("phone", F.lit(0.95), F.lit(True), "phone"),
         ("address", 0.9 * similarity, (similarity > 0.7) & (F.col("score") >= threshold), "address"),
-        ("sound", 0.85 * similarity, (similarity > threshold) & (F.col("score") >= threshold), "sound"),
+        ("sound", None, None, "sound"),
     )):
-        found = tier_of(rest, key, score, keep, number, name)
+        found = best(sounds_alike(rest), number, name) if key == "sound" else tier_of(rest, key, score, keep, number, name)
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select(F.col("target_id").alias("id")), "id", "left_anti")
     # Names that share so large a part of their words share one of their rarest ones; only those are joined on.
@@ -163,24 +177,9 @@ def sequence_ratio_column():
     return ratio
 
 
-def fuzzy_pairs(df: DataFrame, ratio: float) -> DataFrame:
-    """(u, v) of rows (id, county, name) of one county whose names are alike, in any case and without outer spaces.
-
-    Pairs come from blocks of names that share their first letters, their last letters, or one of their later words,
-    then from bounds of their lengths and edit distance, and are compared last."""
-    base = df.where("county is not null and name is not null").select("id", "county", F.trim(F.lower("name")).alias("low"))
-    later = F.filter(F.split(F.regexp_replace("low", r"[^\p{L}\p{N}]+", " "), " "), lambda w, i: (F.length(w) >= 3) & (i > 0))
-    ends = F.array(F.concat(F.lit("<"), F.substring("low", 1, 4)), F.concat(F.substring("low", -4, 4), F.lit(">")))
-    keys = F.array_distinct(F.concat(later, ends))
-    blocks = base.withColumn("block", F.explode(keys))
-    a = blocks.select("county", "block", F.col("id").alias("u"), F.col("low").alias("name_u"))
-    b = blocks.select("county", "block", F.col("id").alias("v"), F.col("low").alias("name_v"))
-    shortest = ratio / (200 - ratio)
-    lengths = F.least(F.length("name_u"), F.length("name_v")) >= shortest * F.greatest(F.length("name_u"), F.length("name_v"))
-    most = (1 - ratio / 100) * (F.length("name_u") + F.length("name_v"))  # an edit distance is at most the indel distance
-    near = (F.col("u") < F.col("v")) & lengths & (F.levenshtein("name_u", "name_v") <= most)
-    pairs = a.join(b, ["county", "block"]).where(near).select("u", "v", "name_u", "name_v").distinct()
-    return pairs.where(indel_ratio_column()("name_u", "name_v") >= ratio).select("u", "v")
+def name_blocks(df: DataFrame) -> DataFrame:
+    """(id, block, name): names in lower case without outer spaces, in blocks by county; a null county or name is alike to nothing."""
+    return df.select("id", F.col("county").alias("block"), F.trim(F.lower("name")).alias("name"))
 
 
 def keep_best_of_groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -194,7 +193,10 @@ def keep_best_of_groups(df: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def dedup_fuzzy(df: DataFrame, ratio: float = 90.0) -> DataFrame:
-    return keep_best_of_groups(df, fuzzy_pairs(df, ratio))
+    """Rows of one county with names alike become one; no pair of alike names is lost (``names.alike_links``)."""
+    from regiolith.operators.names import alike_links
+
+    return keep_best_of_groups(df, alike_links(name_blocks(df), ratio))
 
 
 def dedup_geo(df: DataFrame, miles: float = 0.5, ratio: float = 85.0) -> DataFrame:

@@ -260,6 +260,32 @@ def resolve_membership(rows: DataFrame, business: DataFrame, tiers: list[tuple[s
     return rest if out is None else out.withColumn("business_id", F.col("business_id").cast("long")).unionByName(rest)
 
 
+def resolve_by_name(rest: DataFrame, business: DataFrame, least: float = 0.92) -> DataFrame:
+    """Rows (row_id, name, ...) that no exact tier found, by the business name of the highest matching-block ratio, ``least``
+    or more; of names with an equal ratio the last one, of businesses with an equal name the least id.
+
+    Candidates come from the index of alike names: a ratio of matching blocks is at most the indel ratio."""
+    from regiolith.operators.matching import sequence_ratio_column
+    from regiolith.operators.names import likely_pairs
+
+    names = rest.where("business_id is null").select(F.col("name").alias("id"), F.lit("").alias("block"), "name").distinct()
+    known = business.groupBy("name").agg(F.min("business_id").alias("id")).select("id", F.lit("").alias("block"), "name")
+    pairs = likely_pairs(names, known, 100 * least).withColumn("ratio", sequence_ratio_column()("right_name", "left_name")).where(F.col("ratio") >= least)
+    found = pairs.groupBy(F.col("left_name").alias("name")).agg(F.max_by("right_id", F.struct("ratio", "right_name")).alias("near"))
+    j = rest.join(found, "name", "left")
+    by_name = F.col("business_id").isNull() & F.col("near").isNotNull()
+    return j.withColumn("tier", F.when(by_name, "fuzzy").otherwise(F.col("tier"))).withColumn("business_id", F.coalesce("business_id", "near")).select(rest.columns)
+
+
+def membership_report(resolved: DataFrame) -> DataFrame:
+    """(cluster_id, members, matched, fuzzy, unmatched): how the rows of each cluster were found."""
+    count = lambda c: F.count(F.when(c, 1))
+    return resolved.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("members"), count(F.col("business_id").isNotNull()).alias("matched"),
+        count(F.col("tier") == "fuzzy").alias("fuzzy"), count(F.col("business_id").isNull()).alias("unmatched"),
+    )
+
+
 def correct_coordinates(points: DataFrame, rings: DataFrame) -> DataFrame:
     """Points (id, latitude, longitude, ring): not usable ones move to the mean of the ring's corners, ones outside of
     their ring to the nearest place of its edges; others, and those without a known ring, stay.

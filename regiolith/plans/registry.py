@@ -46,6 +46,8 @@ def with_views(sql: str) -> str:
     visit(sql)
     parts = [f"{n} as ({re.sub(r'{(\w+)}', r'\1', VIEWS[n]).strip()})" for n in needed]
     body = sql.strip()
+    if body[:15].lower() == "with recursive ":
+        return "with recursive " + ", ".join([*parts, body[15:]])
     if body[:5].lower() == "with ":
         return "with " + ", ".join([*parts, body[5:]])
     return ("with " + ", ".join(parts) + " " if parts else "") + body
