@@ -40,15 +40,18 @@ def density_groups(points: DataFrame, miles: float, least: int) -> DataFrame:
     cores = places.where("core")
     cells = materialised(boxes(cores, "x", "y").join(cores.groupBy("x", "y").agg(F.min("first").alias("cell")), ["x", "y"]))
     parts = materialised(boxes(cores, "x", "y", "sx", "sy").drop("n", "places"))
-    dx, dy = range(-2, 3), range(-math.ceil(2 * widest / narrowest) - 1, math.ceil(2 * widest / narrowest) + 2)
+    reach = math.ceil(2 * widest / narrowest) + 1
 
-    def around(later: bool):
-        return F.explode(F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in dx for j in dy if not later or (i, j) > (0, 0)]))
+    def around(df: DataFrame) -> DataFrame:
+        """Rows with the cell (x, y) for each cell near theirs (ax, ay)."""
+        x, y = F.sequence(F.col("ax") - 2, F.col("ax") + 2), F.sequence(F.col("ay") - reach, F.col("ay") + reach)
+        return df.withColumn("x", F.explode(x)).withColumn("y", F.explode(y))
 
     named = {"a": {c: F.col(f"a_{c}") for c in BOX}, "b": {c: F.col(c) for c in BOX}}
     low, high = distance_bounds(named["a"], named["b"])
-    left = cells.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cell").alias("u"), *[F.col(c).alias(f"a_{c}") for c in BOX], around(True).alias("c"))
-    near = left.select("ax", "ay", "u", *[f"a_{c}" for c in BOX], "c.x", "c.y").join(cells, ["x", "y"]).where(low <= miles).withColumn("linked", high <= miles)
+    left = around(cells.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("cell").alias("u"), *[F.col(c).alias(f"a_{c}") for c in BOX]))
+    later = (F.col("x") > F.col("ax")) | (F.col("x") == F.col("ax")) & (F.col("y") > F.col("ay"))
+    near = left.where(later).join(cells, ["x", "y"]).where(low <= miles).withColumn("linked", high <= miles)
     near = materialised(near.select("ax", "ay", "u", "x", "y", F.col("cell").alias("v"), "linked"))
     open_ = near.where("not linked").select("ax", "ay", "u", "x", "y", "v")
     a = parts.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("sx").alias("asx"), F.col("sy").alias("asy"), *[F.col(c).alias(f"a_{c}") for c in BOX])
@@ -64,7 +67,7 @@ def density_groups(points: DataFrame, miles: float, least: int) -> DataFrame:
     groups = connected_components(links).withColumnsRenamed({"node": "cell", "component": "group"})
     labels = materialised(cells.select("x", "y", "cell").join(groups, "cell", "left").select("x", "y", F.coalesce("group", "cell").alias("group")))
     # what is near a core but none: its nearest core, in parts that may be near
-    rest = places.where("not core").select("lat", "lon", around(False).alias("c")).select("lat", "lon", "c.x", "c.y")
+    rest = around(places.where("not core").select("lat", "lon", F.col("x").alias("ax"), F.col("y").alias("ay"))).select("lat", "lon", "x", "y")
     point = {"south": F.col("lat"), "north": F.col("lat"), "west": F.col("lon"), "east": F.col("lon")}
     low, _ = distance_bounds(point, named["b"])
     maybe = rest.join(parts, ["x", "y"]).where(low <= miles).select("lat", "lon", "x", "y", "sx", "sy")

@@ -94,9 +94,9 @@ def places_near(points: DataFrame, miles: float, most_latitude: float = 60.0) ->
     cells = []
     while len(cells) < LEVELS and (not cells or (cells[-1].agg(F.max("places")).first()[0] or 0) > FEW):  # only as fine as crowded cells ask for
         cells.append(materialised(boxes(places, F.col(f"x{len(cells)}").alias("x"), F.col(f"y{len(cells)}").alias("y"))))
-    reach = range(-ACROSS - 1, ACROSS + 2)
-    around = F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in reach for j in reach])
-    own = cells[0].select(F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.col(c).alias(f"a_{c}") for c in BOX], F.explode(around).alias("c")).select("*", "c.x", "c.y").drop("c")
+    reach = F.lit(ACROSS + 1)
+    own = cells[0].select(F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.col(c).alias(f"a_{c}") for c in BOX])
+    own = own.withColumn("x", F.explode(F.sequence(F.col("ax") - reach, F.col("ax") + reach))).withColumn("y", F.explode(F.sequence(F.col("ay") - reach, F.col("ay") + reach)))
     met = own.join(cells[0], ["x", "y"])
     least, most = distance_bounds({c: F.col(f"a_{c}") for c in BOX}, {c: F.col(c) for c in BOX})
     met = materialised(met.withColumn("inside", most <= miles).where(least <= miles))
@@ -118,9 +118,11 @@ def places_near(points: DataFrame, miles: float, most_latitude: float = 60.0) ->
             summed = part.groupBy("p_lat", "p_lon").agg(F.sum("n").alias("n"))
             counts = summed if counts is None else counts.unionByName(summed)
         if level < len(cells) - 1:
-            inner = F.array(*[F.struct((F.col("x") * FINER + i).alias("x"), (F.col("y") * FINER + j).alias("y")) for i in range(FINER) for j in range(FINER)])
-            smaller = some.where(F.col("places") > FEW).select("p_lat", "p_lon", F.explode(inner).alias("c")).select("p_lat", "p_lon", "c.x", "c.y")
-            front = smaller.join(cells[level + 1], ["x", "y"])
+            crowded = some.where(F.col("places") > FEW).select("p_lat", "p_lon", "x", "y")
+            for c in "xy":
+                first = F.col(c) * FINER
+                crowded = crowded.withColumn(c, F.explode(F.sequence(first, first + (FINER - 1))))
+            front = crowded.join(cells[level + 1], ["x", "y"])
     more = counts.groupBy(F.col("p_lat").alias("lat"), F.col("p_lon").alias("lon")).agg(F.sum("n").alias("more"))
     joined = places.select("lat", "lon", "n", "x0", "y0").join(whole, ["x0", "y0"], "left").join(more, ["lat", "lon"], "left")
     return joined.select("lat", "lon", "n", (F.coalesce("whole", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("neighbours"))
