@@ -77,17 +77,84 @@ def community_potential(members: DataFrame) -> DataFrame:
     return g.select("cluster_id", (F.col("n") * 1.0 + F.col("codes") * 5.0 + 2.0 * F.col("revenue") / 1e6).alias("potential"))
 
 
-def pareto_front(df: DataFrame, key: str, most: list[str], least: list[str]) -> DataFrame:
-    """Rows that no other row dominates: as good in every column and better in one. For candidate tables, which are few."""
-    columns = most + least
-    other = df.select([F.col(c).alias(f"o_{c}") for c in [key, *columns]])
-    as_good = F.lit(True)
-    better = F.lit(False)
-    for c in most:
-        as_good, better = as_good & (F.col(f"o_{c}") >= F.col(c)), better | (F.col(f"o_{c}") > F.col(c))
-    for c in least:
-        as_good, better = as_good & (F.col(f"o_{c}") <= F.col(c)), better | (F.col(f"o_{c}") < F.col(c))
-    return df.join(F.broadcast(other), as_good & better, "left_anti")
+def pareto_front(df: DataFrame, key: str, most: list[str], least: list[str], fan: int = 8) -> DataFrame:
+    """Rows that no other row dominates: as good in every column and better in one. Rows without one of the values are
+    compared with nothing and stay.
+
+    Each partition keeps its own front; fronts are then merged, some at a time, until one is left. What a task holds is
+    a few fronts, never the table, and nothing is broadcast."""
+    import numpy as np
+    import pandas as pd
+
+    from regiolith.operators.graph import materialised
+
+    signs = {c: 1.0 for c in most} | {c: -1.0 for c in least}
+
+    def front(rows: pd.DataFrame) -> pd.DataFrame:
+        values = np.column_stack([rows[c].to_numpy(float) * sign for c, sign in signs.items()]) if len(rows) else np.zeros((0, len(signs)))
+        order = np.argsort(-values.sum(axis=1), kind="stable")  # a row is dominated only by rows of a larger sum
+        kept: list[int] = []
+        best = np.empty_like(values)
+        for i in order:
+            known = best[: len(kept)]
+            if not ((known >= values[i]).all(axis=1) & (known > values[i]).any(axis=1)).any():
+                best[len(kept)] = values[i]
+                kept.append(i)
+        return rows.iloc[sorted(kept)]
+
+    def local(batches):
+        found = None
+        for batch in batches:
+            found = front(batch if found is None else pd.concat([found, batch], ignore_index=True))
+        if found is not None:
+            yield found
+
+    complete = F.lit(True)
+    for c in signs:
+        complete = complete & F.col(c).isNotNull()
+    columns = df.select(key, *[F.col(c).cast("double").alias(c) for c in signs]).where(complete)
+    found = materialised(columns.mapInPandas(local, columns.schema).withColumn("part__", F.spark_partition_id()))
+    parts = (found.agg(F.max("part__")).first()[0] or 0) + 1
+    while parts > 1:
+        schema = columns.schema
+        merged = found.withColumn("part__", F.expr(f"part__ div {fan}").cast("int")).groupBy("part__").applyInPandas(
+            lambda rows: front(rows).reset_index(drop=True), "part__ int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+        )
+        found, parts = materialised(merged.select(*columns.columns, "part__")), -(-parts // fan)
+    return df.join(found.select(key), key, "left_semi").unionByName(df.where(~complete))
+
+
+def pick_without_overlap(members: DataFrame, scores: DataFrame, most: int | None = None, least: int = 20) -> DataFrame:
+    """(cluster_id, member, place): clusters in descending score, ties to the least id, whose members no earlier one has.
+
+    ``members`` has (cluster_id, member), ``scores`` (cluster_id, score). A cluster that overlaps with chosen ones is trimmed
+    to the rest, and left out if fewer than ``least`` remain. The pick is that of going through the clusters one by one: in a
+    round all clusters are decided that no undecided cluster of a higher score shares a free member with, so the rounds
+    follow the longest chain of overlaps and not the number of clusters."""
+    from regiolith.operators.graph import materialised
+
+    rank = F.struct((-F.col("score")).alias("s"), F.col("cluster_id").alias("c"))
+    left = materialised(members.select("cluster_id", "member").distinct().join(scores.select("cluster_id", "score"), "cluster_id").withColumn("trimmed", F.lit(False)))
+    chosen = None
+    while True:
+        first = left.groupBy("member").agg(F.min(rank).alias("first"))
+        led = left.join(first, "member").withColumn("leads", F.col("first.c") == F.col("cluster_id"))
+        ready = led.groupBy("cluster_id").agg(F.every("leads").alias("ready"), F.count(F.lit(1)).alias("n"), F.max("trimmed").alias("cut"))
+        ready = materialised(ready.where("ready").withColumn("chosen", ~F.col("cut") | (F.col("n") >= least)))
+        if not ready.limit(1).count():
+            break
+        taken = materialised(left.join(ready.where("chosen").select("cluster_id"), "cluster_id", "left_semi").select("cluster_id", "member", "score"))
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        rest = left.join(ready.select("cluster_id"), "cluster_id", "left_anti").join(taken.select("member", F.lit(True).alias("gone")), "member", "left")
+        lost = rest.where("gone").select("cluster_id").distinct().withColumn("now", F.lit(True))
+        free = rest.where("gone is null").join(lost, "cluster_id", "left").withColumn("trimmed", F.col("trimmed") | F.coalesce("now", F.lit(False)))
+        left = materialised(free.select("cluster_id", "member", "score", "trimmed"))
+    if chosen is None:
+        return members.select("cluster_id", "member", F.lit(1).alias("place")).limit(0)
+    order = chosen.select("cluster_id", "score").distinct()
+    placed = order.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "cluster_id")))  # clusters are few
+    placed = placed if most is None else placed.where(F.col("place") <= most)
+    return chosen.join(placed.select("cluster_id", "place"), "cluster_id").select("cluster_id", "member", "place")
 
 
 def greedy_chunks(df: DataFrame, key: str, order: list, k: int) -> DataFrame:

@@ -29,19 +29,32 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def connected_components(edges: DataFrame, most: int = 50) -> DataFrame:
     """(node, component) of the nodes of edges (u, v); the component is its least node.
 
-    Labels are the least of the neighbours' labels; after each round a label takes over its own label's label, so
-    that paths halve."""
-    both = materialised(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct())
-    labels = materialised(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    Alternating stars: links to larger neighbours move to the least neighbour, then links to smaller ones do. Where a node
+    has many neighbours their links are made in parts: the least of a node comes from partial minima, and a hub's links are
+    rows by neighbour that the join may split, so no task collects the neighbours of one node. Only the links that are left
+    are kept; there are at most as many as before."""
+    def least_of(links: DataFrame) -> DataFrame:
+        return links.groupBy("u").agg(F.min("v").alias("low"))
+
+    def outward(links: DataFrame) -> DataFrame:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        met = both.where("v > u").join(least_of(both), "u")
+        return met.select(F.col("v").alias("u"), F.least("u", "low").alias("v")).distinct()
+
+    def inward(links: DataFrame) -> DataFrame:
+        low = least_of(links)  # links go from the larger to the smaller node
+        met = links.join(low, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        return met.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
+
+    links = materialised(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
     for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.least("label", "near").alias("low"), "label")
-        jumps = lower.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        fresh = materialised(lower.join(jumps, "low", "left").select("node", F.coalesce("lower", "low").alias("label"), F.col("label").alias("old")))
-        changed = fresh.where("label <> old").limit(1).count()
-        labels = fresh.select("node", "label")
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        links = materialised(inward(outward(links)))
+        now = links.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        if now == state:
+            roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        state = now
     raise RuntimeError("components did not settle")
 
 
@@ -94,3 +107,12 @@ def communities(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame
         a, b = labels.select(F.col("node").alias("u"), F.col("community").alias("cu")), labels.select(F.col("node").alias("v"), F.col("community").alias("cv"))
         flat = materialised(flat.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")))
     return found if found is not None else flat.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct()
+
+
+def sized_communities(edges: DataFrame, least: int = 15) -> DataFrame:
+    """(node, community, size, modularity): communities of ``least`` nodes or more, named by their least node, and the
+    modularity of all of them, small ones included."""
+    found = materialised(communities(edges))
+    named = found.join(found.groupBy("community").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")), "community")
+    kept = named.where(F.col("size") >= least).select("node", F.col("least").alias("community"), "size")
+    return kept.crossJoin(F.broadcast(modularity(edges, found)))  # one row

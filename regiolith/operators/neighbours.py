@@ -52,7 +52,7 @@ def bounds(a: str, b: str) -> tuple[Column, Column]:
     least_size = F.least(c(a, "e0") / c(b, "e1"), c(b, "e0") / c(a, "e1"))
     most_size = F.least(c(a, "e1") / c(b, "e0"), c(b, "e1") / c(a, "e0"), F.lit(1.0))
     fixed = fixed_part(f"{a}_code", f"{b}_code")
-    slack = 1e-12
+    slack = 1e-11  # weights are compared to twelve places
     return PLACE * low + fixed + SIZE * least_size - slack, PLACE * high + fixed + SIZE * most_size + slack
 
 
@@ -106,7 +106,7 @@ def nearest(df: DataFrame, m: int = 10) -> DataFrame:
         kept = materialised(kept.select(F.col("a_bucket").alias("a_bucket__"), F.col("b_bucket").alias("b_bucket__")))
     last = kinds.withColumn("bucket", bucket(levels)).select("bucket", "kind", *alike, "ids")
     pairs = prefixed(last.drop("ids"), "a").join(kept, F.col("a_bucket") == F.col("a_bucket__")).join(prefixed(last, "b"), F.col("b_bucket") == F.col("b_bucket__"))
-    rated = pairs.select("a_kind", "b_ids", weight("a", "b").alias("w"))
+    rated = pairs.select("a_kind", "b_ids", F.round(weight("a", "b"), 12).alias("w"))
     by_kind = Window.partitionBy("a_kind").orderBy(F.desc("w"), F.col("b_ids")[0])
     first = rated.withColumn("nth__", F.row_number().over(by_kind)).where(F.col("nth__") <= m + 1)
     by_id = Window.partitionBy("a_kind").orderBy(F.desc("w"), "v")

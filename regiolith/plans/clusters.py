@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regiolith.operators import communities as C
 from regiolith.operators import graph as G
+from regiolith.operators import neighbours as N
 from regiolith.operators.clusters import consolidate as consolidated
 from regiolith.operators.clusters import member_jaccard
 from regiolith.plans.aggregates import AS_OF, rounded
@@ -39,10 +40,24 @@ def connected_components(spark, sf_dir):
     return b.join(found.withColumnRenamed("node", "business_id"), "business_id", "left").select(F.col("business_id").alias("node"), F.coalesce("component", "business_id").alias("component"))
 
 
+BUYS = " or ".join(f"(a.code = '{k}' and b.code in ({', '.join(repr(v) for v in vs)})) or (b.code = '{k}' and a.code in ({', '.join(repr(v) for v in vs)}))" for k, vs in N.BUYS.items())
+NEAR_WEIGHT = f"""(0.4::double / (1 + sqrt(pow(a.latitude - b.latitude, 2) + pow(a.longitude - b.longitude, 2)) / 0.2::double) + case when a.code = b.code then 0.3::double else 0.0::double end
+  + 0.2::double * least(a.e, b.e) / greatest(a.e, b.e) + case when {BUYS} then 0.1::double else 0.0::double end)"""
+
+
+@query(
+    "I1_nearest_neighbours",
+    f"""with n as (select business_id id, latitude, longitude, substr(naics_code, 1, 3) code, greatest(employees, 1)::double e from business), w as (select a.id u, b.id v, {NEAR_WEIGHT} w from n a join n b on a.id <> b.id)
+    select u, v, round(w, 6) w, cast(nth as int) nth from (select *, row_number() over (partition by u order by round(w, 12) desc, v) nth from w) where nth <= 10""",
+)
+def nearest_neighbours(spark, sf_dir):
+    return rounded(N.nearest(view(spark, sf_dir, "business"), 10))
+
+
 @query("I2_communities")
 def communities(spark, sf_dir):
-    edges = C.similarity_edges(view(spark, sf_dir, "business"), 0.6)
-    return G.communities(edges)
+    """Communities of the graph of nearest neighbours, 15 businesses or more each, with the modularity of the division."""
+    return rounded(G.sized_communities(N.neighbour_edges(view(spark, sf_dir, "business"), 10), 15))
 
 
 @query(

@@ -6,12 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regiolith.operators import clusters as K
+from regiolith.operators import communities as D
+from regiolith.operators import evaluation as E
 from regiolith.operators import projections as P
 from regiolith.operators import scorecards as C
 from regiolith.operators import scores as S
 from regiolith.operators.profiles import dominant_place
 from regiolith.operators.reports import flat_params, type_of
 from regiolith.operators.strategy import critical_mass
+from regiolith.plans import registry
 from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.projections import IMPACT
 from regiolith.plans.registry import query
@@ -46,14 +49,44 @@ def cluster_name(spark, sf_dir):
     return dominant_place(m).join(top, "cluster_id").select("cluster_id", F.concat_ws(" ", "place", "top", F.lit("cluster")).alias("name"))
 
 
-@query("I13_evaluate_cluster")
+OUTPUT_OF = "coalesce(case substr(naics_code, 1, 4) " + " ".join(f"when '{k}' then {v}" for k, v in E.OUTPUT.items() if len(k) == 4) + " end, case substr(naics_code, 1, 3) " + " ".join(f"when '{k}' then {v}" for k, v in E.OUTPUT.items() if len(k) == 3) + f" end, {E.OTHER_OUTPUT})::double"
+JOBS_OF = "(case substr(naics_code, 1, 3) " + " ".join(f"when '{k}' then {v}" for k, v in E.EMPLOYMENT_MULTIPLIERS.items() if len(k) == 3) + f" else {E.OTHER_JOBS} end)::double"
+SIX = f"""g as (select cluster_id, sum(revenue_estimate * {OUTPUT_OF}) base, sum(patent_count * 10 + sbir_awards * 20) innovation, sum(employees) direct, avg({JOBS_OF}) follow from member group by 1),
+    tops as (select cluster_id, code from (select cluster_id, substr(naics_code, 1, 3) code, row_number() over (partition by cluster_id order by count(*) desc, substr(naics_code, 1, 3)) i from member group by 1, 2) where i = 1),
+    rates as (select cluster_id, least(0.15, 0.05 * (case code when '511' then 1.5 when '518' then 1.4 when '493' then 1.2 else 1.0 end))::double rate from tops),
+    six as (select g.cluster_id, round(base * pow(1 + rate, 5) * 1.2::double * success, 2) gdp, cast(innovation as bigint) innovation, cast(floor(direct + direct * (pow(1 + rate * 0.8::double, 5) - 1) * follow + 0.000001) as bigint) jobs, synergy, risk, critical_mass
+      from g join rates using (cluster_id) join ({registry.sql_of("J11_success_probability")}) using (cluster_id) join ({registry.sql_of("J12_intra_synergy")}) using (cluster_id) join ({registry.sql_of("J13_cluster_risk")}) using (cluster_id) join ({CRITICAL_MASS}) using (cluster_id))"""
+
+
+def six_objectives(spark, sf_dir):
+    m = view(spark, sf_dir, "member")
+    parts = [rounded(x) for x in (S.success_probability(m, AS_OF), S.intra_synergy(m), S.cluster_risk(m, AS_OF), critical_mass(m, view(spark, sf_dir, "business")))]
+    return rounded(E.objectives(m, *parts), gdp=2)
+
+
+@query("I13_evaluate_cluster", f"with {SIX} select * from six")
 def evaluate_cluster(spark, sf_dir):
+    return six_objectives(spark, sf_dir)
+
+
+BETTER, WORSE = ("gdp", "innovation", "jobs", "synergy", "critical_mass"), ("risk",)
+AS_GOOD = " and ".join([f"b.{c} >= a.{c}" for c in BETTER] + [f"b.{c} <= a.{c}" for c in WORSE])
+IS_BETTER = " or ".join([f"b.{c} > a.{c}" for c in BETTER] + [f"b.{c} < a.{c}" for c in WORSE])
+
+
+@query("I8_pareto_objectives", f"with {SIX} select a.cluster_id, a.gdp, a.risk from six a where not exists (select 1 from six b where {AS_GOOD} and ({IS_BETTER}))")
+def pareto_objectives(spark, sf_dir):
+    """The front over the six objectives."""
+    return D.pareto_front(six_objectives(spark, sf_dir), "cluster_id", list(BETTER), list(WORSE)).select("cluster_id", "gdp", "risk")
+
+
+@query("I8_pick_clusters")
+def pick_clusters(spark, sf_dir):
+    """Clusters by state and industry beside those by county, picked by output less risk without a business in two of them."""
     m = view(spark, sf_dir, "member")
-    parts = [P.economic_impact(m).select("cluster_id", "gdp_impact", "total_jobs"), S.success_probability(m, AS_OF), S.intra_synergy(m), S.cluster_risk(m, AS_OF), K.metrics(m, AS_OF).select("cluster_id", "innovation")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, "cluster_id")
-    return rounded(out.withColumn("realistic_gdp", F.col("gdp_impact") * F.col("success")), 4)
+    every = m.unionByName(m.withColumn("cluster_id", F.concat_ws("/", "county", F.substring("naics_code", 1, 1))))
+    scores = every.groupBy("cluster_id").agg((F.sum("revenue_estimate") / 1e6 - F.count_if(F.col("employees") < 20)).alias("score"))
+    return D.pick_without_overlap(every.select("cluster_id", F.col("business_id").alias("member")), rounded(scores), least=20)
 
 
 SUSTAINABILITY = f"""with mass as ({CRITICAL_MASS}), c as (select cluster_id, county k, count(*) n from member group by 1, 2), s as (select cluster_id, n / sum(n) over (partition by cluster_id) p from c), h as (select cluster_id, sum(p * p) density from s group by 1),

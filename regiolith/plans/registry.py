@@ -32,6 +32,11 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is already registered, with its views, for use inside another one."""
+    return _ORACLES[name]
+
+
 def with_views(sql: str) -> str:
     """The SQL with the views it names, and those that they name, in front."""
     needed: list[str] = []
