@@ -236,7 +236,7 @@ def test_secret_spans(spark, edges, empty):
     text = 'é password=token:abcdefgh api_key: "abcdef" AKIA' + "A" * 16 + " " + "0a" * 12 + " AKIAB token=x"
     spans = secrets.pattern_spans(text)
     assert secrets.joined(spans) == "assign:26:42,access:44:64,hex:65:89"
-    novel = secrets.Novelty()
+    novel = secrets.Novelty(secrets.trained_dictionary([]))
     hit = "the bearer is tGz9Kd0LmQ2xVw7Rb4Nc8Yp1 now"
     assert secrets.joined(novel.spans(hit, [])) == "novel:14:38"
     assert novel.spans("the bearer is username_password_secret_token now", []) == []
@@ -305,26 +305,57 @@ def test_base_spans_against_brute_force():
 
 def test_secrets_learn_words_of_the_corpus(spark):
     value = "tGz9Kd0LmQ2xVw7Rb4Nc8Yp1Hs5Jf3Ue6Ao2Iq9Z"
-    name = "quonkle_Zarbift_murgeon_Plistow_venkarth1"
-    rows = [(i, f"the login of quonkle and Zarbift by murgeon, Plistow or venkarth {i}; key is {value}") for i in range(20)]
-    learned = secrets.learned_words(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert b"murgeon" in learned and value.encode() not in learned
-    text = f"key {name}"
-    assert secrets.Novelty().bits(text, 4, len(text)) > secrets.Novelty(learned).bits(text, 4, len(text)) + 1
+    name = "quonkleZarbiftMurgeonPlistow1"
+    rows = [(i, f"the login of quonkle and Zarbift by murgeon, Plistow or venkarth {i}; key is {value} of quonkleZarbiftMurgeonPlistow") for i in range(20)]
+    learned = secrets.learned_names(spark.createDataFrame(rows, "doc_id long, text string"))
+    bare = secrets.Novelty(secrets.trained_dictionary([]))
+    assert bare.bits(name) > secrets.Novelty(learned).bits(name) + 0.5
+    assert value.encode() not in learned
     assert secrets.joined(secrets.Novelty(learned).spans(f"key {value}", [])) == "novel:4:44"
     began = time.perf_counter()
     secrets.Novelty(learned).spans("key " * 50_000, [])
     assert time.perf_counter() - began < 5
 
 
+def test_novelty_tells_keys_from_names(spark):
+    """Planted keys are found and names are not, wherever the sensitive word of the document stands; the words of the
+    names occur nowhere else, the dictionary is that of the given documents."""
+    import string
+    import uuid
+
+    r = random.Random(11)
+    words = "ledger harbor mountain velocity bracket compute window widget builder factory registry scheduler monitor gateway profile avatar banner cluster shard replica pipeline cursor canvas pixel vector matrix kernel socket packet".split()
+    pick = lambda n: [r.choice(words) for _ in range(n)]
+    camel = lambda: "".join(w.capitalize() if i else w for i, w in enumerate(pick(4)))
+    drawn = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    plain = string.ascii_letters + string.digits
+    makers = {
+        "keys": [lambda: drawn(plain, 20), lambda: drawn(plain + "+/", 40), lambda: drawn(string.ascii_uppercase + string.digits, 32), lambda: drawn(string.ascii_lowercase + string.digits, 32)],
+        "names": [camel, lambda: "_".join(pick(4)) + "_2", lambda: "/".join(pick(4)) + "/V2", lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: "_".join(w.capitalize() for w in pick(4))],
+    }
+    novel = secrets.Novelty(secrets.learned_names(spark.read.parquet(f"{SF}/documents.parquet")))
+    share = {}
+    for kind, some in makers.items():
+        for make in some:
+            hits = n = 0
+            for seed in range(60):
+                value = make()
+                if not secrets.pattern_spans(value):
+                    text = prose(seed, 60) + f" {value} " + prose(seed + 1, 40 + seed * 10) + " bearer " + prose(seed, 30)
+                    at, n = text.index(value), n + 1
+                    hits += any(a < at + len(value) and at < b for a, _, b in novel.spans(text, []))
+            share.setdefault(kind, []).append(hits / max(n, 1))
+    assert min(share["keys"]) >= 0.95 and max(share["names"]) <= 0.05, share
+
+
 def test_novel_secrets_beside_the_base_words():
     value = "tGz9Kd0LmQ2xVw7Rb4Nc8Yp1Hs5Jf3Ue6Ao2Iq9Z"
-    novel = secrets.Novelty()
+    novel = secrets.Novelty(secrets.trained_dictionary([]))
     for before in ('secret_key = "', "api_key => '", "the password is ", "token | ", "signing_key: ", "db_pwd, "):
         text = f"{before}{value} end"
         base = secrets.pattern_spans(text)
         assert base == [] and secrets.joined(novel.spans(text, base)) == f"novel:{len(before)}:{len(before) + 40}"
-    for gap in (90, 100, 110, 119):  # the window's edge falls into the run
+    for gap in (90, 119, 200, 5000):  # the whole document is the context
         text = value + " " * gap + "bearer"
         assert secrets.joined(novel.spans(text, [])) == "novel:0:40"
     text = "bearer " + value + "0a" * 12  # what a pattern leaves of a run
