@@ -16,7 +16,6 @@ from regiolith.operators.reports import flat_params, type_of
 from regiolith.operators.strategy import critical_mass
 from regiolith.plans import registry
 from regiolith.plans.aggregates import AS_OF, rounded
-from regiolith.plans.projections import IMPACT
 from regiolith.plans.registry import query
 from regiolith.plans.scores import CLUSTER_TYPE, cluster_type
 from regiolith.plans.strategy import ASSETS, CENTRAL, CRITICAL_MASS, values
@@ -194,17 +193,6 @@ def concentration_risk(spark, sf_dir):
     return rounded(g.withColumn("risk", F.when(F.col("top_three") > 0.18, "high").when(F.col("top_three") > 0.15, "medium").otherwise("low")))
 
 
-@query(
-    "J27_recommendations",
-    f"with {IMPACT}, m as (select cluster_id, sum(patent_count) p, count(distinct county) c from member group by 1) select cluster_id, unnest(list_filter([case when p < 100 then 'fund research' end, case when c > 4 then 'coordinate counties' end, case when total_jobs > 20000 then 'train workers' end], lambda x: x is not null)) recommendation from impact join m using (cluster_id)",
-)
-def recommendations(spark, sf_dir):
-    m = view(spark, sf_dir, "member")
-    g = m.groupBy("cluster_id").agg(F.sum("patent_count").alias("p"), F.count_distinct("county").alias("c")).join(P.economic_impact(m).select("cluster_id", "total_jobs"), "cluster_id")
-    rules = F.array_compact(F.array(F.when(F.col("p") < 100, "fund research"), F.when(F.col("c") > 4, "coordinate counties"), F.when(F.col("total_jobs") > 20000, "train workers")))
-    return g.select("cluster_id", F.explode(rules).alias("recommendation"))
-
-
 @query("L4_predict_business")
 def predict_business(spark, sf_dir):
     """Two forests on the logarithms of revenue and employees, read back and not under 0; unknown places and codes are kept."""
@@ -245,10 +233,3 @@ def explain_rules(spark, sf_dir):
     g = m.groupBy("cluster_id").agg(F.sum("employees").alias("jobs"), (F.avg("patent_count") * 10).alias("roi"), share("patent_count").alias("infrastructure"), share("sbir_awards").alias("safety"))
     f = rounded(g.join(mass, "cluster_id").join(C.sustainability(m, mass).withColumnRenamed("sustainability", "strategic_score"), "cluster_id"), 4)
     return C.explain_rules(f.withColumn("market_access", F.round(100 * (1 - F.col("density")), 2)))
-
-
-@query("J29_market_context", "with t as (select case when naics_code like '5%' then 'services' when naics_code like '4%' then 'logistics' else 'goods' end type, revenue_estimate r, employees e from business) select type, count(*) n, round(avg(r), 2) revenue, avg(e) > 250 large from t group by 1")
-def market_context(spark, sf_dir):
-    kind = F.when(F.col("naics_code").startswith("5"), "services").when(F.col("naics_code").startswith("4"), "logistics").otherwise("goods")
-    g = view(spark, sf_dir, "business").groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"), F.avg("revenue_estimate").alias("revenue"), (F.avg("employees") > 250).alias("large"))
-    return rounded(g, 2)

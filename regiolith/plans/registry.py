@@ -17,7 +17,7 @@ from regiolith.plans.views import VIEWS
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-MODULES = ("text", "cleaning", "matching", "sources", "geo", "aggregates", "windows", "scores", "clusters", "projections", "learning", "streams", "reports", "portfolio", "strategy")
+MODULES = ("text", "cleaning", "matching", "sources", "geo", "aggregates", "windows", "scores", "clusters", "projections", "learning", "streams", "reports", "portfolio", "strategy", "advice")
 
 
 def query(name: str, oracle: str | None = None):
