@@ -37,11 +37,29 @@ def train_outcomes(spark, sf_dir):
     return L.importances(model, spark)
 
 
+SETS = {"all": L.FEATURES, "place": ["average_age", "industries", "counties"]}
+
+
+@query("L2_fold_scores")
+def fold_scores(spark, sf_dir):
+    """Three families on all features and on those of place only, by predictions out of the fold."""
+    return rounded(L.fold_scores(wide(spark, sf_dir), "target", "cluster_id", SETS, folds=3, small=True))
+
+
 @query("L3_predict_outcomes")
 def predict_outcomes(spark, sf_dir):
+    """Rows without an innovation score are the fallback's, rows without an age the rule's."""
+    from regiolith.streaming.runs import shared_folder
+
     df = wide(spark, sf_dir)
-    model, _ = L.train(df, "target", "cluster_id")
-    return rounded(model.transform(df).select("cluster_id", "target", "prediction"))
+    folders = {name: shared_folder(spark, f"outcomes-{name}") for name in ("model", "fallback")}
+    for name, features in (("model", L.FEATURES), ("fallback", SETS["place"])):
+        L.save_version(L.staged(features, L.families("target", small=True)["forest"]).fit(df), features, folders[name])
+    part = F.crc32(F.col("cluster_id").cast("binary")) % 10
+    asked = df.withColumn("innovation", F.when(part > 2, F.col("innovation"))).withColumn("average_age", F.when(part > 0, F.col("average_age")))
+    chain = [(name, L.load_version(spark, folder)) for name, folder in folders.items()]
+    out = L.predicted(asked, chain, F.log1p("revenue") + 1)
+    return rounded(out.select("cluster_id", "target", "prediction", "source", "quality", "confidence"))
 
 
 @query(

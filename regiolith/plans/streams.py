@@ -42,3 +42,15 @@ def first_seen(spark, sf_dir):
 @query("M5_stage_progress", "select zip, category, round(max(value), 6) progress from crime group by 1, 2")
 def stage_progress(spark, sf_dir):
     return rounded(R.finished(R.progress(crime(spark, sf_dir), "zip", "category", "value"), "complete", "progress"))
+
+
+#: Stages of a run and their weights; the kinds of events stand for stages, and the users' zips for tasks.
+WEIGHTS = {"view": 12, "click": 8, "signup": 35, "purchase": 25, "error": 20}
+OVERALL = " + ".join(f"coalesce(max(case when category = '{k}' then least(greatest(value, 0), 100) end), 0) / 100 * {w}" for k, w in WEIGHTS.items())
+
+
+@query("M5_overall_progress", f"select zip, cast(floor({OVERALL} + 0.000000001) as int) overall, cast(count(distinct category) as int) stages from crime where value < 90 and value is not null group by 1")
+def overall_progress(spark, sf_dir):
+    """Readings of 90 and more are left out, so that tasks are at different points."""
+    out, marks = R.shared_folder(spark, "overall"), R.shared_folder(spark, "overall-marks")
+    return R.resumed(R.overall_progress(crime(spark, sf_dir).where("value < 90"), "zip", "category", "value", WEIGHTS), out, marks)

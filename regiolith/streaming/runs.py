@@ -62,3 +62,35 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, late: str = "1 day
 def progress(stream: DataFrame, task: str, stage: str, value: str) -> DataFrame:
     """The furthest progress of each task and stage; it never goes back."""
     return stream.groupBy(task, stage).agg(F.max(value).alias("progress"))
+
+
+def overall_progress(stream: DataFrame, task: str, stage: str, value: str, weights: dict[str, float]) -> DataFrame:
+    """(task, overall, stages): the weighted progress of each task, in whole percent, and how many stages have begun.
+
+    The state of a task is the furthest progress of each of its stages, so late and repeated rows change nothing and the
+    total never falls, also over restarts, as the state is that of the stream's checkpoint. Progress counts from 0 to 100;
+    stages without a weight, and rows without a stage or value, count nothing."""
+    amount = F.least(F.greatest(F.col(value).cast("double"), F.lit(0.0)), F.lit(100.0))
+    furthest = [F.max(F.when(F.col(stage) == s, amount)).alias(f"stage_{i}") for i, s in enumerate(weights)]
+    state = stream.groupBy(task).agg(*furthest)
+    parts = [F.coalesce(F.col(f"stage_{i}"), F.lit(0.0)) / 100 * float(w) for i, w in enumerate(weights.values())]
+    begun = [F.col(f"stage_{i}").isNotNull().cast("int") for i in range(len(weights))]
+    return state.select(task, F.floor(sum(parts, F.lit(0.0)) + 1e-9).cast("int").alias("overall"), sum(begun, F.lit(0)).alias("stages"))
+
+
+def resumed(stream: DataFrame, out: str, marks: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what has landed since its last run, from the checkpoint in ``marks``; returns the table in ``out``.
+
+    In complete mode the table is replaced by each batch: a batch is written beside the others and the last one counts, so
+    readers never see half of one. In update mode rows are added."""
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(out)
+    if mode == "complete":
+        last = found.agg(F.max("batch").alias("batch"))  # one row
+        found = found.join(F.broadcast(last), "batch")
+    return found.select(stream.columns)
