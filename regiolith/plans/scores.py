@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regiolith.operators import ranking as RK
 from regiolith.operators import scorecards as C
 from regiolith.operators import scores as S
+from regiolith.operators.reports import NEEDS, TYPE_OF_CODE
 from regiolith.plans.aggregates import AS_OF, rounded
 from regiolith.plans.registry import query
 from regiolith.plans.views import view
@@ -62,12 +64,27 @@ def composite(spark, sf_dir):
     return rounded(S.scored(view(spark, sf_dir, "business"), AS_OF).select("business_id", "composite_score", "final_score"))
 
 
-@query("H1_rank_businesses", f"with {STATS}, {SCORED}, f as (select business_id, {FINAL} s from scored) select business_id, round(s, 6) final_score, s >= (select max(s) from f) * 0.7 passes from f")
+TYPE = "case substr(naics_code, 1, 3) " + " ".join(f"when '{k}' then '{v}'" for k, v in TYPE_OF_CODE.items()) + " else 'manufacturing' end"
+REVENUE = "employees * case when naics_code like '5415%' then 200000.0::double when naics_code like '3254%' then 400000.0::double when naics_code like '484%' then 180000.0::double else 150000.0::double end * case when employees < 10 then 0.8::double when employees > 250 then 1.2::double else 1.0::double end"
+PERCENTILES = ", ".join(f"quantile_cont(s, {k / 100}) p{k}" for k in RK.LEVELS)
+GAPS = ", ".join(f"struct_pack(g := round(p{a} - p{b}, 9), l := {a})" for a, b in zip(RK.LEVELS, RK.LEVELS[1:]))
+
+
+@query(
+    "H1_rank_businesses",
+    f"""with filled as (select * replace (case when coalesce(revenue_estimate, 0) = 0 then {REVENUE} else revenue_estimate end as revenue_estimate) from (select * replace (case when business_id % 6 = 0 then 0 else revenue_estimate end as revenue_estimate) from business)),
+    needs(type, e, p) as (values {", ".join(f"('{k}', {e}, {p})" for k, (e, p) in NEEDS.items())}), typed as (select *, {TYPE} type from filled), kept as (select typed.* exclude (type) from typed left join needs using (type) where not coalesce(employees < e, false) and not coalesce(patent_count < p, false)),
+    {STATS.replace('from business', 'from kept')}, {SCORED.replace('from business', 'from kept')}, f as (select *, round({FINAL}, 6) s from scored),
+    t as (select count(*) n, max(s) best, {PERCENTILES} from f), u as (select *, case when n < 1000 then 0.30::double else 0.45::double end base, case when n < 1000 then 100 else 500 end needed, (100 - list_max([{GAPS}]).l) / 100 gap_part from t),
+    v as (select *, case when gap_part < base then (base + gap_part) / 2 else base end part from u),
+    w as (select best, greatest(0.05::double, least(0.70::double, case when floor(n * (1 - part) + 0.000000001) < needed then case when needed / n < 0.95 then 1 - needed / n * 1.1::double else 0.05::double end else part end)) part from v)
+    select business_id, round(revenue_estimate, 2) revenue_estimate, s final_score, row_number() over (order by s desc, business_id) place, s >= best * (1 - part) passes, round(part, 6) threshold_part from f, w""",
+)
 def rank_businesses(spark, sf_dir):
-    s = S.scored(view(spark, sf_dir, "business"), AS_OF).select("business_id", "final_score")
-    best = s.agg(F.max("final_score").alias("best"))
-    out = s.crossJoin(F.broadcast(best)).withColumn("passes", F.col("final_score") >= F.col("best") * 0.7)
-    return rounded(out.drop("best"))
+    """Every sixth business has no revenue of its own."""
+    b = view(spark, sf_dir, "business").withColumn("revenue_estimate", F.when(F.col("business_id") % 6 == 0, 0.0).otherwise(F.col("revenue_estimate")))
+    out = RK.rank_businesses(b, AS_OF).select("business_id", "revenue_estimate", "final_score", "place", "passes", "threshold_part")
+    return rounded(out, revenue_estimate=2)
 
 
 @query(

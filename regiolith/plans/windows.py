@@ -88,17 +88,88 @@ def sample_n(spark, sf_dir):
     return sample(view(spark, sf_dir, "business").select("business_id", "county"), 100, "business_id")
 
 
+ADDED = ["kc_score", "kc_zone"]
+
+
+def enriched(spark, sf_dir):
+    """Businesses with two added columns, which four of five have."""
+    some = F.col("business_id") % 5 != 0
+    b = view(spark, sf_dir, "business").select("business_id", "name", "county")
+    return b.withColumn("kc_score", F.when(some, (F.col("business_id") % 97).cast("long"))).withColumn("kc_zone", F.when(some, F.col("county")))
+
+
+def written(spark, sf_dir):
+    from regiolith.sources.exports import write_enriched
+    from regiolith.streaming.runs import shared_folder
+
+    folder = shared_folder(spark, "enriched")
+    write_enriched(enriched(spark, sf_dir), folder, "2024-06-30T00:00:00", ["business_id"], ADDED)
+    return folder
+
+
+@query("A16_write_enriched", "select business_id, name, county, case when business_id % 5 <> 0 then business_id % 97 end kc_score, case when business_id % 5 <> 0 then county end kc_zone from business")
+def write_enriched_table(spark, sf_dir):
+    """The whole table, written and read back."""
+    return spark.read.parquet(f"{written(spark, sf_dir)}/data")
+
+
 @query("A16_write_sample", "select business_id, name, county from business order by business_id limit 1000")
 def write_sample(spark, sf_dir):
-    """A sample for inspection: written once, then read back."""
-    from regiolith.streaming.runs import shared_folder
+    """The sample for inspection, read back from its CSV."""
+    return spark.read.schema("business_id long, name string, county string, kc_score long, kc_zone string").option("header", "true").csv(f"{written(spark, sf_dir)}/sample").select("business_id", "name", "county")
+
+
+@query("A16_write_metadata", "select '2024-06-30T00:00:00' created_at, count(*) total, 'kc_score,kc_zone' features_added, round(count(*) filter (business_id % 5 <> 0) / count(*), 6) enhancement_rate, 5 columns from business")
+def write_metadata(spark, sf_dir):
+    schema = "created_at string, total long, features_added array<string>, enhancement_rate double, columns array<string>"
+    about = spark.read.schema(schema).json(f"{written(spark, sf_dir)}/metadata")
+    return about.select("created_at", "total", F.array_join("features_added", ",").alias("features_added"), "enhancement_rate", F.size("columns").alias("columns"))
 
-    folder = shared_folder(spark, "sample")
-    view(spark, sf_dir, "business").select("business_id", "name", "county").orderBy("business_id").limit(1000).write.parquet(folder)
-    return spark.read.parquet(folder)
+
+def exported(spark, sf_dir):
+    m = view(spark, sf_dir, "member")
+    two = F.substring(F.first("naics_code"), 1, 1)
+    c = m.groupBy("cluster_id").agg(F.concat(F.lit("Cluster "), F.first("cluster_id")).alias("name"), F.when(two == "5", "services").otherwise("goods").alias("type"), F.round(F.avg("patent_count"), 4).alias("score"))
+    return c, m
+
+
+EXPORTED = "c as (select cluster_id, concat('Cluster ', cluster_id) name, case when substr(min(naics_code), 1, 1) = '5' then 'services' else 'goods' end type, round(avg(patent_count), 4) score from member group by 1), g as (select cluster_id, count(*) n, sum(employees) jobs, sum(revenue_estimate) revenue from member group by 1)"
 
 
 @query("A19_export_lines", "select cluster_id, concat(cluster_id, ': ', cast(count(*) as varchar), ' businesses, ', cast(sum(employees) as varchar), ' employees') line from member group by 1")
 def export_lines(spark, sf_dir):
     g = view(spark, sf_dir, "member").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("employees").alias("e"))
     return g.select("cluster_id", F.concat("cluster_id", F.lit(": "), F.col("n").cast("string"), F.lit(" businesses, "), F.col("e").cast("string"), F.lit(" employees")).alias("line"))
+
+
+@query(
+    "A19_export_csv",
+    f"""with {EXPORTED}, r as (select *, row_number() over (partition by cluster_id order by revenue_estimate desc, business_id) i from member)
+    select cluster_id, 0 "at", concat(name, ' (', type, '), score ', format('{{:.1f}}', score)) line from c
+    union all select cluster_id, 1, concat(cast(n as varchar), ' businesses, ', format('{{:,}}', cast(jobs as bigint)), ' employees, revenue $', format('{{:,}}', cast(round_even(revenue, 0) as bigint))) from g
+    union all select cluster_id, cast(i + 1 as int), concat(cast(i as varchar), '. ', name, ', ', format('{{:,}}', cast(employees as bigint)), ' employees, $', format('{{:,}}', cast(round_even(revenue_estimate, 0) as bigint))) from r where i <= 5""",
+)
+def export_csv(spark, sf_dir):
+    """Lines of all clusters, written as CSV and read back."""
+    from regiolith.sources.exports import cluster_lines
+    from regiolith.streaming.runs import shared_folder
+
+    folder = shared_folder(spark, "lines")
+    cluster_lines(*exported(spark, sf_dir)).write.option("header", "true").csv(folder)
+    return spark.read.schema("cluster_id string, at int, line string").option("header", "true").csv(folder)
+
+
+@query("A19_export_json", f"with {EXPORTED} select cluster_id, m.business_id, c.name cluster_name, c.type, g.n businesses, cast(jobs as bigint) employees, score, m.county, round(m.revenue_estimate, 2) revenue from member m join c using (cluster_id) join g using (cluster_id)")
+def export_json(spark, sf_dir):
+    """Documents of all clusters, written as text, read back and taken apart again."""
+    from regiolith.sources.exports import cluster_documents
+    from regiolith.streaming.runs import shared_folder
+
+    folder = shared_folder(spark, "documents")
+    cluster_documents(*exported(spark, sf_dir)).select("document").write.text(folder)
+    member = "struct<business_id: bigint, name: string, county: string, employees: int, revenue: double>"
+    schema = f"cluster_id string, name string, type string, metrics struct<businesses: bigint, employees: bigint, score: double>, members array<{member}>"
+    d = spark.read.text(folder).select(F.from_json("value", schema).alias("d")).select("d.*")
+    return d.select("cluster_id", F.explode("members").alias("m"), F.col("name").alias("cluster_name"), "type", "metrics.*").select(
+        "cluster_id", "m.business_id", "cluster_name", "type", "businesses", "employees", "score", "m.county", "m.revenue"
+    )
