@@ -173,10 +173,11 @@ def string_similarity(a: Column, b: Column) -> Column:
 
 
 def register_functions(spark) -> None:
-    """Publishes SQL functions of the session, with SQL bodies so that they stay open to the optimizer."""
+    """Publishes SQL functions of the session, with SQL bodies so that they stay open to the optimizer: haversine, soundex_ref,
+    normalize_name, canonical_naics and zip5. The last four give what the column functions give."""
     spark.sql(
         "create or replace temporary function haversine(a double, b double, c double, d double) returns double return "
-        "2 * 3956 * asin(sqrt(pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2)))"
+        "2 * 3956 * asin(least(1.0D, sqrt(pow(sin(radians(c - a) / 2), 2) + cos(radians(a)) * cos(radians(c)) * pow(sin(radians(d - b) / 2), 2))))"
     )
     spark.sql("create or replace temporary function zip5(s string) returns string return nullif(regexp_extract(coalesce(s, ''), '([0-9]{5})', 1), '')")
     spark.sql(
@@ -184,3 +185,10 @@ def register_functions(spark) -> None:
         "regexp_replace(coalesce(s, ''), '[^0-9]', '') in ('', '0', '00', '000') then '999999' "
         "else rpad(substring(regexp_replace(regexp_replace(s, '[.]0$', ''), '[^0-9]', ''), 1, 6), 6, '0') end"
     )
+    codes = "regexp_replace(regexp_replace(translate(substring(upper(s), 2, 10000), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '[^1-6]', ''), r'([0-9])\\1+', '$1')"
+    spark.sql(f"create or replace temporary function soundex_ref(s string) returns string return case when coalesce(s, '') = '' then '' else substring(concat(substring(upper(s), 1, 1), {codes}, '000'), 1, 4) end")
+    text = "lower(coalesce(s, ''))"
+    for suffix in MATCH_SUFFIXES:
+        text = f"replace({text}, ' {suffix}', '')"
+    bare_text = rf"trim(regexp_replace(regexp_replace({text}, r'[^\p{{L}}\p{{N}}_\s]', ' '), r'\s+', ' '))"
+    spark.sql(f"create or replace temporary function normalize_name(s string) returns string return {bare_text}")

@@ -200,18 +200,23 @@ def density_grid(points: DataFrame, cell: float) -> DataFrame:
 
 
 def cluster_hull(members: DataFrame) -> DataFrame:
-    """(cluster_id, points, area, perimeter) of the convex hull of each cluster's points, in degrees.
+    """(cluster_id, corners, area, perimeter, compactness, latitude, longitude, n, coverage, confidence) of the convex hull of
+    each cluster's points, in degrees, with their mean place and number.
+
+    Compactness is 1 for a circle. Coverage is the share of points with a place, which the hull then holds; confidence weighs
+    it with the compactness, 0.7 to 0.3. Clusters without a placed point are left out.
 
     Points are first thinned to the extremes of narrow bands of longitude, which keeps every corner of the hull
     and bounds the rows of a group."""
     import numpy as np
     import pandas as pd
 
+    located = members.where("latitude is not null and longitude is not null")
     band = F.floor(F.col("longitude") * 1000)
-    low = members.groupBy("cluster_id", band.alias("band")).agg(F.min_by(F.struct("latitude", "longitude"), F.struct("latitude", "longitude")).alias("p"))
-    high = members.groupBy("cluster_id", band.alias("band")).agg(F.max_by(F.struct("latitude", "longitude"), F.struct("latitude", "longitude")).alias("p"))
-    west = members.groupBy("cluster_id", band.alias("band")).agg(F.min_by(F.struct("latitude", "longitude"), F.struct("longitude", "latitude")).alias("p"))
-    east = members.groupBy("cluster_id", band.alias("band")).agg(F.max_by(F.struct("latitude", "longitude"), F.struct("longitude", "latitude")).alias("p"))
+    low = located.groupBy("cluster_id", band.alias("band")).agg(F.min_by(F.struct("latitude", "longitude"), F.struct("latitude", "longitude")).alias("p"))
+    high = located.groupBy("cluster_id", band.alias("band")).agg(F.max_by(F.struct("latitude", "longitude"), F.struct("latitude", "longitude")).alias("p"))
+    west = located.groupBy("cluster_id", band.alias("band")).agg(F.min_by(F.struct("latitude", "longitude"), F.struct("longitude", "latitude")).alias("p"))
+    east = located.groupBy("cluster_id", band.alias("band")).agg(F.max_by(F.struct("latitude", "longitude"), F.struct("longitude", "latitude")).alias("p"))
     corners = low.union(high).union(west).union(east).select("cluster_id", "p.*").distinct()
 
     def hull(group: pd.DataFrame) -> pd.DataFrame:
@@ -231,4 +236,12 @@ def cluster_hull(members: DataFrame) -> DataFrame:
         edge = float(np.hypot(x - np.roll(x, -1), y - np.roll(y, -1)).sum())
         return pd.DataFrame({"cluster_id": [group["cluster_id"].iloc[0]], "corners": [len(ring)], "area": [area], "perimeter": [edge]})
 
-    return corners.groupBy("cluster_id").applyInPandas(hull, "cluster_id string, corners long, area double, perimeter double")
+    shapes = corners.groupBy("cluster_id").applyInPandas(hull, "cluster_id string, corners long, area double, perimeter double")
+    placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    centres = members.groupBy("cluster_id").agg(
+        F.avg(F.when(placed, F.col("latitude"))).alias("latitude"), F.avg(F.when(placed, F.col("longitude"))).alias("longitude"),
+        F.count(F.lit(1)).alias("n"), F.avg(placed.cast("double")).alias("coverage"),
+    )
+    compactness = F.coalesce(F.try_divide(4 * math.pi * F.col("area"), F.col("perimeter") * F.col("perimeter")), F.lit(0.0))
+    j = shapes.join(centres, "cluster_id").withColumn("compactness", compactness)
+    return j.withColumn("confidence", 0.7 * F.col("coverage") + 0.3 * F.least(F.col("compactness"), F.lit(1.0)))

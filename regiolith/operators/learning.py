@@ -151,7 +151,7 @@ def predicted(df: DataFrame, chain: list[tuple[str, tuple[PipelineModel, list[st
     rule, a column, counts where none does. Quality is the share of all features that the row has, and a prediction is trusted
     by its source as far as the row's data are whole."""
     every = sorted({c for _, found in chain if found for c in found[1]})
-    out = df.withColumn("row__", F.monotonically_increasing_id())
+    out = df
     if every:
         out = out.withColumn("quality", sum((F.col(c).isNotNull().cast("double") for c in every), F.lit(0.0)) / len(every))
     else:
@@ -165,7 +165,7 @@ def predicted(df: DataFrame, chain: list[tuple[str, tuple[PipelineModel, list[st
         for c in features:
             whole = whole & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
         # rows without a feature are given 0 for it, so that one pass serves all; what the model says of them is not used
-        filled = out.withColumns({f"own__{c}": F.col(c) for c in features} | {f"whole__{name}": whole}).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
+        filled = out.withColumns({f"own__{c}": F.col(c) for c in features} | {f"whole__{name}": whole}).withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features})
         made = model.transform(filled).drop("raw", "scaled").withColumnRenamed("prediction", f"said__{name}")
         out = made.withColumns({c: F.col(f"own__{c}") for c in features}).drop(*[f"own__{c}" for c in features])
         hit = F.col(f"whole__{name}")

@@ -85,9 +85,15 @@ def extract_point(spark, sf_dir):
     return R.extract_point(b.select("business_id", record.alias("record"))).drop("record")
 
 
-@query("A15_read_if_fresh")
+@query("A15_read_if_fresh", "select n_nationkey, n_name from nation where n_nationkey % 2 = 1")
 def read_if_fresh(spark, sf_dir):
-    return R.read_if_fresh(spark, f"{sf_dir}/nation.parquet", "2000-01-01").select("n_nationkey", "n_name")
+    """Two snapshots are landed; the time of the first is set back by ten days, so that only the second is within seven."""
+    folder = shared_folder(spark, "snapshots")
+    n = view(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for part in (0, 1):
+        n.where(F.col("n_nationkey") % 2 == part).coalesce(1).write.parquet(f"{folder}/part={part}")
+    now = R.set_back(spark, f"{folder}/part=0", days=10)
+    return R.read_fresh(spark, folder, days=7, now=now).select("n_nationkey", "n_name")
 
 
 @query("A17_save_businesses", "select business_id, name, county from business")

@@ -74,3 +74,19 @@ def extract_point(df: DataFrame) -> DataFrame:
 def read_if_fresh(spark: SparkSession, path: str, oldest: str) -> DataFrame:
     """Rows of the Parquet files that were changed at a time or later."""
     return spark.read.parquet(path).where(F.col("_metadata.file_modification_time") >= F.lit(oldest).cast("timestamp"))
+
+
+def read_fresh(spark: SparkSession, path: str, days: float, now: str) -> DataFrame:
+    """Rows of the Parquet files that were changed within so many days before a time."""
+    oldest = F.expr(f"timestamp'{now}' - interval {int(days * 86_400)} seconds")
+    return spark.read.parquet(path).where(F.col("_metadata.file_modification_time") >= oldest)
+
+
+def set_back(spark: SparkSession, path: str, days: float) -> str:
+    """Sets the files of a folder back by so many days; returns the time of the latest one before."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    latest = spark.read.parquet(path).agg(F.max("_metadata.file_modification_time").cast("string").alias("t")).first()["t"]
+    for f in system.listStatus(files):
+        system.setTimes(f.getPath(), f.getModificationTime() - int(days * 86_400_000), -1)
+    return latest

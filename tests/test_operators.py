@@ -20,6 +20,27 @@ def test_codes_keep_digits_before_the_point(spark):
     assert one(spark, T.canonical_naics, "541510.0", "541510", "nan", "0", "", None, "54", "5415121") == ["541510", "541510", "999999", "999999", "999999", "999999", "540000", "541512"]
 
 
+def test_published_functions_equal_the_column_functions(spark):
+    T.register_functions(spark)
+    values = ["Pfister", "", None, "A", "Acme, Inc.", "O'Neil & Sons Company", "BRIGHT  line LLC ", "541510.0", "541510", "nan", "0", "54", "5415121", "64111-1234", "bob 6411", "Ñandú 漢字 Corp"]
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    for name, fn in (("soundex_ref", T.soundex_variant), ("normalize_name", T.match_name), ("canonical_naics", T.canonical_naics), ("zip5", T.zip5)):
+        rows = df.select("x", F.expr(f"{name}(x)").alias("a"), fn(F.col("x")).alias("b")).collect()
+        assert all(r.a == r.b for r in rows), (name, [tuple(r) for r in rows if r.a != r.b])
+    one = spark.sql("select haversine(39.0D, -94.0D, 39.0D, -94.0D) a, haversine(39.0D, -94.0D, 40.0D, -94.0D) b").first()
+    assert one.a == 0.0 and math.isclose(one.b, 3956 * math.pi / 180, rel_tol=1e-9)
+
+
+def test_hull_measures(spark):
+    square = [("a", i, y, x) for i, (y, x) in enumerate([(0.0, 0.0), (0.0, 2.0), (2.0, 0.0), (2.0, 2.0), (1.0, 1.0), (0.5, 1.5)])]
+    rows = [*square, ("a", 9, None, 5.0), ("b", 1, 1.0, 1.0), ("c", 1, None, None)]
+    out = {r.cluster_id: r for r in geo.cluster_hull(spark.createDataFrame(rows, "cluster_id string, business_id long, latitude double, longitude double")).collect()}
+    a = out["a"]
+    assert set(out) == {"a", "b"} and (a.corners, a.area, a.perimeter, a.n) == (4, 4.0, 8.0, 7)
+    assert math.isclose(a.compactness, math.pi / 4) and math.isclose(a.latitude, 5.5 / 6) and math.isclose(a.coverage, 6 / 7)
+    assert math.isclose(a.confidence, 0.7 * 6 / 7 + 0.3 * math.pi / 4) and out["b"].compactness == 0.0
+
+
 def test_sound_codes_do_not_skip_the_first_letter(spark):
     assert one(spark, T.soundex_variant, "Pfister", "", None, "A") == ["P123", "", "", "A000"]
 
