@@ -212,6 +212,18 @@ def market_score(spark: SparkSession, indicators: DataFrame) -> DataFrame:
     return types.crossJoin(F.broadcast(wide)).select("type", score.alias("market_score"))
 
 
+#: Growth of output at which growth rates of types are as given.
+USUAL_GROWTH = 2.5
+
+
+def scaled_growth(rates: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(type, growth_rate, scaled): growth rates of types times the growth of output over its usual one; as given if that is unknown.
+
+    ``indicators`` (indicator, value) is a table of a few rows."""
+    gdp = indicators.agg(F.max(F.when(F.col("indicator") == "gdp_growth", F.col("value"))).alias("gdp"))  # one row
+    return rates.crossJoin(F.broadcast(gdp)).select("type", "growth_rate", (F.col("growth_rate") * F.coalesce(F.col("gdp") / USUAL_GROWTH, F.lit(1.0))).alias("scaled"))
+
+
 def market_opportunity(clusters: DataFrame, market: DataFrame) -> DataFrame:
     """Market funnel, share and a 100-point score of clusters (cluster_id, type, revenue).
 

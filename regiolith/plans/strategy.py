@@ -199,14 +199,24 @@ INDICATORS = "i as (select avg(p_size) / 10 gdp, avg(l_tax) * 100 unemployment,
     union all select 'manufacturing', round(least(1.0, greatest(0.0, base + case when production > 105 then 0.15::double when production < 95 then -0.15::double else 0 end)), 6) from b""",
 )
 def market_score(spark, sf_dir):
+    return rounded(S.market_score(spark, market_indicators(spark, sf_dir)))
+
+
+def market_indicators(spark, sf_dir):
     j = view(spark, sf_dir, "lineitem").join(view(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     made = {
         "gdp_growth": F.avg("p_size") / 10, "unemployment": F.avg("l_tax") * 100, "diesel": F.avg("p_size") / 8, "truck_tonnage": F.avg("p_retailprice") / 10,
         "healthcare_employment": F.avg("l_quantity") * 4, "tech_employment": F.avg("l_quantity") * 3.5, "manufacturing_production": F.avg("p_retailprice") / 14,
     }
     one = j.agg(*[v.cast("double").alias(k) for k, v in made.items()])
-    indicators = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("indicator"), F.col(k).alias("value")) for k in made])).alias("x")).select("x.*")
-    return rounded(S.market_score(spark, indicators))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("indicator"), F.col(k).alias("value")) for k in made])).alias("x")).select("x.*")
+
+
+@query("J19_scaled_growth", f"with {INDICATORS} select segment type, growth_rate, round(growth_rate * gdp / 2.5::double, 6) scaled from (select c_mktsegment segment, round(avg(c_acctbal) / 100000, 6) growth_rate from customer group by 1), i")
+def scaled_growth(spark, sf_dir):
+    """Segments of customers stand for types, their mean balances for growth rates."""
+    rates = view(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("type")).agg(F.round(F.avg("c_acctbal") / 100000, 6).alias("growth_rate"))
+    return rounded(S.scaled_growth(rates, market_indicators(spark, sf_dir)))
 
 
 MARKET = [("logistics", 2.3e12, 0.045, 1200, 3, 2), ("biosciences", 6.8e11, 0.074, 1800, 3, 1), ("technology", 1.9e12, 0.065, 2600, 1, 1), ("manufacturing", 2.9e12, 0.02, 1400, 1, 2)]
