@@ -26,7 +26,6 @@ from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from regiolith.llm.common import map_rows, table, texts
 

@@ -14,7 +14,6 @@ Repeated rows give repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
