@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from regiolith.operators import clusters as K
 from regiolith.operators import communities as D
 from regiolith.operators import evaluation as E
-from regiolith.operators import projections as P
 from regiolith.operators import scorecards as C
 from regiolith.operators import scores as S
 from regiolith.operators.profiles import dominant_place

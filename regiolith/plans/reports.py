@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from regiolith.operators import clusters as K
 from regiolith.operators import reports as R
 from regiolith.operators import scorecards as C
 from regiolith.plans.aggregates import AS_OF, rounded
