@@ -97,8 +97,8 @@ def merge_matched(target: DataFrame, source: DataFrame, matches: DataFrame, colu
 def contained_names(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     """(left_id, right_id) where one name is contained in the other and both have ``least`` characters.
 
-    Both are (id, name). A contained name shares the word that it begins with unless it begins inside a word; names
-    are therefore matched at word bounds: the first word of one occurs among the words of the other."""
+    Both are (id, name). Names are matched at word bounds, so all words of the one occur in the other; they are joined on
+    the word that the fewest names of the other side have."""
     def keyed(df: DataFrame, side: str) -> DataFrame:
         name = T.match_name(F.col("name"))
         return df.select(F.col("id").alias(f"{side}_id"), name.alias(f"{side}_name")).where(F.length(f"{side}_name") >= least)
@@ -107,9 +107,11 @@ def contained_names(left: DataFrame, right: DataFrame, least: int = 3) -> DataFr
     pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
 
     def inside(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
-        first = inner.withColumn("word", F.split(f"{i}_name", " ")[0])
         words = outer.withColumn("word", F.explode(F.array_distinct(F.split(f"{o}_name", " "))))
-        return first.join(words, "word").where(pad(f"{o}_name").contains(pad(f"{i}_name"))).select("left_id", "right_id")
+        often = words.groupBy("word").count()
+        own = inner.withColumn("word", F.explode(F.array_distinct(F.split(f"{i}_name", " ")))).join(often, "word")
+        rarest = own.groupBy(f"{i}_id", f"{i}_name").agg(F.min_by("word", F.struct("count", "word")).alias("word"))
+        return rarest.join(words, "word").where(pad(f"{o}_name").contains(pad(f"{i}_name"))).select("left_id", "right_id")
 
     return inside(a, "left", b, "right").unionByName(inside(b, "right", a, "left")).distinct()
 

@@ -143,6 +143,16 @@ def test_shared_words_against_all_pairs(spark):
         assert {m.target_id: m.source_id for m in found if m.tier == "words"} == {i: j for i, (_, j) in want.items()}
 
 
+def test_contained_names_against_all_pairs(spark):
+    r = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "the", "the"]
+    left = [(i, " ".join(r.choice(words) for _ in range(r.randrange(5)))) for i in range(60)]
+    right = [(100 + i, " ".join(r.choice(words) for _ in range(r.randrange(5)))) for i in range(60)] + [(999, None)]
+    got = matching.contained_names(spark.createDataFrame(left, "id long, name string"), spark.createDataFrame(right, "id long, name string")).collect()
+    inside = lambda a, b: f" {a} " in f" {b} " or f" {b} " in f" {a} "
+    assert {tuple(x) for x in got} == {(i, j) for i, a in left for j, b in right if a and b and inside(a, b)}
+
+
 def test_dedup_is_idempotent(spark):
     rows = [(1, "k", "Acme Widgets", 5.0, 39.0, -94.0), (2, "k", "Acme Widget", 9.0, 39.0, -94.0), (3, None, "Acme Widgets", 1.0, 39.0, -94.0), (4, "k", "Zeta", None, None, None)]
     df = spark.createDataFrame(rows, "id long, county string, name string, revenue_estimate double, latitude double, longitude double")
