@@ -37,7 +37,9 @@ def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8)
     Tiers, strongest first: equal names (1.0), equal phones (0.95), equal addresses with similar names, equal
     sounds with similar names, shared words. Each is an equality join on its keys; a row that a tier decides is
     not looked up in the next ones. Ties go to the higher score, then the smaller id."""
-    s, t = prepared(source), prepared(target)
+    from regiolith.operators.graph import materialised
+
+    s, t = materialised(prepared(source)), materialised(prepared(target))
     s = s.withColumnsRenamed({c: f"s_{c}" for c in s.columns})
     similarity = T.string_similarity(F.col("name"), F.col("s_name"))
 
@@ -48,19 +50,21 @@ def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8)
 
     def tier_of(rest: DataFrame, key: str, score, keep, number: int, name: str) -> DataFrame:
         usable = F.col(key).isNotNull() & (F.col(key) != "")
-        joined = rest.where(usable).join(s, F.col(key) == F.col(f"s_{key}")).withColumn("score", score)
+        alike = [f"s_{key}"] if key != "address" else ["s_address", "s_name"]  # of sources that score alike the least id counts
+        first = s.groupBy(*alike).agg(F.min("s_id").alias("s_id"))
+        joined = rest.where(usable).join(first, F.col(key) == F.col(f"s_{key}")).withColumn("score", score)
         return best(joined.where(keep), number, name)
 
     def sounds_alike(rest: DataFrame) -> DataFrame:
         """Names of one sound that are similar enough, from the index of alike names: a sound may hold most of a table.
 
         Of sources with an equal name the least id counts, and targets with an equal name are looked up once."""
-        from regiolith.operators.names import likely_pairs
+        from regiolith.operators.names import likely_pairs, shared_by_edits
 
         least = 100 * max(threshold, threshold / 0.85)
         names = rest.where("sound is not null").select(F.col("name").alias("id"), F.col("sound").alias("block"), "name").distinct()
         known = s.where("s_sound is not null").groupBy(F.col("s_sound").alias("block"), F.col("s_name").alias("name")).agg(F.min("s_id").alias("id"))
-        pairs = likely_pairs(names, known, min(least, 100.0)).select(F.col("left_name").alias("name"), F.col("right_id").alias("s_id"), F.col("right_name").alias("s_name"))
+        pairs = likely_pairs(names, known, min(least, 100.0), shared_by_edits).select(F.col("left_name").alias("name"), F.col("right_id").alias("s_id"), F.col("right_name").alias("s_name"))
         scored = pairs.withColumn("score", 0.85 * similarity).where((similarity > threshold) & (F.col("score") >= threshold))
         nearest = scored.groupBy("name").agg(F.max_by(F.struct("score", "s_id"), F.struct(F.col("score"), -F.col("s_id"))).alias("b"))
         return rest.join(nearest, "name").select("id", "b.s_id", "b.score")
@@ -72,18 +76,22 @@ def match_entities(source: DataFrame, target: DataFrame, threshold: float = 0.8)
         ("address", 0.9 * similarity, (similarity > 0.7) & (F.col("score") >= threshold), "address"),
         ("sound", None, None, "sound"),
     )):
-        found = best(sounds_alike(rest), number, name) if key == "sound" else tier_of(rest, key, score, keep, number, name)
+        found = materialised(best(sounds_alike(rest), number, name) if key == "sound" else tier_of(rest, key, score, keep, number, name))
         out = found if out is None else out.unionByName(found)
         rest = rest.join(found.select(F.col("target_id").alias("id")), "id", "left_anti")
-    # Names that share so large a part of their words share one of their rarest ones; only those are joined on.
+    # Names that share so large a part of their words share one of their rarest ones; only those are joined on. Rows of the same
+    # words are looked up once, and of sources of the same words the least id counts.
     part = threshold / 0.8 - 1e-9
-    both = rest.select("id", "tokens").unionByName(s.select(F.col("s_tokens").alias("tokens")), allowMissingColumns=True)
-    often = both.select(F.explode("tokens").alias("word")).groupBy("word").count()
-    words = rarest_words(rest.select("id", "tokens"), often, "id", "tokens", part)
-    others = rarest_words(s.select("s_id", "s_tokens"), often, "s_id", "s_tokens", part)
+    wanted = rest.select("tokens").distinct().withColumn("key", F.col("tokens"))
+    known = s.groupBy("s_tokens").agg(F.min("s_id").alias("s_id"))
+    often = wanted.select("tokens").unionByName(known.select(F.col("s_tokens").alias("tokens"))).select(F.explode("tokens").alias("word")).groupBy("word").count()
+    words = rarest_words(wanted, often, "key", "tokens", part).drop("key")
+    others = rarest_words(known, often, "s_id", "s_tokens", part)
     shared = words.join(others, "word").drop("word").distinct().withColumn("shared", F.size(F.array_intersect("tokens", "s_tokens")))
     overlap = F.col("shared") / F.greatest(F.size("tokens"), F.size("s_tokens"))
-    last = best(shared.withColumn("score", 0.8 * overlap).where((F.col("shared") >= 2) & (F.col("score") >= threshold - 1e-9)), 5, "words")
+    reached = shared.withColumn("score", 0.8 * overlap).where((F.col("shared") >= 2) & (F.col("score") >= threshold - 1e-9))
+    nearest = reached.groupBy("tokens").agg(F.max_by(F.struct("score", "s_id"), F.struct(F.col("score"), -F.col("s_id"))).alias("b"))
+    last = best(rest.join(nearest, "tokens").select("id", "b.s_id", "b.score"), 5, "words")
     return out.unionByName(last)
 
 

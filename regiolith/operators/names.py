@@ -31,6 +31,12 @@ def shared_length(a: Column, b: Column, ratio: float) -> Column:
     return F.ceil(F.lit(ratio / 200) * (a + b) - 1e-9).cast("int")
 
 
+def shared_by_edits(a: Column, b: Column, ratio: float) -> Column:
+    """The least common subsequence that gives the similarity by Levenshtein distance over the longer length: what is not edited
+    of the longer name is common. It is never below that of the same indel ratio, and rules out more pairs of lengths."""
+    return F.ceil(F.lit(ratio / 100) * F.greatest(a, b) - 1e-9).cast("int")
+
+
 def choices(n: Column, k: Column) -> Column:
     """n over k up to k = 4, and more than MOST_TEXTS beyond."""
     n = n.cast("double")
@@ -40,14 +46,14 @@ def choices(n: Column, k: Column) -> Column:
     )
 
 
-def length_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+def length_pairs(left: DataFrame, right: DataFrame, ratio: float, shared=shared_length) -> DataFrame:
     """(block, a, b, m, q) of the lengths of names (block, name) that can be alike; q is 0 where deletions are the keys.
 
     Lengths are few, so this is a small table for each block."""
     a = left.select("block", F.length("name").alias("a")).distinct()
     b = right.select("block", F.length("name").alias("b")).distinct()
     x, y = F.col("a"), F.col("b")
-    pairs = a.join(b, "block").withColumn("m", shared_length(x, y, ratio)).where((F.col("m") <= F.least("a", "b")) & (F.col("m") > 0))
+    pairs = a.join(b, "block").withColumn("m", shared(x, y, ratio)).where((F.col("m") <= F.least("a", "b")) & (F.col("m") > 0))
     gone, come = x - F.col("m"), y - F.col("m")
 
     def some_left(q: int) -> Column:
@@ -117,13 +123,14 @@ def gram_counts(*sides: DataFrame) -> DataFrame:
     return every.groupBy("q", "run").count()
 
 
-def likely_pairs(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+def likely_pairs(left: DataFrame, right: DataFrame, ratio: float, shared=shared_length) -> DataFrame:
     """(left_id, right_id, left_name, right_name) of rows (id, block, name): all pairs of one block that reach the ratio,
-    and others that only share a rare run. Empty names are alike to nothing."""
+    and others that only share a rare run. Empty names are alike to nothing. ``shared`` says what common subsequence the ratio
+    asks for: that of an indel ratio, or ``shared_by_edits``."""
     from regiolith.operators.graph import materialised
 
     left, right = (materialised(x.select("id", "block", "name").where("block is not null and name <> ''")) for x in (left, right))
-    pairs = materialised(length_pairs(left, right, ratio))
+    pairs = materialised(length_pairs(left, right, ratio, shared))
     a, b = with_lengths(left, pairs, "a", "b"), with_lengths(right, pairs, "b", "a")
     keyed = [by_deletion(a), by_deletion(b)]
     if pairs.where("q > 0").limit(1).count():
