@@ -144,9 +144,9 @@ def export_lines(spark, sf_dir):
 
 @query(
     "A19_export_csv",
-    f"""with {EXPORTED}, r as (select *, row_number() over (partition by cluster_id order by revenue_estimate desc, business_id) i from member)
+    f"""with {EXPORTED}, s as (select cluster_id, sum(cast(revenue_estimate as decimal(18, 2))) cents from member group by 1), r as (select *, row_number() over (partition by cluster_id order by revenue_estimate desc, business_id) i from member)
     select cluster_id, 0 "at", concat(name, ' (', type, '), score ', format('{{:.1f}}', score)) line from c
-    union all select cluster_id, 1, concat(cast(n as varchar), ' businesses, ', format('{{:,}}', cast(jobs as bigint)), ' employees, revenue $', format('{{:,}}', cast(round_even(revenue, 0) as bigint))) from g
+    union all select cluster_id, 1, concat(cast(n as varchar), ' businesses, ', format('{{:,}}', cast(jobs as bigint)), ' employees, revenue $', format('{{:,}}', cast(round_even(cast(cents as double), 0) as bigint))) from g join s using (cluster_id)
     union all select cluster_id, cast(i + 1 as int), concat(cast(i as varchar), '. ', name, ', ', format('{{:,}}', cast(employees as bigint)), ' employees, $', format('{{:,}}', cast(round_even(revenue_estimate, 0) as bigint))) from r where i <= 5""",
 )
 def export_csv(spark, sf_dir):

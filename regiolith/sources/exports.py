@@ -24,11 +24,12 @@ def write_enriched(df: DataFrame, folder: str, created: str, order: list[str], a
 def cluster_lines(clusters: DataFrame, members: DataFrame, most: int = 5) -> DataFrame:
     """(cluster_id, at, line): a heading, a line with amounts, and one for each of the largest members, in order.
 
-    ``clusters`` has (cluster_id, name, type, score), ``members`` (cluster_id, business_id, name, employees, revenue_estimate)."""
+    Revenues are summed in whole cents, so that a sum of half a dollar does not turn on the order of its rows; half dollars go
+    to the even one. ``clusters`` has (cluster_id, name, type, score), ``members`` (cluster_id, business_id, name, employees, revenue_estimate)."""
     from pyspark.sql import Window
 
     money = lambda c: F.concat(F.lit("$"), F.format_number(c, 0))
-    g = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("employees").alias("jobs"), F.sum("revenue_estimate").alias("revenue"))
+    g = members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("employees").alias("jobs"), F.sum(F.col("revenue_estimate").cast("decimal(18,2)")).alias("revenue"))
     j = clusters.join(g, "cluster_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     head = j.select("cluster_id", F.lit(0).alias("at"), F.concat("name", F.lit(" ("), "type", F.lit("), score "), F.format_number("score", 1)).alias("line"))

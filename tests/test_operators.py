@@ -143,6 +143,37 @@ def test_shared_words_against_all_pairs(spark):
         assert {m.target_id: m.source_id for m in found if m.tier == "words"} == {i: j for i, (_, j) in want.items()}
 
 
+def test_names_of_one_sound_keep_all_that_edits_can_reach(spark):
+    """Lengths that no similarity over the longer name can bridge are not joined; what is left finds what all pairs find."""
+    from regiolith.operators import names
+
+    r = random.Random(5)
+    made = lambda start: [(start + i, "rest " + "".join(r.choices("0789", k=4)) + r.choice(["", " 7", " 88", " 999", " 78907"]), None, "") for i in range(60)]
+    schema = "id long, name string, phone string, address string"
+    left, right = made(0), made(1000)
+    found = matching.match_entities(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), 0.7).collect()
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {}
+    for i, name, *_ in right:
+        if all(name != other for _, other, *_ in left):
+            for j, other, *_ in left:
+                score = 0.85 * (1 - edits(name, other) / max(len(name), len(other)))
+                if score >= 0.7:
+                    want[i] = min(want.get(i, (1, 0)), (-score, j))
+    assert want and {m.target_id: m.source_id for m in found if m.tier == "sound"} == {i: j for i, (_, j) in want.items()}
+    of = lambda size: spark.createDataFrame([(1, "k", "x" * size)], "id long, block string, name string")
+    assert names.length_pairs(of(23), of(18), 82.36).count() == 1  # the indel ratio alone joins all of these
+    assert names.length_pairs(of(23), of(18), 82.36, names.shared_by_edits).count() == 0
+
+
 def test_contained_names_against_all_pairs(spark):
     r = random.Random(7)
     words = ["alpha", "beta", "gamma", "delta", "the", "the"]
@@ -245,3 +276,16 @@ def test_growth_path_against_the_formula(spark):
     want = {1: 121.0, 2: 1000 / (1 + math.exp(1.0)), 3: 2000 / (1 + math.exp(1.5)), 4: 120.0, 5: 0.0}
     assert all(math.isclose(out[i, 2026].value, w, abs_tol=1e-9) for i, w in want.items())
     assert out[5, 2025].growth is None and math.isclose(out[4, 2026].growth, 120 / 110 - 1) and math.isclose(out[1, 2025].upper, 110 * 1.294)
+
+
+def test_lines_of_clusters_sum_revenues_by_the_cent(spark):
+    """Sums of doubles miss the half dollar by the order of their rows; sums of cents do not."""
+    from regiolith.sources.exports import cluster_lines
+
+    clusters = spark.createDataFrame([("a", "A", "goods", 1.0)], "cluster_id string, name string, type string, score double")
+    amounts = [0.1] * 15 + [3e12, 1.0]  # 3,000,000,000,002.50: half a dollar, which goes to the even one
+    for order in (amounts, amounts[::-1]):
+        rows = [("a", i, "m", 1, x) for i, x in enumerate(order)]
+        members = spark.createDataFrame(rows, "cluster_id string, business_id long, name string, employees int, revenue_estimate double").coalesce(1)
+        line = cluster_lines(clusters, members).where("at = 1").first().line
+        assert line == "17 businesses, 17 employees, revenue $3,000,000,000,002"
