@@ -5,6 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regiolith.llm.common import map_rows
 
 
 class Calibration:
@@ -42,3 +46,40 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-3, steps:
         if np.abs(move).max() < 1e-8:
             break
     return Calibration(mean, scale, beta[:-1], float(beta[-1]))
+
+
+def fit_table(rows: DataFrame, width: int, share: float, ridge: float = 1e-3, steps: int = 50) -> Calibration:
+    """``fit`` over a table (y, x array<double>) of any size that is read once a step: the tasks sum slopes and bends, and the
+    driver gets a row of them for each batch of rows."""
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    each = [f(F.col("x")[i]) for i in range(width) for f in (F.avg, F.stddev_pop)]
+    ones, zeros, *moments = rows.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0), *each).first()  # one row
+    if not ones or not zeros:
+        return Calibration(np.zeros(width), np.ones(width), np.zeros(width), math.log(share / (1 - share)))
+    mean, scale = np.array(moments[::2], float), np.array(moments[1::2], float)
+    scale[scale < 1e-9] = 1.0
+    beta = np.zeros(width + 1)
+    penalty = ridge * np.eye(width + 1)
+    penalty[-1, -1] = 1e-6
+    for _ in range(steps):
+
+        def task(beta=beta):
+            def step(block):
+                if not block["y"]:
+                    return {"sums": []}
+                y = np.array(block["y"], float)
+                a = np.column_stack([(np.array(block["x"], float) - mean) / scale, np.ones(len(y))])
+                w = np.where(y == 1, share / ones, (1 - share) / zeros)
+                p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+                return {"sums": [[*(a.T @ (w * (p - y))), *((a * (w * p * (1 - p))[:, None]).T @ a).ravel()]]}
+
+            return step
+
+        parts = [r["sums"] for r in map_rows(rows.select("y", "x"), task, "sums array<double>", rows=1_000_000).collect()]
+        total = np.array([math.fsum(column) for column in zip(*parts)])  # in any order
+        slope, bend = total[: width + 1] + penalty @ beta, total[width + 1 :].reshape(width + 1, width + 1) + penalty
+        move = np.linalg.solve(bend, slope)
+        beta = beta - np.clip(move, -5, 5)
+        if np.abs(move).max() < 1e-8:
+            break
+    return Calibration(mean, scale, beta[:-1], float(beta[-1]))

@@ -20,22 +20,20 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiolith.llm import fitting
-from regiolith.llm.common import checkpointed, fold, is_held_out, map_rows, table, texts, training_rows
+from regiolith.llm.common import checkpointed, fold, is_held_out, labelled_texts, map_rows, stored, table, texts, training_rows
 
-#: Labelled rows of each class that the model is fitted on: a bounded sample.
-PER_CLASS = 4_000
 #: Features that the model keeps, the strongest first: the size of the model.
 LEXICON = 20_000
 THRESHOLD = 0.5
 #: Toxic documents that must hold a feature, and how much likelier it must be in them.
 MIN_DOCS, MIN_ODDS = 4, 8.0
 PREFIXES = (4, 5, 6)
-MEMO = 100_000
+#: Words that a task remembers; workers of Python live through all stages of a job, so it is kept small.
+MEMO = 20_000
 STRONGEST = 3
 
 # Characters and the letters they stand for.
@@ -47,8 +45,9 @@ SEPARATORS = frozenset(".-_*~'`^:;,/\\#%&")
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…-–—|*#$%&_~`"
 #: Costs in nats: a look-alike, a dropped separator, a repeat of the letter before, a shorter context, an unknown letter.
 COST_LOOK, COST_DROP, COST_REPEAT, COST_BACK_OFF, FLOOR = 1.0, 0.5, 0.7, 1.0, -12.0
-#: Letters of a character n-gram, and how often one must occur in the sample.
-ORDER, MIN_COUNT = 4, 3
+#: Letters of a character n-gram, how often one must occur in the labelled rows, and once in how many letters at least, which
+#: bounds the size of the model and not what is counted.
+ORDER, MIN_COUNT, ONCE_IN = 4, 3, 5_000_000
 #: Costs of a new word after one separator of a spaced-out run, and of none after two.
 COST_BREAK, COST_JOIN = 1.0, 2.0
 #: Characters of the words that the character model learns from.
@@ -206,10 +205,11 @@ class Scorer:
 WIDTH = STRONGEST + 2
 
 
-def character_model(sample: DataFrame) -> dict[str, float]:
-    """Log probabilities of letters after up to ORDER - 1 others in the plain words of the sample; ^ and $ are ends.
+def character_model(rows: DataFrame) -> dict[str, float]:
+    """Log probabilities of letters after up to ORDER - 1 others in the plain words of the rows; ^ and $ are ends.
 
-    Counts are made in the tasks and summed by Spark; the bounded sample bounds the result."""
+    Counts are made in the tasks and summed by Spark over all rows. The model keeps n-grams that are not too rare, so it has
+    at most ORDER * ONCE_IN of them however large the table is; what an n-gram begins with is as frequent and stays too."""
 
     def task():
         def step(block):
@@ -224,13 +224,13 @@ def character_model(sample: DataFrame) -> dict[str, float]:
 
         return step
 
-    counted = map_rows(sample, task, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-    n = {r["gram"]: r["n"] for r in counted.collect()}
-    letters = sum(v for g, v in n.items() if len(g) == 1)
+    counted = checkpointed(map_rows(rows, task, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    letters = counted.where(F.char_length("gram") == 1).agg(F.sum("n")).first()[0] or 1
+    n = {r["gram"]: r["n"] for r in counted.where(F.col("n") >= max(MIN_COUNT, letters / ONCE_IN)).collect()}
     return {g: math.log(v / (n[g[:-1]] if len(g) > 1 else letters)) for g, v in n.items()}
 
 
-def feature_weights(sample: DataFrame, grams: dict[str, float], sizes: dict[int, int]) -> dict[str, float]:
+def feature_weights(rows: DataFrame, grams: dict[str, float], sizes: dict[int, int]) -> dict[str, float]:
     """Log odds of document frequencies of restored words and word beginnings; the strongest LEXICON of them."""
 
     def task():
@@ -247,7 +247,7 @@ def feature_weights(sample: DataFrame, grams: dict[str, float], sizes: dict[int,
 
     n1, n0 = max(sizes.get(1, 0), 1), max(sizes.get(0, 0), 1)
     counted = (
-        map_rows(sample, task, "feature string, y int, n long")
+        map_rows(rows, task, "feature string, y int, n long")
         .groupBy("feature")
         .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"))
         .where(F.col("toxic") >= MIN_DOCS)
@@ -260,13 +260,16 @@ def feature_weights(sample: DataFrame, grams: dict[str, float], sizes: dict[int,
     return {r["feature"]: float(r["weight"]) for r in counted.select("feature", "weight").collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Three quarters of the sample, by a hash of doc_id, give the weights; the rest calibrates."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int | None = None) -> Model:
+    """Three quarters of the labelled rows, by a hash of doc_id, give the weights; the rest calibrates.
+
+    All labelled rows outside the held-out fold count; ``per_class`` takes only so many of each class, for trials."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 0))
     share = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     half = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) > 0
-    sample = checkpointed(training_rows(docs, labels, "toxic", per_class).withColumn("learns", half))
-    learns = sample.where("learns").drop("learns")
+    rows = labelled_texts(docs, labels, "toxic") if per_class is None else training_rows(docs, labels, "toxic", per_class)
+    rows = stored(rows.withColumn("learns", half), "toxicity")
+    learns = rows.where("learns").drop("learns")
     grams = character_model(learns)
     sizes = {r["y"]: r["count"] for r in learns.groupBy("y").count().collect()}
     weights = feature_weights(learns, grams, sizes)
@@ -275,14 +278,12 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         scorer = Scorer(grams, weights)
 
         def step(block):
-            return {"doc_id": block["doc_id"], "y": block["y"], "x": [scorer.features(t) for t in block["text"]]}
+            return {"y": block["y"], "x": [scorer.features(t) for t in block["text"]]}
 
         return step
 
-    held = map_rows(sample.where("not learns").drop("learns"), task, "doc_id long, y int, x array<double>").collect()
-    held.sort(key=lambda r: (r["doc_id"], r["y"]))
-    x = np.array([r["x"] for r in held]).reshape(len(held), WIDTH)
-    return Model(grams, weights, fitting.fit(x, np.array([r["y"] for r in held]), 0.5 if share is None else share))
+    held = checkpointed(map_rows(rows.where("not learns").drop("learns"), task, "y int, x array<double>"))
+    return Model(grams, weights, fitting.fit_table(held, WIDTH, 0.5 if share is None else share))
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

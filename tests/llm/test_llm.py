@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regiolith.llm import backoff, html, jaccard, media, packing, pieces, quality, rules, secrets, toxicity
+from regiolith.llm import backoff, common, fitting, html, jaccard, media, packing, pieces, quality, rules, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -441,6 +441,27 @@ def test_toxicity(spark, labelled, edges, empty):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(edges, none).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Every labelled row outside the held-out fold counts: with no number given, none is left out, and the calibration over a
+    table is that over all of its rows at once."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 5, raising=False)
+    rows = [(i, f"word{i % 7} " + ("grimp zorbling" if i % 3 == 0 else "stone")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    seen = common.labelled_texts(docs, labels, "toxic")
+    assert {r.doc_id for r in seen.collect()} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5}
+    learns = [r.text for r in seen.where("pmod(xxhash64(doc_id, 7), 4) > 0").collect()]
+    grams = toxicity.train(docs, labels).grams
+    full = toxicity.character_model(spark.createDataFrame([(t,) for t in learns], "text string"))
+    assert grams == full
+    r = random.Random(2)
+    table = [(int(r.random() < 0.4), [r.gauss(0, 1), r.gauss(1, 2)]) for _ in range(300)]
+    table = [(y, [a + y, b]) for y, (a, b) in table]
+    one = fitting.fit(np.array([x for _, x in table]), np.array([y for y, _ in table]), 0.3)
+    many = fitting.fit_table(spark.createDataFrame(table, "y int, x array<double>").repartition(3), 2, 0.3)
+    assert np.allclose(one.weights, many.weights, atol=1e-6) and abs(one.bias - many.bias) < 1e-6
+
+
 def test_long_obfuscations(spark, labelled):
     docs, labels = labelled
     model = toxicity.train(docs, labels, 300)
