@@ -289,3 +289,24 @@ def test_lines_of_clusters_sum_revenues_by_the_cent(spark):
         members = spark.createDataFrame(rows, "cluster_id string, business_id long, name string, employees int, revenue_estimate double").coalesce(1)
         line = cluster_lines(clusters, members).where("at = 1").first().line
         assert line == "17 businesses, 17 employees, revenue $3,000,000,000,002"
+
+
+def test_edges_of_kinds_give_all_similarity_edges(spark):
+    """Edges of representatives and their copies, expanded, are the edges of all businesses."""
+    from regiolith.operators import communities
+
+    r = random.Random(4)
+    rows = [(i, f"c{r.randrange(2)}", "s", r.choice(["484", "493", "511"]), r.choice([5, 6, 20])) for i in range(70)] + [(90, None, "s", "511", 5), (91, None, "s", "511", 5), (92, "c0", "s", "511", 0)]
+    df = spark.createDataFrame(rows, "business_id long, county string, state string, naics_code string, employees int")
+    want = {(e.u, e.v): round(e.w, 6) for e in communities.similarity_edges(df, 0.56).collect()}
+    found = communities.similar_kinds(df, 0.56).collect()
+    assert 2 * len(found) < len(want)
+    copies, got = {}, {}
+    for e in found:
+        if e.copy:
+            copies.setdefault(e.u, [(e.u, None)]).append((e.v, e.w))
+    pairs = [(a, b, e.w) for e in found if not e.copy for a, _ in copies.get(e.u, [(e.u, None)]) for b, _ in copies.get(e.v, [(e.v, None)])]
+    pairs += [(a, b, w) for c in copies.values() for i, (a, _) in enumerate(c) for b, w in c[i + 1 :]]
+    for a, b, w in pairs:
+        got[min(a, b), max(a, b)] = round(w, 6)
+    assert got == want
