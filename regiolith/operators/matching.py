@@ -210,16 +210,24 @@ def dedup_fuzzy(df: DataFrame, ratio: float = 90.0) -> DataFrame:
 
 
 def dedup_geo(df: DataFrame, miles: float = 0.5, ratio: float = 85.0) -> DataFrame:
-    """Rows of one county, close to each other and with names alike, become one."""
+    """Rows of one county, close to each other and with names alike, become one.
+
+    Rows of one county, name and place link to the least id of them, and only these are held against each other."""
     from regiolith.operators.geo import near_pairs
+    from regiolith.operators.graph import materialised
 
-    names = df.select("id", "county", "name")
-    near = near_pairs(df.select("id", "latitude", "longitude"), miles).where("a < b")
+    kind = ["county", "name", "latitude", "longitude"]
+    usable = df.select("id", *kind).where("county is not null and name <> '' and latitude is not null and longitude is not null and not isnan(latitude) and not isnan(longitude)")
+    first = materialised(usable.groupBy(*kind).agg(F.min("id").alias("first")))
+    equal = usable.join(first, kind).where("id <> first").select(F.col("first").alias("u"), F.col("id").alias("v"))
+    one = first.withColumnRenamed("first", "id")
+    names = one.select("id", "county", "name")
+    near = near_pairs(one.select("id", "latitude", "longitude"), miles).where("a < b")
     a = names.select(F.col("id").alias("a"), F.col("county").alias("county_a"), F.col("name").alias("name_a"))
     b = names.select(F.col("id").alias("b"), F.col("county").alias("county_b"), F.col("name").alias("name_b"))
     both = near.join(a, "a").join(b, "b").where("county_a = county_b")
     alike = both.where(indel_ratio_column()("name_a", "name_b") >= ratio)
-    return keep_best_of_groups(df, alike.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return keep_best_of_groups(df, alike.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(equal))
 
 
 def enrich_hierarchical(df: DataFrame, features: DataFrame, counties: DataFrame, verified: DataFrame, columns: list[str], default: float) -> DataFrame:

@@ -310,3 +310,15 @@ def test_edges_of_kinds_give_all_similarity_edges(spark):
     for a, b, w in pairs:
         got[min(a, b), max(a, b)] = round(w, 6)
     assert got == want
+
+
+def test_dedup_geo_holds_equal_rows_against_others_once(spark, monkeypatch):
+    """Rows of one county, name and place are one point for the near pairs, and all of them are deduplicated."""
+    from regiolith.operators import geo
+
+    seen, near_pairs = [], geo.near_pairs
+    monkeypatch.setattr(geo, "near_pairs", lambda points, miles: (seen.append(points.count()), near_pairs(points, miles))[1])
+    rows = [(i, "k", "Acme Widgets", float(i), 39.0, -94.0) for i in range(40)] + [(50, "k", "Acme Widget", 99.0, 39.0, -94.0), (51, "k", "", 1.0, 39.0, -94.0), (52, "k", "", 2.0, 39.0, -94.0)]
+    df = spark.createDataFrame(rows, "id long, county string, name string, revenue_estimate double, latitude double, longitude double")
+    assert {r.id for r in matching.dedup_geo(df).collect()} == {50, 51, 52}
+    assert seen == [2]
