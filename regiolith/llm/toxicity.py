@@ -17,9 +17,10 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ THRESHOLD = 0.5
 MIN_DOCS, MIN_ODDS = 4, 8.0
 PREFIXES = (4, 5, 6)
 #: Words that a task remembers; workers of Python live through all stages of a job, so it is kept small.
-MEMO = 20_000
+MEMO = 40_000
 STRONGEST = 3
 
 # Characters and the letters they stand for.
@@ -61,7 +62,7 @@ REPEATS = re.compile(r"(.)\1{2,}", re.S)
 
 
 def looks_plain(word: str) -> bool:
-    return PLAIN.fullmatch(word) is not None and THREE.search(word) is None
+    return (word.isalpha() or PLAIN.fullmatch(word) is not None) and THREE.search(word) is None
 
 
 class Restorer:
@@ -137,16 +138,18 @@ def cut(word: str) -> str:
     return word.strip(EDGES)
 
 
-def restored_words(text: str, restorer: Restorer | None, memo: dict[str, tuple[str, ...]]) -> set[str]:
-    """The distinct plain words of a text, after restoring the others; plain words stay as they are."""
+def restored_words(text: str, restorer: Restorer | None, memo: dict[str, tuple[str, ...]], each: Callable[[str], Iterable[str]] | None = None) -> set[str]:
+    """The distinct plain words of a text, after restoring the others; plain words stay as they are.
+
+    ``each`` gives what is wanted of a plain word instead of the word; the memo remembers that, so it goes with one ``each``."""
     lower = text.lower()
     out: set[str] = set()
     if restorer is not None:
         for m in SPACED.finditer(lower):
             joined = GAP.sub("", m[0])
-            out.update(restorer.restore_run(m[0]))
             # all as one word; a single letter at an end may be a word of its own
-            out.update(restorer.restore(x) for x in (joined, joined[1:], joined[:-1], joined[1:-1]))
+            words = {*restorer.restore_run(m[0]), *(restorer.restore(x) for x in (joined, joined[1:], joined[:-1], joined[1:-1]))}
+            out.update(words if each is None else (x for w in words for x in each(w)))
     for word in set(lower.split()):
         made = memo.get(word)
         if made is None:
@@ -159,10 +162,13 @@ def restored_words(text: str, restorer: Restorer | None, memo: dict[str, tuple[s
                 made = ()
             else:  # signs at the ends may be letters too
                 made = tuple({bare, restorer.restore(word.strip(".,;:?\"")), restorer.restore(bare)} - {""})
+            if each is not None:
+                made = tuple(x for w in made for x in each(w))
             if len(memo) >= MEMO:
                 memo.clear()
             memo[word] = made
-        out.update(made)
+        if made:
+            out.update(made)
     return out
 
 
@@ -183,21 +189,20 @@ class Scorer:
     def __init__(self, grams: dict[str, float], weights: dict[str, float]):
         self.restorer, self.weights = Restorer(grams), weights
         self.strong = max(weights.values(), default=math.inf) / 2
+        self.starts = {f[1 : 1 + PREFIXES[0]] for f in weights if f[0] == "^"}
         self.words: dict[str, tuple[str, ...]] = {}
-        self.known: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            w = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
-            if len(self.known) >= MEMO:
-                self.known.clear()
-            self.known[word] = w
-        return w
+        if word[: PREFIXES[0]] not in self.starts:
+            return self.weights.get(word, 0.0)
+        return max(self.weights.get(f, 0.0) for f in features_of(word))
+
+    def hit(self, word: str) -> tuple[str, ...]:
+        return (word,) if self.weight(word) else ()
 
     def features(self, text: str) -> list[float]:
-        words = restored_words(text, self.restorer, self.words)
-        hits = sorted((w for w in map(self.weight, words) if w), reverse=True)
+        """Only words with a weight are remembered and listed; the others add nothing."""
+        hits = sorted(map(self.weight, restored_words(text, self.restorer, self.words, self.hit)), reverse=True)
         top = hits[:STRONGEST] + [0.0] * (STRONGEST - len(hits[:STRONGEST]))
         return [*top, math.log1p(sum(hits)), float(top[0] >= self.strong)]
 
@@ -205,6 +210,29 @@ class Scorer:
 WIDTH = STRONGEST + 2
 
 
+def gram_counts(words: dict[str, int]) -> dict[str, int]:
+    """How often each run of 1 to ORDER characters occurs in the words, each between ^ and $, times the word's count.
+
+    Runs of n characters are numbered by the number of the run of n - 1 before and the last character, so numbers stay small."""
+    text = "".join(f"^{w}$" for w in words)
+    if not text:
+        return {}
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, letters = np.unique(points, return_inverse=True)
+    times = np.repeat(np.fromiter(words.values(), np.int64), [len(w) + 2 for w in words])
+    starts, runs, out = np.arange(len(points)), letters, {}
+    for n in range(1, ORDER + 1):
+        if n > 1:
+            open_ = points[starts + n - 2] != ord("$")  # a run ends with its word, which has no other $
+            starts = starts[open_]
+            runs = runs[open_] * len(alphabet) + letters[starts + n - 1]
+        _, first, runs = np.unique(runs, return_index=True, return_inverse=True)
+        sums = np.zeros(len(first), np.int64)
+        np.add.at(sums, runs, times[starts])
+        out.update((text[i : i + n], v) for i, v in zip(starts[first].tolist(), sums.tolist()))
+    return out
+
+
 def character_model(rows: DataFrame) -> dict[str, float]:
     """Log probabilities of letters after up to ORDER - 1 others in the plain words of the rows; ^ and $ are ends.
 
@@ -213,13 +241,10 @@ def character_model(rows: DataFrame) -> dict[str, float]:
 
     def task():
         def step(block):
-            counts: Counter[str] = Counter()
+            words: Counter[str] = Counter()
             for text in block["text"]:
-                for word in set(map(cut, text.lower().split())):
-                    if looks_plain(word) and len(word) <= LEARNT_MOST:
-                        marked = f"^{word}$"
-                        for n in range(1, ORDER + 1):
-                            counts.update(marked[i : i + n] for i in range(len(marked) - n + 1))
+                words.update(set(map(cut, text.lower().split())))
+            counts = gram_counts({w: n for w, n in words.items() if len(w) <= LEARNT_MOST and looks_plain(w)})
             return {"gram": list(counts), "n": list(counts.values())}
 
         return step
@@ -239,8 +264,7 @@ def feature_weights(rows: DataFrame, grams: dict[str, float], sizes: dict[int, i
         def step(block):
             counts: Counter[tuple[str, int]] = Counter()
             for text, y in zip(block["text"], block["y"]):
-                found = {f for w in restored_words(text, restorer, memo) for f in features_of(w)}
-                counts.update((f, y) for f in found)
+                counts.update((f, y) for f in restored_words(text, restorer, memo, features_of))
             return {"feature": [f for f, _ in counts], "y": [y for _, y in counts], "n": list(counts.values())}
 
         return step

@@ -441,6 +441,29 @@ def test_toxicity(spark, labelled, edges, empty):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(edges, none).collect()} == {0.5}
 
 
+def test_toxicity_counts_and_scores_as_word_by_word(spark):
+    """Runs of characters counted at once, and weights remembered by word, are those of the plain way; labels are joined
+    without a broadcast, which would change how the shuffle grows."""
+    words = {"a": 3, "banana": 2, "l'été": 1, "\U0001d4d0x": 4, "ananas": 5}
+    slow = collections.Counter()
+    for word, n in words.items():
+        marked = f"^{word}$"
+        for size in range(1, toxicity.ORDER + 1):
+            for at in range(len(marked) - size + 1):
+                slow[marked[at : at + size]] += n
+    assert toxicity.gram_counts(words) == slow and toxicity.gram_counts({}) == {}
+    weights = {"^grim": 2.0, "^grimpl": 3.0, "stone": 1.0, "zap": 4.0}
+    scorer = toxicity.Scorer({}, weights)
+    for text in ("grimple stone zap", "grim grimp stones", "", "z.a.p gr1mple stone stone"):
+        found = toxicity.restored_words(text, scorer.restorer, {})
+        hits = sorted((w for x in found if (w := max(weights.get(f, 0.0) for f in toxicity.features_of(x)))), reverse=True)
+        assert scorer.features(text)[:3] == (hits + [0.0] * 3)[:3] and scorer.features(text)[3] == math.log1p(sum(hits))
+    docs = spark.createDataFrame([(1, "one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    plan = common.labelled_texts(docs, labels, "toxic")._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
 def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     """Every labelled row outside the held-out fold counts: with no number given, none is left out, and the calibration over a
     table is that over all of its rows at once."""
