@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regiolith.llm import backoff, common, fitting, html, jaccard, media, packing, pieces, quality, rules, secrets, toxicity
+from regiolith.llm.components import components
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -441,6 +442,36 @@ def test_toxicity(spark, labelled, edges, empty):
     assert {round(r.score, 6) for r in toxicity.score_toxicity(edges, none).collect()} == {0.5}
 
 
+def test_components_of_few_edges_stay_in_one_partition(spark, monkeypatch):
+    """A small graph goes through its rounds without shuffles, with the result of the dealt way; before, each round had its own
+    tasks and files for every shuffle partition."""
+    r = random.Random(4)
+    pairs = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = components(edges)
+        assert found.rdd.getNumPartitions() <= 2
+        one = {x.node: x.component for x in found.collect()}
+        monkeypatch.setattr("regiolith.llm.components.FEW_EDGES", 0)
+        assert one == {x.node: x.component for x in components(edges).collect()} and components(edges.limit(0)).count() == 0
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    group = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in group:
+        changed = False
+        for u, v in pairs:
+            if u != v and group[u] != group[v]:
+                group[u] = group[v] = min(group[u], group[v])
+                changed = True
+        if not changed:
+            break
+    assert one == group
+
+
 def test_toxicity_counts_and_scores_as_word_by_word(spark):
     """Runs of characters counted at once, and weights remembered by word, are those of the plain way; labels are joined
     without a broadcast, which would change how the shuffle grows."""
