@@ -344,21 +344,31 @@ def clustering_features(df: DataFrame, assets: DataFrame, top: int = 10) -> Data
     return Pipeline(stages=stages).fit(j).transform(j).select("business_id", "features")
 
 
+#: Rows that a task of the search for k takes; each of its many passes sends one small result a task to the driver.
+ROWS_A_TASK = 50_000
+
+
 def choose_k(features: DataFrame, economy: DataFrame, least: int = 2, most: int = 10, targets: bool = False) -> DataFrame:
     """(k, silhouette, davies_bouldin, calinski_harabasz, viability, combined, chosen) for each number of groups.
 
     Dispersion comes from sums by group and the centres, which the model holds. ``economy`` has (business_id, employees,
-    revenue_estimate); viability is the share of groups of 15 businesses and a fair share of jobs and revenue."""
+    revenue_estimate); viability is the share of groups of 15 businesses and a fair share of jobs and revenue.
+
+    Rows are dealt by id to so many tasks as their number asks for, in the order of their ids: the passes then have no
+    nearly empty tasks, and the result does not depend on how the input lies."""
     import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import vector_to_array
 
+    from regiolith.operators.graph import materialised
+
     spark = features.sparkSession
-    features = features.join(economy, "business_id").cache()
+    features = materialised(features.join(economy, "business_id"))
+    n = features.count()
+    features = features.repartition(max(1, -(-n // ROWS_A_TASK)), "business_id").sortWithinPartitions("business_id").cache()
     rows = []
     try:
-        n = features.count()
         for k in range(least, max(least, min(most, n // 15)) + 1):
             model = KMeans(k=k, seed=42, maxIter=20).fit(features)
             found = model.transform(features)

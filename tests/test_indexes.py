@@ -269,3 +269,21 @@ def test_progress_survives_restarts_and_never_falls(spark, tmp_path):
         assert got == {x.task: x.overall for x in twin.collect()}
         totals.append(got["t"])
     assert totals == [15, 22, 37]
+
+
+def test_choose_k_deals_rows_by_their_number(spark, monkeypatch):
+    """Many nearly empty partitions of the input are not kept through the passes, and the result is the same however it lies."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    seen = []
+    fit = KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    r = random.Random(5)
+    rows = [(i, [r.gauss(i % 3 * 4, 1), r.gauss(0, 1)], 1 + i % 9, float(i % 50)) for i in range(90)]
+    df = spark.createDataFrame(rows, "business_id long, x array<double>, employees int, revenue_estimate double")
+    found = []
+    for parts in (3, 23):
+        given = df.repartition(parts).select("business_id", array_to_vector("x").alias("features"), "employees", "revenue_estimate")
+        found.append(strategy.choose_k(given.select("business_id", "features"), given.drop("features"), 2, 3).collect())
+    assert found[0] == found[1] and set(seen) == {1}
