@@ -76,21 +76,25 @@ def communities(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame
     flat = materialised(edges.select("u", "v", F.col("w").cast("double").alias("w")))
     found = None
     for _ in range(levels):
-        both = materialised(flat.select("u", "v", "w").union(flat.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+        # kept dealt by v, as each round joins it by v; not written out, since a lost part follows from ``flat``
+        both = flat.select("u", "v", "w").union(flat.select("v", "u", "w")).groupBy("u", "v").agg(F.sum("w").alias("w")).repartition("v").cache()
         m2 = both.agg(F.sum("w")).first()[0]
         if not m2:
+            both.unpersist()
             break
         degree = materialised(both.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")))
         labels = materialised(degree.select("node", F.col("node").alias("community")))
         for at in range(rounds):
-            volume = labels.join(degree, "node").groupBy("community").agg(F.sum("k").alias("volume"))
+            known = labels.join(degree, "node")
+            volume = known.groupBy("community").agg(F.sum("k").alias("volume"))
+            # a node brings its community's volume along, so links are dealt by v and by node, and not by community too
+            with_volume = labels.join(volume, "community").select(F.col("node").alias("v"), "community", "volume")
             links = (
-                both.where("u <> v").join(labels.select(F.col("node").alias("v"), "community"), "v")
-                .groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("inside"))
+                both.where("u <> v").join(with_volume, "v").select(F.col("u").alias("node"), "community", "volume", "w").repartition("node")
+                .groupBy("node", "community").agg(F.sum("w").alias("inside"), F.max("volume").alias("volume"))
             )
-            own = labels.withColumnRenamed("community", "own")
             gain = (
-                links.join(volume, "community").join(degree, "node").join(own, "node")
+                links.join(known.withColumnRenamed("community", "own"), "node")
                 .withColumn("rest", F.col("volume") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0))
                 .withColumn("gain", F.col("inside") - F.col("k") * F.col("rest") / F.lit(m2))
             )
@@ -101,6 +105,7 @@ def communities(edges: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame
             labels = materialised(
                 labels.join(best, "node", "left").select("node", F.when(may & (F.col("gain") > 0), F.col("best")).otherwise(F.col("community")).alias("community"))
             )
+        both.unpersist()
         found = labels if found is None else materialised(
             found.join(labels.select(F.col("node").alias("community"), F.col("community").alias("up")), "community", "left").select("node", F.coalesce("up", "community").alias("community"))
         )

@@ -287,3 +287,16 @@ def test_choose_k_deals_rows_by_their_number(spark, monkeypatch):
         given = df.repartition(parts).select("business_id", array_to_vector("x").alias("features"), "employees", "revenue_estimate")
         found.append(strategy.choose_k(given.select("business_id", "features"), given.drop("features"), 2, 3).collect())
     assert found[0] == found[1] and set(seen) == {1}
+
+
+def test_rounds_of_communities_do_not_deal_the_edges_again(spark, monkeypatch):
+    """The edges lie dealt by v through all rounds of a level; only the labels are dealt to them."""
+    plans = []
+    keep = graph.materialised
+    monkeypatch.setattr(graph, "materialised", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    edges = [(a, b, 1.0) for base in (0, 20) for a in range(base, base + 6) for b in range(a + 1, base + 6)] + [(5, 20, 1.0)]
+    found = {x.node: x.community for x in graph.communities(spark.createDataFrame(edges, "u long, v long, w double"), rounds=3, levels=1).collect()}
+    assert set(found) == {n for e in edges for n in e[:2]}
+    rounds = [p for p in plans if "volume" in p]
+    dealt = [sum("hashpartitioning(v#" in line and "ENSURE_REQUIREMENTS" in line for line in p.split("\n")) for p in rounds]
+    assert len(rounds) == 3 and max(dealt) <= 1
