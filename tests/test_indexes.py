@@ -178,6 +178,35 @@ def test_nearest_neighbours_against_all_pairs(spark):
     assert neighbours.nearest(df.limit(0)).count() == neighbours.nearest(df.limit(1)).count() == 0
 
 
+def rows_dealt(spark):
+    """Rows that the stages of the session have written for shuffles so far."""
+    empty = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    lists = spark.sparkContext._jvm.java.util.ArrayList
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(lists(), False, False, empty, lists())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_nearest_neighbours_deal_few_pairs_and_places_without_counties(spark, monkeypatch):
+    """Pairs of buckets go by the floor of the level before, and pairs of kinds by that of their bucket, before they are dealt;
+    a county makes no kind of its own where all have places."""
+    r = random.Random(4)
+    kinds = [(39 + r.random(), -94 + r.random(), r.choice(["484", "511"]), 1 + r.randrange(300)) for _ in range(500)]
+    rows = [(i, y, x, f"c{i // 500}", code, e) for i, (y, x, code, e) in enumerate(kinds * 3)]
+    df = spark.createDataFrame(rows, "business_id long, latitude double, longitude double, county string, naics_code string, employees int")
+    frames, keep, before = [], neighbours.materialised, rows_dealt(spark)
+    monkeypatch.setattr(neighbours, "materialised", lambda df: (frames.append(keep(df)), frames[-1])[1])
+    found = {}
+    for x in neighbours.nearest(df, 5).collect():
+        found.setdefault(x.u, []).append((x.nth, x.v))
+    dealt = rows_dealt(spark) - before
+    for u, y, x, _, code, e in rows:
+        weighed = [(-round(0.4 / (1 + math.hypot(y - b[1], x - b[2]) / 0.2) + 0.3 * (code == b[4]) + 0.2 * min(e, b[5]) / max(e, b[5]), 12), b[0]) for b in rows if b[0] != u]
+        assert [v for _, v in sorted(found[u])] == [v for _, v in sorted(weighed)[:5]]
+    assert [f.count() for f in frames if "ids" in f.columns] == [len(kinds)]
+    assert dealt < 30 * len(rows)
+
+
 def test_fronts_of_parts_are_the_front(spark):
     r = random.Random(3)
     rows = [(i, *(r.choice([r.randrange(6), r.random()]) for _ in range(6))) for i in range(300)] + [(900, None, *[0.0] * 5), (901, *[0.0] * 6), (902, *[0.0] * 6)]
