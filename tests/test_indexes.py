@@ -179,12 +179,12 @@ def test_nearest_neighbours_against_all_pairs(spark):
 
 
 def rows_dealt(spark):
-    """Rows that the stages of the session have written for shuffles so far."""
+    """Rows that each stage of the session has written for shuffles; the oldest stages are forgotten."""
     empty = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
     lists = spark.sparkContext._jvm.java.util.ArrayList
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     stages = spark.sparkContext._jsc.sc().statusStore().stageList(lists(), False, False, empty, lists())
-    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in map(stages.apply, range(stages.size()))}
 
 
 def test_nearest_neighbours_deal_few_pairs_and_places_without_counties(spark, monkeypatch):
@@ -199,7 +199,7 @@ def test_nearest_neighbours_deal_few_pairs_and_places_without_counties(spark, mo
     found = {}
     for x in neighbours.nearest(df, 5).collect():
         found.setdefault(x.u, []).append((x.nth, x.v))
-    dealt = rows_dealt(spark) - before
+    dealt = sum(n for stage, n in rows_dealt(spark).items() if stage not in before)
     for u, y, x, _, code, e in rows:
         weighed = [(-round(0.4 / (1 + math.hypot(y - b[1], x - b[2]) / 0.2) + 0.3 * (code == b[4]) + 0.2 * min(e, b[5]) / max(e, b[5]), 12), b[0]) for b in rows if b[0] != u]
         assert [v for _, v in sorted(found[u])] == [v for _, v in sorted(weighed)[:5]]
