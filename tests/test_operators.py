@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from regiolith.functions import text as T
@@ -322,3 +323,47 @@ def test_dedup_geo_holds_equal_rows_against_others_once(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id long, county string, name string, revenue_estimate double, latitude double, longitude double")
     assert {r.id for r in matching.dedup_geo(df).collect()} == {50, 51, 52}
     assert seen == [2]
+
+
+def weighed(a, b):
+    """Weight of two businesses (county, state, code, employees) as the reference adds it up; what is unknown is like nothing."""
+    like = lambda x, y: x is not None and x == y
+    geo = 0.3 if like(a[0], b[0]) else 0.15 if like(a[1], b[1]) else 0.0
+    ind = 0.3 if like(a[2], b[2]) else 0.15 if like(a[2] and a[2][:2], b[2] and b[2][:2]) else 0.0
+    return geo + ind + 0.2 * min(a[3], b[3]) / max(a[3], b[3]) + (0.2 if any(a[2] in pair and b[2] in pair for pair in communities.SUPPLY) else 0.0)
+
+
+@pytest.mark.parametrize("least", [0.1, 0.25, 0.38, 0.45, 0.5, 0.53, 0.56, 0.75])
+def test_similarity_edges_are_those_of_all_pairs(spark, least):
+    """Every pair once, whatever the threshold, the tiles, counties of one name in two states, and what is unknown."""
+    r = random.Random(5)
+    codes = ["484", "4841", "493", "311", "445", "325", "621", "332", "333", "336", "511", "512", "541", None]
+    rows = [(i, r.choice(["c0", "c1", "c2", "c3", None]), r.choice(["s", "t", None]), r.choice(codes), r.choice([0, 5, 6, 9, 20, None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "business_id long, county string, state string, naics_code string, employees int").repartition(3)
+    known = [(i, (county, state, code and code[:3], n)) for i, county, state, code, n in rows if n]
+    want = {(i, j): weighed(a, b) for i, a in known for j, b in known if i < j and weighed(a, b) > least}
+    found = communities.similarity_edges(df, least, tile=7).collect()
+    assert len(found) == len(want) > 0
+    assert {(e.u, e.v): round(e.w, 9) for e in found} == {k: round(w, 9) for k, w in want.items()}
+
+
+def test_businesses_alike_have_all_their_edges_in_the_query(spark, tmp_path):
+    """The query and its SQL give an edge for any two businesses, also for those alike in county, code and size."""
+    import duckdb
+
+    import __spark_entry__ as E
+
+    con = duckdb.connect()
+    con.execute("create table customer as select 150 * k + j c_custkey, 'n' c_name, 1 c_nationkey, 'BUILDING' c_mktsegment from range(1, 9) a(k), range(1, 4) b(j)")
+    con.execute("create table nation as select 1 n_nationkey, 'here' n_name, 1 n_regionkey")
+    con.execute("create table region as select 1 r_regionkey, 'there' r_name")
+    con.execute("create table orders as select c_custkey o_orderkey, c_custkey o_custkey, 5.0::double o_totalprice from customer")
+    for t in ("customer", "nation", "region", "orders"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    known = [(150 * k + j, ("here", "there", {0: "541", 1: "511", 2: "541"}[j % 3], 1 + j)) for k in range(1, 9) for j in range(1, 4)]
+    want = sorted((i, j, round(weighed(a, b), 6)) for i, a in known for j, b in known if i < j and weighed(a, b) > 0.56)
+    assert len(want) > 3 * 28  # those alike alone are 28 pairs of each of three kinds
+    found = E.queries()["I1_similarity_edges"](spark, str(tmp_path))
+    assert found.columns == ["u", "v", "w"]
+    assert sorted(tuple(e) for e in found.collect()) == want
+    assert sorted(con.execute(E.oracle_sql()["I1_similarity_edges"]).fetchall()) == want
